@@ -44,6 +44,8 @@ SENTENCE_MARKS = [
     " are ", " is ", " the ", " here ", " based on ",
     " following ", " recorded ", " below",
 ]
+WHITE_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006" \
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 # --------------------------------------------------------------------------------------
 
 
@@ -54,7 +56,7 @@ def let(value: Column, body) -> Column:
 
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def contains_ci(haystack: Column, needle: Column | str) -> Column:
