@@ -21,6 +21,11 @@ def hash_normal(*key: Column) -> Column:
     return F.sqrt(F.lit(-2.0) * F.ln(u)) * F.cos(F.lit(2.0 * math.pi) * v)
 
 
+def settled(x: Column, digits: int = 4) -> Column:
+    """Round a sum or mean of doubles. Nine digits first, so that the order of summation cannot tip a tie."""
+    return F.round(F.round(x, 9), digits)
+
+
 def clip01(x: Column) -> Column:
     return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
 

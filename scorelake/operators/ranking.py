@@ -17,23 +17,24 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cell: Co
     counted first and summed up per group, so that a group is sorted by as many tasks as it
     has cells instead of by one.
     """
-    celled = df.withColumn("_cell", cell)
-    counts = celled.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    along = W.partitionBy(*keys).orderBy("_cell")
+    celled = df.withColumn("_rk_cell", cell)
+    counts = celled.groupBy(*keys, "_rk_cell").agg(F.count(F.lit(1)).alias("_rk_n"))
+    along = W.partitionBy(*keys).orderBy("_rk_cell")
+    key_names = [f"_rk_{i}" for i in range(len(keys))]
     offsets = counts.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.col("_cell").alias("_c"),
-        (F.sum("_n").over(along) - F.col("_n")).alias("_before"),
-        F.sum("_n").over(W.partitionBy(*keys)).alias("_size"),
+        *[F.col(k).alias(n) for k, n in zip(keys, key_names)],
+        F.col("_rk_cell").alias("_rk_at"),
+        (F.sum("_rk_n").over(along) - F.col("_rk_n")).alias("_rk_before"),
+        F.sum("_rk_n").over(W.partitionBy(*keys)).alias("_rk_size"),
     )
-    on = F.col("_cell").eqNullSafe(F.col("_c"))
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    within = W.partitionBy(*keys, "_cell").orderBy(*order)
-    out = celled.join(offsets, on).withColumn(rank, F.col("_before") + F.row_number().over(within))
+    on = F.col("_rk_cell").eqNullSafe(F.col("_rk_at"))
+    for k, n in zip(keys, key_names):
+        on = on & F.col(k).eqNullSafe(F.col(n))
+    within = W.partitionBy(*keys, "_rk_cell").orderBy(*order)
+    out = celled.join(offsets, on).withColumn(rank, F.col("_rk_before") + F.row_number().over(within))
     if size:
-        out = out.withColumn(size, F.col("_size"))
-    return out.drop("_cell", "_c", "_before", "_size", *[f"_k{i}" for i in range(len(keys))])
+        out = out.withColumn(size, F.col("_rk_size"))
+    return out.drop("_rk_cell", "_rk_at", "_rk_before", "_rk_size", *key_names)
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from scorelake.functions import text as tx
 from scorelake.functions.dates import event_end, week_key
 from scorelake.functions.dates import overlap_days as shared_days
+from scorelake.functions.numbers import settled
 from scorelake.operators.ranking import exact_median, ranked, top_k
 
 # --- fixed values: indicator groups -----------------------------------------------------------
@@ -245,15 +246,15 @@ def window_stats(windows: DataFrame, readings: DataFrame, keys: Sequence[str] =
     v = F.col("value_num")
     stats = joined.groupBy(*by).agg(
         F.count(v).alias("n_points"),
-        F.round(F.avg(v), 4).alias("mean"),
+        settled(F.avg(v)).alias("mean"),
         F.round(F.max(v), 4).alias("max"),
         F.round(F.min(v), 4).alias("min"),
-        F.round(F.coalesce(F.stddev_samp(v), F.lit(0.0)), 4).alias("stddev"),
-        F.round(F.max(v) - F.min(v), 4).alias("range"),
+        settled(F.coalesce(F.stddev_samp(v), F.lit(0.0))).alias("stddev"),
+        settled(F.max(v) - F.min(v)).alias("range"),
         F.min_by("day", F.struct(-v, F.col("day"))).alias("argmax_date"),
     )
     if median:
-        mid = exact_median(joined.select(*by, "value_num"), by, "value_num").withColumn("median", F.round("median", 4))
+        mid = exact_median(joined.select(*by, "value_num"), by, "value_num").withColumn("median", settled(F.col("median")))
         stats = stats.join(mid, by)
     return windows.select(*by).join(stats, by, "left").withColumns({
         "n_points": F.coalesce("n_points", F.lit(0)), "unanswerable": F.col("mean").isNull()})
@@ -263,7 +264,7 @@ def two_window_delta(pairs: DataFrame, readings: DataFrame, by: Sequence[str],
                      keys: Sequence[str] = ("user_id", "indicator")) -> DataFrame:
     """mean(second) - mean(first) per pair; NULL when either window is empty."""
     phases = _phase_means(pairs, readings, by, keys, ("w1", "w2"))
-    return phases.withColumn("delta", F.round(F.col("mean_w2") - F.col("mean_w1"), 4)).drop("mean_w1", "mean_w2")
+    return phases.withColumn("delta", settled(F.col("mean_w2") - F.col("mean_w1"))).drop("mean_w1", "mean_w2")
 
 
 def three_phase_means(triples: DataFrame, readings: DataFrame, by: Sequence[str],
@@ -274,7 +275,7 @@ def three_phase_means(triples: DataFrame, readings: DataFrame, by: Sequence[str]
     complete = F.lit(True)
     for n in names:
         complete = complete & F.col(f"mean_{n}").isNotNull()
-    return phases.select(*by, F.when(complete, F.array(*[F.round(f"mean_{n}", 4) for n in names])).alias("means"))
+    return phases.select(*by, F.when(complete, F.array(*[settled(F.col(f"mean_{n}")) for n in names])).alias("means"))
 
 
 def _phase_means(df: DataFrame, readings: DataFrame, by: Sequence[str], keys: Sequence[str],

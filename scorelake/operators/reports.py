@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scorelake.functions.numbers import settled
 from scorelake.functions.text import tag_value
 from scorelake.operators.ranking import top_k
 
@@ -67,7 +68,7 @@ def _measures() -> list[Column]:
         F.count_if(F.col("result") == "fail").alias("fail_count"),
         F.round(pass_rate(F.count_if(F.col("result") == "pass").cast("double"),
                           F.count_if(F.col("result") == "fail").cast("double")), 6).alias("pass_rate"),
-        F.round(F.avg("score"), 6).alias("avg_score"),
+        settled(F.avg("score"), 6).alias("avg_score"),
     ]
 
 
@@ -125,7 +126,7 @@ def old_new(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("id",)) -> Da
     """Pairs of scores and their difference to four digits."""
     o = old.withColumnRenamed("score", "old_score")
     n = new.select(*keys, F.col("score").alias("new_score"))
-    return o.join(n, list(keys)).withColumn("delta", F.round(F.col("new_score") - F.col("old_score"), 4))
+    return o.join(n, list(keys)).withColumn("delta", settled(F.col("new_score") - F.col("old_score")))
 
 
 def reeval_summary(pairs: DataFrame, changed_only: bool = False) -> DataFrame:
@@ -141,8 +142,8 @@ def reeval_summary(pairs: DataFrame, changed_only: bool = False) -> DataFrame:
         return F.avg(F.when(counted, F.col(c)))
     return long.groupBy("scope", "bucket").agg(
         F.count_if(counted).alias("n"), F.count_if(changed).alias("n_changed"),
-        F.round(mean("old_score"), 6).alias("old_avg"), F.round(mean("new_score"), 6).alias("new_avg"),
-        F.round(mean("delta"), 6).alias("avg_delta"))
+        settled(mean("old_score")).alias("old_avg"), settled(mean("new_score")).alias("new_avg"),
+        settled(mean("delta")).alias("avg_delta"))
 
 
 def top_changes(pairs: DataFrame, k: int = 10, tie: Sequence[str] = ("id",)) -> DataFrame:
@@ -157,7 +158,7 @@ def failures(results: DataFrame, k: int = 20, order: Sequence[str] = ("id",)) ->
 def leaderboard(results: DataFrame, system: str = "system_id") -> DataFrame:
     """Average score, total time and rank per system. The rank runs over one row per system."""
     per = results.groupBy(system).agg(
-        F.count(F.lit(1)).alias("n_cases"), F.round(F.avg("score"), 6).alias("avg_score"),
+        F.count(F.lit(1)).alias("n_cases"), settled(F.avg("score"), 6).alias("avg_score"),
         F.sum(seconds(F.col("start_ts"), F.col("end_ts"))).alias("total_seconds"))
     return rank_systems(per)
 
@@ -169,7 +170,7 @@ def rank_systems(per_system: DataFrame, score: str = "avg_score") -> DataFrame:
 
 def score_matrix(results: DataFrame, row: str, column: str, values: Sequence, low: float = 0.7) -> DataFrame:
     """Average score per row and column value; given values spare the pivot a pass over the data."""
-    m = results.groupBy(row).pivot(column, list(values)).agg(F.round(F.avg("score"), 6))
+    m = results.groupBy(row).pivot(column, list(values)).agg(settled(F.avg("score"), 6))
     m = m.withColumnsRenamed({str(v): f"s_{v}" for v in values})
     weakest = F.least(*[F.col(f"s_{v}") for v in values]) if len(values) > 1 else F.col(f"s_{values[0]}")
     return m.withColumn("any_low", weakest < low)
@@ -187,7 +188,7 @@ def progress(results: DataFrame, cases: DataFrame) -> DataFrame:
     """Cases per status (NULL: still open) and the mean score so far."""
     done = results.select("id", "result", "score")
     return cases.select("id").join(done, "id", "left").groupBy("result").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("avg_score"))
+        F.count(F.lit(1)).alias("n"), settled(F.avg("score"), 6).alias("avg_score"))
 
 
 def completeness(documents: DataFrame, required: Sequence[str], user: str = "user_id", kind: str = "kind") -> DataFrame:
@@ -248,7 +249,7 @@ def cost_rollup(usage: DataFrame, prices: DataFrame, reported: DataFrame | None
     priced = price_usage(token_totals(usage, ["role", "model"]), prices)
     per_role = priced.groupBy("role").agg(
         F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
-        F.round(F.sum(cost(F.col("price_in"), F.col("price_out"), F.col("input_tokens"), F.col("output_tokens"))), 4).alias("cost"))
+        settled(F.sum(cost(F.col("price_in"), F.col("price_out"), F.col("input_tokens"), F.col("output_tokens")))).alias("cost"))
     if reported is None:
         return per_role
     return per_role.join(reported, "role", "left").withColumn("cost", F.coalesce("total_cost", "cost")).drop("total_cost")
@@ -262,7 +263,7 @@ def estimate_cost(cases: DataFrame, spec: DataFrame, prices: DataFrame) -> DataF
         "eval_overhead", F.lit(DEFAULT_EVAL_OVERHEAD))
     pace = F.ceil(F.col("n_cases") * SECONDS_PER_CASE / F.coalesce(F.nullif("concurrency", F.lit(0)), F.lit(DEFAULT_CONCURRENCY)))
     return n.join(priced, "target").select(
-        "target", "n_cases", F.round(F.col("n_cases") * per_case, 4).alias("cost"), pace.alias("seconds"))
+        "target", "n_cases", settled(F.col("n_cases") * per_case).alias("cost"), pace.alias("seconds"))
 
 
 # --- files and names -----------------------------------------------------------------------------------------

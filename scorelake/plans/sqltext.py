@@ -132,3 +132,7 @@ def uniform(*key: str) -> str:
 
 def week_key(d: str) -> str:
     return f"strftime({d}, '%Y-W%W')"
+
+
+def settled(x: str, digits: int = 4) -> str:
+    return f"CAST(round(CAST({x} AS DECIMAL(28, 9)), {digits}) AS DOUBLE)"
