@@ -206,10 +206,10 @@ def strip_answers(cases: DataFrame, eval_col: str = "eval", user_col: str = "use
 
 
 def anonymise_ids(df: DataFrame, mapping: DataFrame, user: str = "user_id", case: str = "id") -> DataFrame:
-    """Replace raw user ids, and the `<raw>_Q` prefix of case ids, by a mapping (raw_id, new_id)."""
+    """Replace raw user ids, and the `<raw>_` prefix of case ids, by a mapping (raw_id, new_id)."""
     m = mapping.select(F.col("raw_id").cast("string").alias("_raw"), F.col("new_id").alias("_new"))
     out = df.join(m, F.col(user).cast("string") == F.col("_raw"), "left")
-    renamed = F.when(F.startswith(F.col(case), F.concat("_raw", F.lit("_Q"))), F.concat(
+    renamed = F.when(F.startswith(F.col(case), F.concat("_raw", F.lit("_"))), F.concat(
         "_new", F.substring(case, F.length("_raw") + 1, F.length(case)))).otherwise(F.col(case))
     return out.withColumns({case: renamed, user: F.coalesce("_new", F.col(user).cast("string"))}).drop("_raw", "_new")
 

@@ -246,6 +246,7 @@ def window_stats(windows: DataFrame, readings: DataFrame, keys: Sequence[str] =
     v = F.col("value_num")
     stats = joined.groupBy(*by).agg(
         F.count(v).alias("n_points"),
+        F.avg(v).alias("raw_mean"),
         settled(F.avg(v)).alias("mean"),
         F.round(F.max(v), 4).alias("max"),
         F.round(F.min(v), 4).alias("min"),

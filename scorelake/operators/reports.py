@@ -292,3 +292,19 @@ def changed_batches(remote: DataFrame, local: DataFrame, force: bool = False) ->
 def newest_first(index: DataFrame) -> DataFrame:
     """Report index by date text; dates with and without a time sort together."""
     return index.orderBy(F.desc("date"), "name")
+
+
+def case_cost(usage: DataFrame, prices: DataFrame, details: DataFrame, target_role: str) -> DataFrame:
+    """Tokens and cost per case over its roles.
+
+    `details` (id, tokens, total_cost) holds what the target itself reported; where present it
+    replaces the target's computed tokens and cost.
+    """
+    priced = price_usage(token_totals(usage, ["id", "role", "model"]), prices)
+    per_role = priced.groupBy("id", "role").agg(
+        F.sum("total_tokens").alias("_tokens"),
+        F.sum(cost(F.col("price_in"), F.col("price_out"), F.col("input_tokens"), F.col("output_tokens"))).alias("_cost"))
+    said = details.select("id", F.lit(target_role).alias("role"), F.col("tokens").alias("_said"), "total_cost")
+    return per_role.join(said, ["id", "role"], "left").groupBy("id").agg(
+        F.sum(F.coalesce("_said", "_tokens")).alias("total_tokens"),
+        settled(F.sum(F.coalesce("total_cost", "_cost"))).alias("cost"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from scorelake.functions import text as tx
-from scorelake.functions.numbers import clip01
+from scorelake.functions.numbers import clip01, settled
 
 # --- fixed values: signal words of the boolean scorer, phrases of broken backends -------
 TRUE_WORDS = ["true", "yes", "是", "对", "正确", "有", "存在"]
@@ -404,3 +404,10 @@ def score_all(cases: DataFrame, columns: Sequence[str] = ("id", "evaluator", "re
     for part in parts:
         out = out.unionByName(part)
     return out
+
+
+def rescore(stored: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """Score stored dialogues (`replies` joined by newlines) again and pair new with old scores."""
+    answers = stored.withColumn("_response", F.array_join("replies", "\n")).withColumnRenamed("score", "old_score")
+    again = score_by_type(answers, "_response", tolerance=tolerance).withColumnRenamed("score", "new_score")
+    return again.withColumn("delta", settled(F.col("new_score") - F.col("old_score"))).drop("_response", "detail")
