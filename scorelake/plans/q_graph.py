@@ -1 +1,161 @@
-"""Queries."""
+"""Retrieval queries: dense top-k, similar pairs, entity graph, PageRank."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from scorelake.operators import graph as gr
+from scorelake.operators.ranking import top_k
+from scorelake.plans.registry import query
+
+DOT = "list_dot_product({a}::DOUBLE[], {b}::DOUBLE[]) / sqrt(list_dot_product({a}::DOUBLE[], {a}::DOUBLE[])) / sqrt(list_dot_product({b}::DOUBLE[], {b}::DOUBLE[]))"
+
+
+def cos(a: str, b: str) -> str:
+    return DOT.format(a=a, b=b)
+
+
+def as_queries(t):
+    return t.vectors.select(F.col("label").alias("user_id"), F.col("vec_id").alias("query_id"), "embedding")
+
+
+def as_chunks(t):
+    return t.vectors.select(F.col("label").alias("user_id"), F.col("vec_id").alias("chunk_id"), "embedding")
+
+
+def as_entities(t):
+    return t.vectors.select(F.col("label").alias("user_id"), F.concat(F.lit("e"), F.lpad(F.col("vec_id").cast("string"), 9, "0")).alias("entity"), "embedding")
+
+
+@query("rg06_dense_top_k", f"""SELECT query_id, chunk_id, round(score, 6) AS score, rn AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, {cos('a.embedding', 'b.embedding')} AS score,
+       row_number() OVER (PARTITION BY a.vec_id ORDER BY {cos('a.embedding', 'b.embedding')} DESC, b.vec_id DESC) AS rn FROM embeddings a JOIN embeddings b USING (label)) x WHERE rn <= 5""")
+def _(t):
+    return gr.dense_top_k(as_queries(t), as_chunks(t), 5).withColumn("score", F.round("score", 6))
+
+
+@query("tk03_top_k_per_query", """SELECT o_custkey AS query_id, o_orderkey AS chunk_id, rn AS rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority DESC, o_orderkey DESC) AS rn FROM orders) x WHERE rn <= 3""")
+def _(t):
+    scores = t.raw("orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("chunk_id"), F.col("o_orderpriority").alias("score"))
+    return top_k(scores, ["query_id"], [F.desc("score"), F.desc("chunk_id")], 3).drop("score")
+
+
+@query("j11_similar_pairs", f"SELECT a.label AS user_id, a.vec_id AS id_a, b.vec_id AS id_b, round({cos('a.embedding', 'b.embedding')}, 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {cos('a.embedding', 'b.embedding')} >= 0.3")
+def _(t):
+    v = t.vectors.select(F.col("label").alias("user_id"), "vec_id", "embedding")
+    return gr.similar_pairs(v, 0.3).withColumn("cosine", F.round("cosine", 6))
+
+
+# --- graph of the users' orders: orders are passages, parts and suppliers entities ---------------------
+
+MENTIONS = "um AS (SELECT DISTINCT o_custkey AS user_id, o_orderkey AS chunk_id, concat('p', CAST(l_partkey % 40 AS VARCHAR)) AS entity FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+TRIPLES = "ut AS (SELECT DISTINCT o_custkey AS user_id, o_orderkey AS chunk_id, concat('p', CAST(l_partkey % 40 AS VARCHAR)) AS subject, lower(l_returnflag) AS predicate, concat('p', CAST(l_suppkey % 40 AS VARCHAR)) AS object FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+
+
+def extractions(t):
+    """Per order: its parts as entities and (part, flag, supplier) triples, in mixed case and with blanks."""
+    lines = t.raw("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag").join(
+        t.raw("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    part = F.concat(F.lit(" P"), (F.col("l_partkey") % 40).cast("string"))
+    return lines.groupBy(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("chunk_id")).agg(
+        F.collect_list(part).alias("entities"),
+        F.collect_list(F.struct(part.alias("subject"), F.col("l_returnflag").alias("predicate"),
+                                F.concat(F.lit("p"), (F.col("l_suppkey") % 40).cast("string"), F.lit(" ")).alias("object"))).alias("triples"))
+
+
+def mentions_and_triples(t):
+    x = extractions(t)
+    return gr.entity_mentions(x), gr.fact_triples(x)
+
+
+@query("rg07_entity_mentions", f"WITH {MENTIONS} SELECT user_id, chunk_id, entity FROM um")
+def _(t):
+    return gr.entity_mentions(extractions(t))
+
+
+@query("rg07_fact_triples", f"WITH {TRIPLES} SELECT user_id, chunk_id, subject, predicate, object FROM ut")
+def _(t):
+    return gr.fact_triples(extractions(t))
+
+
+@query("set04_entities", f"WITH {MENTIONS}, {TRIPLES} SELECT user_id, entity FROM um UNION SELECT user_id, subject FROM ut UNION SELECT user_id, object FROM ut")
+def _(t):
+    return gr.entities(*mentions_and_triples(t))
+
+
+EDGES = f"""{MENTIONS}, {TRIPLES}, ue AS (SELECT user_id, least(concat('passage:', chunk_id), concat('ent:', entity)) AS src, greatest(concat('passage:', chunk_id), concat('ent:', entity)) AS dst, 1.0::DOUBLE AS weight, 'passage_entity' AS type FROM um
+       UNION ALL SELECT user_id, least('ent:' || subject, 'ent:' || object), greatest('ent:' || subject, 'ent:' || object), count(*)::DOUBLE, 'fact' FROM ut WHERE subject <> object GROUP BY ALL)"""
+
+
+@query("rg08_build_graph", f"WITH {EDGES} SELECT * FROM ue")
+def _(t):
+    return gr.build_graph(*mentions_and_triples(t))
+
+
+@query("rg09_synonym_edges", f"""WITH e AS (SELECT label AS user_id, concat('e', lpad(CAST(vec_id AS VARCHAR), 9, '0')) AS entity, vec_id, embedding FROM embeddings)
+       SELECT a.user_id, 'ent:' || a.entity AS src, 'ent:' || b.entity AS dst, round({cos('a.embedding', 'b.embedding')}, 6) AS weight, 'synonymy' AS type FROM e a JOIN e b ON a.user_id = b.user_id AND a.vec_id < b.vec_id
+       WHERE {cos('a.embedding', 'b.embedding')} >= 0.25 AND b.vec_id <> a.vec_id + 10""")
+def _(t):
+    named = as_entities(t)
+    facts = t.vectors.select(F.col("label").alias("user_id"), F.concat(F.lit("ent:e"), F.lpad(F.col("vec_id").cast("string"), 9, "0")).alias("src"),
+                             F.concat(F.lit("ent:e"), F.lpad((F.col("vec_id") + 10).cast("string"), 9, "0")).alias("dst"))
+    return gr.synonym_edges(named, facts, 0.25).withColumn("weight", F.round("weight", 6))
+
+
+@query("rg10_link_seeds", f"""WITH s AS (SELECT a.vec_id AS query_id, a.label AS user_id, b.vec_id, {cos('a.embedding', 'b.embedding')} AS c FROM embeddings a JOIN embeddings b USING (label)),
+       k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id DESC) AS rn FROM s WHERE c > 0)
+       SELECT query_id, user_id, 'ent:e' || lpad(CAST(vec_id AS VARCHAR), 9, '0') AS node, round(c, 6) AS weight FROM k WHERE rn <= 10 UNION ALL SELECT query_id, user_id, concat('passage:', vec_id), round(c * 0.05, 6) FROM s""")
+def _(t):
+    return gr.link_seeds(as_queries(t), as_entities(t), as_chunks(t)).withColumn("weight", F.round("weight", 6))
+
+
+def user_seeds(t, mentions):
+    """One query per user: its first entity and, weakly, all its passages."""
+    first = mentions.groupBy("user_id").agg(F.min("entity").alias("entity")).select(
+        F.col("user_id").alias("query_id"), "user_id", gr.entity_node(F.col("entity")).alias("node"), F.lit(1.0).alias("weight"))
+    weak = mentions.select("user_id", "chunk_id").distinct().select(
+        F.col("user_id").alias("query_id"), "user_id", gr.passage_node(F.col("chunk_id")).alias("node"), F.lit(0.05).alias("weight"))
+    return first.unionByName(weak)
+
+
+PPR_ROUNDS = 6
+
+
+@query("rg11_personalized_pagerank", f"""WITH RECURSIVE {EDGES}, nd AS (SELECT user_id, src AS node FROM ue UNION SELECT user_id, dst FROM ue), nn AS (SELECT user_id, count(*) AS n FROM nd GROUP BY user_id),
+       be AS (SELECT user_id, src, dst, weight FROM ue UNION ALL SELECT user_id, dst, src, weight FROM ue), dg AS (SELECT user_id, src, sum(weight) AS d FROM be GROUP BY ALL),
+       st AS (SELECT user_id, src, dst, weight / d AS p FROM be JOIN dg USING (user_id, src)),
+       sd0 AS (SELECT user_id, 'ent:' || min(entity) AS node, 1.0::DOUBLE AS w FROM um GROUP BY user_id UNION ALL SELECT DISTINCT user_id, concat('passage:', chunk_id), 0.05::DOUBLE FROM um),
+       sd AS (SELECT user_id, node, w / sum(w) OVER (PARTITION BY user_id) AS s FROM sd0),
+       x AS (SELECT 0 AS it, user_id, node, 1.0::DOUBLE / n AS score FROM nd JOIN nn USING (user_id) UNION ALL
+         SELECT it, user_id, node, 0.5 * sum(inflow) + 0.5 * max(seed) FROM (
+           SELECT x.it + 1 AS it, st.user_id, st.dst AS node, x.score * st.p AS inflow, coalesce(sd.s, 0) AS seed FROM x JOIN st ON st.user_id = x.user_id AND st.src = x.node LEFT JOIN sd ON sd.user_id = st.user_id AND sd.node = st.dst WHERE x.it < {PPR_ROUNDS}) f GROUP BY it, user_id, node)
+       SELECT user_id AS query_id, node, round(score, 6) AS score FROM x WHERE it = {PPR_ROUNDS}""")
+def _(t):
+    mentions, triples = mentions_and_triples(t)
+    edges = gr.build_graph(mentions, triples)
+    nodes = edges.select("user_id", F.col("src").alias("node")).union(edges.select("user_id", "dst")).distinct()
+    ranks = gr.personalized_pagerank(nodes, edges, user_seeds(t, mentions), max_iter=PPR_ROUNDS, tol=0.0)
+    return ranks.select("query_id", "node", F.round("score", 6).alias("score"))
+
+
+@query("rg12_graph_retrieve")
+def _(t):
+    named = as_entities(t)
+    links = t.vectors.select(F.col("label").alias("user_id"), F.col("vec_id").alias("chunk_id"),
+                             F.concat(F.lit("e"), F.lpad(F.col("vec_id").cast("string"), 9, "0")).alias("entity"))
+    near = gr.dense_top_k(as_queries(t), as_chunks(t), 3).where("query_id <> chunk_id")
+    triples = near.join(as_queries(t).drop("embedding"), "query_id").select(
+        "user_id", F.col("query_id").alias("chunk_id"), F.concat(F.lit("e"), F.lpad(F.col("query_id").cast("string"), 9, "0")).alias("subject"),
+        F.lit("near").alias("predicate"), F.concat(F.lit("e"), F.lpad(F.col("chunk_id").cast("string"), 9, "0")).alias("object"))
+    queries = t.vectors.groupBy(F.col("label").alias("user_id")).agg(F.min_by("embedding", "vec_id").alias("embedding"), F.min("vec_id").alias("query_id"))
+    return gr.graph_retrieve(queries, as_chunks(t), named, links, triples, 8)
+
+
+@query("set03_top_up", """WITH a AS (SELECT o_custkey AS query_id, o_orderkey AS chunk_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders WHERE o_orderstatus = 'F'),
+       b AS (SELECT o_custkey AS query_id, o_orderkey AS chunk_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders),
+       u AS (SELECT query_id, chunk_id, 0 AS src, rn FROM a UNION ALL SELECT query_id, chunk_id, 1, rn FROM b WHERE (query_id, chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM a))
+       SELECT query_id, chunk_id, rk AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY src, rn) AS rk FROM u) z WHERE rk <= 6""")
+def _(t):
+    o = t.raw("orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("chunk_id"), "o_totalprice", "o_orderstatus")
+    first = top_k(o.where("o_orderstatus = 'F'"), ["query_id"], [F.col("chunk_id")], 6)
+    second = top_k(o, ["query_id"], [F.desc("o_totalprice"), F.col("chunk_id")], 12)
+    return gr.top_up(first, second, 6)
