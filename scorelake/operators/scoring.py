@@ -329,7 +329,6 @@ def score_checkpoints(checkpoints: DataFrame, turns: DataFrame, threshold: float
 
 def latency_by_turn(turns: DataFrame) -> DataFrame:
     """Seconds to the response; the first annotation that carries a time stamp replaces the full reply."""
-    first_note = F.filter("messages", lambda m: (m["type"] == "annotation") & m["timestamp"].isNotNull())[0]
     noted = F.try_to_timestamp(F.get(F.filter(
         "messages", lambda m: (m["type"] == "annotation") & m["timestamp"].isNotNull()), F.lit(0))["timestamp"])
     def seconds(c: Column) -> Column:
@@ -411,3 +410,11 @@ def rescore(stored: DataFrame, tolerance: float = 0.01) -> DataFrame:
     answers = stored.withColumn("_response", F.array_join("replies", "\n")).withColumnRenamed("score", "old_score")
     again = score_by_type(answers, "_response", tolerance=tolerance).withColumnRenamed("score", "new_score")
     return again.withColumn("delta", settled(F.col("new_score") - F.col("old_score"))).drop("_response", "detail")
+
+
+def apply_judge(prompts: DataFrame, judge, schema: str) -> DataFrame:
+    """Hand prompt rows to a user's batch judge: an iterator of frames in, an iterator of verdict frames out.
+
+    The only Python boundary of the scorers; batches stream through Arrow.
+    """
+    return prompts.mapInPandas(judge, schema)

@@ -1 +1,88 @@
-"""Queries."""
+"""Streaming queries run to the end of the available files, and the judge boundary."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from scorelake.operators import scoring as sc
+from scorelake.plans.q_reports import MEASURES
+from scorelake.plans.registry import query
+from scorelake.session import scratch_path
+from scorelake.streaming import streams as st
+
+
+def result_lines(t) -> str:
+    """The result log as JSON lines, every line written twice as after a restart."""
+    r = t.results.join(t.tagged_cases, "id").select(
+        F.col("system_id").cast("string").alias("run_id"), F.col("id").cast("string").alias("id"), "result", "score", "tags",
+        F.timestamp_seconds(1_700_000_000 + F.col("id") % 1000).alias("finished_at"))
+    path = scratch_path(t.spark, "results")
+    r.union(r).write.json(path)
+    return path
+
+
+def finished(t, stream, transform=lambda df: df, mode: str = "complete"):
+    out = scratch_path(t.spark, "snapshot")
+    st.run_available(stream, scratch_path(t.spark, "offsets"), st.overwrite_with(out, transform), mode)
+    return t.spark.read.parquet(out)
+
+
+@query("st01_stream_results", "SELECT CAST(system_id AS VARCHAR) AS run_id, count(*) AS n FROM v_results GROUP BY system_id")
+def _(t):
+    live = st.stream_results(t.spark, result_lines(t))
+    return finished(t, live.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("st02_stream_tag_stats", f"SELECT tag, {MEASURES} FROM v_results JOIN v_case_tags USING (id) GROUP BY tag")
+def _(t):
+    return finished(t, st.stream_tag_stats(st.stream_results(t.spark, result_lines(t))))
+
+
+@query("st03_stream_progress", """WITH c AS (SELECT result, count(*) AS n FROM v_results WHERE system_id = 1 GROUP BY result), k AS (SELECT (SELECT count(*) FROM v_cases) AS total, CAST((SELECT sum(n) FROM c) AS BIGINT) AS completed)
+       SELECT result, n, total, completed FROM c, k UNION ALL SELECT NULL, total - completed, total, completed FROM k""")
+def _(t):
+    live = st.stream_results(t.spark, result_lines(t)).where("run_id = '1'")
+    return finished(t, st.stream_status_counts(live), lambda df: st.progress_snapshot(df, t.cases))
+
+
+@query("st04_stream_weekly_stats", """SELECT user_id, CAST(CAST(date_trunc('week', time) AS DATE) AS VARCHAR) AS monday, indicator, count(*) AS n, round(avg(value_num), 6) AS mean, min(value_num) AS min, max(value_num) AS max FROM v_readings GROUP BY ALL""")
+def _(t):
+    schema = t.raw("events").schema
+    events = t.spark.readStream.schema(schema).parquet(f"{t.root}/events*.parquet").selectExpr(
+        "user_id", "ts AS time", "event_type AS indicator", "value AS value_num")
+    weekly = finished(t, st.stream_weekly_stats(events))
+    return weekly.select("user_id", F.col("week.start").cast("date").cast("string").alias("monday"), "indicator", "n", F.round("mean", 6).alias("mean"), "min", "max")
+
+
+@query("st05_ingest_changed", """WITH b AS (SELECT concat(o_orderstatus, '-', substring(o_orderpriority, 1, 1)) AS batch, * FROM orders), r AS (SELECT batch, count(*) AS n, count(*) FILTER (o_orderstatus = 'F' OR o_totalprice > 20000) AS had FROM b GROUP BY batch)
+       SELECT batch, n FROM r WHERE n <> had""")
+def _(t):
+    rows = t.raw("orders").selectExpr("concat(o_orderstatus, '-', substring(o_orderpriority, 1, 1)) AS batch", "o_orderkey AS id", "o_orderstatus = 'F' OR o_totalprice > 20000 AS had")
+    source, table = scratch_path(t.spark, "batches"), scratch_path(t.spark, "table")
+    rows.write.json(source)
+    manifest = rows.groupBy("batch").agg(F.md5(F.count(F.lit(1)).cast("string")).alias("checksum"))
+    local = rows.groupBy("batch").agg(F.md5(F.count_if("had").cast("string")).alias("checksum"))
+    st.ingest_changed(t.spark, source, "batch STRING, id BIGINT", manifest, local, table, scratch_path(t.spark, "offsets"))
+    return t.spark.read.parquet(table).groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("agg25_latency_by_turn", "SELECT event_id, round(CASE WHEN event_type = 'click' THEN value / 100 ELSE value END, 4) AS latency_s FROM events")
+def _(t):
+    at = "CAST(ts AS TIMESTAMP)"
+    turns = t.raw("events").selectExpr(
+        "event_id", f"{at} AS request_time", f"timestampadd(MICROSECOND, CAST(round(value * 1000000) AS BIGINT), {at}) AS response_time",
+        f"IF(event_type = 'click', array(named_struct('type', 'reply', 'timestamp', CAST(NULL AS STRING)), named_struct('type', 'annotation', 'timestamp', CAST(timestampadd(MICROSECOND, CAST(round(value * 10000) AS BIGINT), {at}) AS STRING))), array(named_struct('type', 'reply', 'timestamp', CAST(NULL AS STRING)))) AS messages")
+    return sc.latency_by_turn(turns).select("event_id", F.round("latency_s", 4).alias("latency_s"))
+
+
+def _length_judge(batches):
+    for pdf in batches:
+        yield pd.DataFrame({"id": pdf["id"], "verdict": (pdf["prompt"].str.len() % 5 + 1).astype("int64")})
+
+
+@query("udf03_apply_judge", "SELECT id, length(concat('Rate: ', answer)) % 5 + 1 AS verdict FROM v_answers")
+def _(t):
+    from scorelake.operators.cases import judge_batch
+    prompts = judge_batch(t.answers, "Rate: {answer}", {"answer": 3000})
+    return sc.apply_judge(prompts, _length_judge, "id bigint, verdict bigint")
