@@ -46,31 +46,28 @@ _ACCURACY = 10_000
 _MARGIN = 3.0 / _ACCURACY
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
+def median_bracket(value: str) -> list[Column]:
+    """Aggregates from which `exact_median` starts; add them to an aggregate that runs anyway."""
+    v = F.col(value)
+    near = F.percentile_approx(v, [0.5 - _MARGIN, 0.5 + _MARGIN], _ACCURACY)
+    # With few rows a rank is wider than the margin: take all of them.
+    few = F.count(v) <= 4 * _ACCURACY
+    return [F.count(v).alias("_n"), F.when(few, F.min(v)).otherwise(near[0]).alias("_lo"),
+            F.when(few, F.max(v)).otherwise(near[1]).alias("_hi")]
+
+
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median", bracket: DataFrame | None = None) -> DataFrame:
     """Median per group, the middle pair averaged.
 
     A bounded sketch brackets the middle ranks, rows below the bracket are only counted, and
     just the distinct values inside it are put in order. The bracket is wider than the error of
     the sketch, so the result is exact.
     """
-    bracket = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx(value, [max(0.5 - _MARGIN, 0.0), min(0.5 + _MARGIN, 1.0)], _ACCURACY).alias("_q"),
-        F.min(value).alias("_min"), F.max(value).alias("_max"),
-    )
-    # With few rows a rank is wider than the margin: take the neighbours by widening to all.
-    wide = F.col("_n") <= 4 * _ACCURACY
-    bracket = bracket.select(
-        *keys, "_n",
-        F.when(wide, F.col("_min")).otherwise(F.col("_q")[0]).alias("_lo"),
-        F.when(wide, F.col("_max")).otherwise(F.col("_q")[1]).alias("_hi"),
-    )
-    near = df.where(F.col(value).isNotNull()).join(bracket, list(keys))
-    slot = F.when(F.col(value) < F.col("_lo"), F.lit(None)).otherwise(F.col(value))
-    freq = (
-        near.where(F.col(value) <= F.col("_hi"))
-        .groupBy(*keys, "_n", slot.alias("_v")).agg(F.count(F.lit(1)).alias("_f"))
-    )
+    if bracket is None:
+        bracket = df.groupBy(*keys).agg(*median_bracket(value))
+    near = df.join(bracket.select(*keys, "_n", "_lo", "_hi"), list(keys)).where(F.col(value) <= F.col("_hi"))
+    slot = F.when(F.col(value) >= F.col("_lo"), F.col(value))
+    freq = near.groupBy(*keys, "_n", slot.alias("_v")).agg(F.count(F.lit(1)).alias("_f"))
     upto = F.sum("_f").over(W.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()))
     lower, upper = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
     placed = freq.withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("_f") + 1)

@@ -16,7 +16,7 @@ from scorelake.functions import text as tx
 from scorelake.functions.dates import event_end, week_key
 from scorelake.functions.dates import overlap_days as shared_days
 from scorelake.functions.numbers import settled
-from scorelake.operators.ranking import exact_median, ranked, top_k
+from scorelake.operators.ranking import exact_median, median_bracket, ranked, top_k
 
 # --- fixed values: indicator groups -----------------------------------------------------------
 INDICATOR_GROUPS = {
@@ -242,9 +242,11 @@ def window_stats(windows: DataFrame, readings: DataFrame, keys: Sequence[str] =
                  by: Sequence[str] | None = None, median: bool = True) -> DataFrame:
     """Every window with its statistics, rounded to four digits; `unanswerable` without readings."""
     by = list(by or [*keys, "start_date", "end_date"])
-    joined = window_join(windows, readings, keys)
+    # Queries often ask for the same range: every range is joined and aggregated once.
+    span = [*keys, "start_date", "end_date"]
+    joined = window_join(windows.select(*span).distinct(), readings, keys)
     v = F.col("value_num")
-    stats = joined.groupBy(*by).agg(
+    stats = joined.groupBy(*span).agg(
         F.count(v).alias("n_points"),
         F.avg(v).alias("raw_mean"),
         settled(F.avg(v)).alias("mean"),
@@ -253,11 +255,13 @@ def window_stats(windows: DataFrame, readings: DataFrame, keys: Sequence[str] =
         settled(F.coalesce(F.stddev_samp(v), F.lit(0.0))).alias("stddev"),
         settled(F.max(v) - F.min(v)).alias("range"),
         F.min_by("day", F.struct(-v, F.col("day"))).alias("argmax_date"),
+        *(median_bracket("value_num") if median else []),
     )
     if median:
-        mid = exact_median(joined.select(*by, "value_num"), by, "value_num").withColumn("median", settled(F.col("median")))
-        stats = stats.join(mid, by)
-    return windows.select(*by).join(stats, by, "left").withColumns({
+        mid = exact_median(joined, span, "value_num", bracket=stats)
+        stats = stats.join(mid, span).withColumn("median", settled(F.col("median"))).drop("_n", "_lo", "_hi")
+    asked = windows.select(*dict.fromkeys([*by, *span]))
+    return asked.join(stats, span, "left").withColumns({
         "n_points": F.coalesce("n_points", F.lit(0)), "unanswerable": F.col("mean").isNull()})
 
 
