@@ -196,7 +196,7 @@ def personalized_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame,
     seed = seeds.groupBy("query_id", "node").agg(F.sum("weight").alias("_weight"))
     linked = step.select(key, "node").distinct().withColumn("_linked", F.lit(True))
     state = total.join(nodes.join(sizes, key), key).join(seed, ["query_id", "node"], "left").join(linked, [key, "node"], "left").select(
-        "query_id", key, "node", "n", F.coalesce(F.col("_weight") / F.col("_total"), F.lit(0.0)).alias("seed"),
+        "query_id", key, "node", "n", F.coalesce(F.try_divide("_weight", "_total"), F.lit(0.0)).alias("seed"),
         F.col("_linked").isNull().alias("dangling"), (1.0 / F.col("n")).alias("score"), F.lit(float("inf")).alias("change"))
     state = checkpointed(state)
 

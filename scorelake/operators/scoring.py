@@ -102,7 +102,7 @@ def _list(df: DataFrame, response: str, items: Column, when: Column | None) -> D
         "_full": F.when(retry, tx.normalize_text(r)),
     })
     df = df.withColumns({
-        "_recall": F.when(retry, found(F.col("_full"))).otherwise(F.col("_found")) / n,
+        "_recall": F.try_divide(F.when(retry, found(F.col("_full"))).otherwise(F.col("_found")), n),
         "_items": _guard(when, tx.response_items(F.col("_eval"))),
     })
     df = df.withColumn("_items", tx.keep_first(F.col("_items")))
