@@ -235,11 +235,11 @@ def response_items(c: Column) -> Column:
 
 def keep_first(items: Column) -> Column:
     """Case-insensitive distinct, order kept, one-character items dropped. Sorts instead of comparing pairs."""
-    keyed = F.array_sort(F.transform(items, lambda x, i: F.struct(
+    keyed = F.sort_array(F.transform(items, lambda x, i: F.struct(
         F.lower(strip(x)).alias("key"), i.alias("pos"), x.alias("item"))))
     firsts = let(keyed, lambda s: F.filter(
         s, lambda x, i: (F.length(x["key"]) >= 2) & ((i == 0) | (F.get(s, i - 1)["key"] != x["key"]))))
-    in_order = F.array_sort(F.transform(firsts, lambda x: F.struct(x["pos"].alias("pos"), x["item"].alias("item"))))
+    in_order = F.sort_array(F.transform(firsts, lambda x: F.struct(x["pos"].alias("pos"), x["item"].alias("item"))))
     return F.transform(in_order, lambda x: x["item"])
 
 

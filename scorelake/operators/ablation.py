@@ -154,7 +154,7 @@ def _on_days(queries: DataFrame, readings: DataFrame, extra: Sequence[str]) -> D
     near = readings.join(wanted.select(*days).distinct(), days, "left_semi")
     per_name = near.groupBy(*days, "indicator").agg(
         F.max_by("value_num", "time").alias("_value"), F.count("value_num").alias("_n"))
-    per_day = per_name.groupBy(*days).agg(F.array_sort(F.collect_set(F.when(F.col("_n") > 0, F.col("indicator")))).alias("_names"))
+    per_day = per_name.groupBy(*days).agg(F.sort_array(F.collect_set(F.when(F.col("_n") > 0, F.col("indicator")))).alias("_names"))
     out = wanted.join(per_day, days, "left").join(per_name.select(*days, "indicator", "_value"), [*days, "indicator"], "left")
     groups = F.create_map(*[x for g, words in INDICATOR_GROUPS.items() for x in (
         F.lit(g), F.array(*[F.lit(w.lower()) for w in words]))])

@@ -320,7 +320,7 @@ def judge_batch(cases: DataFrame, template: str, limits: Mapping[str, int], pers
     if persona is None or criteria is None:
         return out.select("id", "prompt")
     extra = persona.join(criteria, ["dim", "level"]).groupBy("id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_set(F.struct("dim", "fragment"))), lambda s: F.concat(F.lit("- "), s["fragment"])), "\n").alias("_extra"))
+        F.sort_array(F.collect_set(F.struct("dim", "fragment"))), lambda s: F.concat(F.lit("- "), s["fragment"])), "\n").alias("_extra"))
     return out.join(extra, "id", "left").select(
         "id", F.concat("prompt", F.coalesce(F.concat(F.lit(heading), "_extra"), F.lit(""))).alias("prompt"))
 

@@ -39,7 +39,7 @@ def reading_line(columns: Sequence[str], prefix: str = "  ") -> Column:
 def joined_lines(df: DataFrame, keys: Sequence[str], order: Sequence[str], line: Column, separator: str = "\n") -> DataFrame:
     """Lines of a bounded group (one exam, one batch, one week) as one text."""
     return df.select(*keys, F.struct(*order, line.alias("_line")).alias("_s")).groupBy(*keys).agg(F.array_join(
-        F.transform(F.array_sort(F.collect_list("_s")), lambda s: s["_line"]), separator).alias("body"))
+        F.transform(F.sort_array(F.collect_list("_s")), lambda s: s["_line"]), separator).alias("body"))
 
 
 def windowed_text(lines: DataFrame, keys: Sequence[str], order: Sequence[str], header: Column, cell: Column,
@@ -76,7 +76,7 @@ def windowed_text(lines: DataFrame, keys: Sequence[str], order: Sequence[str], h
     parts = touched.select(*keys, "piece", F.struct(
         F.col("_off"), F.substring(F.col("_piece"), (cut_from + 1).cast("int"), (cut_to - cut_from).cast("int")).alias("t")).alias("_s"))
     return parts.groupBy(*keys, "piece").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list("_s")), lambda s: s["t"]), "").alias("text"))
+        F.sort_array(F.collect_list("_s")), lambda s: s["t"]), "").alias("text"))
 
 
 # --- chunk kinds ---------------------------------------------------------------------------------------
@@ -126,7 +126,7 @@ def weekly_chunks(readings: DataFrame) -> DataFrame:
     line = F.concat(F.lit("  "), "indicator", F.lit(": mean="), _fixed(F.col("mean"), 2), F.lit(", min="), _fixed(F.col("min"), 2),
                     F.lit(", max="), _fixed(F.col("max"), 2), F.lit(", trend="), "trend")
     peak = F.when(F.col("anomaly"), F.concat("indicator", F.lit(" peaked at "), _fixed(F.col("max"), 2), F.lit(" (mean "), _fixed(F.col("mean"), 2), F.lit(")")))
-    weeks = s.groupBy("user_id", "week").agg(F.array_sort(F.collect_list(F.struct("indicator", line.alias("l"), peak.alias("p")))).alias("r"))
+    weeks = s.groupBy("user_id", "week").agg(F.sort_array(F.collect_list(F.struct("indicator", line.alias("l"), peak.alias("p")))).alias("r"))
     peaks = F.array_compact(F.transform("r", lambda x: x["p"]))
     text = F.concat(F.lit("[DEVICE SUMMARY] Week: "), "week", F.lit("\n"), F.array_join(F.transform("r", lambda x: x["l"]), "\n"),
                     F.when(F.size(peaks) > 0, F.concat(F.lit("\n  Notable: "), F.array_join(peaks, "; "))).otherwise(F.lit("")))
@@ -186,7 +186,7 @@ def device_week_nodes(readings: DataFrame, order: Sequence[str] = ("time", "read
     line = F.concat("indicator", F.lit(": mean="), _fixed(F.col("m"), 1), F.lit(", min="), _fixed(F.col("mn"), 1), F.lit(", max="),
                     _fixed(F.col("mx"), 1), F.lit(" "), F.coalesce("unit", F.lit("")))
     weeks = per.groupBy("user_id", "week").agg(
-        F.array_sort(F.collect_list(F.struct("indicator", line.alias("l")))).alias("r"), F.min("first").alias("first"))
+        F.sort_array(F.collect_list(F.struct("indicator", line.alias("l")))).alias("r"), F.min("first").alias("first"))
     sentence = F.concat(F.lit("Device indicators for "), "week", F.lit(": "), F.array_join(F.transform("r", lambda x: x["l"]), "; "))
     nodes = weeks.select("user_id", "week", sentence.alias("sentence"), monday(F.col("first.day")).cast("string").alias("timestamp"),
                          F.transform("r", lambda x: x["indicator"]).alias("entities"))
@@ -290,7 +290,7 @@ def assemble_context(queries: DataFrame, hits: DataFrame, fields: Sequence[str]
     """Ranked hits joined by blank lines, then the question. A query has at most its top k hits."""
     text = F.coalesce(*[F.nullif(F.col(f), F.lit("")) for f in fields])
     gathered = hits.groupBy("query_id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("rank", text.alias("t")))), lambda s: s["t"]), "\n\n").alias("_context"))
+        F.sort_array(F.collect_list(F.struct("rank", text.alias("t")))), lambda s: s["t"]), "\n\n").alias("_context"))
     context = F.coalesce("_context", F.lit(NO_HITS))
     return queries.join(gathered, "query_id", "left").select(
         "query_id", F.concat(context, F.lit("\n\nQuestion: "), "question", F.lit("\nThought: ")).alias("prompt"))

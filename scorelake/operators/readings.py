@@ -170,7 +170,7 @@ def events_by_indicators(links: DataFrame, terms: Sequence[str], mode: str = "al
     At most one value per term survives in the aggregate, however many links an event has.
     """
     hits = links.withColumn("_term", F.explode(matched_terms(terms, *[F.col(n) for n in names]))).groupBy(key).agg(
-        F.array_sort(F.collect_set("_term")).alias("matched_terms"))
+        F.sort_array(F.collect_set("_term")).alias("matched_terms"))
     wanted = len(set(terms)) if mode == "all" else 1
     return hits.where(F.size("matched_terms") >= wanted)
 
@@ -211,7 +211,7 @@ def count_events_by_medication(events: DataFrame, medications: DataFrame, name:
 def count_event_indicators(events: DataFrame, links: DataFrame) -> DataFrame:
     """Distinct indicators of each given event, 0 for events without any."""
     names = links.where(F.coalesce("indicator_name", F.lit("")) != "").groupBy("event_id").agg(
-        F.array_sort(F.collect_set("indicator_name")).alias("indicator_names"))
+        F.sort_array(F.collect_set("indicator_name")).alias("indicator_names"))
     return events.join(names, "event_id", "left").withColumn(
         "indicator_count", F.coalesce(F.size("indicator_names"), F.lit(0)))
 
@@ -225,7 +225,7 @@ def names_on_date(readings: DataFrame, keys: Sequence[str] = ("user_id", "day"),
     keywords = INDICATOR_GROUPS.get(group or "", [])
     if keywords:
         rows = rows.where(tx.has_any(F.lower(name), [k.lower() for k in keywords]))
-    return rows.groupBy(*keys).agg(F.array_sort(F.collect_set(name)).alias("names")).withColumn("n_names", F.size("names"))
+    return rows.groupBy(*keys).agg(F.sort_array(F.collect_set(name)).alias("names")).withColumn("n_names", F.size("names"))
 
 
 # --- windows over readings --------------------------------------------------------------------------

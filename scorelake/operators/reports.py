@@ -97,7 +97,7 @@ def tag_categories(cases: DataFrame) -> DataFrame:
     pairs = cases.select(F.explode("tags").alias("tag")).where(F.locate(":", F.col("tag")) > 1).select(
         F.substring_index("tag", ":", 1).alias("category"),
         F.expr("substring(tag, locate(':', tag) + 1)").alias("value")).distinct()
-    return pairs.groupBy("category").agg(F.array_sort(F.collect_set("value")).alias("vals")).where(F.size("vals") > 1)
+    return pairs.groupBy("category").agg(F.sort_array(F.collect_set("value")).alias("vals")).where(F.size("vals") > 1)
 
 
 def filter_results(results: DataFrame, status: str | None = None, tags: Sequence[str] = ()) -> DataFrame:
@@ -195,7 +195,7 @@ def completeness(documents: DataFrame, required: Sequence[str], user: str = "use
     """Users with the required kinds they lack; one aggregate, no product of users and kinds."""
     have = documents.groupBy(user).agg(F.collect_set(F.when(F.col(kind).isin(list(required)), F.col(kind))).alias("_have"))
     wanted = F.array(*[F.lit(r) for r in required])
-    return have.select(user, F.array_sort(F.array_except(wanted, "_have")).alias("missing")).withColumn(
+    return have.select(user, F.sort_array(F.array_except(wanted, "_have")).alias("missing")).withColumn(
         "complete", F.size("missing") == 0)
 
 

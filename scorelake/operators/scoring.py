@@ -365,7 +365,7 @@ def flatten_dialogue(turns: DataFrame, style: str, key: str = "conv_id") -> Data
         line = F.concat(F.lit("[Turn "), number.cast("string"), F.lit("] "), line)
     lines = spoken.select(key, "turn", line.alias("_line"))
     return lines.groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "_line"))), lambda s: s["_line"]),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "_line"))), lambda s: s["_line"]),
                      separator).alias("dialogue"))
 
 

@@ -137,7 +137,7 @@ def _(t):
        SELECT concat('hb_', CAST(c.conv_id AS VARCHAR)) AS id, concat('Rubric — t', CAST(c.conv_id % 3 AS VARCHAR)) AS title, md5(max(CASE WHEN c.turn = u.last THEN c.text END)) AS input, count(*) FILTER (c.turn < u.last AND c.text <> '') AS n_history
        FROM conversations c JOIN u USING (conv_id) GROUP BY c.conv_id""")
 def _(t):
-    msgs = t.turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    msgs = t.turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
     entries = msgs.select(
         F.col("conv_id").cast("string").alias("prompt_id"), F.array(F.concat(F.lit("theme:t"), F.col("conv_id") % 3)).alias("example_tags"),
         F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("prompt"),
@@ -177,7 +177,7 @@ def _(t):
 
 @query("prj20_reply_text", """SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'assistant' AND text <> '') AS reply FROM conversations GROUP BY conv_id HAVING count(*) FILTER (role = 'assistant') > 0""")
 def _(t):
-    msgs = t.turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    msgs = t.turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
     reaction = msgs.where(F.exists("m", lambda x: x["role"] == "assistant")).select("conv_id", F.transform("m", lambda x: F.struct(
         F.when(x["role"] != "assistant", F.lit("annotation")).alias("type"), x["text"].alias("content"))).alias("messages"))
     return reaction.select("conv_id", cs.reply_text(F.lit("message"), F.col("messages")).alias("reply"))
@@ -208,7 +208,7 @@ def _(t):
 
 @query("prj25_normalize_legacy", """SELECT conv_id, string_agg(CASE WHEN turn = 6 THEN '?' ELSE role END, ',' ORDER BY turn) AS roles, CASE WHEN max(turn) >= 6 THEN 'unknown message role' END AS error FROM conversations GROUP BY conv_id""")
 def _(t):
-    msgs = t.turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    msgs = t.turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
     legacy = msgs.select("conv_id", F.transform("m", lambda x: F.struct(
         F.when(x["turn"] == 6, F.lit("robot")).when(x["turn"] < 3, x["role"]).alias("role"),
         F.when(x["role"] == "user", F.lit("human")).when(x["role"] == "assistant", F.lit("ai")).otherwise(x["role"]).alias("type"),

@@ -150,10 +150,10 @@ def _(t):
     return catalog.dataset_catalog(t.spark, f"{path}/*").groupBy("evaluator").agg(F.sum("case_count").alias("case_count"))
 
 
-@query("src12_user_files", "SELECT concat('user_id=', CAST(user_id AS VARCHAR)) AS user_folder FROM v_readings GROUP BY user_id")
+@query("src12_user_files", "SELECT DISTINCT concat('user_id=', CAST(c_nationkey AS VARCHAR)) AS user_folder FROM customer")
 def _(t):
     path = scratch_path(t.spark, "users")
-    t.readings.select("user_id", "indicator").write.partitionBy("user_id").json(path)
+    t.raw("customer").select(F.col("c_nationkey").alias("user_id"), "c_name").write.partitionBy("user_id").json(path)
     return catalog.user_files(t.spark, path).where(F.startswith("user_folder", F.lit("user_id="))).select("user_folder").distinct()
 
 

@@ -103,7 +103,7 @@ def _(t):
 def _(t):
     b = rd.event_batches(t.life_events)
     return b.groupBy("user_id", "batch").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("position", "event_id"))), lambda x: x["event_id"].cast("string")), ",").alias("ids"))
+        F.sort_array(F.collect_list(F.struct("position", "event_id"))), lambda x: x["event_id"].cast("string")), ",").alias("ids"))
 
 
 # --- events and indicators --------------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scorelake.functions.text import tag_value
+from scorelake.functions.numbers import settled
 from scorelake.operators import scoring as sc
 from scorelake.plans import sqltext as q
 from scorelake.plans.flagship import score_submission
@@ -209,10 +209,10 @@ def _(t):
 @query("sc11_score_rubric", f"""WITH {ITEMS}, g AS (SELECT case_id, sum(points) FILTER (points > 0) AS possible,
        sum(CASE WHEN met AND l_returnflag <> 'R' THEN points ELSE 0 END) AS achieved, count(*) FILTER (met AND l_returnflag <> 'R') AS met_count, count(*) AS n_items FROM items GROUP BY case_id)
        SELECT case_id, CASE WHEN possible IS NULL THEN 'fail' ELSE 'scored' END AS result,
-       CASE WHEN possible IS NULL THEN 0.0::DOUBLE ELSE round(least(greatest(achieved / possible::DOUBLE, 0.0), 1.0), 6) END AS score, met_count, n_items FROM g""")
+       CASE WHEN possible IS NULL THEN 0.0::DOUBLE ELSE {q.settled('least(greatest(achieved / possible::DOUBLE, 0.0), 1.0)', 6)} END AS score, met_count, n_items FROM g""")
 def _(t):
     items = rubric(t)
-    return sc.score_rubric(items.drop("met"), grades(items)).withColumn("score", F.round("score", 6))
+    return sc.score_rubric(items.drop("met"), grades(items)).withColumn("score", settled(F.col("score"), 6))
 
 
 CRITERIA = """crit AS (SELECT l_orderkey AS case_id, l_linenumber AS name, CAST(floor(sum(l_quantity)) AS BIGINT) AS weight, CAST(round(max(l_discount) * 1000) AS BIGINT) AS verdict
@@ -228,19 +228,19 @@ def criteria(t):
        w AS (SELECT case_id, CASE WHEN total = 100 THEN weight::DOUBLE ELSE round_even(weight * 100 / total::DOUBLE, 0) END AS w,
              CASE WHEN verdict > 60 THEN 50 ELSE verdict END::DOUBLE AS s FROM crit JOIN tot USING (case_id)),
        f AS (SELECT case_id, CASE WHEN sum(w) > 0 THEN sum(s * w) / sum(w) / 100 ELSE 0 END AS score FROM w GROUP BY case_id)
-       SELECT case_id, round(score, 6) AS score, CASE WHEN score >= 0.4 THEN 'pass' ELSE 'fail' END AS result FROM f""")
+       SELECT case_id, {q.settled('score', 6)} AS score, CASE WHEN score >= 0.4 THEN 'pass' ELSE 'fail' END AS result FROM f""")
 def _(t):
     c = criteria(t)
     v = c.where("verdict <= 60").select("case_id", "name", "verdict")
-    return sc.score_criteria(c.drop("verdict"), v, 0.4).withColumn("score", F.round("score", 6))
+    return sc.score_criteria(c.drop("verdict"), v, 0.4).withColumn("score", settled(F.col("score"), 6))
 
 
 @query("sc13_score_dimensions", f"""WITH {CRITERIA}, s AS (SELECT case_id, weight, CASE WHEN verdict // 15 BETWEEN 1 AND 5 THEN verdict // 15 ELSE 3 END::DOUBLE AS s FROM crit),
        f AS (SELECT case_id, (sum(s * weight) / sum(weight) - 1) / 4 AS score FROM s GROUP BY case_id)
-       SELECT case_id, round(score, 6) AS score, CASE WHEN score >= 0.6 THEN 'pass' ELSE 'fail' END AS result FROM f""")
+       SELECT case_id, {q.settled('score', 6)} AS score, CASE WHEN score >= 0.6 THEN 'pass' ELSE 'fail' END AS result FROM f""")
 def _(t):
     c = criteria(t).withColumn("verdict", F.expr("verdict DIV 15"))
-    return sc.score_dimensions(c.drop("verdict"), c.select("case_id", "name", "verdict")).withColumn("score", F.round("score", 6))
+    return sc.score_dimensions(c.drop("verdict"), c.select("case_id", "name", "verdict")).withColumn("score", settled(F.col("score"), 6))
 
 
 @query("sc15_score_label", """SELECT d.doc_id, CASE WHEN d.lang = 'de' THEN 0.0 WHEN l.doc_id IS NULL THEN 0.0 WHEN l.quality = 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS score,
