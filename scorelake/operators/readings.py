@@ -316,12 +316,8 @@ def value_at(lookups: DataFrame, readings: DataFrame, order: str = "time",
 
 # --- weekly summaries ----------------------------------------------------------------------------------
 
-def half_trend(readings: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "value_num",
-               cell: Column | None = None) -> DataFrame:
-    """rising / falling / stable: mean of the later half against the earlier half, from 4 values on.
-
-    Rows are ordered by `order`; `cell` splits long groups (default: the hour of the first order column).
-    """
+def _halves(readings: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, cell: Column | None, *aggregates: Column) -> DataFrame:
+    """Trend of each group, and further aggregates from the same pass."""
     cell = F.date_trunc("hour", F.col(order[0])) if cell is None else cell
     rows = ranked(readings.where(F.col(value).isNotNull()), keys, [F.col(c) for c in order], cell, "_rank", "_size")
     mid = F.floor(F.col("_size") / 2)
@@ -329,27 +325,30 @@ def half_trend(readings: DataFrame, keys: Sequence[str], order: Sequence[str], v
         F.max("_size").alias("n"),
         F.avg(F.when(F.col("_rank") <= mid, F.col(value))).alias("_first"),
         F.avg(F.when(F.col("_rank") > mid, F.col(value))).alias("_second"),
+        *aggregates,
     )
     ratio = (F.col("_second") - F.col("_first")) / (F.abs("_first") + 1e-9)
     trend = (
         F.when(F.col("n") < 4, F.lit("stable")).when(ratio > 0.1, F.lit("rising"))
         .when(ratio < -0.1, F.lit("falling")).otherwise(F.lit("stable")))
-    return halves.select(*keys, "n", trend.alias("trend"))
+    return halves.withColumn("trend", trend).drop("_first", "_second")
 
 
-def weekly_stats(readings: DataFrame) -> DataFrame:
-    """Mean, minimum, maximum per user, week and indicator."""
-    v = F.col("value_num")
-    return readings.where(v.isNotNull()).groupBy("user_id", week_key(F.col("day")).alias("week"), "indicator").agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"))
+def half_trend(readings: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "value_num",
+               cell: Column | None = None) -> DataFrame:
+    """rising / falling / stable: mean of the later half against the earlier half, from 4 values on.
+
+    Rows are ordered by `order`; `cell` splits long groups (default: the hour of the first order column).
+    """
+    return _halves(readings, keys, order, value, cell)
 
 
 def weekly_summary(readings: DataFrame, order: Sequence[str] = ("time", "value_num")) -> DataFrame:
-    """Weekly statistics with trend and the anomaly flag (peak over 1.5 times the mean, 3 values or more)."""
-    keys = ["user_id", "week", "indicator"]
-    trends = half_trend(readings.withColumn("week", week_key(F.col("day"))), keys, order).drop("n")
-    anomaly = (F.col("max") > F.col("mean") * 1.5) & (F.col("n") >= 3)
-    return weekly_stats(readings).join(trends, keys).withColumn("anomaly", anomaly)
+    """Mean, minimum, maximum, trend and anomaly flag (peak over 1.5 times the mean, 3 values or more) per week."""
+    v = F.col("value_num")
+    weeks = _halves(readings.withColumn("week", week_key(F.col("day"))), ["user_id", "week", "indicator"], order, "value_num", None,
+                    F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"))
+    return weeks.withColumn("anomaly", (F.col("max") > F.col("mean") * 1.5) & (F.col("n") >= 3))
 
 
 def event_batches(events: DataFrame, size: int = 10, key: str = "user_id") -> DataFrame:

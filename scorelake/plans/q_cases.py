@@ -68,8 +68,8 @@ def _(t):
 
 @query("prj10_resolve_refs", """SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN '["shared"]' WHEN o_orderstatus = 'O' THEN '{"$ref": "nobody"}' ELSE '{"own": 1}' END AS eval FROM orders""")
 def _(t):
-    cases = t.raw("orders").selectExpr("o_orderkey AS id", """CASE WHEN o_orderstatus = 'F' THEN '{"$ref": "common"}' WHEN o_orderstatus = 'O' THEN '{"$ref": "nobody"}' ELSE '{"own": 1}' END AS eval""")
-    params = t.raw("region").where("r_name = 'AFRICA'").selectExpr("'common' AS key", "'[\"shared\"]' AS value")
+    cases = t.raw("orders").selectExpr("o_orderkey AS id", """CASE WHEN o_orderstatus = 'F' THEN '{"$ref": "AFRICA"}' WHEN o_orderstatus = 'O' THEN '{"$ref": "nobody"}' ELSE '{"own": 1}' END AS eval""")
+    params = t.raw("region").selectExpr("r_name AS key", "'[\"shared\"]' AS value")
     return cs.resolve_refs(cases, params, "eval").select("id", "eval")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from scorelake.operators import reports as rp
 from scorelake.plans import sqltext as q
+from scorelake.plans.q_scoring import BY_TYPE
 from scorelake.plans.registry import query
 
 RATE = "CASE WHEN count(*) FILTER (result IN ('pass', 'fail')) > 0 THEN round(count(*) FILTER (result = 'pass') / (count(*) FILTER (result IN ('pass', 'fail')))::DOUBLE, 6) ELSE 0.0::DOUBLE END AS pass_rate"
@@ -192,8 +193,8 @@ def _(t):
     return pairs(t).select("id", "old_score", "new_score", "delta")
 
 
-def reeval_sql(counted: str) -> str:
-    return f"""WITH {PAIRS}, g AS (SELECT 'all' AS scope, 'all' AS bucket, * FROM pairs UNION ALL SELECT 'answer_type', answer_type, * FROM pairs UNION ALL SELECT 'difficulty', difficulty, * FROM pairs)
+def reeval_sql(counted: str, source: str = PAIRS) -> str:
+    return f"""WITH {source}, g AS (SELECT 'all' AS scope, 'all' AS bucket, * FROM pairs UNION ALL SELECT 'answer_type', answer_type, * FROM pairs UNION ALL SELECT 'difficulty', difficulty, * FROM pairs)
        SELECT scope, bucket, count(*) FILTER ({counted}) AS n, count(*) FILTER (abs(delta) > 0.001) AS n_changed, {q.settled(f'avg(old_score) FILTER ({counted})')} AS old_avg,
        {q.settled(f'avg(new_score) FILTER ({counted})')} AS new_avg, {q.settled(f'avg(delta) FILTER ({counted})')} AS avg_delta FROM g GROUP BY scope, bucket"""
 
@@ -321,7 +322,10 @@ def _(t):
     return rp.newest_first(index).limit(100)
 
 
-@query("sc17_rescore", None)
+RESCORED = f"{BY_TYPE}, pairs AS (SELECT t.id, c.answer_type, c.difficulty, 0.5::DOUBLE AS old_score, least(greatest(t.score, 0), 1) AS new_score, {q.settled('least(greatest(t.score, 0), 1) - 0.5')} AS delta FROM typed t JOIN v_cases c USING (id))"
+
+
+@query("sc17_rescore", reeval_sql("true", RESCORED))
 def _(t):
     from scorelake.operators.scoring import rescore
     stored = t.answers.join(t.cases.select("id", "answer_type", "difficulty", "expected_value"), "id").withColumn("score", F.lit(0.5))
