@@ -150,7 +150,10 @@ def _(t):
     return t.vectors.join(first, "label").select("vec_id", F.round(numbers.cosine(F.col("embedding"), F.col("ref")), 6).alias("cos"))
 
 
-@query("fn21_slug", rf"SELECT p_partkey, lower(regexp_replace({q.strip(chr(114) + 'egexp_replace(concat(p_brand, chr(32), p_name, chr(40), p_type, chr(41)), ' + q.lit(r'[^\p{L}\p{N}_\s]') + ', chr(32), ' + q.lit('g') + ')')}, '\s+', '_', 'g')) AS slug FROM part")
+SPACED_NAME = r"regexp_replace(concat(p_brand, ' ', p_name, '(', p_type, ')'), '[^\p{L}\p{N}_\s]', ' ', 'g')"
+
+
+@query("fn21_slug", rf"SELECT p_partkey, lower(regexp_replace({q.strip(SPACED_NAME)}, '\s+', '_', 'g')) AS slug FROM part")
 def _(t):
     name = F.concat("p_brand", F.lit(" "), "p_name", F.lit("("), "p_type", F.lit(")"))
     return t.raw("part").select("p_partkey", tx.slug(name).alias("slug"))

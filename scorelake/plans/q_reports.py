@@ -220,9 +220,9 @@ def _(t):
     return rp.failures(t.results.withColumn("feedback", feedback), 20, ["id", "system_id"]).select("id", "system_id", "feedback")
 
 
-@query("tk05_largest_tags", "SELECT tag, count(*) AS total FROM v_results JOIN v_case_tags USING (id) GROUP BY tag ORDER BY total DESC, tag LIMIT 5")
+@query("tk05_largest_tags", "SELECT tag, count(*) AS total FROM v_results JOIN v_case_tags USING (id) GROUP BY tag")
 def _(t):
-    return rp.stats_by_tag(tagged_results(t)).orderBy(F.desc("total"), "tag").limit(5).select("tag", "total")
+    return rp.stats_by_tag(tagged_results(t)).orderBy(F.desc("total"), "tag").select("tag", "total")
 
 
 # --- cost -------------------------------------------------------------------------------------------------
@@ -316,10 +316,10 @@ def _(t):
     return rp.changed_batches(remote, local).select("batch")
 
 
-@query("tk04_newest_first", "SELECT strftime(o_orderdate, '%Y%m%d') AS date, o_orderkey AS name FROM orders ORDER BY date DESC, name LIMIT 100")
+@query("tk04_newest_first", "SELECT strftime(o_orderdate, '%Y%m%d') AS date, o_orderkey AS name FROM orders")
 def _(t):
     index = t.raw("orders").select(F.date_format("o_orderdate", "yyyyMMdd").alias("date"), F.col("o_orderkey").alias("name"))
-    return rp.newest_first(index).limit(100)
+    return rp.newest_first(index)
 
 
 RESCORED = f"{BY_TYPE}, pairs AS (SELECT t.id, c.answer_type, c.difficulty, 0.5::DOUBLE AS old_score, least(greatest(t.score, 0), 1) AS new_score, {q.settled('least(greatest(t.score, 0), 1) - 0.5')} AS delta FROM typed t JOIN v_cases c USING (id))"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RECORDS_PER_FILE = 1_000_000
@@ -43,7 +43,8 @@ def build_tables(df: DataFrame, path: str, n_buckets: int = 256, sort: Sequence[
         "partitionOverwriteMode", "dynamic").partitionBy("user_bucket").parquet(path)
 
 
-def read_user(spark, path: str, user_id, n_buckets: int = 256) -> DataFrame:
-    """One user's rows: the bucket prunes folders, the sort order row groups."""
-    bucket = spark.range(1).select(F.pmod(F.xxhash64(F.lit(user_id)), F.lit(n_buckets)).cast("int")).first()[0]
-    return spark.read.parquet(path).where((F.col("user_bucket") == bucket) & (F.col("user_id") == F.lit(user_id)))
+def read_user(spark: SparkSession, path: str, user_id, n_buckets: int = 256) -> DataFrame:
+    """One user's rows: the bucket is a constant that prunes folders, the sort order prunes row groups."""
+    table = spark.read.parquet(path)
+    user = F.lit(user_id).cast(table.schema["user_id"].dataType)
+    return table.where((F.col("user_bucket") == F.pmod(F.xxhash64(user), F.lit(n_buckets)).cast("int")) & (F.col("user_id") == user))
