@@ -349,8 +349,9 @@ DIALOGUE_STYLES = {
 def flatten_dialogue(turns: DataFrame, style: str, key: str = "conv_id") -> DataFrame:
     """One text per conversation from (key, turn, role, text) rows, empty turns dropped.
 
-    A conversation is the unit that a judge reads, so its turns are gathered in one row.
-    The turn number advances after every assistant line.
+    A conversation is the unit that a judge reads, so its turns are gathered in one row. The turn
+    number advances after every assistant line. A boolean `ghost` column marks closing user turns that
+    were never sent; only the numbered style shows them.
     """
     user_label, ai_label, separator, numbered, limit = DIALOGUE_STYLES[style]
     body = F.col("text")
@@ -359,6 +360,8 @@ def flatten_dialogue(turns: DataFrame, style: str, key: str = "conv_id") -> Data
                       F.concat(F.substring("text", 1, limit), F.lit("...(truncated)"))).otherwise(body)
     line = F.concat(F.when(F.col("role") == "user", F.lit(user_label)).otherwise(F.lit(ai_label)), body)
     spoken = turns.where(F.col("role").isin("user", "assistant") & (F.coalesce("text", F.lit("")) != ""))
+    if "ghost" in turns.columns and not numbered:
+        spoken = spoken.where(~F.coalesce("ghost", F.lit(False)))
     if numbered:
         before = W.partitionBy(key).orderBy("turn").rowsBetween(W.unboundedPreceding, -1)
         number = 1 + F.coalesce(F.count_if(F.col("role") == "assistant").over(before), F.lit(0))

@@ -94,6 +94,18 @@ def test_flatten_dialogue(spark):
     assert one("numbered") == "[Turn 1] 用户: hi\n[Turn 1] AI: yo\n[Turn 2] 用户: bye"
 
 
+def test_ghost_turn_is_left_out(spark):
+    turns = spark.createDataFrame([(1, 1, "user", "hi", False), (1, 2, "assistant", "yo", False), (1, 3, "user", "gone", True)],
+                                  "conv_id int, turn int, role string, text string, ghost boolean")
+    assert sc.flatten_dialogue(turns, "semantic").first()["dialogue"] == "User: hi\n\nAI Assistant: yo"
+    assert sc.flatten_dialogue(turns, "numbered").first()["dialogue"].endswith("[Turn 2] 用户: gone")
+
+
+def test_semantic_style_clips_long_replies(spark):
+    turns = spark.createDataFrame([(1, 1, "assistant", "x" * 2001)], "conv_id int, turn int, role string, text string")
+    assert sc.flatten_dialogue(turns, "semantic").first()["dialogue"] == "AI Assistant: " + "x" * 2000 + "...(truncated)"
+
+
 def test_score_all_reports_unknown(spark):
     df = spark.createDataFrame([("1", "nobody")], "id string, evaluator string").withColumns({
         c: F.lit(None).cast("string") for c in ("answer", "expected_value", "answer_type", "extracted", "ground_truth", "output_type", "lower_limit", "upper_limit")})
