@@ -85,7 +85,7 @@ def _(t):
 
 @query("fn12_response_items", f"""WITH i AS (SELECT doc_id, {q.response_items('text')} AS items FROM documents),
        k AS (SELECT doc_id, {q.keep_first('items')} AS items FROM i)
-       SELECT doc_id, len(items) AS n_items, md5(array_to_string(items, '|')) AS h FROM k""")
+       SELECT doc_id, len(items) AS n_items, md5(array_to_string(items, '|')) AS h FROM k""", longs=("n_items",))
 def _(t):
     items = t.raw("documents").select("doc_id", tx.response_items(F.col("text")).alias("items"))
     kept = items.select("doc_id", tx.keep_first(F.col("items")).alias("items"))
@@ -136,7 +136,7 @@ def _(t):
 
 @query("fn19_char_windows", """WITH w AS (SELECT doc_id, CASE WHEN length(text) <= 1000 THEN [text] ELSE
        list_transform(range(0, length(text), 800), lambda s: substring(text, s + 1, 1000)) END AS pieces FROM documents)
-       SELECT doc_id, i - 1 AS piece, md5(pieces[i]) AS h FROM (SELECT doc_id, pieces, unnest(range(1, len(pieces) + 1)) AS i FROM w) x""")
+       SELECT doc_id, i - 1 AS piece, md5(pieces[i]) AS h FROM (SELECT doc_id, pieces, unnest(range(1, len(pieces) + 1)) AS i FROM w) x""", longs=("piece",))
 def _(t):
     return t.raw("documents").select("doc_id", F.posexplode(tx.char_windows(F.col("text"), 1000, 200)).alias("piece", "part")).select(
         "doc_id", "piece", F.md5("part").alias("h"))

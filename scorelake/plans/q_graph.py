@@ -28,12 +28,12 @@ def as_entities(t):
 
 
 @query("rg06_dense_top_k", f"""SELECT query_id, chunk_id, round(score, 6) AS score, rn AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, {cos('a.embedding', 'b.embedding')} AS score,
-       row_number() OVER (PARTITION BY a.vec_id ORDER BY {cos('a.embedding', 'b.embedding')} DESC, b.vec_id DESC) AS rn FROM embeddings a JOIN embeddings b USING (label)) x WHERE rn <= 5""")
+       row_number() OVER (PARTITION BY a.vec_id ORDER BY {cos('a.embedding', 'b.embedding')} DESC, b.vec_id DESC) AS rn FROM embeddings a JOIN embeddings b USING (label)) x WHERE rn <= 5""", longs=("rank",))
 def _(t):
     return gr.dense_top_k(as_queries(t), as_chunks(t), 5).withColumn("score", F.round("score", 6))
 
 
-@query("tk03_top_k_per_query", """SELECT o_custkey AS query_id, o_orderkey AS chunk_id, rn AS rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority DESC, o_orderkey DESC) AS rn FROM orders) x WHERE rn <= 3""")
+@query("tk03_top_k_per_query", """SELECT o_custkey AS query_id, o_orderkey AS chunk_id, rn AS rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority DESC, o_orderkey DESC) AS rn FROM orders) x WHERE rn <= 3""", longs=("rank",))
 def _(t):
     scores = t.raw("orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("chunk_id"), F.col("o_orderpriority").alias("score"))
     return top_k(scores, ["query_id"], [F.desc("score"), F.desc("chunk_id")], 3).drop("score")
@@ -153,7 +153,7 @@ def _(t):
 @query("set03_top_up", """WITH a AS (SELECT o_custkey AS query_id, o_orderkey AS chunk_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders WHERE o_orderstatus = 'F'),
        b AS (SELECT o_custkey AS query_id, o_orderkey AS chunk_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders),
        u AS (SELECT query_id, chunk_id, 0 AS src, rn FROM a UNION ALL SELECT query_id, chunk_id, 1, rn FROM b WHERE (query_id, chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM a))
-       SELECT query_id, chunk_id, rk AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY src, rn) AS rk FROM u) z WHERE rk <= 6""")
+       SELECT query_id, chunk_id, rk AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY src, rn) AS rk FROM u) z WHERE rk <= 6""", longs=("rank",))
 def _(t):
     o = t.raw("orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("chunk_id"), "o_totalprice", "o_orderstatus")
     first = top_k(o.where("o_orderstatus = 'F'"), ["query_id"], [F.col("chunk_id")], 6)

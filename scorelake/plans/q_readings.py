@@ -53,7 +53,7 @@ def _(t):
     return rd.lookup_events(e, "Drug 7").select("event_id")
 
 
-@query("prj12_page", """SELECT event_id, (SELECT count(*) FROM v_life_events) AS total, true AS has_more, 70 AS next_offset, CAST(ceil((SELECT count(*) FROM v_life_events) / 20.0) AS BIGINT) AS total_pages
+@query("prj12_page", """SELECT event_id, (SELECT count(*) FROM v_life_events) AS total, true AS has_more, CAST(70 AS BIGINT) AS next_offset, CAST(ceil((SELECT count(*) FROM v_life_events) / 20.0) AS BIGINT) AS total_pages
        FROM v_life_events ORDER BY start_date, event_id LIMIT 20 OFFSET 50""")
 def _(t):
     return rd.page(t.life_events, [F.col("start_date"), F.col("event_id")], 50, 20).select(
@@ -61,7 +61,7 @@ def _(t):
 
 
 @query("prj12_page_per_user", """WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY start_date, event_id) AS rn, count(*) OVER (PARTITION BY user_id) AS total FROM v_life_events)
-       SELECT user_id, event_id, total, total > 8 AS has_more, CASE WHEN total > 8 THEN 8 END AS next_offset, CAST(ceil(total / 4.0) AS BIGINT) AS total_pages FROM r WHERE rn > 4 AND rn <= 8""")
+       SELECT user_id, event_id, total, total > 8 AS has_more, CASE WHEN total > 8 THEN CAST(8 AS BIGINT) END AS next_offset, CAST(ceil(total / 4.0) AS BIGINT) AS total_pages FROM r WHERE rn > 4 AND rn <= 8""")
 def _(t):
     return rd.page_per_key(t.life_events, ["user_id"], [F.col("start_date"), F.col("event_id")], 4, 4).select(
         "user_id", "event_id", "total", "has_more", "next_offset", "total_pages")
@@ -92,7 +92,7 @@ def _(t):
 
 @query("j08_overlap_days", f"""WITH {LATEST}, b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY start_date DESC, event_id DESC) AS rn FROM v_intervals WHERE event_type = 'F')
        SELECT a.user_id, a.event_id AS id_a, b.event_id AS id_b, greatest(date_diff('day', greatest(a.start_date, b.start_date), least(a.end_date, b.end_date)) + 1, 0) AS overlap_days
-       FROM latest a JOIN b ON a.user_id = b.user_id WHERE a.rn = 1 AND b.rn = 1""")
+       FROM latest a JOIN b ON a.user_id = b.user_id WHERE a.rn = 1 AND b.rn = 1""", longs=("overlap_days",))
 def _(t):
     finished = rd.latest_events(t.life_events.where("event_type = 'F'"), ["user_id"])
     return rd.overlap_days(latest_urgent(t), finished)
@@ -129,7 +129,7 @@ def _(t):
 
 
 @query("agg14_preview_events_by_indicator", """SELECT user_id, event_id, rn AS rank FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY start_date, event_name, event_id) AS rn FROM v_life_events WHERE event_id IN
-       (SELECT event_id FROM v_event_indicators WHERE contains(indicator_name, 'ind-4'))) x WHERE rn <= 12""")
+       (SELECT event_id FROM v_event_indicators WHERE contains(indicator_name, 'ind-4'))) x WHERE rn <= 12""", longs=("rank",))
 def _(t):
     return rd.preview_events_by_indicator(t.life_events, t.event_indicators, "ind-4", ["user_id"]).select("user_id", "event_id", "rank")
 
@@ -147,19 +147,19 @@ def _(t):
 
 
 @query("agg16_count_event_indicators", f"""WITH {LATEST} SELECT l.user_id, l.event_id, count(DISTINCT i.indicator_name) AS indicator_count,
-       string_agg(DISTINCT i.indicator_name, '|' ORDER BY i.indicator_name) AS names FROM latest l LEFT JOIN v_event_indicators i USING (event_id) WHERE rn = 1 GROUP BY ALL""")
+       string_agg(DISTINCT i.indicator_name, '|' ORDER BY i.indicator_name) AS names FROM latest l LEFT JOIN v_event_indicators i USING (event_id) WHERE rn = 1 GROUP BY ALL""", longs=("indicator_count",))
 def _(t):
     return rd.count_event_indicators(latest_urgent(t), t.event_indicators).select(
         "user_id", "event_id", "indicator_count", F.array_join("indicator_names", "|").alias("names"))
 
 
-@query("agg13_names_on_date", "SELECT user_id, CAST(day AS VARCHAR) AS day, string_agg(DISTINCT indicator, '|' ORDER BY indicator) AS names, count(DISTINCT indicator) AS n_names FROM v_readings GROUP BY user_id, day")
+@query("agg13_names_on_date", "SELECT user_id, CAST(day AS VARCHAR) AS day, string_agg(DISTINCT indicator, '|' ORDER BY indicator) AS names, count(DISTINCT indicator) AS n_names FROM v_readings GROUP BY user_id, day", longs=("n_names",))
 def _(t):
     return rd.names_on_date(t.readings).select("user_id", F.col("day").cast("string").alias("day"), F.array_join("names", "|").alias("names"), "n_names")
 
 
 @query("agg13_group_names", """WITH named AS (SELECT user_id, day, CASE indicator WHEN 'click' THEN 'HeartRate-HR' WHEN 'view' THEN 'DeepSleep' ELSE indicator END AS indicator FROM v_readings)
-       SELECT user_id, CAST(day AS VARCHAR) AS day, count(DISTINCT indicator) AS n_names FROM named WHERE contains(lower(indicator), 'heartrate') GROUP BY user_id, day""")
+       SELECT user_id, CAST(day AS VARCHAR) AS day, count(DISTINCT indicator) AS n_names FROM named WHERE contains(lower(indicator), 'heartrate') GROUP BY user_id, day""", longs=("n_names",))
 def _(t):
     named = t.readings.withColumn("indicator", F.expr(
         "CASE indicator WHEN 'click' THEN 'HeartRate-HR' WHEN 'view' THEN 'DeepSleep' ELSE indicator END"))

@@ -126,13 +126,13 @@ def _(t):
 BOARD = "b AS (SELECT system_id, count(*) AS n_cases, " + q.settled("avg(score)", 6) + " AS avg_score, CAST(sum(date_diff('second', start_ts, end_ts)) AS BIGINT) AS total_seconds FROM v_results GROUP BY system_id)"
 
 
-@query("agg07_leaderboard", f"WITH {BOARD} SELECT *, rank() OVER (ORDER BY avg_score DESC) AS rank, dense_rank() OVER (ORDER BY avg_score DESC) AS dense_rank FROM b")
+@query("agg07_leaderboard", f"WITH {BOARD} SELECT *, rank() OVER (ORDER BY avg_score DESC) AS rank, dense_rank() OVER (ORDER BY avg_score DESC) AS dense_rank FROM b", longs=("rank", "dense_rank",))
 def _(t):
     return rp.leaderboard(t.results)
 
 
 @query("w07_rank_systems", """WITH b AS (SELECT role, model, CAST(sum(output_tokens) AS BIGINT) AS used FROM v_usage GROUP BY role, model), m AS (SELECT model, max(used) // 1000000 AS avg_score FROM b GROUP BY model)
-       SELECT model, avg_score, rank() OVER (ORDER BY avg_score DESC) AS rank, dense_rank() OVER (ORDER BY avg_score DESC) AS dense_rank FROM m""")
+       SELECT model, avg_score, rank() OVER (ORDER BY avg_score DESC) AS rank, dense_rank() OVER (ORDER BY avg_score DESC) AS dense_rank FROM m""", longs=("rank", "dense_rank",))
 def _(t):
     used = t.usage.groupBy("role", "model").agg(F.sum("output_tokens").alias("used")).groupBy("model").agg(
         F.max("used").alias("used")).selectExpr("model", "used DIV 1000000 AS avg_score")

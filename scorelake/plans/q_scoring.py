@@ -198,7 +198,7 @@ def grades(items):
     return items.where(F.col("l_returnflag") != "R").select("case_id", "item_idx", "met")
 
 
-@query("j16_attach_verdicts", f"WITH {ITEMS} SELECT case_id, item_idx, points, CASE WHEN l_returnflag <> 'R' THEN met ELSE false END AS met FROM items")
+@query("j16_attach_verdicts", f"WITH {ITEMS} SELECT case_id, item_idx, points, CASE WHEN l_returnflag <> 'R' THEN met ELSE false END AS met FROM items", longs=("item_idx",))
 def _(t):
     items = rubric(t)
     return sc.attach_verdicts(items.select("case_id", "item_idx", "points"), grades(items))

@@ -6,6 +6,7 @@ import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scorelake.plans.fixtures import Tables, with_views
 
@@ -14,12 +15,15 @@ _ORACLES: dict[str, str] = {}
 _FAMILIES = ("functions", "readings", "scoring", "reports", "cases", "corpus", "graph", "io", "live")
 
 
-def query(name: str, sql: str | None = None):
-    """Register `fn(tables) -> DataFrame`; `sql` is omitted where no SQL can express it."""
+def query(name: str, sql: str | None = None, longs: tuple[str, ...] = ()):
+    """Register `fn(tables) -> DataFrame`; `sql` is omitted where no SQL can express it.
+
+    `longs` names integer columns that the oracle returns as BIGINT.
+    """
     def register(fn: Callable[[Tables], DataFrame]):
         if name in _QUERIES:
             raise ValueError(f"duplicate query {name}")
-        _QUERIES[name] = fn
+        _QUERIES[name] = lambda t: fn(t).withColumns({c: F.col(c).cast("bigint") for c in longs}) if longs else fn(t)
         if sql is not None:
             _ORACLES[name] = with_views(sql)
         return fn
