@@ -25,9 +25,6 @@ class Tables:
         table = self.spark.read.parquet(f"{self.root}/{name}.parquet")
         return spread(table) if name in TEXT_TABLES else table
 
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}.parquet"
-
     @cached_property
     def readings(self) -> DataFrame:
         return self.raw("events").selectExpr(
