@@ -23,10 +23,13 @@ PASSAGE_WEIGHT = 0.05
 SYNONYM_THRESHOLD = 0.85
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    m = np.stack([np.asarray(v, dtype=np.float64) for v in column])
-    norms = np.linalg.norm(m, axis=1, keepdims=True)
-    return m / np.where(norms == 0, 1.0, norms)
+def _unit_rows():
+    """Vectors to a matrix of unit rows, as a closure: it travels to the workers by value."""
+    def unit(column: pd.Series) -> np.ndarray:
+        m = np.stack([np.asarray(v, dtype=np.float64) for v in column])
+        norms = np.linalg.norm(m, axis=1, keepdims=True)
+        return m / np.where(norms == 0, 1.0, norms)
+    return unit
 
 
 def _fresh(df: DataFrame) -> DataFrame:
@@ -56,10 +59,12 @@ def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, key: str = "user_
     id_type = dict(chunks.dtypes)[chunk_id]
     query_type = dict(queries.dtypes)["query_id"]
 
+    unit = _unit_rows()
+
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], chunk_id: [], "score": []})
-        scores = _matrix(right["embedding"]) @ _matrix(left["embedding"]).T
+        scores = unit(right["embedding"]) @ unit(left["embedding"]).T
         keep = min(k, scores.shape[1])
         floor = np.partition(scores, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep]
         wanted = scores >= floor[:, None]
@@ -97,8 +102,10 @@ def similar_pairs(vectors: DataFrame, threshold: float = SYNONYM_THRESHOLD, key:
     right = pairs.join(rows.withColumnsRenamed({"band": "band_b", "blk": "blk_b"}), [key, "band_b", "blk_b"])
     types = dict(vectors.dtypes)
 
+    unit = _unit_rows()
+
     def close(keys, lhs: pd.DataFrame, rhs: pd.DataFrame) -> pd.DataFrame:
-        scores = _matrix(lhs["embedding"]) @ _matrix(rhs["embedding"]).T
+        scores = unit(lhs["embedding"]) @ unit(rhs["embedding"]).T
         i, j = np.nonzero(scores >= threshold)
         ids_l, ids_r = lhs[row_id].to_numpy()[i], rhs[row_id].to_numpy()[j]
         same_block = keys[1] == keys[3] and keys[2] == keys[4]

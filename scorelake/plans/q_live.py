@@ -76,13 +76,16 @@ def _(t):
     return sc.latency_by_turn(turns).select("event_id", F.round("latency_s", 4).alias("latency_s"))
 
 
-def _length_judge(batches):
-    for pdf in batches:
-        yield pd.DataFrame({"id": pdf["id"], "verdict": (pdf["prompt"].str.len() % 5 + 1).astype("int64")})
+def _length_judge():
+    """A stand-in for a model: the verdict is the prompt length. A closure travels to the workers by value."""
+    def judge(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "verdict": (pdf["prompt"].str.len() % 5 + 1).astype("int64")})
+    return judge
 
 
 @query("udf03_apply_judge", "SELECT id, length(concat('Rate: ', answer)) % 5 + 1 AS verdict FROM v_answers")
 def _(t):
     from scorelake.operators.cases import judge_batch
     prompts = judge_batch(t.answers, "Rate: {answer}", {"answer": 3000})
-    return sc.apply_judge(prompts, _length_judge, "id bigint, verdict bigint")
+    return sc.apply_judge(prompts, _length_judge(), "id bigint, verdict bigint")
