@@ -12,7 +12,7 @@ from scorelake.session import tune
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.cut_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return repeats.measure_repeats(table(spark, sf_dir, "documents"))
 
 
 _QUERIES = [op7_suffix_array_dedup]

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.llm.common import MASK, given_id, mixed, solid_id, splitmix, stored
@@ -46,27 +46,30 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     return mixed(h)
 
 
-def sliding(op: np.ufunc, h: np.ndarray, w: int, fill: int) -> np.ndarray:
-    """Least (or greatest) of each run of w values."""
-    padded = np.full(-(-len(h) // w) * w, fill, dtype=np.uint64)
-    padded[: len(h)] = h
+def sliding_least(v: np.ndarray, w: int) -> np.ndarray:
+    """Least of each run of w values."""
+    padded = np.full(-(-len(v) // w) * w, MASK, dtype=np.uint64)
+    padded[: len(v)] = v
     blocks = padded.reshape(-1, w)
-    ahead = op.accumulate(blocks, axis=1).ravel()
-    back = op.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return op(back[: len(h) - w + 1], ahead[w - 1: len(h)])
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(back[: len(v) - w + 1], ahead[w - 1: len(v)])
 
 
-def anchors(text: bytes, min_bytes: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions that are least in some window of the text, and their hashes."""
+def anchors(text: bytes, min_bytes: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(position, key, first, last): anchors, and the first and last window each is the least of.
+
+    Of equal hashes the first is taken, so each window has one anchor, which its bytes decide.
+    """
     if len(text) < min_bytes:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return (np.empty(0, np.int64),) * 4
     h = gram_hashes(np.frombuffer(text, np.uint8), gram)
-    w = min_bytes - gram + 1
-    least = sliding(np.minimum, h, w, MASK)
-    # A position is least in some window if the greatest least of its windows is its own value.
-    wide = np.concatenate([np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)])
-    at = np.flatnonzero(sliding(np.maximum, wide, w, 0) == h)
-    return at, h[at].view(np.int64)
+    low = np.uint64(len(h).bit_length())
+    ranked = ((h >> low) << low) | np.arange(len(h), dtype=np.uint64)
+    at = (sliding_least(ranked, min_bytes - gram + 1) & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    last = np.append(first[1:], len(at)) - 1
+    return at[first], h[at[first]].view(np.int64), first, last
 
 
 # --- groups of occurrences -------------------------------------------------------------------------
@@ -132,7 +135,7 @@ def scan_group(lefts: list[bytes], rights: list[bytes], min_bytes: int, groups:
     return reach_l, reach_r
 
 
-def _contexts(min_bytes: int, gram: int, group_rows: int):
+def _contexts(min_bytes: int, group_rows: int):
     """Rows (document, its repeated anchors) to one row per anchor key and distinct context."""
     def run(batches):
         for pdf in batches:
@@ -140,9 +143,8 @@ def _contexts(min_bytes: int, gram: int, group_rows: int):
             for id_, dg, text, found in zip(pdf["_id"], pdf["_dg"], pdf["data"], pdf["found"], strict=True):
                 own: dict[tuple, list[int]] = {}
                 for a in found:
-                    at = a["pos"]
-                    lo = max(0, at - (min_bytes - gram))
-                    own.setdefault((a["key"], a["n"], at - lo, text[lo: at + min_bytes]), []).append(at)
+                    at, lo = a["pos"], a["first"]
+                    own.setdefault((a["key"], a["n"], at - lo, text[lo: a["last"] + min_bytes]), []).append(at)
                 for (key, n, left, ctx), at in own.items():
                     chunks = -(-n // group_rows)
                     chunk = int(dg[:8], 16) % chunks
@@ -210,45 +212,49 @@ def _find_anchors(min_bytes: int, gram: int):
     def run(batches):
         for pdf in batches:
             found = [anchors(t, min_bytes, gram) for t in pdf["data"]]
-            each = [len(p) for p, _ in found]
-            yield pd.DataFrame({
-                "_id": np.repeat(pdf["_id"].to_numpy(), each), "_dg": np.repeat(pdf["_dg"].to_numpy(), each),
-                "key": np.concatenate([k for _, k in found]) if found else [], "pos": np.concatenate([p for p, _ in found]) if found else []})
+            each = [len(f[0]) for f in found]
+            columns = {c: np.concatenate([f[i] for f in found]) if found else [] for i, c in enumerate(("pos", "key", "first", "last"))}
+            yield pd.DataFrame({"_id": np.repeat(pdf["_id"].to_numpy(), each), "_dg": np.repeat(pdf["_dg"].to_numpy(), each)} | columns)
     return run
 
 
-def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(_id, _dg, data) of all texts as bytes, and (_id, _dg, spans) where something repeats.
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """(_id, _dg, data): the texts as bytes under their id and digest."""
+    data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return docs.select(solid_id("doc_id").alias("_id"), data.alias("data")).withColumn("_dg", F.sha2("data", 256))
+
 
-    Spans may overlap. One copy of a text stands for all copies in the search; a text with copies
-    repeats from end to end.
+class Repeats:
+    """What repeats in `docs`.
+
+    `ids` has a row (_id, _dg, n_bytes, copies) for each document, `candidates` the distinct texts
+    that share an anchor with another place, and `spans` the stretches of those that repeat; they
+    may overlap. One copy of a text stands for all copies in the search.
     """
-    data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    keyed = docs.select(solid_id("doc_id").alias("_id"), data.alias("data")).withColumn("_dg", F.sha2("data", 256))
-    long = keyed.where(F.octet_length("data") >= min_bytes)
-    found = stored(long.mapInPandas(_find_anchors(min_bytes, gram), "_id long, _dg string, key long, pos int"), "anchors")
-    kinds = keyed.groupBy("_dg").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("copies"))
-    single = found.join(kinds.select("_dg", F.col("_rep").alias("_id")), ["_id", "_dg"], "left_semi")
-    often = single.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    per_doc = single.join(often, "key").groupBy("_id", "_dg").agg(F.collect_list(F.struct("key", "pos", "n")).alias("found"))
-    contexts = keyed.join(per_doc, ["_id", "_dg"]).select("_id", "_dg", "data", "found").mapInPandas(
-        _contexts(min_bytes, gram, group_rows), _CTX)
-    scanned = contexts.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInPandas(_scan(min_bytes), _FOUND)
-    settled = scanned.where(F.col("digest").isNull()).select("_id", "_dg", "start", "stop")
-    windows = scanned.where(F.col("digest").isNotNull())
-    again = windows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    across = windows.where(F.col("start").isNotNull()).join(again, "digest").select("_id", "_dg", "start", "stop")
-    spans = settled.unionByName(across).groupBy("_id", "_dg").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return keyed, _with_copies(keyed, kinds, spans, min_bytes)
-
-
-def _with_copies(keyed: DataFrame, kinds: DataFrame, spans: DataFrame, min_bytes: int) -> DataFrame:
-    """Spans of all rows: copies repeat from end to end, single texts as found."""
-    ids = keyed.select("_id", "_dg", F.octet_length("data").alias("_n"))
-    copied = ids.join(kinds.where("copies > 1").select("_dg"), "_dg", "left_semi").where(F.col("_n") >= min_bytes).select(
-        "_id", "_dg", F.array(F.struct(F.lit(0).alias("start"), F.col("_n").alias("stop"))).alias("spans"))
-    single = spans.join(kinds.where("copies = 1").select("_dg"), "_dg", "left_semi")
-    return single.unionByName(copied.distinct())
+
+    def __init__(self, docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM, group_rows: int = GROUP_ROWS):
+        self.min_bytes = min_bytes
+        texts = keyed_texts(docs)
+        rows = texts.select("_id", "_dg", F.octet_length("data").cast("bigint").alias("n_bytes"))
+        kinds = rows.groupBy("_dg").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("copies"))
+        self.ids = stored(rows.join(kinds, "_dg"), "texts")
+        found = stored(texts.where(F.octet_length("data") >= min_bytes).mapInPandas(
+            _find_anchors(min_bytes, gram), "_id long, _dg string, pos int, key long, first int, last int"), "anchors")
+        single = found.join(self.ids.where("_id = _rep").select("_id", "_dg").distinct(), ["_id", "_dg"], "left_semi")
+        often = single.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        per_doc = single.join(often, "key").groupBy("_id", "_dg").agg(F.collect_list(F.struct("key", "n", "pos", "first", "last")).alias("found"))
+        self.candidates = stored(texts.join(per_doc, ["_id", "_dg"]), "candidates")
+        contexts = self.candidates.select("_id", "_dg", "data", "found").mapInPandas(_contexts(min_bytes, group_rows), _CTX)
+        scanned = stored(contexts.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInPandas(_scan(min_bytes), _FOUND), "spans")
+        windows = scanned.where(F.col("digest").isNotNull())
+        again = windows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
+        across = windows.where(F.col("start").isNotNull()).join(again, "digest").select("_id", "_dg", "start", "stop")
+        settled = scanned.where(F.col("digest").isNull()).select("_id", "_dg", "start", "stop")
+        self.spans = settled.unionByName(across).groupBy("_id", "_dg").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+
+    def whole(self) -> Column:
+        """Whether a text repeats from end to end because it has a copy."""
+        return (F.col("copies") > 1) & (F.col("n_bytes") >= self.min_bytes)
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -262,26 +268,57 @@ def merged(spans) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _cut(batches):
+def cut(text: bytes, spans) -> tuple[bytes, int]:
+    """The bytes outside the stretches, and how many separate stretches went."""
+    runs, kept, last = merged(spans), [], 0
+    for start, stop in runs:
+        kept.append(text[last:start])
+        last = stop
+    return b"".join(kept) + text[last:], len(runs)
+
+
+def _measure(batches):
     for pdf in batches:
         out = []
-        for id_, text, spans in zip(pdf["_id"], pdf["data"], pdf["spans"], strict=True):
-            runs = merged(spans) if spans is not None else []
-            kept, last = [], 0
-            for a, b in runs:
-                kept.append(text[last:a])
-                last = b
-            left = b"".join(kept) + text[last:]
-            out.append((id_, len(text), len(text) - len(left), len(runs), hashlib.sha256(left).hexdigest(), left))
-        yield pd.DataFrame(out, columns=["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        for id_, dg, text, spans in zip(pdf["_id"], pdf["_dg"], pdf["data"], pdf["spans"], strict=True):
+            left, runs = cut(text, spans)
+            out.append((id_, dg, len(text) - len(left), runs, hashlib.sha256(left).hexdigest()))
+        yield pd.DataFrame(out, columns=["_id", "_dg", "gone", "runs", "left_sha256"])
+
+
+def measure_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """One row (doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of `docs`."""
+    found = Repeats(docs, min_bytes, gram, group_rows)
+    part = found.candidates.select("_id", "_dg", "data").join(found.spans, ["_id", "_dg"]).mapInPandas(
+        _measure, "_id long, _dg string, gone long, runs long, left_sha256 string")
+    whole, none = found.whole(), F.sha2(F.lit(b""), 256)
+    return found.ids.join(part, ["_id", "_dg"], "left").select(
+        given_id("_id").alias("doc_id"), "n_bytes",
+        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("gone", F.lit(0))).alias("n_removed"),
+        F.when(whole, F.lit(1)).otherwise(F.coalesce("runs", F.lit(0))).cast("bigint").alias("n_spans"),
+        F.when(whole, none).otherwise(F.coalesce("left_sha256", "_dg")).alias("kept_sha256"))
+
+
+def _cut_text(text: pd.Series, spans: pd.Series) -> pd.Series:
+    return pd.Series([cut(t, s)[0].decode("utf-8", "ignore") for t, s in zip(text, spans, strict=True)], dtype=object)
 
 
-def cut_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """One row (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row of `docs`.
+def without_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """`docs` (doc_id, text, lang, source, n_chars) with all repeats cut out of the texts.
 
-    `kept` holds the bytes outside all repeats.
+    Bytes of a character that a cut has split go too, and n_chars is counted anew where something
+    was cut. A text that repeats as a whole becomes empty; null stays null.
     """
-    keyed, spans = repeated_spans(docs, min_bytes, gram, group_rows)
-    cut = keyed.join(spans, ["_id", "_dg"], "left").select("_id", "data", "spans").mapInPandas(
-        _cut, "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return cut.select(given_id("_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    found = Repeats(docs, min_bytes, gram, group_rows)
+    everything = F.array(F.struct(F.lit(0).alias("start"), F.col("n_bytes").cast("int").alias("stop")))
+    spans = found.ids.distinct().join(found.spans, ["_id", "_dg"], "left").select(
+        "_id", "_dg", F.when(found.whole(), everything).otherwise(F.col("spans")).alias("spans")).where("spans is not null")
+    keyed = docs.select("doc_id", "text", "lang", "source", "n_chars", solid_id("doc_id").alias("_id"),
+                        F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("_dg"))
+    shorten = F.pandas_udf(_cut_text, "string")
+    nothing = F.array().cast("array<struct<start:int,stop:int>>")
+    cells = keyed.join(spans, ["_id", "_dg"], "left").withColumn(
+        "_cut", shorten(F.coalesce(F.col("text"), F.lit("")).cast("binary"), F.coalesce("spans", nothing)))
+    changed = F.col("spans").isNotNull() & F.col("text").isNotNull()
+    return cells.select("doc_id", F.when(changed, F.col("_cut")).otherwise(F.col("text")).alias("text"), "lang", "source",
+                        F.when(changed, F.char_length("_cut").cast("bigint")).otherwise(F.col("n_chars")).alias("n_chars"))
