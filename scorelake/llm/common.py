@@ -17,6 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """Path of a file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def solid_id(c: str) -> Column:
     """An id that joins: null becomes NO_ID."""
     return F.coalesce(F.col(c).cast("bigint"), F.lit(NO_ID))

@@ -41,7 +41,7 @@ WINDOW = 8
 SENT_STRATA = 100_000
 
 _SPACE = " \t\n\x0b\x0c\r"
-_COUNTS = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, n_letters long, n_upper long"
+_COUNTS = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, n_upper long"
 
 
 def repeated_words(words: list, window: int = WINDOW) -> int:
@@ -73,9 +73,12 @@ def counts_of(text: str | None) -> tuple[int, ...]:
     words = text.encode().split()
     lines = [x for x in text.split("\n") if x.strip(_SPACE)]
     chars = len(text) - sum(map(text.count, _SPACE))
-    letters = sum(map(str.isalpha, text))
-    return (len(words), chars, sum(map(text.count, "#*$%&|<>")), len(lines), len(lines) - len(set(lines)),
-            repeated_words(words), letters, sum(map(str.isupper, text)))
+    low = text.lower()
+    if len(low) == len(text):
+        upper = int(np.count_nonzero(np.frombuffer(low.encode("utf-32-le"), "<u4") != np.frombuffer(text.encode("utf-32-le"), "<u4")))
+    else:
+        upper = sum(map(str.isupper, text))
+    return len(words), chars, sum(map(text.count, "#*$%&|<>")), len(lines), len(lines) - len(set(lines)), repeated_words(words), upper
 
 
 def _measure(texts: pd.Series) -> pd.DataFrame:
@@ -89,7 +92,7 @@ def _share(part: str, whole: str) -> Column:
 def measures() -> dict[str, Column]:
     """The rules' measures over the counts in column _q."""
     return {"symbol_share": _share("n_symbols", "word_chars"), "dup_line_share": _share("n_dup_lines", "n_lines"),
-            "repeat_share": _share("n_repeat_words", "n_words"), "upper_share": _share("n_upper", "n_letters"),
+            "repeat_share": _share("n_repeat_words", "n_words"), "upper_share": _share("n_upper", "word_chars"),
             "word_length": _share("word_chars", "n_words")}
 
 
@@ -173,8 +176,8 @@ def _judged(counted: DataFrame, table: DataFrame) -> DataFrame:
 
 def _counted(docs: DataFrame) -> DataFrame:
     text = F.col("text")
-    return with_counts(docs.select("doc_id", "lang", "text")).select("doc_id", "lang", F.xxhash64(text, F.when(text.isNull(), 1)).alias("hash"), text.isNull().alias("_none"), "_q").select(
-        "doc_id", "lang", F.when(~F.col("_none"), F.col("hash")).alias("digest"), "_q")
+    return with_counts(docs.select("doc_id", "lang", "text")).select(
+        "doc_id", "lang", F.when(text.isNotNull(), F.xxhash64(text)).alias("digest"), "_q")
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:

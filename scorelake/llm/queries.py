@@ -6,16 +6,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scorelake.llm import repeats
-from scorelake.llm.common import table
+from scorelake.llm import chosen_path, decontaminate, langid, quality, repeats, sitetree, toxicity, wordbpe
+from scorelake.llm.common import table, tokenizer
 from scorelake.session import tune
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitetree.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.measure_repeats(table(spark, sf_dir, "documents"))
 
 
-_QUERIES = [op7_suffix_array_dedup]
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordbpe.digests(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_QUERIES = [op1_quality_rules, op4_language_id, op5_html_extraction, op6_toxicity, op7_suffix_array_dedup,
+            op8_minhash_near_dedup, op9_bpe, op10_benchmark_decontamination]
 _ORACLES: dict[str, str] = {}
 
 

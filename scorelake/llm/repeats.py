@@ -241,7 +241,8 @@ class Repeats:
         found = stored(texts.where(F.octet_length("data") >= min_bytes).mapInPandas(
             _find_anchors(min_bytes, gram), "_id long, _dg string, pos int, key long, first int, last int"), "anchors")
         single = found.join(self.ids.where("_id = _rep").select("_id", "_dg").distinct(), ["_id", "_dg"], "left_semi")
-        often = single.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        # Stored, so that the join below has a shuffle on either side and its hot keys can be split.
+        often = stored(single.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
         per_doc = single.join(often, "key").groupBy("_id", "_dg").agg(F.collect_list(F.struct("key", "n", "pos", "first", "last")).alias("found"))
         self.candidates = stored(texts.join(per_doc, ["_id", "_dg"]), "candidates")
         contexts = self.candidates.select("_id", "_dg", "data", "found").mapInPandas(_contexts(min_bytes, group_rows), _CTX)

@@ -68,9 +68,7 @@ def _trigrams(batches):
     for pdf in batches:
         for text in pdf["text"]:
             c = letter_codes(f"  {text} ").astype(np.int64)
-            counts += np.bincount((c[:-2] * _K + c[1:-1]) * _K + c[2:], minlength=_K**3) if len(c) > _K**3 else 0
-            if len(c) <= _K**3:
-                np.add.at(counts, (c[:-2] * _K + c[1:-1]) * _K + c[2:], 1)
+            np.add.at(counts, (c[:-2] * _K + c[1:-1]) * _K + c[2:], 1)
     at = np.flatnonzero(counts)
     yield pd.DataFrame({"gram": at, "n": counts[at]})
 
@@ -194,9 +192,7 @@ def weights(docs: DataFrame, labels: DataFrame, model: np.ndarray, train_texts:
     counts = rows.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.count_if("toxic").alias("bad"))
     chance = (F.col("bad") + 2 * bad / n) / (F.col("n") + 2)
     found = {r["f"]: r["p"] for r in counts.where(F.col("bad") >= MIN_TEXTS).select("f", chance.alias("p")).where(F.col("p") >= MIN_SHARE).collect()}
-    named = F.array(*[F.lit(f) for f in sorted(found)[:0]]) if not found else None
-    left = rows.mapInPandas(_unnamed(set(found)), "toxic boolean") if named is None else rows.select("toxic")
-    rest, rest_bad = left.agg(F.count(F.lit(1)), F.count_if("toxic")).first()
+    rest, rest_bad = rows.mapInPandas(_unnamed(set(found)), "toxic boolean").agg(F.count(F.lit(1)), F.count_if("toxic")).first()
     return found, (rest_bad + 0.01) / (rest + 1)
 
 
