@@ -23,15 +23,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import MASK, mixed, splitmix, stored, table  # noqa: F401
+from scorelake.llm.common import MASK, mixed, splitmix, stored, stored_by
 from scorelake.llm.components import components
 
 WORDS = 5
 PERCENT = 75
 RECALL = 0.99999
-SKETCH = 64
-# A pair is confirmed only if the sketches share this much; 0.75 lies over five deviations above.
-SKETCH_FLOOR = 0.45
+# Least hashes of a set, 16 bits each. A pair whose sketches share so little that a linked pair lies DEVIATIONS away
+# is not confirmed on the texts.
+SKETCH = 128
+DEVIATIONS = 5.5
 BLOCK = 64
 MAX_DEPTH = 6
 
@@ -77,12 +78,18 @@ class Shingler:
         return np.unique(mixed(h))
 
 
-def children(shingles: np.ndarray, node: np.uint64, percent: int) -> np.ndarray:
-    """The child nodes that a set chooses at a node."""
-    salt = mixed(np.array([node], np.uint64))
-    drawn = mixed(shingles ^ salt)
-    limit = min(MASK, int((MASK + 1) * 100 / (percent * len(shingles))))
-    return mixed(drawn[drawn <= np.uint64(limit)] + salt * np.uint64(3))
+def limit_of(size: int, percent: int) -> np.uint64:
+    """Hashes up to this are chosen: 1 / (similarity * size) of all."""
+    return np.uint64(min(MASK, (MASK + 1) * 100 // (percent * size)))
+
+
+def children(shingles: np.ndarray, nodes: np.ndarray, percent: int) -> np.ndarray:
+    """The child nodes that a set chooses at some nodes: at each, those of the tokens that its own hash draws."""
+    if not len(shingles) or not len(nodes):
+        return np.empty(0, np.uint64)
+    salts = mixed(nodes) | np.uint64(1)
+    at, token = np.nonzero(shingles[None, :] * salts[:, None] <= limit_of(len(shingles), percent))
+    return mixed(shingles[token] + mixed(nodes[at] + np.uint64(7)))
 
 
 def tree_count(recall: float) -> int:
@@ -99,12 +106,11 @@ def _signatures(words: int, percent: int, trees: int):
             out = []
             for id_, text in zip(pdf["_id"], pdf["data"], strict=True):
                 s = shingle(text)
-                nodes = np.concatenate([children(s, r, percent) for r in roots]) if len(s) else s
                 keys = mixed(s + np.uint64(5))
+                one, two = np.add.reduce(keys * s), np.bitwise_xor.reduce(keys)
                 least = np.partition(keys, SKETCH - 1)[:SKETCH] if len(s) > SKETCH else keys
-                one, two = np.add.reduce(mixed(keys)), np.bitwise_xor.reduce(keys)
-                out.append((id_, len(s), one.astype(np.int64) if len(s) else 0, two.astype(np.int64) if len(s) else 0,
-                            nodes.view(np.int64), (least >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                out.append((id_, len(s), int(one.view(np.int64)), int(two.view(np.int64)), children(s, roots, percent).view(np.int64),
+                            least.astype(np.uint16).view(np.int16)))
             yield pd.DataFrame(out, columns=["_id", "n", "one", "two", "nodes", "sketch"])
     return run
 
@@ -113,12 +119,9 @@ def _branch(words: int, percent: int):
     def run(batches):
         shingle = Shingler(words)
         for pdf in batches:
-            found = []
-            for id_, text, nodes in zip(pdf["_id"], pdf["data"], pdf["nodes"], strict=True):
-                s = shingle(text)
-                for node in nodes:
-                    found += [(id_, int(c)) for c in children(s, np.int64(node).astype(np.uint64), percent).view(np.int64)]
-            yield pd.DataFrame(found, columns=["_id", "node"])
+            found = [children(shingle(text), nodes.astype(np.int64).view(np.uint64), percent).view(np.int64)
+                     for text, nodes in zip(pdf["data"], pdf["nodes"], strict=True)]
+            yield pd.DataFrame({"_id": np.repeat(pdf["_id"].to_numpy(), [len(f) for f in found]), "node": np.concatenate(found) if found else []})
     return run
 
 
@@ -138,42 +141,61 @@ def _confirm(words: int, percent: int):
     return run
 
 
-def _exhaust(percent: int, floor: float):
-    """Pairs of different components within a block whose sketches don't rule out a link."""
-    def of_block(rows: list[tuple], out: set) -> None:
+def least_share(na: int, nb: int, percent: int) -> float:
+    """Share of the sketches that a pair of sets of these sizes has in common, if barely linked, less the deviations.
+
+    A linked pair has percent / (100 + percent) of both sizes in common, and the sketch of the larger set is the
+    denser one.
+    """
+    share = percent / (100 + percent) * (1 + min(na, nb) / max(na, nb))
+    return share - DEVIATIONS * math.sqrt(share * (1 - share) / min(SKETCH, na, nb))
+
+
+def _exhaust(percent: int):
+    """Pairs of different components within a block whose sizes and sketches don't rule out a link.
+
+    A pair that meets in several nodes is taken in the least of them.
+    """
+    def of_block(rows: list[tuple], out: list) -> None:
+        node = rows[0][0][0]
         for a, b in combinations(rows, 2):
             if a[3] == b[3] or not (a[2] or b[2]):
                 continue
             na, nb = a[4], b[4]
-            if 100 * min(na, nb) >= percent * max(na, nb) and len(a[5] & b[5]) >= floor * min(SKETCH, na, nb):
-                out.add((max(a[1], b[1]), min(a[1], b[1])))
+            if 100 * min(na, nb) < percent * max(na, nb) or min(a[6] & b[6]) != node:
+                continue
+            if len(a[5] & b[5]) >= least_share(na, nb, percent) * min(SKETCH, na, nb):
+                out.append((max(a[1], b[1]), min(a[1], b[1])))
 
     def run(batches):
         held: list[tuple] = []
+        out: list = []
         for pdf in batches:
-            out: set = set()
-            for node, block, id_, own, label, n, sketch in zip(
-                    *(pdf[c] for c in ("node", "block", "_id", "own", "label", "n", "sketch")), strict=True):
+            for node, block, id_, own, label, n, sketch, nodes in zip(
+                    *(pdf[c] for c in ("node", "block", "_id", "own", "label", "n", "sketch", "nodes")), strict=True):
                 if held and held[0][0] != (node, block):
                     of_block(held, out)
                     held = []
-                held.append(((node, block), id_, own, label, n, frozenset(sketch.tolist())))
-            yield pd.DataFrame(sorted(out), columns=["u", "v"])
-        out = set()
+                held.append(((node, block), id_, own, label, n, frozenset(sketch.tolist()), frozenset(nodes.tolist())))
+            yield pd.DataFrame(out, columns=["u", "v"])
+            out = []
         if held:
             of_block(held, out)
-        yield pd.DataFrame(sorted(out), columns=["u", "v"])
+        yield pd.DataFrame(out, columns=["u", "v"])
     return run
 
 
 # --- the join --------------------------------------------------------------------------------------
 
 
-def _likely(percent: int, floor: float) -> Column:
-    """Whether sizes and sketches of a pair leave a link possible."""
+def _likely(percent: int) -> Column:
+    """Whether sizes and sketches of a pair leave a link possible; see `least_share`."""
     na, nb = F.col("a.n"), F.col("b.n")
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (
-        F.size(F.array_intersect("a.sketch", "b.sketch")) >= floor * F.least(F.lit(SKETCH), na, nb))
+    low, high = F.least(na, nb), F.greatest(na, nb)
+    share = F.lit(percent / (100 + percent)) * (1 + low / high)
+    k = F.least(F.lit(SKETCH), low)
+    floor = share - DEVIATIONS * F.sqrt(share * (1 - share) / k)
+    return (100 * low >= percent * high) & (F.size(F.array_intersect("a.sketch", "b.sketch")) >= floor * k)
 
 
 class _Join:
@@ -185,7 +207,7 @@ class _Join:
         self.texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("_id"), F.col("text").cast("binary").alias("data"))
         self.sigs = stored(self.texts.mapInPandas(
             _signatures(words, percent, tree_count(recall)),
-            "_id long, n long, one long, two long, nodes array<long>, sketch array<int>"), "signatures")
+            "_id long, n long, one long, two long, nodes array<long>, sketch array<smallint>"), "signatures")
         self.links: list[DataFrame] = []
 
     def classes(self) -> DataFrame:
@@ -222,45 +244,54 @@ class _Join:
         pairs = nodes.join(hubs, "node").where("_id != v").select(F.col("_id").alias("u"), "v").distinct()
         sig = self.sigs.select("_id", "n", "sketch").dropDuplicates(["_id"])
         return pairs.join(sig.alias("a"), F.col("u") == F.col("a._id")).join(sig.alias("b"), F.col("v") == F.col("b._id")).where(
-            _likely(self.percent, SKETCH_FLOOR)).select("u", "v")
+            _likely(self.percent)).select("u", "v")
 
     def exhaust(self, rows: DataFrame) -> DataFrame:
         """All pairs of different components within the nodes of `rows`, if a link is possible.
 
         A node is dealt out in blocks. Members outside its main component go to every block, so
-        that each meets every other member; pairs within the main component need no comparison.
+        that each meets every other member; pairs within the main component need no comparison,
+        and the one pair of a node of two has been looked at as its star.
         """
+        rows = rows.where("m > 2")
         blocks = F.ceil(F.col("m") / self.block).cast("int")
         own = rows.select("node", F.pmod(F.xxhash64("_id"), blocks).cast("int").alias("block"), "_id", "label", F.lit(True).alias("own"))
         sent = rows.where((F.col("label") != F.col("main")) & (F.col("m") > self.block)).select(
             "node", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "_id", "label", F.lit(False).alias("own"))
-        sig = self.sigs.select("_id", "n", "sketch").dropDuplicates(["_id"])
+        places = rows.groupBy("_id").agg(F.collect_list("node").alias("nodes"))
+        sig = self.sigs.select("_id", "n", "sketch").dropDuplicates(["_id"]).join(places, "_id")
         return own.unionByName(sent).join(sig, "_id").repartition("node", "block").sortWithinPartitions("node", "block").mapInPandas(
-            _exhaust(self.percent, SKETCH_FLOOR), "u long, v long").distinct()
+            _exhaust(self.percent), "u long, v long").distinct()
 
     def run(self) -> DataFrame:
         """(node, root) of all documents in components of more than one distinct set."""
-        reps = self.classes().select(F.col("rep").alias("_id")).distinct()
+        classes = self.classes()
+        reps = classes.select(F.col("rep").alias("_id")).distinct()
         all_nodes = self.sigs.join(reps, "_id", "left_semi").select("_id", F.explode("nodes").alias("node")).distinct()
         crowded = all_nodes.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("node")
         nodes = stored(all_nodes.join(crowded, "node").select("node", "_id"), "nodes")
         # From here on only documents that share a node with another one matter.
-        self.texts = stored(self.texts.join(nodes.select("_id").distinct(), "_id", "left_semi"), "candidates")
-        several = self.classes().groupBy("_id").agg(F.min("rep").alias("v"), F.collect_set("rep").alias("all")).where(F.size("all") > 1)
+        self.texts = stored_by(self.texts.join(nodes.select("_id").distinct(), "_id", "left_semi"), "candidates", "_id")
+        several = classes.groupBy("_id").agg(F.min("rep").alias("v"), F.collect_set("rep").alias("all")).where(F.size("all") > 1)
         self.links.append(several.select(F.explode("all").alias("u"), "v"))
+        pairs = None
         for depth in range(1, self.max_depth + 1):
             self.links.append(self.confirmed(self.stars(nodes)))
             rows = stored(self.labelled(nodes), "open")
             # Comparing all is linear while few members lie outside the main component.
             cheap = (F.col("m") <= self.block) | ((F.col("m") - F.col("most")) * F.ceil(F.col("m") / self.block) <= 4 * F.col("m"))
-            self.links.append(self.confirmed(self.exhaust(rows if depth == self.max_depth else rows.where(cheap))))
+            last = depth == self.max_depth
+            more = self.exhaust(rows if last else rows.where(cheap))
+            pairs = more if pairs is None else pairs.unionByName(more)
             wide = rows.where(~cheap)
-            if depth == self.max_depth or wide.isEmpty():
+            if last or wide.isEmpty():
                 break
             per_doc = wide.groupBy("_id").agg(F.collect_list("node").alias("nodes"))
             grown = self.texts.join(per_doc, "_id").select("_id", "data", "nodes").mapInPandas(
                 _branch(self.words, self.percent), "_id long, node long").distinct()
-            nodes = stored(grown, "nodes")
+            crowd = grown.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("node")
+            nodes = stored(stored(grown, "children").join(crowd, "node").select("node", "_id"), "nodes")
+        self.links.append(self.confirmed(pairs.distinct()))
         return self.labels()
 
 

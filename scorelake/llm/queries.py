@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scorelake.llm import chosen_path, decontaminate, langid, quality, repeats, sitetree, toxicity, wordbpe
+from scorelake.llm import chosen_path, decontaminate, langid, licenses, quality, repeats, sitetree, toxicity, warc, wordbpe
 from scorelake.llm.common import table, tokenizer
 from scorelake.session import tune
 
@@ -15,6 +16,20 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+    return made.withColumn("record_sha256", F.sha2("record", 256)).drop("record")
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: ids of a run of 80 lie below one module, and one in 20 is its LICENSE."""
+    docs, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    module = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.concat(F.lit("m"), F.floor(n / 80)))
+    path = F.when(n % 20 == 3, F.concat(module, F.when(n % 40 == 3, F.lit("/LICENSE-")).otherwise(F.lit("/sub/LICENSE-")), n)).otherwise(
+        F.concat(module, F.when(n % 3 == 0, F.lit("/sub/deep/")).otherwise(F.lit("/src/")), n, F.lit(".txt")))
+    return licenses.scan(docs.select(n.alias("file_id"), path.alias("path"), "text")).withColumnRenamed("file_id", "doc_id")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
@@ -43,7 +58,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-_QUERIES = [op1_quality_rules, op4_language_id, op5_html_extraction, op6_toxicity, op7_suffix_array_dedup,
+_QUERIES = [op1_quality_rules, op2_warc_derivatives, op3_license_scan, op4_language_id, op5_html_extraction, op6_toxicity, op7_suffix_array_dedup,
             op8_minhash_near_dedup, op9_bpe, op10_benchmark_decontamination]
 _ORACLES: dict[str, str] = {}
 

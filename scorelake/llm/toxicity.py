@@ -49,7 +49,7 @@ _RUN = re.compile(r"[^\W\d_]+")
 _APART = re.compile(r"(?<!\w)[^\W\d_](?:[ .\-_*][^\W\d_]){3,}(?!\w)")
 _EDGES = ".,;:?\"'()[]{}<>#%&~^=/\\*`-_"
 _DRAWN = re.compile(r"([^\W\d_])\1\1")
-_SIGNS = re.compile(r"[0-9@$!|+(<€£¡*.\-_]")
+_SIGNS = re.compile(r"[0-9@$!|+(<€£¡*.\-_ ]")
 
 
 def letter_codes(text: str) -> np.ndarray:

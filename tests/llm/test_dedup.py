@@ -1,0 +1,163 @@
+"""Repeats and near-duplicates against brute force."""
+
+import hashlib
+import random
+from collections import Counter, defaultdict
+
+import pytest
+
+from scorelake.llm import chosen_path, repeats
+from scorelake.llm.common import table
+from scorelake.llm.components import components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def documents(spark, texts, ids=None):
+    ids = range(len(texts)) if ids is None else ids
+    return spark.createDataFrame([(i, t, None, None, len(t or "")) for i, t in zip(ids, texts, strict=True)], SCHEMA)
+
+
+# --- byte repeats ----------------------------------------------------------------------------------
+
+
+def cut_by_force(texts, size):
+    data = [(t or "").encode() for t in texts]
+    seen = Counter(b[i:i + size] for b in data for i in range(len(b) - size + 1))
+    out = []
+    for b in data:
+        gone = bytearray(len(b))
+        for i in range(len(b) - size + 1):
+            if seen[b[i:i + size]] > 1:
+                gone[i:i + size] = b"\1" * size
+        runs = sum(1 for i in range(len(b)) if gone[i] and (not i or not gone[i - 1]))
+        left = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        out.append((len(b), sum(gone), runs, hashlib.sha256(left).hexdigest()))
+    return out
+
+
+def mixed_texts(seed):
+    r = random.Random(seed)
+
+    def some(n):
+        return "".join(r.choice("abcdé ") for _ in range(n))
+    shared = [some(60), some(100), some(45)]
+    texts = [None, "", "a" * 200, "x" * 39, "ab" * 80, "ab" * 50, "y" * 40]
+    for _ in range(100):
+        t = some(r.randrange(0, 150))
+        for _ in range(r.randrange(0, 3)):
+            t += r.choice(shared)[r.randrange(0, 20):] + some(r.randrange(0, 30))
+        texts.append(t)
+    return texts + texts[40:44]
+
+
+@pytest.mark.parametrize("group_rows", [1024, 7])
+def test_repeats_match_brute_force(spark, group_rows):
+    texts = mixed_texts(3)
+    rows = repeats.measure_repeats(documents(spark, texts), 40, 16, group_rows).collect()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows}
+    assert [got[i] for i in range(len(texts))] == cut_by_force(texts, 40)
+
+
+def test_repeats_of_a_table_match_brute_force(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", "text").collect()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.measure_repeats(docs).collect()}
+    assert got == dict(zip([r.doc_id for r in rows], cut_by_force([r.text for r in rows], repeats.MIN_BYTES), strict=True))
+
+
+def test_repeats_odd_rows(spark):
+    long = "".join(random.Random(1).choice("abcdef ") for _ in range(500))
+    rows = repeats.measure_repeats(documents(spark, [long, long, None, "short", "short"], [1, 1, 2, None, None])).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans) for r in rows) == [
+        (0, 5, 0, 0), (0, 5, 0, 0), (1, 500, 500, 1), (1, 500, 500, 1), (2, 0, 0, 0)]
+    assert repeats.measure_repeats(documents(spark, [])).collect() == []
+
+
+def test_cut_texts_keep_the_columns_and_all_rows(spark):
+    r = random.Random(5)
+    shared = "".join(r.choice("abcdeé ") for _ in range(450))
+    docs = documents(spark, ["one " + shared + " two", shared + "three", None, "clean"])
+    got = {x.doc_id: x for x in repeats.without_repeats(docs).collect()}
+    assert got[0].text == "one  two" and got[0].n_chars == 8 and got[1].text == "three"
+    assert got[2].text is None and got[3].text == "clean" and repeats.without_repeats(docs).columns == docs.columns
+
+
+def test_maximal_groups_list_all_occurrences():
+    lefts, rights = [b"cba", b"cbx", b"cba", b"zzz"], [b"12345", b"12345", b"129", b"77"]
+    groups: list = []
+    reach_l, reach_r = repeats.scan_group(lefts, rights, 4, groups)
+    assert (3, 2, [0, 2]) in groups and (2, 2, [0, 1, 2]) in [(a, b, sorted(c)) for a, b, c in groups]
+    assert reach_l.tolist() == [3, 2, 3, 0] and reach_r.tolist() == [5, 5, 2, 0]
+
+
+def test_prefix_intervals():
+    # Suffixes a, ab, ab, b with common prefixes 1, 2, 0.
+    import numpy as np
+    assert sorted(repeats.prefix_intervals(np.array([0, 1, 2, 0]))) == [(0, 0, 3), (1, 0, 2), (2, 1, 2)]
+
+
+# --- near-duplicates -------------------------------------------------------------------------------
+
+
+def classes_by_force(ids, texts):
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        k = min(5, len(w))
+        sets.append({tuple(w[i:i + k]) for i in range(len(w) - k + 1)} if k else set())
+    places, both, parent = defaultdict(list), Counter(), list(range(len(ids)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for i, s in enumerate(sets):
+        for x in s:
+            both.update((j, i) for j in places[x])
+            places[x].append(i)
+    for (i, j), c in both.items():
+        if 100 * c >= 75 * (len(sets[i]) + len(sets[j]) - c):
+            parent[find(i)] = find(j)
+    least = {}
+    for i, d in enumerate(ids):
+        least[find(i)] = min(least.get(find(i), d), d)
+    return {d: (len(sets[i]), least[find(i)]) for i, d in enumerate(ids)}
+
+
+def found_classes(docs, **options):
+    return {r.doc_id: (r.n_shingles, r.component_id) for r in chosen_path.near_duplicates(docs, **options).collect()}
+
+
+def test_near_duplicates_of_a_table_match_brute_force(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", "text").collect()
+    assert found_classes(docs) == classes_by_force([r.doc_id for r in rows], [r.text for r in rows])
+
+
+def test_dense_and_crowded_nodes_lose_no_link(spark):
+    r = random.Random(1)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(150):
+        w = list(base)
+        for _ in range(r.randrange(0, 9)):
+            w[r.randrange(60)] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts += [" ".join(base[:20] + [f"y{r.randrange(10**6)}" for _ in range(40)]) for _ in range(80)]
+    assert found_classes(documents(spark, texts), block=8, max_depth=3) == classes_by_force(list(range(len(texts))), texts)
+
+
+def test_near_duplicates_odd_rows(spark):
+    texts = [None, "", " \n", "one two", "ONE  two", "one two three", "lost", "a b c d e f", "z y x w v u"]
+    rows = chosen_path.near_duplicates(documents(spark, texts, [0, 1, 2, 3, 4, 5, None, 7, 7])).collect()
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id, r.kept) for r in rows)
+    assert got == [(-1, 1, None, True), (0, 0, 0, True), (1, 0, 1, True), (2, 0, 2, True), (3, 1, 3, True), (4, 1, 3, False),
+                   (5, 1, 5, True), (7, 2, 7, True), (7, 2, 7, True)]
+    assert chosen_path.near_duplicates(documents(spark, [])).collect() == []
+
+
+def test_components(spark):
+    edges = [(1, 2), (2, 3), (9, 8), (8, 7), (3, 3), (2, 1), (20, 30), (40, 30), (40, 50), (50, 60)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7, 20: 20, 30: 20, 40: 20, 50: 20, 60: 20}
