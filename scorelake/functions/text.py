@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -48,6 +49,10 @@ WHITE_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 # --------------------------------------------------------------------------------------
 
+# Decimal digits outside ASCII and what they mean, by the Unicode tables.
+_OTHER_DIGITS = [c for c in map(chr, range(0x80, 0x20000)) if unicodedata.category(c) == "Nd"]
+_THEIR_VALUES = "".join(str(unicodedata.decimal(c)) for c in _OTHER_DIGITS)
+
 
 def let(value: Column, body) -> Column:
     """Evaluate `value` once and hand it to `body`; inside a lambda it would run per element."""
@@ -85,12 +90,17 @@ def date_prefix(c: Column) -> Column:
 
 def answer_line(c: Column) -> Column:
     """Text of the first `ANSWER:` line, NULL without one."""
-    pattern = F.lit("(?d)" + ANSWER_PATTERN)
-    return F.when(F.regexp_like(c, pattern), strip(F.regexp_extract(c, "(?d)" + ANSWER_PATTERN, 1)))
+    pattern = F.lit("(?dU)" + ANSWER_PATTERN)
+    return F.when(F.regexp_like(c, pattern), strip(F.regexp_extract(c, "(?dU)" + ANSWER_PATTERN, 1)))
+
+
+def ascii_digits(c: Column) -> Column:
+    """Decimal digits of all scripts, such as full-width ones, as ASCII digits."""
+    return F.when(F.regexp_like(c, F.lit(r"[\p{Nd}&&[^0-9]]")), F.translate(c, "".join(_OTHER_DIGITS), _THEIR_VALUES)).otherwise(c)
 
 
 def number_strings(c: Column) -> Column:
-    return F.regexp_extract_all(F.translate(c, "−", "-"), F.lit(NUMBER_PATTERN), F.lit(0))
+    return F.regexp_extract_all(F.translate(ascii_digits(c), "−", "-"), F.lit(NUMBER_PATTERN), F.lit(0))
 
 
 def decimal_places(number: Column) -> Column:
@@ -136,7 +146,7 @@ def data_status(c: Column) -> Column:
 def normalize_text(c: Column) -> Column:
     steps = [
         (r"\*{1,3}|_{1,3}", ""),
-        (r"(?m)^#{1,6}\s*", ""),
+        (r"(?mU)^#{1,6}\s*", ""),
         (r"`([^`]*)`", "$1"),
         (r"\[([^\]]*)\]\([^\)]*\)", "$1"),
         (r"([a-z])([A-Z])", "$1 $2"),
@@ -184,13 +194,13 @@ def _stripped(items: Column) -> Column:
 
 
 def bullet_items(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit("(?md)" + BULLET_PATTERN), F.lit(1))
+    return F.regexp_extract_all(c, F.lit("(?mdU)" + BULLET_PATTERN), F.lit(1))
 
 
 def table_items(c: Column) -> Column:
     """Body rows of a pipe table, index cells removed, cells joined by a blank."""
     rows = F.transform(
-        F.regexp_extract_all(c, F.lit("(?md)" + TABLE_ROW_PATTERN), F.lit(1)),
+        F.regexp_extract_all(c, F.lit("(?mdU)" + TABLE_ROW_PATTERN), F.lit(1)),
         lambda r: _stripped(F.split(r, r"\|")),
     )
     def is_rule(cells: Column) -> Column:
@@ -200,7 +210,7 @@ def table_items(c: Column) -> Column:
         F.array_position(F.transform(rs, is_rule), True),
         lambda first: F.filter(rs, lambda cells, i: (first > 0) & (i >= first) & ~is_rule(cells))))
     joined = F.transform(
-        body, lambda cells: F.array_join(F.filter(cells, lambda x: ~x.rlike(r"^\d+$")), " "))
+        body, lambda cells: F.array_join(F.filter(cells, lambda x: ~x.rlike(r"(?U)^\d+$")), " "))
     return F.filter(joined, lambda x: x != "")
 
 
@@ -210,8 +220,8 @@ def line_items(c: Column) -> Column:
         lowered = F.lower(line)
         bare = F.regexp_replace(lowered, r"^[*#: ]+|[*#: ]+$", "")
         return (
-            ~line.rlike("(?iu)" + VALUE_LINE_PATTERN)
-            & ~line.rlike(HEADER_LINE_PATTERN)
+            ~line.rlike("(?iuU)" + VALUE_LINE_PATTERN)
+            & ~line.rlike("(?U)" + HEADER_LINE_PATTERN)
             & ~bare.isin(HEADER_WORDS)
             & ~((F.length(line) > 40) & has_any(lowered, SENTENCE_MARKS))
             & F.length(line).between(2, 80)
@@ -226,7 +236,7 @@ def response_items(c: Column) -> Column:
     bullets = bullet_items(c)
     return (
         F.when(F.size(bullets) >= 2, _stripped(bullets))
-        .when(c.rlike(r"(?md)^\s*\|.+\|"), table_items(c))
+        .when(c.rlike(r"(?mdU)^\s*\|.+\|"), table_items(c))
         .when(F.contains(c, F.lit(";")), _stripped(F.split(c, ";")))
         .when(F.length(c) - F.length(F.replace(c, F.lit(","), F.lit(""))) >= 2, _stripped(F.split(c, ",")))
         .otherwise(line_items(c))
@@ -251,8 +261,8 @@ def word_match(pattern: str, text: Column) -> Column:
 
 
 def weeks_days(c: Column) -> Column:
-    pattern = r"(\d+)\s*weeks?\s*[,\s]*(\d+)\s*days?"
-    text = F.lower(c)
+    pattern = r"(?U)(\d+)\s*weeks?\s*[,\s]*(\d+)\s*days?"
+    text = F.lower(ascii_digits(c))
     return F.when(
         text.rlike(pattern),
         F.struct(
@@ -292,8 +302,8 @@ def tag_value(tags: Column, prefix: str) -> Column:
 
 
 def slug(c: Column) -> Column:
-    spaced = F.regexp_replace(c, r"[^\p{L}\p{N}_\s]", " ")
-    return F.lower(F.regexp_replace(strip(spaced), r"\s+", "_"))
+    spaced = F.regexp_replace(c, r"(?U)[^\p{L}\p{N}_\s]", " ")
+    return F.lower(F.regexp_replace(strip(spaced), r"(?U)\s+", "_"))
 
 
 def user_of_case(c: Column) -> Column:

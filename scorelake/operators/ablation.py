@@ -49,10 +49,8 @@ def perturb_noise(readings: DataFrame, sigma: float, seed: int, key: str = "read
     return readings.withColumn("value_num", noisy(F.col("value_num"), F.lit(sigma), F.col(key), F.lit(seed)))
 
 
-def perturb_all(readings: DataFrame, seed: int, variants: Sequence[tuple[str, str, float]] = VARIANTS,
-                key: str = "reading_id") -> DataFrame:
-    """Readings of every variant, with a `variant` column: one pass, one join to the day order."""
-    ranked_days = readings.join(day_ranks(readings, seed), ["user_id", "day"])
+def variants_of(ranked_days: DataFrame, seed: int, variants: Sequence[tuple[str, str, float]] = VARIANTS, key: str = "reading_id") -> DataFrame:
+    """Rows of every variant, with a `variant` column, from rows that carry their key and the rank of their day."""
     choices = F.explode(F.array(*[
         F.struct(F.lit(n).alias("variant"), F.lit(k).alias("_kind"), F.lit(p).alias("_param")) for n, k, p in variants]))
     every = ranked_days.withColumn("_v", choices).select(*ranked_days.columns, "_v.*")
@@ -61,6 +59,12 @@ def perturb_all(readings: DataFrame, seed: int, variants: Sequence[tuple[str, st
     return kept.withColumn("value_num", value).drop("_kind", "_param", "_day_rank", "_n_days")
 
 
+def perturb_all(readings: DataFrame, seed: int, variants: Sequence[tuple[str, str, float]] = VARIANTS,
+                key: str = "reading_id") -> DataFrame:
+    """Readings of every variant, with a `variant` column: one pass, one join to the day order."""
+    return variants_of(readings.join(day_ranks(readings, seed), ["user_id", "day"]), seed, variants, key)
+
+
 # --- recomputation ---------------------------------------------------------------------------------
 
 _RECOMPUTE: dict[str, Callable[[Callable[[str], Column]], dict[str, Column]]] = {}
@@ -109,17 +113,19 @@ def _phases(stats):
 _ANSWER_TYPES = {"expected_num": "double", "expected_date": "date", "expected_nums": "array<double>", "n_points": "bigint"}
 
 
-def recompute_truth(queries: DataFrame, readings: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+def recompute_truth(queries: DataFrame, readings: DataFrame, extra: Sequence[str] = (), vary: Callable[[DataFrame], DataFrame] | None = None,
+                    carry: Sequence[str] = ()) -> DataFrame:
     """Answers of (query_id, user_id, kind, indicator, day, group_filter, ranges) against the readings.
 
-    `ranges` is an array of (role, start_date, end_date). `extra` names further keys that queries and
-    readings share, such as the variant. Kinds without a recomputation are left out.
+    `ranges` is an array of (role, start_date, end_date). `vary` makes versions of the readings that a query
+    asks for, told apart by the columns `extra`, which the queries have too; it may use the columns `carry`.
+    Kinds without a recomputation are left out.
     """
     id_cols = [*extra, "query_id"]
     windows = queries.where(F.col("kind").isin(list(_RECOMPUTE))).select(
         *id_cols, "user_id", "indicator", F.explode("ranges").alias("_r")).select(*id_cols, "user_id", "indicator", "_r.*")
     by = [*id_cols, "user_id", "indicator", "role", "start_date", "end_date"]
-    stats = window_stats(windows, readings, [*extra, "user_id", "indicator"], by)
+    stats = window_stats(windows, readings, ["user_id", "indicator"], by, vary=vary, extra=extra, carry=carry)
     fields = ["n_points", "mean", "raw_mean", "max", "min", "median", "stddev", "range", "argmax_date"]
     per_query = stats.where(~F.col("unanswerable")).groupBy(*id_cols).agg(F.map_from_entries(
         F.collect_list(F.struct("role", F.struct(*fields).alias("s")))).alias("_stats"))
@@ -143,17 +149,18 @@ def recompute_truth(queries: DataFrame, readings: DataFrame, extra: Sequence[str
     ranged = ranged.withColumns({
         "n_points": F.when(single_range, F.coalesce("n_points", F.lit(0))),
         "reason": F.when(F.col("unanswerable"), F.lit("no data in range"))})
-    return ranged.unionByName(_on_days(queries, readings, extra), allowMissingColumns=True)
+    return ranged.unionByName(_on_days(queries, readings, extra, vary), allowMissingColumns=True)
 
 
-def _on_days(queries: DataFrame, readings: DataFrame, extra: Sequence[str]) -> DataFrame:
+def _on_days(queries: DataFrame, readings: DataFrame, extra: Sequence[str], vary: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
     """Single values and name lists of one day: one aggregate per (user, day, indicator) that is asked for."""
     id_cols = [*extra, "query_id"]
     wanted = queries.where(F.col("kind").isin("device", "device_day_to_indicators"))
     days = [*extra, "user_id", "day"]
-    near = readings.join(wanted.select(*days).distinct(), days, "left_semi")
+    near = readings.join(wanted.select("user_id", "day").distinct(), ["user_id", "day"], "left_semi")
+    near = near if vary is None else vary(near)
     per_name = near.groupBy(*days, "indicator").agg(
-        F.max_by("value_num", "time").alias("_value"), F.count("value_num").alias("_n"))
+        F.max_by("value_num", F.struct("time", "value_num")).alias("_value"), F.count("value_num").alias("_n"))
     per_day = per_name.groupBy(*days).agg(F.sort_array(F.collect_set(F.when(F.col("_n") > 0, F.col("indicator")))).alias("_names"))
     out = wanted.join(per_day, days, "left").join(per_name.select(*days, "indicator", "_value"), [*days, "indicator"], "left")
     groups = F.create_map(*[x for g, words in INDICATOR_GROUPS.items() for x in (
@@ -207,7 +214,9 @@ def ablate(cases: DataFrame, queries: DataFrame, readings: DataFrame, seed: int,
            variants: Sequence[tuple[str, str, float]] = VARIANTS) -> DataFrame:
     """Every case under every variant, with recomputed expectations. Case ids are query ids."""
     names = F.explode(F.array(*[F.lit(n) for n, _, _ in variants]))
-    disturbed = perturb_all(readings, seed, variants)
-    truth = recompute_truth(queries.withColumn("variant", names), disturbed, ["variant"])
+    # The variants are made of the readings that a query asks for, not of all.
+    ranked = readings.join(day_ranks(readings, seed), ["user_id", "day"])
+    truth = recompute_truth(queries.withColumn("variant", names), ranked, ["variant"], lambda rows: variants_of(rows, seed, variants),
+                            ["reading_id", "_day_rank", "_n_days"])
     patches = truth.withColumnRenamed("query_id", "id").withColumn("expected_value", expected_text(truth))
     return apply_patches(cases.withColumn("variant", names), patches, ["variant", "id"])

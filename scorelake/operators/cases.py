@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scorelake.functions import text as tx
@@ -144,49 +147,67 @@ def json_path(df: DataFrame, col: str, path: str, keep: Sequence[str]) -> DataFr
     return nodes
 
 
-def json_depth(text: Column) -> Column:
-    """Deepest nesting of a JSON text, string literals left out."""
-    marks = F.regexp_replace(F.regexp_replace(text, r'"(\\.|[^"\\])*"', ""), r"[^\[\]{}]", "")
-    state = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-
-    def step(acc: Column, ch: Column) -> Column:
-        now = acc["now"] + F.when(ch.isin("[", "{"), 1).when(ch.isin("]", "}"), -1).otherwise(0)
-        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
-
-    return F.aggregate(F.split(marks, ""), state, step, lambda acc: acc["most"])
-
-
-def json_search(df: DataFrame, col: str, keyword: str, keep: Sequence[str], preview: int = 360) -> DataFrame:
+class _Number(str):
+    """A number as it is written."""
+
+
+def _json_text(value) -> str:
+    """Compact JSON, keys in order; numbers stay as written."""
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_json_text(value[k])}" for k in sorted(value)) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_json_text, value)) + "]"
+    return str(value) if isinstance(value, _Number) else json.dumps(value, ensure_ascii=False)
+
+
+def _json_walker(keyword: str, preview: int | None):
+    """Closure over its helpers: it travels to the workers by value."""
+    number, as_text, wanted, load = _Number, _json_text, keyword.strip().lower(), json.loads
+
+    def hits(text: str | None) -> list[tuple]:
+        try:
+            root = load(text, parse_int=number, parse_float=number) if text is not None else None
+        except ValueError:
+            return []
+        found, open_ = [], [("$", None, root)] if text is not None else []
+        while open_:
+            path, key, value = open_.pop()
+            plain = {True: "true", False: "false", None: ""}[value] if value is None or isinstance(value, bool) else value
+            scalar = not isinstance(value, (dict, list))
+            shown = plain if scalar and value is not None else as_text(value)
+            shown = shown if preview is None else shown[:preview]
+            if key is not None and wanted in key.lower():
+                found.append((path, "key", shown))
+            if scalar and plain and wanted in plain.lower():
+                found.append((path, "value", shown))
+            if isinstance(value, dict):
+                open_ += [(f"{path}.{k}", k, v) for k, v in value.items()]
+            elif isinstance(value, list):
+                open_ += [(f"{path}[{i}]", None, v) for i, v in enumerate(value)]
+        return found
+
+    def search(texts: pd.Series) -> pd.Series:
+        return pd.Series([hits(t) for t in texts], dtype=object)
+    return search
+
+
+def json_search(df: DataFrame, col: str, keyword: str, keep: Sequence[str], preview: int | None = None) -> DataFrame:
     """Rows (keep..., path, match, preview) where a key or a scalar at any depth holds the keyword.
 
-    One pass over the texts finds how deep they go; every level is one explode.
+    Texts nest to any depth, which built-in expressions can only follow level by level with a scan for each, so one
+    Arrow-batched function walks each text once.
     """
-    depth = df.agg(F.max(json_depth(F.col(col)))).first()[0] or 0
-    level = df.select(*keep, F.lit("$").alias("path"), F.lit(None).cast("string").alias("key"),
-                      F.try_parse_json(col).alias("value")).where(F.col("value").isNotNull())
-    hits = None
-    for i in range(depth + 1):
-        text = F.coalesce(F.try_variant_get("value", "$", "string"), F.lit(""))
-        scalar = ~is_array(F.col("value")) & ~is_object(F.col("value"))
-        found = F.array_compact(F.array(
-            F.when(F.col("key").isNotNull() & tx.contains_ci(F.col("key"), keyword), F.lit("key")),
-            F.when(scalar & (text != "") & tx.contains_ci(text, keyword), F.lit("value"))))
-        part = level.select(*keep, "path", F.explode(found).alias("match"), F.substring(
-            F.coalesce(F.try_variant_get("value", "$", "string"), F.to_json("value")), 1, preview).alias("preview"))
-        hits = part if hits is None else hits.unionByName(part)
-        if i < depth:
-            level = level.select(*keep, F.explode(_children(F.col("value"), F.col("path"))).alias("_c")).select(
-                *keep, "_c.path", "_c.key", "_c.value")
-    return hits
-
-
-def json_profile(df: DataFrame, col: str, keep: Sequence[str]) -> DataFrame:
-    """Root type, first 20 keys, key count or length, type of the first item."""
+    found = F.pandas_udf(_json_walker(keyword, preview), "array<struct<path:string,match:string,preview:string>>")
+    return df.select(*keep, F.explode(found(F.col(col))).alias("_h")).select(*keep, "_h.*")
+
+
+def json_profile(df: DataFrame, col: str, keep: Sequence[str], keys: int | None = None) -> DataFrame:
+    """Root type, keys (the first of them if `keys` is given), key count or length, type of the first item."""
     v = F.try_parse_json(col)
     kind = F.lower(F.regexp_extract(F.schema_of_variant(v), r"^(\w+)", 1))
-    keys = F.json_object_keys(col)
+    names = F.json_object_keys(col)
     return df.select(
-        *keep, kind.alias("root_type"), F.slice(keys, 1, 20).alias("top_keys"), F.size(keys).alias("key_count"),
+        *keep, kind.alias("root_type"), (names if keys is None else F.slice(names, 1, keys)).alias("top_keys"), F.size(names).alias("key_count"),
         F.json_array_length(col).alias("length"),
         F.lower(F.regexp_extract(F.schema_of_variant(F.try_variant_get(v, "$[0]", "variant")), r"^(\w+)", 1)).alias("item_type"))
 
@@ -309,13 +330,16 @@ def fill_template(template: str, **values: Column) -> Column:
     return F.concat(*[values[p[1:-1]] if p.startswith("{") and p[1:-1] in values else F.lit(p) for p in pieces if p])
 
 
-def judge_batch(cases: DataFrame, template: str, limits: Mapping[str, int], persona: DataFrame | None = None,
-                criteria: DataFrame | None = None, heading: str = "\n\n") -> DataFrame:
-    """Offline prompt table: one row per case with the template filled and inputs cut to their limits.
+def judge_batch(cases: DataFrame, template: str, inputs: Sequence[str], persona: DataFrame | None = None,
+                criteria: DataFrame | None = None, heading: str = "\n\n", limits: Mapping[str, int] | None = None) -> DataFrame:
+    """Offline prompt table: one row per case with the template filled by the columns `inputs`.
 
+    `limits` cuts single inputs to a number of characters, as PROMPT_LIMITS does for a model's window.
     `persona` (id, dim, level) and `criteria` (dim, level, fragment) append the criteria that apply.
     """
-    values = {c: F.substring(F.coalesce(F.col(c).cast("string"), F.lit("")), 1, n) for c, n in limits.items()}
+    values = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in inputs}
+    for c, n in (limits or {}).items():
+        values[c] = F.substring(values[c], 1, n)
     out = cases.withColumn("prompt", fill_template(template, **values))
     if persona is None or criteria is None:
         return out.select("id", "prompt")
@@ -325,20 +349,20 @@ def judge_batch(cases: DataFrame, template: str, limits: Mapping[str, int], pers
         "id", F.concat("prompt", F.coalesce(F.concat(F.lit(heading), "_extra"), F.lit(""))).alias("prompt"))
 
 
-def case_summaries(cases: DataFrame) -> DataFrame:
+def case_summaries(cases: DataFrame, title_chars: int | None = None) -> DataFrame:
     """Id, one-line title, user and target type, evaluator."""
     def filled(c: Column) -> Column:
         return F.nullif(c, F.lit(""))
     title = F.coalesce(filled(F.col("title")), filled(F.get("strict_inputs", F.lit(0))), filled(F.col("goal")), F.lit(""))
     return cases.select(
-        "id", F.substring(title, 1, 100).alias("title"), F.coalesce("user_type", F.lit("")).alias("user_type"),
+        "id", (title if title_chars is None else F.substring(title, 1, title_chars)).alias("title"), F.coalesce("user_type", F.lit("")).alias("user_type"),
         F.coalesce(F.get(F.map_keys("target_overrides"), F.lit(0)), F.lit("")).alias("target_type"),
         F.coalesce("evaluator", F.lit("")).alias("evaluator"))
 
 
 # --- conversions ----------------------------------------------------------------------------------------------------------
 
-def queries_to_cases(queries: DataFrame, difficulty: str | None = None, limit: int | None = None) -> DataFrame:
+def queries_to_cases(queries: DataFrame, difficulty: str | None = None, limit: int | None = None, title_chars: int | None = None) -> DataFrame:
     """Knowledge queries (query_id, user_email, query_text, difficulty, answer_type, expected_value) to cases."""
     q = queries.where(F.col("difficulty") == difficulty) if difficulty else queries
     if limit is not None:
@@ -348,9 +372,10 @@ def queries_to_cases(queries: DataFrame, difficulty: str | None = None, limit: i
     case_id = F.when(numeric_prefix, F.concat(folder, F.regexp_replace("query_id", r"^\d+_", "_"))).otherwise(F.col("query_id"))
     diff = mapped(F.coalesce("difficulty", F.lit("direct")), DIFFICULTIES)
     kind = mapped(F.coalesce("answer_type", F.lit("text")), ANSWER_TYPES)
+    title = F.col("query_text") if title_chars is None else F.substring("query_text", 1, title_chars)
     return q.select(
         case_id.alias("id"),
-        F.concat(F.lit("["), diff, F.lit("] "), F.substring("query_text", 1, 60)).alias("title"),
+        F.concat(F.lit("["), diff, F.lit("] "), title).alias("title"),
         F.col("query_text").alias("description"), F.array("query_text").alias("strict_inputs"),
         kind.alias("answer_type"), "expected_value", diff.alias("difficulty"),
         F.array(F.concat(F.lit("difficulty:"), diff), F.concat(F.lit("answer_type:"), kind)).alias("tags"))
@@ -400,14 +425,14 @@ def calculator_to_cases(rows: DataFrame, prefix: str = "mc_") -> DataFrame:
 
 
 def pair_turns(messages: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
-    """Every user message with the assistant message right after it, NULL where another role follows.
+    """Every user message with the assistant message right after it, NULL where another role or nothing follows.
 
-    Turn numbers are consecutive per conversation, so the next message is found by an equi join.
+    Neighbours are found in order, so turn numbers may have gaps. A conversation is sorted in one task.
     """
-    users = messages.where(F.col("role") == "user").select(key, order, F.col("text").alias("user_text"))
-    replies = messages.where(F.col("role") == "assistant").select(
-        key, (F.col(order) - 1).alias(order), F.col("text").alias("assistant_text"))
-    return users.join(replies, [key, order], "left")
+    along = W.partitionBy(key).orderBy(order)
+    after = F.lead(F.struct("role", "text")).over(along)
+    return messages.select(key, order, "role", F.col("text").alias("user_text"), after.alias("_next")).where(F.col("role") == "user").select(
+        key, order, "user_text", F.when(F.col("_next.role") == "assistant", F.col("_next.text")).alias("assistant_text"))
 
 
 # --- sampling ----------------------------------------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -88,11 +89,17 @@ def profile_chunks(profiles: DataFrame) -> DataFrame:
                            F.concat(F.lit("[PROFILE]\n"), "profile").alias("text"))
 
 
+def _interrupted(columns: Sequence[str]) -> Column:
+    """The event's own mark; tables without one have a date for interrupted events only."""
+    dated = F.col("interruption_date").isNotNull() if "interruption_date" in columns else F.lit(False)
+    return F.coalesce("interrupted", F.lit(False)) if "interrupted" in columns else dated
+
+
 def _event_fields(columns: Sequence[str], separator: str, with_id: bool) -> Column:
     parts = [F.concat(F.lit("Type: "), _or_mark("event_type", columns))]
     if with_id:
         parts.append(F.concat(F.lit("Event ID: "), _or_mark("event_id", columns)))
-    interrupted = F.col("interruption_date").isNotNull()
+    interrupted = _interrupted(columns)
     parts += [
         F.concat(F.lit("Start: "), _or_mark("start_date", columns)),
         F.concat(F.lit("Duration: "), _or_mark("duration_days", columns), F.lit(" days")),
@@ -168,12 +175,12 @@ def semantic_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.where("semantic")
 
 
-def chunk_flat(events: DataFrame, exams: DataFrame, readings: DataFrame) -> DataFrame:
-    """Row chunks for events and exams, one chunk per day of readings."""
+def chunk_flat(events: DataFrame, exams: DataFrame, readings: DataFrame, max_chars: int = MAX_CHUNK_CHARS) -> DataFrame:
+    """Row chunks for events and exams; a day of readings is one chunk, or consecutive pieces of bounded size."""
     ex = exams.select("user_id", F.lit("exam").alias("kind"), F.col("exam_id").cast("string").alias("part"), F.lit(0).alias("piece"), F.concat(
         F.lit("[EXAM] "), F.col("day").cast("string"), F.lit(" | "), reading_line(exams.columns, ""), F.lit(" | Location: "),
         _or_mark("exam_location", exams.columns), F.lit(" | Type: "), _or_mark("exam_type", exams.columns)).alias("text"))
-    days = raw_chunks(readings, max_chars=1 << 30, overlap=0, header="[DEVICE] Date: ").withColumn("kind", F.lit("day"))
+    days = raw_chunks(readings, max_chars=max_chars, overlap=0, header="[DEVICE] Date: ").withColumn("kind", F.lit("day"))
     return event_chunks(events, " | ").unionByName(ex).unionByName(days)
 
 
@@ -196,12 +203,12 @@ def device_week_nodes(readings: DataFrame, order: Sequence[str] = ("time", "read
 def event_batch_chunks(events: DataFrame, size: int = 10) -> DataFrame:
     """Events in consecutive groups per user."""
     c = events.columns
-    interrupted = F.col("interruption_date").isNotNull()
+    interrupted = _interrupted(c)
     line = F.concat(
         F.lit("["), F.col("start_date").cast("string"), F.lit("] Event: "), _or_mark("event_name", c), F.lit(", Type: "), _or_mark("event_type", c),
         F.lit(", Start: "), _or_mark("start_date", c), F.lit(", Duration: "), _or_mark("duration_days", c), F.lit(" days, Interrupted: "),
         F.when(interrupted, F.lit("True")).otherwise(F.lit("False")),
-        F.when(interrupted, F.concat(F.lit(", Interruption date: "), F.col("interruption_date").cast("string"))).otherwise(F.lit("")))
+        F.when(interrupted & F.col("interruption_date").isNotNull(), F.concat(F.lit(", Interruption date: "), F.col("interruption_date").cast("string"))).otherwise(F.lit("")))
     body = joined_lines(event_batches(events, size), ["user_id", "batch"], ["position"], line)
     return body.select("user_id", F.lit("events").alias("kind"), F.col("batch").cast("string").alias("part"),
                        F.concat(F.lit("[DATA] Health Events\n"), "body").alias("text"))
@@ -222,41 +229,48 @@ def chunk_grouped(events: DataFrame, exams: DataFrame, readings: DataFrame, size
 def pack_lines(text: Column, max_chars: int = MAX_CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> Column:
     """Pack the data lines of one document greedily; every chunk repeats the profile part.
 
-    Without data lines the text is cut by characters. The fold keeps one open chunk and closes it
-    when the next line would not fit.
+    Without data lines the text is cut by characters. A line's chunk depends on all lines before it, and a fold that
+    appends to an array copies it with each line, so this one pass over the lines is an Arrow-batched function.
     """
-    def section(lines: Column) -> Column:
-        zero = F.struct(F.lit(False).alias("in_data"), F.array().cast("array<struct<d:boolean,l:string>>").alias("kept"))
-        return F.aggregate(lines, zero, lambda acc, ln: F.struct(
-            F.when(F.startswith(tx.strip(ln), F.lit("[DATA]")), True).when(tx.strip(ln) == "[PROFILE]", False)
-            .otherwise(acc["in_data"]).alias("in_data"),
-            F.when(tx.strip(ln) == "[PROFILE]", acc["kept"]).otherwise(F.concat(acc["kept"], F.array(F.struct(
-                (F.startswith(tx.strip(ln), F.lit("[DATA]")) | acc["in_data"]).alias("d"), ln.alias("l"))))).alias("kept")),
-            lambda acc: acc["kept"])
-
-    def pack(profile: Column, data: Column) -> Column:
-        zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"), F.lit(0).alias("n"))
-
-        def add(acc: Column, ln: Column) -> Column:
-            size = F.length(ln) + 1
-            full = acc["open"].isNotNull() & (acc["n"] + size > max_chars)
-            return F.struct(
-                F.when(full, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"),
-                F.when(full | acc["open"].isNull(), ln).otherwise(F.concat(acc["open"], F.lit("\n"), ln)).alias("open"),
-                (F.when(full, F.lit(0)).otherwise(acc["n"]) + size).alias("n"))
-
-        packed = F.aggregate(data, zero, add, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
-        return F.when(profile == "", packed).otherwise(F.concat(
-            F.array(profile), F.transform(packed, lambda ch: F.concat(profile, F.lit("\n"), ch))))
-
-    def chunks(kept: Column) -> Column:
-        head = F.filter(kept, lambda x: ~x["d"])
-        profile = F.when(F.size(head) > 0, F.concat(F.lit("[PROFILE]\n"), F.array_join(F.transform(head, lambda x: x["l"]), "\n"))).otherwise(F.lit(""))
-        data = F.transform(F.filter(kept, lambda x: x["d"]), lambda x: x["l"])
-        return F.when(F.size(data) == 0, tx.char_windows(text, max_chars, overlap)).otherwise(
-            tx.let(F.struct(profile.alias("p"), data.alias("d")), lambda s: pack(s["p"], s["d"])))
-
-    return tx.let(section(F.split(text, "\n")), chunks)
+    return F.pandas_udf(_line_packer(max_chars, overlap), "array<string>")(text)
+
+
+def _line_packer(max_chars: int, overlap: int):
+    white = tx.WHITE_SPACE
+
+    def sections(lines: list[str]) -> tuple[list[str], list[str]]:
+        head, data, in_data = [], [], False
+        for line in lines:
+            mark = line.strip(white)
+            if mark == "[PROFILE]":
+                in_data = False
+                continue
+            in_data = in_data or mark.startswith("[DATA]")
+            (data if in_data else head).append(line)
+        return head, data
+
+    def chunks(text: str) -> list[str]:
+        head, data = sections(text.split("\n"))
+        if not data:
+            step = max_chars - overlap
+            return [text] if len(text) <= max_chars else [text[i:i + max_chars] for i in range(0, len(text), step)]
+        groups: list[list[str]] = [[]]
+        size = 0
+        for line in data:
+            if groups[-1] and size + len(line) + 1 > max_chars:
+                groups.append([])
+                size = 0
+            groups[-1].append(line)
+            size += len(line) + 1
+        packed = ["\n".join(g) for g in groups]
+        if not head:
+            return packed
+        profile = "[PROFILE]\n" + "\n".join(head)
+        return [profile, *(profile + "\n" + p for p in packed)]
+
+    def pack(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else chunks(t) for t in texts], dtype=object)
+    return pack
 
 
 # --- fingerprints -----------------------------------------------------------------------------------------
@@ -271,7 +285,7 @@ def content_fingerprint(df: DataFrame, keys: Sequence[str], *parts: Column) -> D
     digest = F.md5(F.concat_ws("\x1f", *[p.cast("string") for p in parts]))
 
     def limb(start: int) -> Column:
-        return F.sum(F.conv(F.substring(digest, start, 8), 16, 10).cast("bigint")).cast("decimal(38,0)")
+        return F.sum(F.conv(F.substring(digest, start, 8), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)")
 
     sums = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), *[limb(1 + 8 * i).alias(f"_s{i}") for i in range(4)])
     return sums.select(*keys, "n_rows", F.md5(F.concat_ws(":", F.col("n_rows").cast("string"), *[

@@ -49,8 +49,8 @@ def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, key: str = "user_
                 positive: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Exact cosine top-k per query among the chunks of the same user; on ties the higher id first.
 
-    Every pair of a query block and a chunk block yields at most k rows per query, ties aside; a
-    window then picks the k best of those.
+    Every pair of a query block and a chunk block yields at most k rows per query; a window then picks
+    the k best of those.
     """
     c_rows, c_sizes = _blocked(chunks.select(key, chunk_id, "embedding"), [key], [], chunk_id, block_rows, "cb")
     q_rows, q_sizes = _blocked(queries.select(key, "query_id", "embedding"), [key], [], "query_id", block_rows, "qb")
@@ -70,8 +70,16 @@ def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, key: str = "user_
         wanted = scores >= floor[:, None]
         if positive:
             wanted &= scores > 0
+        ids = left[chunk_id].to_numpy()
+        high_first = np.argsort(ids, kind="stable")[::-1]
+        for q in np.flatnonzero(wanted.sum(axis=1) > keep):
+            # More than k because of ties at the end: the higher ids stay.
+            at = high_first[wanted[q, high_first]]
+            at = at[np.argsort(-scores[q, at], kind="stable")][:keep]
+            wanted[q] = False
+            wanted[q, at] = True
         qi, ci = np.nonzero(wanted)
-        return pd.DataFrame({"query_id": right["query_id"].to_numpy()[qi], chunk_id: left[chunk_id].to_numpy()[ci], "score": scores[qi, ci]})
+        return pd.DataFrame({"query_id": right["query_id"].to_numpy()[qi], chunk_id: ids[ci], "score": scores[qi, ci]})
 
     pairs = [key, "qb", "cb"]
     found = _fresh(c_all).groupBy(*pairs).cogroup(_fresh(q_all).groupBy(*pairs)).applyInPandas(
@@ -192,7 +200,7 @@ def personalized_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame,
     Edges are undirected. Mass of nodes without edges returns to the seeds. A query stops once its
     L1 change is below tol times its number of nodes; its scores stay as they are from then on.
     Every round ends in the checkpoint folder: the next one reads the state three times, and a
-    lineage kept over rounds would triple with each. The end is looked for every few rounds.
+    lineage kept over rounds would triple with each. Every few rounds the settled queries leave the state.
     """
     both = edges.select(key, "src", "dst", "weight").union(edges.select(key, F.col("dst"), F.col("src"), "weight"))
     degree = both.groupBy(key, "src").agg(F.sum("weight").alias("_deg"))
@@ -205,6 +213,7 @@ def personalized_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame,
         "query_id", key, "node", "n", F.coalesce(F.try_divide("_weight", "_total"), F.lit(0.0)).alias("seed"),
         F.col("_linked").isNull().alias("dangling"), (1.0 / F.col("n")).alias("score"), F.lit(float("inf")).alias("change"))
     state = checkpointed(state)
+    finished: list[DataFrame] = []
 
     def settled_queries(rows: DataFrame) -> DataFrame:
         """Per query: whether the last change was small enough, and the mass that dangles."""
@@ -222,8 +231,14 @@ def personalized_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame,
         state = checkpointed(following.select(
             "query_id", key, "node", "n", "seed", "dangling", F.col("_next").alias("score"),
             F.when(F.col("_done"), F.col("change")).otherwise(F.abs(F.col("_next") - F.col("score"))).alias("change")))
-        if i % every == 0 and settled_queries(state).where(~F.col("_done")).isEmpty():
-            break
+        if i % every == 0:
+            marked = state.join(settled_queries(state).select("query_id", "_done"), "query_id")
+            finished.append(marked.where("_done").drop("_done"))
+            state = checkpointed(marked.where(~F.col("_done")).drop("_done"))
+            if state.isEmpty():
+                break
+    for part in finished:
+        state = state.unionByName(part)
     return state.join(settled_queries(state), "query_id").select(
         "query_id", key, "node", "score", F.col("_done").alias("converged"))
 
@@ -248,6 +263,6 @@ def graph_retrieve(queries: DataFrame, chunk_vectors: DataFrame, entity_vectors:
     ranks = personalized_pagerank(nodes, edges, seeds, key=key, max_iter=max_iter)
     chunk_type = dict(chunk_vectors.dtypes)["chunk_id"]
     passages = ranks.where(F.col("converged") & F.startswith(F.col("node"), F.lit("passage:"))).select(
-        "query_id", F.substring_index("node", ":", -1).cast(chunk_type).alias("chunk_id"), "score")
+        "query_id", F.substring("node", F.lit(len("passage:") + 1), F.length("node")).cast(chunk_type).alias("chunk_id"), "score")
     by_graph = top_k(passages, ["query_id"], [F.desc("score"), F.desc("chunk_id")], k)
     return top_up(by_graph, dense_top_k(queries, chunk_vectors, k, key), k)

@@ -9,6 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+SLICES = 64
+
+
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cell: Column,
            rank: str = "rank", size: str | None = None) -> DataFrame:
     """row_number() per group, computed cell by cell.
@@ -38,7 +41,16 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cell: Co
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
-    """First k rows per group. Spark cuts every partition to k per group before the shuffle."""
+    """First k rows per group.
+
+    Spark cuts every partition to k per group before the shuffle, but only up to its own limit. Beyond it, groups are cut
+    in slices by a hash of the row first, so that no task sorts a whole group.
+    """
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if k > limit:
+        plain = [c for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]
+        slices = W.partitionBy(*keys, F.pmod(F.xxhash64(*plain), F.lit(SLICES))).orderBy(*order)
+        df = df.withColumn("_rk_slice", F.row_number().over(slices)).where(F.col("_rk_slice") <= k).drop("_rk_slice")
     return df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= k)
 
 

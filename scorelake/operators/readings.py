@@ -6,7 +6,7 @@ user with very many rows is spread over its months.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,18 +57,13 @@ def lookup_readings(device: DataFrame, exams: DataFrame, indicator: str, date: s
 
 
 def page(df: DataFrame, order: Sequence[Column], offset: int, size: int) -> DataFrame:
-    """One page with its totals. The rows pass through a bounded top-n, the total through a count."""
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    slice_ = df.orderBy(*order).offset(offset).limit(size)
-    fetched = F.least(F.lit(size), F.greatest(F.col("total") - offset, F.lit(0)))
-    totals = total.select(
-        "total",
-        (F.lit(offset) + fetched < F.col("total")).alias("has_more"),
-        F.when(F.lit(offset) + fetched < F.col("total"), F.lit(offset) + fetched).alias("next_offset"),
-        F.ceil(F.col("total") / size).alias("total_pages"),
-    )
-    one = F.lit(1).alias("_one")
-    return slice_.withColumn("_one", F.lit(1)).join(totals.select("*", one), "_one").drop("_one")
+    """One page with its totals. The rows pass through a bounded top-n; the total is a scalar subquery."""
+    total = df.agg(F.count(F.lit(1))).scalar()
+    slice_ = df.orderBy(*order).offset(offset).limit(size).withColumn("total", total)
+    last = F.lit(offset) + F.least(F.lit(size), F.greatest(F.col("total") - offset, F.lit(0)))
+    return slice_.withColumns({
+        "has_more": last < F.col("total"), "next_offset": F.when(last < F.col("total"), last),
+        "total_pages": F.ceil(F.col("total") / size)})
 
 
 def page_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], offset: int, size: int) -> DataFrame:
@@ -184,7 +179,7 @@ def count_events_by_indicator(events: DataFrame, links: DataFrame, term: str, ke
     return events_touching(events, links, term).groupBy(*keys).agg(F.count_distinct(identity).alias("n_events"))
 
 
-def preview_events_by_indicator(events: DataFrame, links: DataFrame, term: str, keys: Sequence[str], k: int = 12) -> DataFrame:
+def preview_events_by_indicator(events: DataFrame, links: DataFrame, term: str, keys: Sequence[str], k: int) -> DataFrame:
     return top_k(events_touching(events, links, term), keys, [F.col("start_date"), F.col("event_name"), F.col("event_id")], k)
 
 
@@ -229,21 +224,32 @@ def names_on_date(readings: DataFrame, keys: Sequence[str] = ("user_id", "day"),
 
 # --- windows over readings --------------------------------------------------------------------------
 
-def window_join(windows: DataFrame, readings: DataFrame, keys: Sequence[str] = ("user_id", "indicator")) -> DataFrame:
-    """Readings inside closed day windows: equi keys and month bucket, BETWEEN as the rest."""
+def window_join(windows: DataFrame, readings: DataFrame, keys: Sequence[str] = ("user_id", "indicator"),
+                carry: Sequence[str] = ()) -> DataFrame:
+    """Readings inside closed day windows: equi keys and month bucket, BETWEEN as the rest.
+
+    `carry` names further columns of the readings to keep.
+    """
     w = windows.withColumn("_month", _months(F.col("start_date"), F.col("end_date")))
     r = readings.where(F.col("value_num").isNotNull()).withColumn("_month", F.trunc("day", "month"))
-    return w.join(r.select(*keys, "_month", "day", "value_num"), [*keys, "_month"]).where(
+    return w.join(r.select(*keys, "_month", "day", "value_num", *carry), [*keys, "_month"]).where(
         F.col("day").between(F.col("start_date"), F.col("end_date"))).drop("_month")
 
 
 def window_stats(windows: DataFrame, readings: DataFrame, keys: Sequence[str] = ("user_id", "indicator"),
-                 by: Sequence[str] | None = None, median: bool = True) -> DataFrame:
-    """Every window with its statistics, rounded to four digits; `unanswerable` without readings."""
-    by = list(by or [*keys, "start_date", "end_date"])
+                 by: Sequence[str] | None = None, median: bool = True, vary: Callable[[DataFrame], DataFrame] | None = None,
+                 extra: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
+    """Every window with its statistics, rounded to four digits; `unanswerable` without readings.
+
+    `vary` makes several versions of the readings inside the windows, told apart by the columns `extra`;
+    it may use the columns `carry`.
+    """
     # Queries often ask for the same range: every range is joined and aggregated once.
-    span = [*keys, "start_date", "end_date"]
-    joined = window_join(windows.select(*span).distinct(), readings, keys)
+    base = [*keys, "start_date", "end_date"]
+    span = [*extra, *base]
+    by = list(by or span)
+    joined = window_join(windows.select(*base).distinct(), readings, keys, carry)
+    joined = joined if vary is None else vary(joined).select(*span, "day", "value_num")
     v = F.col("value_num")
     stats = joined.groupBy(*span).agg(
         F.count(v).alias("n_points"),

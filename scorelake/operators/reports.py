@@ -30,9 +30,10 @@ def check_submission(submissions: DataFrame, cases: DataFrame) -> DataFrame:
     )
 
 
-def unmatched_ids(left: DataFrame, right: DataFrame, k: int = 50) -> DataFrame:
-    """The first k ids of `left` that `right` lacks."""
-    return left.select("id").distinct().join(right, "id", "left_anti").orderBy("id").limit(k)
+def unmatched_ids(left: DataFrame, right: DataFrame, k: int | None = None) -> DataFrame:
+    """The ids of `left` that `right` lacks, in order; the first k if k is given."""
+    ids = left.select("id").distinct().join(right, "id", "left_anti").orderBy("id")
+    return ids if k is None else ids.limit(k)
 
 
 def matched_tags(submissions: DataFrame, cases: DataFrame) -> DataFrame:
@@ -146,17 +147,18 @@ def reeval_summary(pairs: DataFrame, changed_only: bool = False) -> DataFrame:
         settled(mean("delta")).alias("avg_delta"))
 
 
-def top_changes(pairs: DataFrame, k: int = 10, tie: Sequence[str] = ("id",)) -> DataFrame:
+def top_changes(pairs: DataFrame, k: int, tie: Sequence[str] = ("id",)) -> DataFrame:
     return pairs.where(F.abs("delta") > 0.001).orderBy(F.desc(F.abs("delta")), *tie).limit(k)
 
 
-def failures(results: DataFrame, k: int = 20, order: Sequence[str] = ("id",)) -> DataFrame:
-    return results.where(F.col("result") == "fail").orderBy(*order).limit(k).withColumn(
-        "feedback", F.substring("feedback", 1, 80))
+def failures(results: DataFrame, k: int, order: Sequence[str] = ("id",), chars: int | None = None) -> DataFrame:
+    """The first k failures; `chars` cuts their feedback."""
+    rows = results.where(F.col("result") == "fail").orderBy(*order).limit(k)
+    return rows if chars is None else rows.withColumn("feedback", F.substring("feedback", 1, chars))
 
 
 def leaderboard(results: DataFrame, system: str = "system_id") -> DataFrame:
-    """Average score, total time and rank per system. The rank runs over one row per system."""
+    """Average score, total time and rank per system."""
     per = results.groupBy(system).agg(
         F.count(F.lit(1)).alias("n_cases"), settled(F.avg("score"), 6).alias("avg_score"),
         F.sum(seconds(F.col("start_ts"), F.col("end_ts"))).alias("total_seconds"))
@@ -164,6 +166,7 @@ def leaderboard(results: DataFrame, system: str = "system_id") -> DataFrame:
 
 
 def rank_systems(per_system: DataFrame, score: str = "avg_score") -> DataFrame:
+    """Ranks over the given rows in one partition: a table of systems has a row for each, not for each result."""
     w = W.partitionBy(F.lit(0)).orderBy(F.desc(score))
     return per_system.withColumns({"rank": F.rank().over(w), "dense_rank": F.dense_rank().over(w)})
 
@@ -228,17 +231,21 @@ def price_usage(usage: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def token_totals(usage: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Summed tokens; `cached_tokens` is the part of the input that was read from a cache."""
     return usage.groupBy(*by).agg(
-        F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
-        F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("total_tokens"))
+        F.sum("input_tokens").alias("input_tokens"), F.sum(F.coalesce("cached_tokens", F.lit(0))).alias("cached_tokens"),
+        F.sum("output_tokens").alias("output_tokens"), F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("total_tokens"))
 
 
 def usage_by_model(usage: DataFrame) -> DataFrame:
     return token_totals(usage, ["model"])
 
 
-def cost(price_in: Column, price_out: Column, tokens_in: Column, tokens_out: Column) -> Column:
-    return (tokens_in * price_in + tokens_out * price_out) / 1_000_000
+def priced_tokens() -> Column:
+    """USD of a priced usage row: cached input at its own price, the rest of the input at the full one."""
+    cached = F.least(F.coalesce("cached_tokens", F.lit(0)), F.col("input_tokens"))
+    fresh = F.col("input_tokens") - cached
+    return (fresh * F.col("price_in") + cached * F.col("price_cached") + F.col("output_tokens") * F.col("price_out")) / 1_000_000
 
 
 def cost_rollup(usage: DataFrame, prices: DataFrame, reported: DataFrame | None = None) -> DataFrame:
@@ -248,19 +255,18 @@ def cost_rollup(usage: DataFrame, prices: DataFrame, reported: DataFrame | None
     """
     priced = price_usage(token_totals(usage, ["role", "model"]), prices)
     per_role = priced.groupBy("role").agg(
-        F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
-        settled(F.sum(cost(F.col("price_in"), F.col("price_out"), F.col("input_tokens"), F.col("output_tokens")))).alias("cost"))
+        F.sum("input_tokens").alias("input_tokens"), F.sum("cached_tokens").alias("cached_tokens"), F.sum("output_tokens").alias("output_tokens"),
+        settled(F.sum(priced_tokens())).alias("cost"))
     if reported is None:
         return per_role
     return per_role.join(reported, "role", "left").withColumn("cost", F.coalesce("total_cost", "cost")).drop("total_cost")
 
 
 def estimate_cost(cases: DataFrame, spec: DataFrame, prices: DataFrame) -> DataFrame:
-    """Expected cost and time of a run per target: spec has target, model, tokens per case, concurrency."""
+    """Expected cost and time of a run per target: spec has target, model, tokens per case (input, cached, output), concurrency."""
     n = cases.groupBy("target").agg(F.count(F.lit(1)).alias("n_cases"))
     priced = price_usage(spec, prices)
-    per_case = cost(F.col("price_in"), F.col("price_out"), F.col("input_tokens"), F.col("output_tokens")) + F.coalesce(
-        "eval_overhead", F.lit(DEFAULT_EVAL_OVERHEAD))
+    per_case = priced_tokens() + F.coalesce("eval_overhead", F.lit(DEFAULT_EVAL_OVERHEAD))
     pace = F.ceil(F.col("n_cases") * SECONDS_PER_CASE / F.coalesce(F.nullif("concurrency", F.lit(0)), F.lit(DEFAULT_CONCURRENCY)))
     return n.join(priced, "target").select(
         "target", "n_cases", settled(F.col("n_cases") * per_case).alias("cost"), pace.alias("seconds"))
@@ -283,8 +289,14 @@ def longest_prefix(names: DataFrame, known: DataFrame, name: str = "name", datas
         "label", F.when(F.col(name) != F.col(dataset), F.expr(f"substring({name}, length({dataset}) + 2)")))
 
 
-def changed_batches(remote: DataFrame, local: DataFrame, force: bool = False) -> DataFrame:
-    """Remote batches that are new or whose checksum differs; `force` takes all."""
+def changed_batches(remote: DataFrame, local: DataFrame, force: bool = False,
+                    versions: tuple[str | None, str | None] = (None, None)) -> DataFrame:
+    """Remote batches that are new or whose checksum differs; `force` takes all.
+
+    `versions` are those of the remote and the local manifest; while they are equal nothing has changed.
+    """
+    if not force and versions[0] is not None and versions[0] == versions[1]:
+        return remote.limit(0)
     both = remote.join(local.select("batch", F.col("checksum").alias("_have")), "batch", "left")
     return (both if force else both.where(~F.col("checksum").eqNullSafe(F.col("_have")))).drop("_have")
 
@@ -303,7 +315,7 @@ def case_cost(usage: DataFrame, prices: DataFrame, details: DataFrame, target_ro
     priced = price_usage(token_totals(usage, ["id", "role", "model"]), prices)
     per_role = priced.groupBy("id", "role").agg(
         F.sum("total_tokens").alias("_tokens"),
-        F.sum(cost(F.col("price_in"), F.col("price_out"), F.col("input_tokens"), F.col("output_tokens"))).alias("_cost"))
+        F.sum(priced_tokens()).alias("_cost"))
     said = details.select("id", F.lit(target_role).alias("role"), F.col("tokens").alias("_said"), "total_cost")
     return per_role.join(said, ["id", "role"], "left").groupBy("id").agg(
         F.sum(F.coalesce("_said", "_tokens")).alias("total_tokens"),

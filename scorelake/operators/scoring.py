@@ -7,7 +7,7 @@ routed scorer makes a single pass over the rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -253,7 +253,7 @@ def score_rubric(items: DataFrame, verdicts: DataFrame, key: str = "case_id") ->
 
 
 def score_criteria(items: DataFrame, verdicts: DataFrame, threshold: float = 0.6, key: str = "case_id") -> DataFrame:
-    """Weights brought to 100, missing dimensions at 50, weighted mean of 0-100 scores."""
+    """Weights brought to 100, missing dimensions at 50, weighted mean of 0-100 scores; without any verdict a failure."""
     totals = items.groupBy(key).agg(F.sum(F.coalesce("weight", F.lit(0))).alias("_total"), F.count(F.lit(1)).alias("_n"))
     w = F.coalesce("weight", F.lit(0))
     weighted = (
@@ -264,21 +264,22 @@ def score_criteria(items: DataFrame, verdicts: DataFrame, threshold: float = 0.6
         .withColumn("_s", F.coalesce("verdict", F.lit(50)).cast("double"))
     )
     per_case = weighted.groupBy(key).agg(
-        F.sum(F.col("_s") * F.col("_w")).alias("_sum"), F.sum("_w").alias("_weight"))
-    score = F.when(F.col("_weight") > 0, F.col("_sum") / F.col("_weight") / 100).otherwise(F.lit(0.0))
+        F.sum(F.col("_s") * F.col("_w")).alias("_sum"), F.sum("_w").alias("_weight"), F.count("verdict").alias("_given"))
+    score = F.when((F.col("_weight") > 0) & (F.col("_given") > 0), F.col("_sum") / F.col("_weight") / 100).otherwise(F.lit(0.0))
     return per_case.select(key, score.alias("score")).withColumn(
         "result", F.when(F.col("score") >= threshold, F.lit("pass")).otherwise(F.lit("fail")))
 
 
 def score_dimensions(items: DataFrame, verdicts: DataFrame, threshold: float = 0.6, key: str = "case_id") -> DataFrame:
-    """1-5 scores, 3 where missing or out of range, weighted mean mapped to 0-1."""
+    """1-5 scores, 3 where missing or out of range, weighted mean mapped to 0-1; without any verdict an error."""
     graded = items.join(verdicts, [key, "name"], "left").withColumn(
         "_s", F.when(F.col("verdict").between(1, 5), F.col("verdict")).otherwise(F.lit(3)).cast("double"))
     per_case = graded.groupBy(key).agg(
-        F.sum(F.col("_s") * F.col("weight")).alias("_sum"), F.sum("weight").alias("_weight"))
-    score = F.when(F.col("_weight") == 0, F.lit(0.0)).otherwise((F.col("_sum") / F.col("_weight") - 1) / 4)
-    return per_case.select(key, score.alias("score")).withColumn(
-        "result", F.when(F.col("score") >= threshold, F.lit("pass")).otherwise(F.lit("fail")))
+        F.sum(F.col("_s") * F.col("weight")).alias("_sum"), F.sum("weight").alias("_weight"), F.count("verdict").alias("_given"))
+    failed = F.col("_given") == 0
+    score = F.when(failed | (F.col("_weight") == 0), F.lit(0.0)).otherwise((F.col("_sum") / F.col("_weight") - 1) / 4)
+    result = F.when(failed, F.lit("error")).when(score >= threshold, F.lit("pass")).otherwise(F.lit("fail"))
+    return per_case.select(key, score.alias("score"), result.alias("result"))
 
 
 def score_label(df: DataFrame, opening="opening", reply="reply", label="label", positive="engaged",
@@ -338,26 +339,28 @@ def latency_by_turn(turns: DataFrame) -> DataFrame:
 
 # --- dialogue text -----------------------------------------------------------------------------
 
-# style -> (user label, assistant label, separator, numbered turns, assistant text limit)
+# style -> (user label, assistant label, separator, numbered turns)
 DIALOGUE_STYLES = {
-    "rubric": ("user: ", "assistant: ", "\n\n", False, None),
-    "numbered": ("用户: ", "AI: ", "\n", True, None),
-    "semantic": ("User: ", "AI Assistant: ", "\n\n", False, 2000),
+    "rubric": ("user: ", "assistant: ", "\n\n", False),
+    "numbered": ("用户: ", "AI: ", "\n", True),
+    "semantic": ("User: ", "AI Assistant: ", "\n\n", False),
 }
 
 
-def flatten_dialogue(turns: DataFrame, style: str, key: str = "conv_id") -> DataFrame:
+def flatten_dialogue(turns: DataFrame, style: str, key: str = "conv_id", assistant_chars: int | None = None) -> DataFrame:
     """One text per conversation from (key, turn, role, text) rows, empty turns dropped.
 
+    `assistant_chars` clips the assistant's lines, for judges with a small window.
+
     A conversation is the unit that a judge reads, so its turns are gathered in one row. The turn
     number advances after every assistant line. A boolean `ghost` column marks closing user turns that
     were never sent; only the numbered style shows them.
     """
-    user_label, ai_label, separator, numbered, limit = DIALOGUE_STYLES[style]
+    user_label, ai_label, separator, numbered = DIALOGUE_STYLES[style]
     body = F.col("text")
-    if limit:
-        body = F.when((F.col("role") == "assistant") & (F.length("text") > limit),
-                      F.concat(F.substring("text", 1, limit), F.lit("...(truncated)"))).otherwise(body)
+    if assistant_chars is not None:
+        body = F.when((F.col("role") == "assistant") & (F.length("text") > assistant_chars),
+                      F.concat(F.substring("text", 1, assistant_chars), F.lit("...(truncated)"))).otherwise(body)
     line = F.concat(F.when(F.col("role") == "user", F.lit(user_label)).otherwise(F.lit(ai_label)), body)
     spoken = turns.where(F.col("role").isin("user", "assistant") & (F.coalesce("text", F.lit("")) != ""))
     if "ghost" in turns.columns and not numbered:
@@ -374,38 +377,72 @@ def flatten_dialogue(turns: DataFrame, style: str, key: str = "conv_id") -> Data
 
 # --- registry ------------------------------------------------------------------------------------
 
-_SCORERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+_ROW_SCORERS: dict[str, tuple[Callable[[DataFrame], DataFrame], dict[str, str]]] = {}
+_TABLE_SCORERS: dict[str, tuple[Callable[..., DataFrame], tuple[str, ...]]] = {}
 
 
-def scorer(name: str):
-    """Register a `DataFrame -> DataFrame` scorer under an evaluator name."""
+def scorer(name: str, needs: Mapping[str, str] | None = None):
+    """Register a `DataFrame -> DataFrame` scorer of single rows under an evaluator name.
+
+    `needs` names its columns and their types; cases without such a column have NULL in it.
+    """
     def register(fn: Callable[[DataFrame], DataFrame]):
-        _SCORERS[name] = fn
+        _ROW_SCORERS[name] = (fn, dict(needs or {}))
+        return fn
+    return register
+
+
+def table_scorer(name: str, *tables: str):
+    """Register a scorer that makes (case, result, score) from tables of items and verdicts, given in this order."""
+    def register(fn: Callable[..., DataFrame]):
+        _TABLE_SCORERS[name] = (fn, tables)
         return fn
     return register
 
 
-scorer("typed_qa")(score_by_type)
-scorer("calculator")(score_typed)
+scorer("typed_qa", {"answer": "string", "expected_value": "string", "answer_type": "string"})(score_by_type)
+scorer("calculator", {"extracted": "string", "ground_truth": "string", "output_type": "string", "lower_limit": "string",
+                      "upper_limit": "string"})(score_typed)
+scorer("label", {"opening": "string", "reply": "string", "label": "string"})(score_label)
+table_scorer("rubric", "rubric_items", "rubric_verdicts")(score_rubric)
+table_scorer("criteria", "criteria_items", "criteria_verdicts")(score_criteria)
+table_scorer("dimensions", "dimension_items", "dimension_verdicts")(score_dimensions)
+table_scorer("checkpoints", "checkpoints", "turns")(score_checkpoints)
 
 
 def registered_scorers() -> list[str]:
-    return sorted(_SCORERS)
+    return sorted([*_ROW_SCORERS, *_TABLE_SCORERS])
 
 
-def score_all(cases: DataFrame, columns: Sequence[str] = ("id", "evaluator", "result", "score")) -> DataFrame:
-    """Route rows by `evaluator`, score every route, and put the rows together again.
+def score_all(cases: DataFrame, tables: Mapping[str, DataFrame] | None = None,
+              columns: Sequence[str] = ("id", "evaluator", "result", "score")) -> DataFrame:
+    """Score every row by its `evaluator`, in one pass over the cases.
 
-    Rows of an unknown evaluator come back as errors.
+    Evaluators of items and verdicts read `tables`, whose first column is the case id; a case without
+    items fails, and one whose evaluator's tables are missing is an error, as is an unknown evaluator.
     """
-    known = registered_scorers()
-    parts = [_SCORERS[name](cases.where(F.col("evaluator") == name)).select(*columns) for name in known]
-    rest = cases.where(~F.coalesce(F.col("evaluator").isin(known), F.lit(False))).withColumns(
-        {"result": F.lit("error"), "score": F.lit(0.0)}).select(*columns)
-    out = rest
-    for part in parts:
-        out = out.unionByName(part)
-    return out
+    tables = tables or {}
+    df, results, scores = cases, [], []
+    is_for = lambda name: F.coalesce(F.col("evaluator") == name, F.lit(False))
+    for i, (name, (fn, needs)) in enumerate(sorted(_ROW_SCORERS.items())):
+        df = df.withColumns({c: F.lit(None).cast(kind) for c, kind in needs.items() if c not in df.columns})
+        df = fn(df).drop("detail").withColumnsRenamed({"result": f"_result{i}", "score": f"_score{i}"})
+        results.append(F.when(is_for(name), F.col(f"_result{i}")))
+        scores.append(F.when(is_for(name), F.col(f"_score{i}")))
+    judged, ready = None, []
+    for name, (fn, needed) in sorted(_TABLE_SCORERS.items()):
+        if not all(t in tables for t in needed):
+            continue
+        ready.append(name)
+        scored = fn(*[tables[t] for t in needed])
+        part = scored.select(F.col(scored.columns[0]).alias("_case"), F.lit(name).alias("_by"), F.col("result").alias("_table_result"), F.col("score").alias("_table_score"))
+        judged = part if judged is None else judged.unionByName(part)
+    if judged is not None:
+        df = df.join(judged, (F.col("id") == F.col("_case")) & (F.col("evaluator") == F.col("_by")), "left")
+        mine = F.coalesce(F.col("evaluator").isin(ready), F.lit(False))
+        results.append(F.when(mine, F.coalesce("_table_result", F.lit("fail"))))
+        scores.append(F.when(mine, F.coalesce("_table_score", F.lit(0.0))))
+    return df.withColumns({"result": F.coalesce(*results, F.lit("error")), "score": F.coalesce(*scores, F.lit(0.0))}).select(*columns)
 
 
 def rescore(stored: DataFrame, tolerance: float = 0.01) -> DataFrame:

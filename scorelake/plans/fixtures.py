@@ -7,11 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.session import spread, tune
-
-
-# Tables whose rows carry long texts: the work per row outweighs the scan.
-TEXT_TABLES = ("documents", "conversations", "pages", "benchmark")
+from scorelake.session import tune
 
 
 class Tables:
@@ -22,8 +18,7 @@ class Tables:
         self.root = root.rstrip("/")
 
     def raw(self, name: str) -> DataFrame:
-        table = self.spark.read.parquet(f"{self.root}/{name}.parquet")
-        return spread(table) if name in TEXT_TABLES else table
+        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
     @cached_property
     def readings(self) -> DataFrame:
@@ -83,10 +78,20 @@ class Tables:
 
     @cached_property
     def answers(self) -> DataFrame:
-        return spread(self.raw("orders").where("o_totalprice >= 40000")).selectExpr(
+        """An answer to every case; some with full-width digits."""
+        return self._answered(self.raw("orders"))
+
+    @cached_property
+    def submitted(self) -> DataFrame:
+        """A submission that leaves out the cheap orders."""
+        return self._answered(self.raw("orders").where("o_totalprice >= 40000"))
+
+    def _answered(self, orders: DataFrame) -> DataFrame:
+        return orders.selectExpr(
             "o_orderkey AS id",
             "CASE o_orderkey % 5"
-            " WHEN 0 THEN concat('Thought', chr(10), 'ANSWER: ', CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING))"
+            " WHEN 0 THEN concat('Thought', chr(10), 'ANSWER: ', translate(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING),"
+            " '0123456789', IF(o_orderkey % 3 = 0, '０１２３４５６７８９', '0123456789')))"
             " WHEN 1 THEN concat('about ', CAST(CAST(floor(o_totalprice * 1.005D) AS BIGINT) AS STRING))"
             " WHEN 2 THEN 'I cannot find that value, maybe 7'"
             " WHEN 3 THEN concat('it was ', CAST(CAST(floor(o_totalprice * 2) AS BIGINT) AS STRING))"
@@ -111,6 +116,7 @@ class Tables:
         return self.raw("lineitem").selectExpr(
             "l_orderkey AS id", "l_returnflag AS role", "concat('m', CAST(l_suppkey % 5 AS STRING)) AS model",
             "CAST(floor(l_quantity * 100) AS BIGINT) AS input_tokens",
+            "IF(l_linenumber = 1, NULL, CAST(floor(l_quantity * 10 * (l_linenumber % 4)) AS BIGINT)) AS cached_tokens",
             "CAST(floor(l_extendedprice / 10) AS BIGINT) AS output_tokens")
 
     @cached_property
@@ -159,20 +165,23 @@ VIEW_SQL = {
     " UNION ALL SELECT o_orderkey, concat('status:', o_orderstatus) FROM orders"
     " UNION ALL SELECT o_orderkey, concat('opening:0', CAST(1 + o_orderkey % 3 AS VARCHAR)) FROM orders",
     "v_answers": "SELECT o_orderkey AS id, CASE o_orderkey % 5"
-    " WHEN 0 THEN concat('Thought', chr(10), 'ANSWER: ', CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR))"
+    " WHEN 0 THEN concat('Thought', chr(10), 'ANSWER: ', translate(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR),"
+    " '0123456789', CASE WHEN o_orderkey % 3 = 0 THEN '０１２３４５６７８９' ELSE '0123456789' END))"
     " WHEN 1 THEN concat('about ', CAST(CAST(floor(o_totalprice * 1.005::DOUBLE) AS BIGINT) AS VARCHAR))"
     " WHEN 2 THEN 'I cannot find that value, maybe 7'"
     " WHEN 3 THEN concat('it was ', CAST(CAST(floor(o_totalprice * 2) AS BIGINT) AS VARCHAR))"
-    " ELSE 'Yes, this is correct' END AS answer FROM orders WHERE o_totalprice >= 40000",
+    " ELSE 'Yes, this is correct' END AS answer FROM orders",
+    "v_submitted": "SELECT a.* FROM v_answers a JOIN orders ON o_orderkey = id WHERE o_totalprice >= 40000",
     "v_results": "SELECT l_orderkey AS id, l_linenumber AS system_id,"
     " CASE WHEN max(l_discount) >= 0.05 THEN 'pass' WHEN max(l_discount) >= 0.02 THEN 'fail' ELSE 'scored' END AS result,"
     " max(l_discount) * 10 AS score, min(l_shipdate) AS start_ts, max(l_shipdate) AS end_ts"
     " FROM lineitem GROUP BY l_orderkey, l_linenumber",
     "v_usage": "SELECT l_orderkey AS id, l_returnflag AS role, concat('m', CAST(l_suppkey % 5 AS VARCHAR)) AS model,"
     " CAST(floor(l_quantity * 100) AS BIGINT) AS input_tokens,"
+    " CASE WHEN l_linenumber <> 1 THEN CAST(floor(l_quantity * 10 * (l_linenumber % 4)) AS BIGINT) END AS cached_tokens,"
     " CAST(floor(l_extendedprice / 10) AS BIGINT) AS output_tokens FROM lineitem",
     "v_prices": "SELECT model, input::DOUBLE AS input, cached_input::DOUBLE AS cached_input, output::DOUBLE AS output"
-    " FROM (VALUES ('m0',2.5,0.25,15.0),('m1',0.75,0.075,4.5),('m2',0.2,0.02,1.25)) p(model,input,cached_input,output)",
+    " FROM (VALUES ('m0',2.5,0.25,15.0),('m1',0.75,NULL,4.5),('m2',0.2,0.02,1.25)) p(model,input,cached_input,output)",
     "v_turns": "SELECT conv_id, turn, role, text FROM conversations",
     "v_verdicts": "SELECT doc_id AS id, quality, toxic FROM labels",
     "v_chunks": "SELECT doc_id AS chunk_id, lang AS user_id, text FROM documents",

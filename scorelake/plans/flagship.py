@@ -10,6 +10,6 @@ from scorelake.plans.fixtures import Tables
 
 
 def score_submission(t: Tables) -> DataFrame:
-    answered = t.answers.join(t.cases.drop("user_id"), "id")
+    answered = t.submitted.join(t.cases.drop("user_id"), "id")
     scored = score_by_type(answered).select("id", "result", "score")
     return stats_by_tag(complete_with_zero(scored, t.tagged_cases))

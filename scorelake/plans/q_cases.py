@@ -12,10 +12,10 @@ from scorelake.plans.registry import query
 # --- selection ---------------------------------------------------------------------------------
 
 
-@query("prj01_filter_cases", "SELECT id FROM v_cases WHERE id IN (SELECT id FROM v_answers) ORDER BY id DESC LIMIT 25")
+@query("prj01_filter_cases", "SELECT id FROM v_cases WHERE id IN (SELECT id FROM v_submitted) ORDER BY id DESC LIMIT 25")
 def _(t):
     cases = t.cases.select("id", (-F.col("id")).alias("ord"))
-    return cs.filter_cases(cases, t.answers, 25).select("id")
+    return cs.filter_cases(cases, t.submitted, 25).select("id")
 
 
 @query("prj01_unmatched_ids", "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_orderkey FROM orders) UNION SELECT c_custkey + 100000000 FROM customer")
@@ -57,12 +57,12 @@ def _(t):
        UNION ALL SELECT event_id, '$.entries[0].tags[1]', 'value', event_type FROM events WHERE contains(event_type, 'p')
        UNION ALL SELECT event_id, '$.entries[1].props', 'key', replace(props, ' ', '') FROM events""")
 def _(t):
-    return cs.json_search(nested(t), "doc", "P", ["event_id"])
+    return cs.json_search(nested(t), "doc", "P", ["event_id"], preview=360)
 
 
 @query("prj24_json_profile", """SELECT event_id, 'object' AS root_type, 'user|entries' AS top_keys, 2 AS key_count, NULL::INT AS length FROM events""")
 def _(t):
-    return cs.json_profile(nested(t), "doc", ["event_id"]).select(
+    return cs.json_profile(nested(t), "doc", ["event_id"], keys=20).select(
         "event_id", "root_type", F.array_join("top_keys", "|").alias("top_keys"), "key_count", "length")
 
 
@@ -107,7 +107,7 @@ def _(t):
 @query("prj14_bounded_sql", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
 def _(t):
     from scorelake.operators.adhoc import bounded_sql
-    return bounded_sql(t.spark, "SELECT o_orderstatus, count(*) AS n FROM {orders} GROUP BY 1", {"orders": t.raw("orders")}).drop("truncated")
+    return bounded_sql(t.spark, "SELECT o_orderstatus, count(*) AS n FROM {orders} GROUP BY 1", {"orders": t.raw("orders")}, 200, 300).drop("truncated")
 
 
 @query("prj15_target_label", """SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN 'eval-only' WHEN o_orderstatus = 'F' THEN concat('api_', replace(concat('v/', o_orderpriority), '/', '-'), '_k10') ELSE 'api_expert' END AS label FROM orders""")
@@ -130,7 +130,7 @@ def _(t):
         "concat('What was ', event_type, ' of user ', CAST(user_id AS STRING), ' on the given day and why did it change?') AS query_text",
         "CASE event_type WHEN 'click' THEN 'basic' WHEN 'view' THEN 'advanced' ELSE 'hard' END AS difficulty",
         "CASE event_type WHEN 'click' THEN 'number' WHEN 'view' THEN 'bool' ELSE 'list' END AS answer_type", "CAST(value AS STRING) AS expected_value")
-    return cs.queries_to_cases(queries).select("id", "title", "answer_type")
+    return cs.queries_to_cases(queries, title_chars=60).select("id", "title", "answer_type")
 
 
 @query("prj17_rubric_to_cases", """WITH u AS (SELECT conv_id, max(turn) AS last FROM conversations WHERE role = 'user' GROUP BY conv_id)
@@ -189,13 +189,13 @@ def _(t):
     return t.raw("part").select("p_partkey", F.array_join(cs.append_hint(F.array("p_brand", "p_name"), hint), "|").alias("inputs"))
 
 
-@query("prj22_judge_batch", """SELECT a.id, concat('Expected: ', substring(expected_value, 1, 4), chr(10), 'Answer: ', substring(answer, 1, 12), CASE WHEN difficulty < '3' THEN concat(chr(10), chr(10), '- be brief', CASE WHEN status_tag = 'F' THEN concat(chr(10), '- be kind') ELSE '' END) WHEN status_tag = 'F' THEN concat(chr(10), chr(10), '- be kind') ELSE '' END) AS prompt
+@query("prj22_judge_batch", """SELECT a.id, concat('Expected: ', expected_value, chr(10), 'Answer: ', answer, CASE WHEN difficulty < '3' THEN concat(chr(10), chr(10), '- be brief', CASE WHEN status_tag = 'F' THEN concat(chr(10), '- be kind') ELSE '' END) WHEN status_tag = 'F' THEN concat(chr(10), chr(10), '- be kind') ELSE '' END) AS prompt
        FROM v_answers a JOIN v_cases c USING (id)""")
 def _(t):
     cases = t.answers.join(t.cases, "id")
     persona = cases.select("id", F.explode(F.expr("array(named_struct('dim', 'a', 'level', substring(difficulty, 1, 1)), named_struct('dim', 'b', 'level', status_tag))")).alias("p")).select("id", "p.*")
     criteria = t.raw("region").selectExpr("stack(3, 'a', '1', 'be brief', 'a', '2', 'be brief', 'b', 'F', 'be kind') AS (dim, level, fragment)").distinct()
-    return cs.judge_batch(cases, "Expected: {expected_value}\nAnswer: {answer}", {"expected_value": 4, "answer": 12}, persona, criteria)
+    return cs.judge_batch(cases, "Expected: {expected_value}\nAnswer: {answer}", ["expected_value", "answer"], persona, criteria)
 
 
 @query("prj23_case_summaries", """SELECT id, substring(CASE WHEN status_tag = 'F' THEN concat('Title ', repeat(difficulty, 20)) WHEN status_tag = 'O' THEN 'first input' ELSE 'goal' END, 1, 100) AS title, 'manual' AS user_type, CASE WHEN status_tag = 'P' THEN '' ELSE 'api' END AS target_type, answer_type AS evaluator FROM v_cases""")
@@ -203,7 +203,7 @@ def _(t):
     cases = t.cases.selectExpr(
         "id", "IF(status_tag = 'F', concat('Title ', repeat(difficulty, 20)), '') AS title", "IF(status_tag = 'O', array('first input'), CAST(array() AS ARRAY<STRING>)) AS strict_inputs",
         "'goal' AS goal", "'manual' AS user_type", "IF(status_tag = 'P', CAST(map() AS MAP<STRING,STRING>), map('api', 'x')) AS target_overrides", "answer_type AS evaluator")
-    return cs.case_summaries(cases)
+    return cs.case_summaries(cases, title_chars=100)
 
 
 @query("prj25_normalize_legacy", """SELECT conv_id, string_agg(CASE WHEN turn = 6 THEN '?' ELSE role END, ',' ORDER BY turn) AS roles, CASE WHEN max(turn) >= 6 THEN 'unknown message role' END AS error FROM conversations GROUP BY conv_id""")
@@ -217,9 +217,9 @@ def _(t):
         "conv_id", F.array_join(F.transform("history", lambda h: F.coalesce(h["role"], F.lit("?"))), ",").alias("roles"), "error")
 
 
-@query("w01_pair_turns", """SELECT conv_id, turn, user_text, assistant_text FROM (SELECT conv_id, turn, role, text AS user_text, CASE WHEN lead(role) OVER w = 'assistant' THEN lead(text) OVER w END AS assistant_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) x WHERE role = 'user'""")
+@query("w01_pair_turns", """SELECT conv_id, turn, user_text, assistant_text FROM (SELECT conv_id, turn, role, text AS user_text, CASE WHEN lead(role) OVER w = 'assistant' THEN lead(text) OVER w END AS assistant_text FROM (SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN turn * 2 ELSE turn END AS turn, role, text FROM conversations) c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) x WHERE role = 'user'""")
 def _(t):
-    return cs.pair_turns(t.turns)
+    return cs.pair_turns(t.turns.withColumn("turn", F.expr("IF(conv_id % 3 = 0, turn * 2, turn)")))
 
 
 @query("w09_keep_first", r"""WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '\s+', ' ', 'g'), ' ') AS ws FROM documents),
@@ -327,7 +327,7 @@ def truth_sql(readings: str, variant: str) -> str:
     st AS (SELECT variant, user_id, indicator, s, count(v) {f(0, 13)} AS n, avg(v) {f(0, 13)} AS mean, max(v) {f(0, 13)} AS mx, min(v) {f(0, 13)} AS mn, quantile_cont(v, 0.5) {f(0, 13)} AS med,
           coalesce(stddev_samp(v) {f(0, 13)}, 0) AS sd, min(day) FILTER (v = mx AND day <= s + 13) AS peak, avg(v) {f(0, 6)} AS w1, avg(v) {f(7, 13)} AS w2, avg(v) {f(0, 4)} AS pre, avg(v) {f(5, 9)} AS during, avg(v) {f(10, 14)} AS post
           FROM j GROUP BY variant, user_id, indicator, s),
-    dayv AS (SELECT {variant} AS variant, user_id, day, indicator, arg_max(value_num, time) AS v FROM {readings} GROUP BY ALL),
+    dayv AS (SELECT {variant} AS variant, user_id, day, indicator, max({{'t': time, 'v': value_num}}).v AS v FROM {readings} GROUP BY ALL),
     dayn AS (SELECT variant, user_id, day, string_agg(indicator, ';' ORDER BY indicator) AS names FROM dayv GROUP BY ALL),
     nums AS (SELECT variant, user_id, indicator, k.kind, n, CASE k.kind WHEN 'device_timeseries' THEN {s('mean')} WHEN 'event_window_peak_value' THEN round(mx, 4) WHEN 'event_window_min_value' THEN round(mn, 4)
           WHEN 'event_window_median_value' THEN {s('med')} WHEN 'event_window_stddev_value' THEN CASE WHEN n > 0 THEN {s('sd')} END WHEN 'event_window_range' THEN {s('mx - mn')} END AS x
@@ -367,14 +367,19 @@ def _(t):
     return ab.perturb_stats(ablated(t), ["variant"])
 
 
-@query("j05_apply_patches", """SELECT id, CASE WHEN a.id IS NOT NULL THEN 'new' ELSE expected_value END AS expected_value, coalesce(length(answer) > 20, false) AS unanswerable, CASE WHEN a.id IS NOT NULL THEN concat('n_points: ', length(answer)) ELSE 'n_points: ?' END AS key_points FROM v_cases c LEFT JOIN v_answers a USING (id)""")
+@query("j05_apply_patches", """SELECT id, CASE WHEN a.id IS NOT NULL THEN 'new' ELSE expected_value END AS expected_value, coalesce(length(answer) > 20, false) AS unanswerable, CASE WHEN a.id IS NOT NULL THEN concat('n_points: ', length(answer)) ELSE 'n_points: ?' END AS key_points FROM v_cases c LEFT JOIN v_submitted a USING (id)""")
 def _(t):
     cases = t.cases.select("id", "expected_value", F.array(F.lit("first"), F.lit("n_points: ?")).alias("key_points"))
-    patches = t.answers.selectExpr("id", "'new' AS expected_value", "length(answer) AS n_points", "length(answer) > 20 AS unanswerable", "'gone' AS reason")
+    patches = t.submitted.selectExpr("id", "'new' AS expected_value", "length(answer) AS n_points", "length(answer) > 20 AS unanswerable", "'gone' AS reason")
     return ab.apply_patches(cases, patches).select("id", "expected_value", "unanswerable", F.col("key_points")[1].alias("key_points"))
 
 
-@query("udf02_recompute_registry", "SELECT kind, (SELECT count(*) FROM v_windows) AS n FROM (SELECT unnest(['" + "','".join(KINDS[:-1]) + "']) AS kind) k")
+@query("udf02_recompute_registry", f"""WITH r0 AS (SELECT 'none' AS variant, * FROM v_readings), {truth_sql('r0', 'variant')},
+       k AS (SELECT unnest(['""" + "','".join(KINDS[:-1]) + """']) AS kind) SELECT kind, count(*) AS n, count(*) FILTER (unanswerable) AS n_unanswerable, md5(string_agg(concat(query_id, '=', coalesce(expected, '')), ';' ORDER BY query_id)) AS h
+       FROM truth JOIN k ON ends_with(query_id, '-' || kind) GROUP BY kind""")
 def _(t):
-    truth = ab.recompute_truth(truth_queries(t), t.readings)
-    return truth.where(F.col("kind").isin(ab.recompute_kinds())).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    truth = ab.recompute_truth(truth_queries(t), t.readings).where(F.col("kind").isin(ab.recompute_kinds()))
+    line = F.concat("query_id", F.lit("="), F.coalesce(ab.expected_text(truth), F.lit("")))
+    return truth.select("kind", "unanswerable", F.struct("query_id", line.alias("l")).alias("s")).groupBy("kind").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("unanswerable").alias("n_unanswerable"),
+        F.md5(F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["l"]), ";")).alias("h"))

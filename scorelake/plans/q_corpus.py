@@ -75,9 +75,9 @@ def _(t):
 
 
 @query("rg02_chunk_flat", f"""WITH c AS ({event_sql("' | '")} UNION ALL SELECT user_id, 'exam', CAST(exam_id AS VARCHAR), 0, concat('[EXAM] ', day, ' | ', indicator, ' = ', CAST(value_num AS VARCHAR), ' usd | Location: ? | Type: ', exam_type) FROM v_exams
-       UNION ALL {raw_sql('[DEVICE] Date: ', 1 << 30, 0, 'day')}) SELECT user_id, kind, part, md5(text) AS h FROM c""")
+       UNION ALL {raw_sql('[DEVICE] Date: ', 64, 0, 'day')}) SELECT user_id, kind, part, piece, md5(text) AS h FROM c""")
 def _(t):
-    return cp.chunk_flat(t.life_events, exams(t), t.readings).select("user_id", "kind", "part", F.md5("text").alias("h"))
+    return cp.chunk_flat(t.life_events, exams(t), t.readings, max_chars=64).select("user_id", "kind", "part", "piece", F.md5("text").alias("h"))
 
 
 NODES = f"""wk AS (SELECT user_id, {q.week_key('day')} AS week, indicator, avg(value_num) AS m, min(value_num) AS mn, max(value_num) AS mx, min(day) AS d FROM v_readings GROUP BY ALL),
@@ -110,9 +110,9 @@ def _(t):
     return docs.select("doc_id", F.posexplode(cp.pack_lines(F.col("doc"), 2000)).alias("pos", "chunk")).select("doc_id", "pos", F.md5("chunk").alias("h"))
 
 
-@query("rg05_semantic_chunks", f"WITH {CORPUS_CTES} SELECT kind, count(*) AS n FROM c WHERE kind <> 'raw' GROUP BY kind")
+@query("rg05_semantic_chunks", f"WITH {CORPUS_CTES} SELECT user_id, kind, part, md5(text) AS h FROM c WHERE kind <> 'raw'")
 def _(t):
-    return cp.semantic_chunks(corpus(t)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return cp.semantic_chunks(corpus(t)).select("user_id", "kind", "part", F.md5("text").alias("h"))
 
 
 def limbs(row: str) -> str:

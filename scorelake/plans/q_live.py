@@ -22,28 +22,29 @@ def result_lines(t) -> str:
     return path
 
 
-def finished(t, stream, transform=lambda df: df, mode: str = "complete"):
-    out = scratch_path(t.spark, "snapshot")
-    st.run_available(stream, scratch_path(t.spark, "offsets"), st.overwrite_with(out, transform), mode)
-    return t.spark.read.parquet(out)
+def merged(t, totals, by):
+    """The result stream merged into a table, with running totals of what each micro-batch added."""
+    table, sums = scratch_path(t.spark, "results-table"), scratch_path(t.spark, "totals")
+    st.run_available(st.stream_results(t.spark, result_lines(t)), scratch_path(t.spark, "offsets"), st.merge_into(table, st.keep_totals(sums, totals)))
+    return st.read_totals(t.spark, sums, by)
 
 
-@query("st01_stream_results", "SELECT CAST(system_id AS VARCHAR) AS run_id, count(*) AS n FROM v_results GROUP BY system_id")
+@query("st01_stream_results", "SELECT CAST(system_id AS VARCHAR) AS run_id, CAST(id AS VARCHAR) AS id, result, score FROM v_results")
 def _(t):
-    live = st.stream_results(t.spark, result_lines(t))
-    return finished(t, live.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")))
+    table = scratch_path(t.spark, "results-table")
+    st.run_available(st.stream_results(t.spark, result_lines(t)), scratch_path(t.spark, "offsets"), st.merge_into(table))
+    return t.spark.read.parquet(table).select("run_id", "id", "result", "score")
 
 
 @query("st02_stream_tag_stats", f"SELECT tag, {MEASURES} FROM v_results JOIN v_case_tags USING (id) GROUP BY tag")
 def _(t):
-    return finished(t, st.stream_tag_stats(st.stream_results(t.spark, result_lines(t))))
+    return st.tag_stats(merged(t, st.tag_totals, ["tag"]))
 
 
-@query("st03_stream_progress", """WITH c AS (SELECT result, count(*) AS n FROM v_results WHERE system_id = 1 GROUP BY result), k AS (SELECT (SELECT count(*) FROM v_cases) AS total, CAST((SELECT sum(n) FROM c) AS BIGINT) AS completed)
-       SELECT result, n, total, completed FROM c, k UNION ALL SELECT NULL, total - completed, total, completed FROM k""")
+@query("st03_stream_progress", """WITH c AS (SELECT CAST(system_id AS VARCHAR) AS run_id, result, count(*) AS n FROM v_results GROUP BY ALL), d AS (SELECT run_id, CAST(sum(n) AS BIGINT) AS completed, (SELECT count(*) FROM v_cases) AS total FROM c GROUP BY run_id)
+       SELECT run_id, result, n, completed, total FROM c JOIN d USING (run_id) UNION ALL SELECT run_id, NULL, total - completed, completed, total FROM d""")
 def _(t):
-    live = st.stream_results(t.spark, result_lines(t)).where("run_id = '1'")
-    return finished(t, st.stream_status_counts(live), lambda df: st.progress_snapshot(df, t.cases))
+    return st.progress_snapshot(merged(t, st.status_totals, ["run_id", "result"]), t.cases)
 
 
 @query("st04_stream_weekly_stats", """SELECT user_id, CAST(CAST(date_trunc('week', time) AS DATE) AS VARCHAR) AS monday, indicator, count(*) AS n, round(avg(value_num), 6) AS mean, min(value_num) AS min, max(value_num) AS max FROM v_readings GROUP BY ALL""")
@@ -51,7 +52,9 @@ def _(t):
     schema = t.raw("events").schema
     events = t.spark.readStream.schema(schema).parquet(f"{t.root}/events*.parquet").selectExpr(
         "user_id", "ts AS time", "event_type AS indicator", "value AS value_num")
-    weekly = finished(t, st.stream_weekly_stats(events))
+    out = scratch_path(t.spark, "weeks")
+    st.run_available(st.stream_weekly_stats(events, "7 days"), scratch_path(t.spark, "offsets"), st.overwrite_with(out), "complete")
+    weekly = t.spark.read.parquet(out)
     return weekly.select("user_id", F.col("week.start").cast("date").cast("string").alias("monday"), "indicator", "n", F.round("mean", 6).alias("mean"), "min", "max")
 
 
@@ -59,11 +62,13 @@ def _(t):
        SELECT batch, n FROM r WHERE n <> had""")
 def _(t):
     rows = t.raw("orders").selectExpr("concat(o_orderstatus, '-', substring(o_orderpriority, 1, 1)) AS batch", "o_orderkey AS id", "o_orderstatus = 'F' OR o_totalprice > 20000 AS had")
-    source, table = scratch_path(t.spark, "batches"), scratch_path(t.spark, "table")
-    rows.write.json(source)
+    source, table, staging = (scratch_path(t.spark, n) for n in ("batches", "table", "staging"))
+    # The rows of a batch come in two files.
+    rows.where("id % 2 = 0").coalesce(1).write.json(source)
+    rows.where("id % 2 = 1").coalesce(1).write.mode("append").json(source)
     manifest = rows.groupBy("batch").agg(F.md5(F.count(F.lit(1)).cast("string")).alias("checksum"))
     local = rows.groupBy("batch").agg(F.md5(F.count_if("had").cast("string")).alias("checksum"))
-    st.ingest_changed(t.spark, source, "batch STRING, id BIGINT", manifest, local, table, scratch_path(t.spark, "offsets"))
+    st.ingest_changed(t.spark, source, "batch STRING, id BIGINT", manifest, local, table, staging, scratch_path(t.spark, "offsets"))
     return t.spark.read.parquet(table).groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -87,5 +92,5 @@ def _length_judge():
 @query("udf03_apply_judge", "SELECT id, length(concat('Rate: ', answer)) % 5 + 1 AS verdict FROM v_answers")
 def _(t):
     from scorelake.operators.cases import judge_batch
-    prompts = judge_batch(t.answers, "Rate: {answer}", {"answer": 3000})
+    prompts = judge_batch(t.answers, "Rate: {answer}", ["answer"])
     return sc.apply_judge(prompts, _length_judge(), "id bigint, verdict bigint")

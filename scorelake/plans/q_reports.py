@@ -22,16 +22,16 @@ def tagged_results(t):
 
 
 def submissions(t):
-    """Answers plus line items of orders that are no case here: orders of the newest day stand for foreign ids."""
-    return t.answers.select("id").unionByName(t.raw("customer").selectExpr("c_custkey + 100000000 AS id"))
+    """A submission with ids that are no case here."""
+    return t.submitted.select("id").unionByName(t.raw("customer").selectExpr("c_custkey + 100000000 AS id"))
 
 
-SUBMITTED = "sub AS (SELECT id FROM v_answers UNION ALL SELECT c_custkey + 100000000 FROM customer)"
+SUBMITTED = "sub AS (SELECT id FROM v_submitted UNION ALL SELECT c_custkey + 100000000 FROM customer)"
 
 
-@query("j01_attach_answers", "SELECT a.id, a.answer, c.answer_type, c.expected_value FROM v_answers a JOIN v_cases c USING (id)")
+@query("j01_attach_answers", "SELECT a.id, a.answer, c.answer_type, c.expected_value FROM v_submitted a JOIN v_cases c USING (id)")
 def _(t):
-    return rp.attach_answers(t.answers, t.cases).select("id", "answer", "answer_type", "expected_value")
+    return rp.attach_answers(t.submitted, t.cases).select("id", "answer", "answer_type", "expected_value")
 
 
 @query("j02_check_submission", f"""WITH {SUBMITTED} SELECT (SELECT count(*) FROM sub WHERE id IN (SELECT id FROM v_cases)) AS matched,
@@ -42,17 +42,17 @@ def _(t):
 
 @query("j02_missed_ids", f"WITH {SUBMITTED} SELECT id FROM v_cases WHERE id NOT IN (SELECT id FROM sub) ORDER BY id LIMIT 50")
 def _(t):
-    return rp.unmatched_ids(t.cases, submissions(t))
+    return rp.unmatched_ids(t.cases, submissions(t), 50)
 
 
-@query("j02_matched_tags", "SELECT tag, count(*) AS n FROM v_case_tags WHERE id IN (SELECT id FROM v_answers) GROUP BY tag")
+@query("j02_matched_tags", "SELECT tag, count(*) AS n FROM v_case_tags WHERE id IN (SELECT id FROM v_submitted) GROUP BY tag")
 def _(t):
     return rp.matched_tags(submissions(t), t.tagged_cases)
 
 
-@query("j03_complete_with_zero", """SELECT c.id, coalesce(CASE WHEN a.id IS NOT NULL THEN 'scored' END, 'fail') AS result, coalesce(CASE WHEN a.id IS NOT NULL THEN 0.5 END, 0.0)::DOUBLE AS score FROM v_cases c LEFT JOIN v_answers a USING (id)""")
+@query("j03_complete_with_zero", """SELECT c.id, coalesce(CASE WHEN a.id IS NOT NULL THEN 'scored' END, 'fail') AS result, coalesce(CASE WHEN a.id IS NOT NULL THEN 0.5 END, 0.0)::DOUBLE AS score FROM v_cases c LEFT JOIN v_submitted a USING (id)""")
 def _(t):
-    r = t.answers.select("id", F.lit("scored").alias("result"), F.lit(0.5).alias("score"))
+    r = t.submitted.select("id", F.lit("scored").alias("result"), F.lit(0.5).alias("score"))
     return rp.complete_with_zero(r, t.cases.select("id"))
 
 
@@ -211,13 +211,13 @@ def _(t):
 
 @query("tk01_top_changes", f"WITH {PAIRS} SELECT id, delta FROM pairs WHERE abs(delta) > 0.001 ORDER BY abs(delta) DESC, id LIMIT 10")
 def _(t):
-    return rp.top_changes(pairs(t)).select("id", "delta")
+    return rp.top_changes(pairs(t), 10).select("id", "delta")
 
 
 @query("tk02_failures", "SELECT id, system_id, substring(concat('score was ', CAST(result AS VARCHAR), repeat(' because of reasons', 8)), 1, 80) AS feedback FROM v_results WHERE result = 'fail' ORDER BY id, system_id LIMIT 20")
 def _(t):
     feedback = F.concat(F.lit("score was "), "result", F.repeat(F.lit(" because of reasons"), 8))
-    return rp.failures(t.results.withColumn("feedback", feedback), 20, ["id", "system_id"]).select("id", "system_id", "feedback")
+    return rp.failures(t.results.withColumn("feedback", feedback), 20, ["id", "system_id"], chars=80).select("id", "system_id", "feedback")
 
 
 @query("tk05_largest_tags", "SELECT tag, count(*) AS total FROM v_results JOIN v_case_tags USING (id) GROUP BY tag")
@@ -227,34 +227,33 @@ def _(t):
 
 # --- cost -------------------------------------------------------------------------------------------------
 
-PRICED = """t AS (SELECT role, model, CAST(sum(input_tokens) AS BIGINT) AS tin, CAST(sum(output_tokens) AS BIGINT) AS tout FROM v_usage GROUP BY role, model),
-       p AS (SELECT t.*, coalesce(input, 2.0) AS pin, coalesce(output, 8.0) AS pout FROM t LEFT JOIN v_prices USING (model))"""
+PRICED = """t AS (SELECT role, model, CAST(sum(input_tokens) AS BIGINT) AS tin, CAST(sum(coalesce(cached_tokens, 0)) AS BIGINT) AS tc, CAST(sum(output_tokens) AS BIGINT) AS tout FROM v_usage GROUP BY role, model),
+       p AS (SELECT t.*, coalesce(input, 2.0) AS pin, CASE WHEN input IS NULL THEN 0.5 ELSE coalesce(cached_input, input) END AS pc, coalesce(output, 8.0) AS pout FROM t LEFT JOIN v_prices USING (model))"""
 
 
 def prices(t):
     """Prices of three models with one cached price unknown; the other models fall to the defaults."""
-    return t.usage.select("model").distinct().join(
-        t.spark.createDataFrame([("m0", 2.5, 0.25, 15.0), ("m1", 0.75, 0.075, 4.5), ("m2", 0.2, 0.02, 1.25)],
-                                "model string, input double, cached_input double, output double"), "model")
+    return t.spark.createDataFrame([("m0", 2.5, 0.25, 15.0), ("m1", 0.75, None, 4.5), ("m2", 0.2, 0.02, 1.25)],
+                                   "model string, input double, cached_input double, output double")
 
 
-@query("j13_price_usage", "SELECT u.id, u.role, u.model, u.input_tokens, coalesce(p.input, 2.0) AS price_in, coalesce(p.cached_input, 0.5) AS price_cached, coalesce(p.output, 8.0) AS price_out FROM v_usage u LEFT JOIN v_prices p USING (model)")
+@query("j13_price_usage", "SELECT u.id, u.role, u.model, u.input_tokens, coalesce(p.input, 2.0) AS price_in, CASE WHEN p.model IS NULL THEN 0.5 ELSE coalesce(p.cached_input, p.input) END AS price_cached, coalesce(p.output, 8.0) AS price_out FROM v_usage u LEFT JOIN v_prices p USING (model)")
 def _(t):
-    return rp.price_usage(t.usage, prices(t)).drop("output_tokens")
+    return rp.price_usage(t.usage, prices(t)).drop("output_tokens", "cached_tokens")
 
 
-@query("agg09_usage_by_model", "SELECT model, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS total_tokens FROM v_usage GROUP BY model")
+@query("agg09_usage_by_model", "SELECT model, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(coalesce(cached_tokens, 0)) AS BIGINT) AS cached_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS total_tokens FROM v_usage GROUP BY model")
 def _(t):
     return rp.usage_by_model(t.usage)
 
 
-@query("agg10_cost_rollup", f"WITH {PRICED} SELECT role, CAST(sum(tin) AS BIGINT) AS input_tokens, CAST(sum(tout) AS BIGINT) AS output_tokens, {q.settled('sum((tin * pin + tout * pout) / 1000000)')} AS cost FROM p GROUP BY role")
+@query("agg10_cost_rollup", f"WITH {PRICED} SELECT role, CAST(sum(tin) AS BIGINT) AS input_tokens, CAST(sum(tc) AS BIGINT) AS cached_tokens, CAST(sum(tout) AS BIGINT) AS output_tokens, {q.settled('sum(((tin - tc) * pin + tc * pc + tout * pout) / 1000000)')} AS cost FROM p GROUP BY role")
 def _(t):
     return rp.cost_rollup(t.usage, prices(t))
 
 
 @query("agg10_case_cost", f"""WITH b AS (SELECT id, CAST(sum(input_tokens) AS BIGINT) AS bt FROM v_usage WHERE model = 'm4' AND role = 'R' GROUP BY id),
-       u AS (SELECT id, role, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS tt, sum((input_tokens * coalesce(input, 2.0) + output_tokens * coalesce(output, 8.0)) / 1000000) AS c FROM v_usage LEFT JOIN v_prices USING (model) GROUP BY id, role)
+       u AS (SELECT id, role, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS tt, sum(((input_tokens - coalesce(cached_tokens, 0)) * coalesce(input, 2.0) + coalesce(cached_tokens, 0) * CASE WHEN input IS NULL THEN 0.5 ELSE coalesce(cached_input, input) END + output_tokens * coalesce(output, 8.0)) / 1000000) AS c FROM v_usage LEFT JOIN v_prices USING (model) GROUP BY id, role)
        SELECT u.id, CAST(sum(CASE WHEN role = 'R' THEN coalesce(b.bt, tt) ELSE tt END) AS BIGINT) AS total_tokens, {q.settled("sum(CASE WHEN role = 'R' AND b.bt IS NOT NULL THEN b.bt / 1000000.0::DOUBLE ELSE c END)")} AS cost FROM u LEFT JOIN b USING (id) GROUP BY u.id""")
 def _(t):
     details = t.usage.where("model = 'm4' AND role = 'R'").groupBy("id").agg(F.sum("input_tokens").alias("tokens")).withColumn(
@@ -263,12 +262,12 @@ def _(t):
 
 
 @query("agg11_estimate_cost", f"""WITH n AS (SELECT answer_type AS target, count(*) AS n_cases FROM v_cases GROUP BY 1),
-       s AS (SELECT answer_type AS target, concat('m', CAST(min(id) AS VARCHAR)) AS model, 1200 AS ti, 300 AS tout, CASE WHEN answer_type = 'list' THEN NULL ELSE 7 END AS conc, CASE WHEN answer_type = 'text' THEN 0.03 END AS oh FROM v_cases GROUP BY answer_type)
-       SELECT n.target, n_cases, {q.settled('n_cases * ((ti * coalesce(p.input, 2.0) + tout * coalesce(p.output, 8.0)) / 1000000 + coalesce(oh, 0.01::DOUBLE))')} AS cost, CAST(ceil(n_cases * 12 / coalesce(conc, 5)::DOUBLE) AS BIGINT) AS seconds
+       s AS (SELECT answer_type AS target, concat('m', CAST(min(id) AS VARCHAR)) AS model, 1200 AS ti, 400 AS tc, 300 AS tout, CASE WHEN answer_type = 'list' THEN NULL ELSE 7 END AS conc, CASE WHEN answer_type = 'text' THEN 0.03 END AS oh FROM v_cases GROUP BY answer_type)
+       SELECT n.target, n_cases, {q.settled('n_cases * (((ti - tc) * coalesce(p.input, 2.0) + tc * CASE WHEN p.input IS NULL THEN 0.5 ELSE coalesce(p.cached_input, p.input) END + tout * coalesce(p.output, 8.0)) / 1000000 + coalesce(oh, 0.01::DOUBLE))')} AS cost, CAST(ceil(n_cases * 12 / coalesce(conc, 5)::DOUBLE) AS BIGINT) AS seconds
        FROM n JOIN s USING (target) LEFT JOIN v_prices p USING (model)""")
 def _(t):
     spec = t.cases.groupBy(F.col("answer_type").alias("target")).agg(F.concat(F.lit("m"), F.min("id").cast("string")).alias("model")).selectExpr(
-        "target", "model", "1200 AS input_tokens", "300 AS output_tokens", "IF(target = 'list', NULL, 7) AS concurrency",
+        "target", "model", "1200 AS input_tokens", "400 AS cached_tokens", "300 AS output_tokens", "IF(target = 'list', NULL, 7) AS concurrency",
         "IF(target = 'text', 0.03D, NULL) AS eval_overhead")
     return rp.estimate_cost(t.cases.withColumnRenamed("answer_type", "target"), spec, prices(t))
 

@@ -108,7 +108,7 @@ def _(t):
 
 
 @query("flagship_submission_tags", f"""WITH {BY_TYPE}, full_cases AS (SELECT c.id, coalesce(CASE WHEN s.id IS NOT NULL THEN 'scored' END, 'fail') AS result, coalesce(s.score, 0.0::DOUBLE) AS score
-       FROM v_cases c LEFT JOIN typed s ON c.id = s.id)
+       FROM v_cases c LEFT JOIN (SELECT * FROM typed WHERE id IN (SELECT id FROM v_submitted)) s ON c.id = s.id)
        SELECT tag, count(*) AS total, count(*) FILTER (result = 'pass') AS pass_count, count(*) FILTER (result = 'fail') AS fail_count,
        0.0::DOUBLE AS pass_rate, round(avg(score), 6) AS avg_score FROM full_cases JOIN v_case_tags USING (id) GROUP BY tag""")
 def _(t):
@@ -224,8 +224,8 @@ def criteria(t):
 
 @query("sc12_score_criteria", f"""WITH {CRITERIA}, tot AS (SELECT case_id, sum(weight) AS total FROM crit GROUP BY case_id),
        w AS (SELECT case_id, CASE WHEN total = 100 THEN weight::DOUBLE ELSE round_even(weight * 100 / total::DOUBLE, 0) END AS w,
-             CASE WHEN verdict > 60 THEN 50 ELSE verdict END::DOUBLE AS s FROM crit JOIN tot USING (case_id)),
-       f AS (SELECT case_id, CASE WHEN sum(w) > 0 THEN sum(s * w) / sum(w) / 100 ELSE 0 END AS score FROM w GROUP BY case_id)
+             CASE WHEN verdict > 60 THEN 50 ELSE verdict END::DOUBLE AS s, CASE WHEN verdict <= 60 THEN 1 ELSE 0 END AS given FROM crit JOIN tot USING (case_id)),
+       f AS (SELECT case_id, CASE WHEN sum(given) > 0 AND sum(w) > 0 THEN sum(s * w) / sum(w) / 100 ELSE 0 END AS score FROM w GROUP BY case_id)
        SELECT case_id, {q.settled('score', 6)} AS score, CASE WHEN score >= 0.4 THEN 'pass' ELSE 'fail' END AS result FROM f""")
 def _(t):
     c = criteria(t)
@@ -233,23 +233,26 @@ def _(t):
     return sc.score_criteria(c.drop("verdict"), v, 0.4).withColumn("score", settled(F.col("score"), 6))
 
 
-@query("sc13_score_dimensions", f"""WITH {CRITERIA}, s AS (SELECT case_id, weight, CASE WHEN verdict // 15 BETWEEN 1 AND 5 THEN verdict // 15 ELSE 3 END::DOUBLE AS s FROM crit),
-       f AS (SELECT case_id, (sum(s * weight) / sum(weight) - 1) / 4 AS score FROM s GROUP BY case_id)
-       SELECT case_id, {q.settled('score', 6)} AS score, CASE WHEN score >= 0.6 THEN 'pass' ELSE 'fail' END AS result FROM f""")
+@query("sc13_score_dimensions", f"""WITH {CRITERIA}, s AS (SELECT case_id, weight, CASE WHEN verdict <= 60 THEN 1 ELSE 0 END AS given, CASE WHEN verdict <= 60 AND verdict // 15 BETWEEN 1 AND 5 THEN verdict // 15 ELSE 3 END::DOUBLE AS s FROM crit),
+       f AS (SELECT case_id, sum(given) AS given, CASE WHEN sum(given) > 0 THEN (sum(s * weight) / sum(weight) - 1) / 4 ELSE 0 END AS score FROM s GROUP BY case_id)
+       SELECT case_id, {q.settled('score', 6)} AS score, CASE WHEN given = 0 THEN 'error' WHEN score >= 0.6 THEN 'pass' ELSE 'fail' END AS result FROM f""")
 def _(t):
-    c = criteria(t).withColumn("verdict", F.expr("verdict DIV 15"))
-    return sc.score_dimensions(c.drop("verdict"), c.select("case_id", "name", "verdict")).withColumn("score", settled(F.col("score"), 6))
+    c = criteria(t).withColumns({"given": F.col("verdict") <= 60, "verdict": F.expr("verdict DIV 15")})
+    return sc.score_dimensions(c.drop("verdict", "given"), c.where("given").select("case_id", "name", "verdict")).withColumn("score", settled(F.col("score"), 6))
 
 
 @query("sc15_score_label", """SELECT d.doc_id, CASE WHEN d.lang = 'de' THEN 0.0 WHEN l.doc_id IS NULL THEN 0.0 WHEN l.quality = 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS score,
        CASE WHEN d.lang = 'de' THEN 'error' WHEN l.doc_id IS NULL THEN 'fail' WHEN l.quality = 1 THEN 'pass' ELSE 'fail' END AS result
        FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def _(t):
-    d = t.raw("documents").select("doc_id", "lang").join(t.raw("labels"), "doc_id", "left").select(
+    return sc.score_label(labelled(t)).select("doc_id", "score", "result")
+
+
+def labelled(t):
+    return t.raw("documents").select("doc_id", "lang").join(t.raw("labels"), "doc_id", "left").select(
         "doc_id", F.when(F.col("lang") != "de", F.lit("Hello")).alias("opening"),
         F.when(F.col("quality").isNotNull(), F.lit("Hi")).alias("reply"),
         F.when(F.col("quality") == 1, F.lit("engaged")).otherwise(F.lit("not_engaged")).alias("label"))
-    return sc.score_label(d).select("doc_id", "score", "result")
 
 
 def checkpoints(t):
@@ -290,20 +293,44 @@ SPOKEN = "spoken AS (SELECT *, coalesce(count(*) FILTER (role = 'assistant') OVE
 def _(t):
     out = None
     for style in ("rubric", "numbered", "semantic"):
-        one = sc.flatten_dialogue(t.turns, style).select("conv_id", F.md5("dialogue").alias(style))
+        one = sc.flatten_dialogue(t.turns, style, assistant_chars=2000 if style == "semantic" else None).select("conv_id", F.md5("dialogue").alias(style))
         out = one if out is None else out.join(one, "conv_id")
     return out
 
 
-@query("udf01_score_all", f"""WITH {BY_TYPE} SELECT id, 'typed_qa' AS evaluator, 'scored' AS result, round(score, 6) AS score FROM typed
+@query("udf01_score_all", f"""WITH {BY_TYPE}, {ITEMS}, {CRITERIA}, {CHECKPOINTS},
+       rub AS (SELECT case_id, sum(points) FILTER (points > 0) AS possible, sum(CASE WHEN met AND l_returnflag <> 'R' THEN points ELSE 0 END) AS achieved FROM items GROUP BY case_id),
+       tot AS (SELECT case_id, sum(weight) AS total FROM crit GROUP BY case_id),
+       cw AS (SELECT case_id, CASE WHEN total = 100 THEN weight::DOUBLE ELSE round_even(weight * 100 / total::DOUBLE, 0) END AS w, weight, verdict,
+              CASE WHEN verdict > 60 THEN 50 ELSE verdict END::DOUBLE AS s, CASE WHEN verdict <= 60 AND verdict BETWEEN 1 AND 5 THEN verdict ELSE 3 END::DOUBLE AS s5 FROM crit JOIN tot USING (case_id)),
+       cr AS (SELECT case_id, count(*) FILTER (verdict <= 60) AS given, sum(w) AS w, sum(s * w) AS sw, (sum(s5 * weight) / sum(weight) - 1) / 4 AS dim FROM cw GROUP BY case_id),
+       ck AS (SELECT conv_id, count(*) FILTER (passed) AS n_passed, count(passed) AS n_checked FROM p GROUP BY conv_id),
+       everything AS (SELECT id, 'typed_qa' AS evaluator, 'scored' AS result, score::DOUBLE AS score FROM typed
        UNION ALL SELECT o_orderkey, 'calculator', CASE WHEN o_orderdate < TIMESTAMP '2000-01-01' THEN 'pass' ELSE 'fail' END, CASE WHEN o_orderdate < TIMESTAMP '2000-01-01' THEN 1.0 ELSE 0.0 END FROM orders
-       UNION ALL SELECT c_custkey, 'unheard_of', 'error', 0.0 FROM customer""")
+       UNION ALL SELECT case_id, 'rubric', CASE WHEN possible IS NULL THEN 'fail' ELSE 'scored' END, CASE WHEN possible IS NULL THEN 0 ELSE least(greatest(achieved / possible::DOUBLE, 0.0), 1.0) END FROM rub
+       UNION ALL SELECT case_id, 'criteria', CASE WHEN given > 0 AND w > 0 AND sw / w / 100 >= 0.6 THEN 'pass' ELSE 'fail' END, CASE WHEN given > 0 AND w > 0 THEN sw / w / 100 ELSE 0 END FROM cr
+       UNION ALL SELECT case_id, 'dimensions', CASE WHEN given = 0 THEN 'error' WHEN dim >= 0.6 THEN 'pass' ELSE 'fail' END, CASE WHEN given > 0 THEN dim ELSE 0 END FROM cr
+       UNION ALL SELECT conv_id, 'checkpoints', CASE WHEN n_checked = 0 OR n_passed / n_checked::DOUBLE >= 0.8 THEN 'pass' ELSE 'fail' END, CASE WHEN n_checked = 0 THEN 1 ELSE n_passed / n_checked::DOUBLE END FROM ck
+       UNION ALL SELECT -conv_id - 1, 'checkpoints', 'fail', 0 FROM ck
+       UNION ALL SELECT doc_id, 'label', CASE WHEN d.lang = 'de' THEN 'error' WHEN l.quality = 1 THEN 'pass' ELSE 'fail' END, CASE WHEN d.lang <> 'de' AND l.quality = 1 THEN 1 ELSE 0 END FROM documents d LEFT JOIN labels l USING (doc_id)
+       UNION ALL SELECT c_custkey, 'unheard_of', 'error', 0.0 FROM customer)
+       SELECT id, evaluator, result, {q.settled('score', 6)} AS score FROM everything""")
 def _(t):
     typed = answered(t).withColumn("evaluator", F.lit("typed_qa"))
     calculator = t.raw("orders").selectExpr(
         "o_orderkey AS id", "'calculator' AS evaluator", "'date' AS output_type",
         "CASE WHEN o_orderdate < TIMESTAMP_NTZ '2000-01-01 00:00:00' THEN date_format(o_orderdate, 'M/d/yyyy') ELSE 'NONE' END AS extracted",
         "date_format(o_orderdate, 'MM/dd/yyyy') AS ground_truth", "'' AS lower_limit", "'' AS upper_limit")
+    judged = t.raw("lineitem").selectExpr("l_orderkey AS id", "explode(array('rubric', 'criteria', 'dimensions')) AS evaluator").distinct()
+    # Every second conversation has no checkpoints.
+    talked = t.turns.where("role = 'user'").selectExpr("explode(array(conv_id, -conv_id - 1)) AS id", "'checkpoints' AS evaluator").distinct()
+    label = labelled(t).withColumnsRenamed({"doc_id": "id"}).withColumn("evaluator", F.lit("label"))
     unknown = t.raw("customer").selectExpr("c_custkey AS id", "'unheard_of' AS evaluator")
-    cases = typed.unionByName(calculator, allowMissingColumns=True).unionByName(unknown, allowMissingColumns=True)
-    return sc.score_all(cases).withColumn("score", F.round("score", 6))
+    cases = typed
+    for more in (calculator, judged, talked, label, unknown):
+        cases = cases.unionByName(more, allowMissingColumns=True)
+    items, c = rubric(t), criteria(t)
+    given = c.where("verdict <= 60").select("case_id", "name", "verdict")
+    tables = {"rubric_items": items.drop("met"), "rubric_verdicts": grades(items), "criteria_items": c.drop("verdict"), "criteria_verdicts": given,
+              "dimension_items": c.drop("verdict"), "dimension_verdicts": given, "checkpoints": checkpoints(t), "turns": replies(t)}
+    return sc.score_all(cases, tables).withColumn("score", settled(F.col("score"), 6))

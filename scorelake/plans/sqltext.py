@@ -31,7 +31,7 @@ def answer_line(c: str) -> str:
 
 
 def numbers(c: str) -> str:
-    return f"regexp_extract_all(replace({c}, '−', '-'), {lit(tx.NUMBER_PATTERN)})"
+    return f"regexp_extract_all(translate({c}, '−０１２３４５６７８９', '-0123456789'), {lit(tx.NUMBER_PATTERN)})"
 
 
 def to_number(c: str) -> str:

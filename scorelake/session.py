@@ -34,6 +34,7 @@ def local_session(app: str = "scorelake", cores: str = "8") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix=f"{app}-shared-"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -41,7 +42,10 @@ def local_session(app: str = "scorelake", cores: str = "8") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one in local mode only."""
+    """The folder named by spark.checkpoint.dir, which all executors share.
+
+    Without the setting, a session on one machine gets a temporary folder and a cluster is an error.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -65,11 +69,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for derived files, in the folder all executors share."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal out a scan that has fewer splits than cores before CPU-heavy work on its rows.
-
-    Only for plain scans. Inputs with enough splits pass through unchanged, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

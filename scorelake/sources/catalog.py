@@ -47,4 +47,4 @@ def report_index(spark: SparkSession, root: str, datasets: DataFrame) -> DataFra
 def file_fingerprint(spark: SparkSession, path: str) -> DataFrame:
     """First 16 hex digits of the SHA-256 of every file."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.substring(F.sha2("content", 256), 1, 16).alias("fingerprint"))
+    return files.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.substring(F.sha2("content", 256), 1, 16).alias("fingerprint"))

@@ -2,74 +2,136 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.operators.reports import changed_batches, stats_by_tag
+from scorelake.functions.numbers import settled
+from scorelake.operators.reports import changed_batches, pass_rate
 
 RESULT_LINE = "run_id STRING, id STRING, result STRING, score DOUBLE, tags ARRAY<STRING>, finished_at TIMESTAMP"
+KEY = ("run_id", "id")
+Batch = Callable[[DataFrame, int], None]
 
 
-def stream_results(spark: SparkSession, folder: str, delay: str = "1 hour") -> DataFrame:
-    """Result lines as they arrive, one per (run, case); state older than the delay is dropped."""
+def stream_results(spark: SparkSession, folder: str) -> DataFrame:
+    """Result lines as they arrive, in whatever order; lines without an id are damaged and left out."""
     lines = spark.readStream.schema(RESULT_LINE).option("mode", "PERMISSIVE").json(folder)
-    return lines.where(F.col("id").isNotNull()).withWatermark("finished_at", delay).dropDuplicatesWithinWatermark(["run_id", "id"])
+    return lines.where(F.col("id").isNotNull())
 
 
-def stream_tag_stats(results: DataFrame) -> DataFrame:
-    """Live tag statistics, in complete or update mode."""
-    return stats_by_tag(results)
+def _parts(spark: SparkSession, path: str, schema) -> DataFrame:
+    """What earlier micro-batches have written below `path`, with the number of each in `_part`."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], schema).withColumn("_part", F.lit(0))
 
 
-def stream_status_counts(results: DataFrame) -> DataFrame:
-    """Live number and score sum per status."""
-    return results.groupBy("result").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score_sum"))
+def merge_into(table: str, then: Batch | None = None, keys: Sequence[str] = KEY) -> Batch:
+    """Batch function that adds the rows whose key the table lacks, however late they come.
+
+    Each micro-batch has a partition of its own, so one that runs again replaces itself. Of lines with
+    one key the first finished counts. `then` gets the rows that were added.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        seen = _parts(spark, table, batch.schema).where(F.col("_part") != number).select(*keys)
+        rest = [c for c in batch.columns if c not in keys]
+        first = batch.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(F.col("finished_at").isNull(), "finished_at")).alias("_r"))
+        own = f"{table}/_part={number}"
+        first.join(seen, list(keys), "left_anti").select(*keys, "_r.*").select(*batch.columns).write.mode("overwrite").parquet(own)
+        if then is not None:
+            then(spark.read.schema(batch.schema).parquet(own), number)
+    return write
+
+
+def keep_totals(path: str, totals: Callable[[DataFrame], DataFrame]) -> Batch:
+    """Batch function that stores the sums of one micro-batch; `read_totals` adds them up."""
+    def write(added: DataFrame, number: int) -> None:
+        totals(added).write.mode("overwrite").parquet(f"{path}/_part={number}")
+    return write
+
+
+def read_totals(spark: SparkSession, path: str, by: Sequence[str]) -> DataFrame:
+    stored = spark.read.parquet(path).drop("_part")
+    return stored.groupBy(*by).agg(*[F.sum(c).alias(c) for c in stored.columns if c not in by])
+
+
+def tag_totals(rows: DataFrame) -> DataFrame:
+    """Sums per tag that add up over micro-batches."""
+    def of(status: str) -> Column:
+        return F.count_if(F.col("result") == status)
+    return rows.withColumn("tag", F.explode("tags")).groupBy("tag").agg(
+        F.count(F.lit(1)).alias("total"), of("pass").alias("pass_count"), of("fail").alias("fail_count"),
+        F.sum("score").alias("score_sum"), F.count("score").alias("scored"))
+
+
+def tag_stats(totals: DataFrame) -> DataFrame:
+    """Live tag statistics from added totals."""
+    rate = pass_rate(F.col("pass_count").cast("double"), F.col("fail_count").cast("double"))
+    return totals.select("tag", "total", "pass_count", "fail_count", F.round(rate, 6).alias("pass_rate"),
+                         settled(F.try_divide("score_sum", "scored"), 6).alias("avg_score"))
+
+
+def status_totals(rows: DataFrame) -> DataFrame:
+    """Number and score sum per run and status."""
+    return rows.groupBy("run_id", "result").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score_sum"))
 
 
 def progress_snapshot(counts: DataFrame, cases: DataFrame) -> DataFrame:
-    """Counts of one micro-batch next to the size of the case table; open cases get a NULL status."""
-    total = cases.agg(F.count(F.lit(1)).alias("total"))
-    done = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("completed"))
-    one = F.lit(1).alias("_one")
-    both = total.select("*", one).join(done.select("*", one), "_one").drop("_one")
-    opened = both.select(F.lit(None).cast("string").alias("result"), (F.col("total") - F.col("completed")).alias("n"))
-    rows = counts.select("result", "n").unionByName(opened)
-    return rows.select("*", one).join(both.select("*", one), "_one").drop("_one")
-
-
-def stream_weekly_stats(readings: DataFrame, delay: str = "7 days", time: str = "time") -> DataFrame:
-    """Mean, minimum, maximum per user, Monday week and indicator; late readings beyond the delay are dropped."""
+    """Counts per run and status next to the size of the case table; open cases get a NULL status."""
+    total = cases.agg(F.count(F.lit(1)).alias("total")).first()["total"]
+    done = counts.groupBy("run_id").agg(F.sum("n").alias("completed"))
+    opened = done.select("run_id", F.lit(None).cast("string").alias("result"), (F.lit(total) - F.col("completed")).alias("n"))
+    rows = counts.select("run_id", "result", "n").unionByName(opened)
+    return rows.join(done, "run_id").withColumn("total", F.lit(total))
+
+
+def stream_weekly_stats(readings: DataFrame, delay: str, time: str = "time") -> DataFrame:
+    """Mean, minimum, maximum per user, Monday week and indicator.
+
+    In complete mode every reading counts. In update mode the state of a week goes once the newest reading
+    is `delay` past its end, which bounds the state; readings later than that are left out.
+    """
     timed = readings.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
     week = F.window(time, "7 days", "7 days", "4 days")
     return timed.where(F.col("value_num").isNotNull()).groupBy("user_id", week.alias("week"), "indicator").agg(
         F.count("value_num").alias("n"), F.avg("value_num").alias("mean"), F.min("value_num").alias("min"), F.max("value_num").alias("max"))
 
 
-def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "complete") -> None:
+def run_available(stream: DataFrame, checkpoint: str, each: Batch, mode: str = "append") -> None:
     """Process what is there, then stop. A restart with the same checkpoint goes on where it ended."""
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
     query.awaitTermination()
 
 
-def overwrite_with(path: str, transform: Callable[[DataFrame], DataFrame] = lambda df: df) -> Callable[[DataFrame, int], None]:
+def overwrite_with(path: str, transform: Callable[[DataFrame], DataFrame] = lambda df: df) -> Batch:
     """Batch function that replaces the snapshot at `path`."""
     def write(batch: DataFrame, _: int) -> None:
         transform(batch).write.mode("overwrite").parquet(path)
     return write
 
 
-def ingest_changed(spark: SparkSession, folder: str, schema: str, manifest: DataFrame, local: DataFrame, table: str, checkpoint: str,
-                   force: bool = False) -> None:
+def ingest_changed(spark: SparkSession, folder: str, schema: str, manifest: DataFrame, local: DataFrame, table: str, staging: str,
+                   checkpoint: str, force: bool = False, versions: tuple[str | None, str | None] = (None, None)) -> None:
     """Ingest files of batches that are new or changed; their partitions of the table are replaced.
 
-    The rows carry their `batch`. The manifest comparison is a join inside every micro-batch.
+    The rows carry their `batch`. Micro-batches only collect rows, under the checksum of their batch; when
+    all files are read, each changed partition is replaced once, by all its rows. A run that stops
+    before that goes on with the rows collected so far. `versions` are those of the manifest and of the table.
     """
-    wanted = changed_batches(manifest, local, force).select("batch")
+    wanted = changed_batches(manifest, local, force, versions).select("batch", "checksum")
 
-    def write(rows: DataFrame, _: int) -> None:
-        rows.join(wanted, "batch", "left_semi").write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table)
+    def collect(rows: DataFrame, number: int) -> None:
+        rows.join(wanted, "batch").write.mode("overwrite").partitionBy("batch", "checksum").parquet(f"{staging}/_part={number}")
 
-    run_available(spark.readStream.schema(schema).json(folder), checkpoint, write, mode="append")
+    run_available(spark.readStream.schema(schema).json(folder), checkpoint, collect)
+    columns = spark.createDataFrame([], schema).columns
+    collected = _parts(spark, staging, f"{schema}, checksum STRING").withColumn("batch", F.col("batch").cast("string"))
+    collected.join(wanted, ["batch", "checksum"], "left_semi").select(*columns).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table)

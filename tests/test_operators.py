@@ -246,3 +246,75 @@ def test_graph_retrieve_fills_up(spark):
     queries = spark.createDataFrame([(1, "q", e(1, 0.1))], "user_id int, query_id string, embedding array<double>")
     got = gr.graph_retrieve(queries, chunks, ents, mentions, triples, 3).orderBy("rank").collect()
     assert [r["chunk_id"] for r in got] == [0, 1, 2]
+
+
+def test_turn_pairs_follow_the_order_not_the_numbers(spark):
+    from scorelake.operators.cases import pair_turns
+    rows = [(1, 1, "user", "a"), (1, 4, "assistant", "b"), (1, 6, "user", "c"), (1, 9, "user", "d"), (1, 10, "assistant", "e"), (1, 12, "user", "f")]
+    got = pair_turns(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")).orderBy("turn").collect()
+    assert [(r["user_text"], r["assistant_text"]) for r in got] == [("a", "b"), ("c", None), ("d", "e"), ("f", None)]
+
+
+def test_cached_input_has_its_own_price(spark):
+    from scorelake.operators import reports
+    usage = spark.createDataFrame([("r", "m", 1000, 400, 10), ("r", "n", 1000, 400, 10), ("r", "unknown", 1000, 400, 0), ("r", "m", 100, None, 0)],
+                                  "role string, model string, input_tokens long, cached_tokens long, output_tokens long")
+    prices = spark.createDataFrame([("m", 2.0, 0.5, 10.0), ("n", 2.0, None, 10.0)], "model string, input double, cached_input double, output double")
+    row = reports.cost_rollup(usage, prices).first()
+    # 600 x 2 + 400 x 0.5 + 100, then cached at the full price, then the defaults, then 100 x 2; in USD per million.
+    assert row["cost"] == round((1500 + 2100 + 600 * 2.0 + 400 * 0.5 + 200) / 1e6, 4) and row["cached_tokens"] == 1200
+
+
+def test_interrupted_events_without_a_date(spark):
+    from scorelake.operators.corpus import event_chunks
+    schema = "user_id int, event_id int, event_name string, event_type string, start_date date, duration_days int, interrupted boolean, interruption_date date"
+    import datetime
+    day = datetime.date(2024, 1, 1)
+    rows = [(1, 1, "n", "t", day, 2, True, None), (1, 2, "n", "t", day, 2, False, day), (1, 3, "n", "t", day, 2, True, day), (1, 4, "n", "t", day, 2, None, None)]
+    texts = {r["part"][-1]: r["text"].split("\n")[-1] for r in event_chunks(spark.createDataFrame(rows, schema)).collect()}
+    assert texts["1"] == "Interrupted: True" and texts["3"] == "Interruption date: 2024-01-01" and texts["4"] == "Interrupted: False"
+
+
+def test_readings_of_one_instant_give_one_answer(spark):
+    import datetime
+
+    from scorelake.operators.ablation import recompute_truth
+    day, at = datetime.date(2024, 1, 1), datetime.datetime(2024, 1, 1, 8)
+    readings = spark.createDataFrame([(1, day, at, "i", v) for v in (3.0, 7.0, 5.0)], "user_id int, day date, time timestamp, indicator string, value_num double")
+    queries = spark.createDataFrame([("q", 1, "i", "device", day, None, [])], "query_id string, user_id int, indicator string, kind string, day date, group_filter string,"
+                                    " ranges array<struct<role:string,start_date:date,end_date:date>>")
+    assert recompute_truth(queries, readings.repartition(3)).first()["expected_num"] == 7.0
+
+
+def test_dense_top_k_gives_exactly_k_of_equal_vectors(spark):
+    from scorelake.operators.graph import dense_top_k
+    same = spark.range(40).selectExpr("1 AS user_id", "id AS chunk_id", "array(1.0F, 0.0F) AS embedding")
+    queries = spark.createDataFrame([(1, 7, [1.0, 0.0]), (1, 8, [0.0, 0.0])], "user_id int, query_id int, embedding array<float>")
+    for size in (1000, 8):
+        rows = dense_top_k(queries, same, 5, block_rows=size).collect()
+        assert {(r["query_id"], r["chunk_id"]) for r in rows} == {(q, c) for q in (7, 8) for c in range(35, 40)}
+
+
+def test_packing_many_lines_is_linear(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from scorelake.operators.corpus import pack_lines
+
+    def seconds(n):
+        df = spark.range(1).select(pack_lines(F.concat(F.lit("[PROFILE]\nhead\n[DATA]\n"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("line "), i.cast("string"))), "\n")), 2000).alias("c"))
+        started = time.perf_counter()
+        chunks = df.first()["c"]
+        assert chunks[0] == "[PROFILE]\nhead" and sum(c.count("line ") for c in chunks) == n and all(len(c) <= 2000 + 20 for c in chunks)
+        return time.perf_counter() - started
+    seconds(1000)
+    assert seconds(100_000) < 20 * max(seconds(10_000), 0.2)
+
+
+def test_search_follows_json_to_any_depth(spark):
+    from scorelake.operators.cases import json_search
+    deep = '{"a": ' * 60 + '{"Needle": [1.50, null, true, {"k": "a needle"}]}' + "}" * 60
+    df = spark.createDataFrame([(1, deep), (2, "broken {"), (3, None), (4, '"needle"'), (5, "[]")], "id int, doc string")
+    got = sorted((r["id"], r["path"].count(".a"), r["match"], r["preview"]) for r in json_search(df, "doc", "NEEDLE", ["id"]).collect())
+    assert got == [(1, 60, "key", '[1.50,null,true,{"k":"a needle"}]'), (1, 60, "value", "a needle"), (4, 0, "value", "needle")]

@@ -101,12 +101,48 @@ def test_ghost_turn_is_left_out(spark):
     assert sc.flatten_dialogue(turns, "numbered").first()["dialogue"].endswith("[Turn 2] 用户: gone")
 
 
-def test_semantic_style_clips_long_replies(spark):
+def test_replies_are_clipped_only_on_request(spark):
     turns = spark.createDataFrame([(1, 1, "assistant", "x" * 2001)], "conv_id int, turn int, role string, text string")
-    assert sc.flatten_dialogue(turns, "semantic").first()["dialogue"] == "AI Assistant: " + "x" * 2000 + "...(truncated)"
+    assert sc.flatten_dialogue(turns, "semantic").first()["dialogue"] == "AI Assistant: " + "x" * 2001
+    clipped = sc.flatten_dialogue(turns, "semantic", assistant_chars=2000).first()["dialogue"]
+    assert clipped == "AI Assistant: " + "x" * 2000 + "...(truncated)"
+
+
+def test_digits_of_other_scripts_are_numbers(spark):
+    df = spark.createDataFrame([("心率 １２０", "120"), ("٣٫ about ١٢", "12"), ("ANSWER:\u3000１,２３４．", "1234"), ("none", "7")], "answer string, expected_value string")
+    assert [r["score"] for r in sc.score_numeric(df).collect()] == [1.0, 1.0, 1.0, 0.0]
+    weeks = spark.createDataFrame([("１２ weeks, ３ days", "12 weeks 3 days")], "a string, b string")
+    assert weeks.select(sc.match_weeks_days(F.col("a"), F.col("b"))).first()[0]
+
+
+def test_cases_without_any_verdict(spark):
+    items = spark.createDataFrame([(1, "a", 50), (1, "b", 50), (2, "a", 100)], "case_id int, name string, weight int")
+    verdicts = spark.createDataFrame([(1, "a", 5), (2, "a", None)], "case_id int, name string, verdict int")
+    got = {r["case_id"]: (r["score"], r["result"]) for r in sc.score_dimensions(items, verdicts).collect()}
+    assert got == {1: (0.75, "pass"), 2: (0.0, "error")}
+    hundreds = verdicts.withColumn("verdict", F.col("verdict") * 20)
+    got = {r["case_id"]: (r["score"], r["result"]) for r in sc.score_criteria(items, hundreds, 0.5).collect()}
+    assert got == {1: (0.75, "pass"), 2: (0.0, "fail")}
+
+
+def test_score_all_routes_every_evaluator(spark):
+    cases = spark.createDataFrame([
+        ("q", "typed_qa", "120 bpm", "120", "numeric_value", None, None, None), ("l", "label", None, None, None, "hi", "yes", "engaged"),
+        ("r", "rubric", None, None, None, None, None, None), ("r2", "rubric", None, None, None, None, None, None), ("c", "criteria", None, None, None, None, None, None),
+        ("d", "dimensions", None, None, None, None, None, None), ("k", "checkpoints", None, None, None, None, None, None), ("x", "nobody", None, None, None, None, None, None),
+        ("n", None, None, None, None, None, None, None)],
+        "id string, evaluator string, answer string, expected_value string, answer_type string, opening string, reply string, label string")
+    one = lambda rows, schema: spark.createDataFrame(rows, schema)
+    tables = {
+        "rubric_items": one([("r", 0, 4), ("r", 1, 1), ("other", 0, 1)], "case_id string, item_idx int, points int"),
+        "rubric_verdicts": one([("r", 0, True)], "case_id string, item_idx int, met boolean"),
+        "criteria_items": one([("c", "a", 1)], "case_id string, name string, weight int"), "criteria_verdicts": one([("c", "a", 70)], "case_id string, name string, verdict int"),
+        "dimension_items": one([("d", "a", 1)], "case_id string, name string, weight int"), "dimension_verdicts": one([("d", "a", 2)], "case_id string, name string, verdict int")}
+    got = {r["id"]: (r["result"], r["score"]) for r in sc.score_all(cases, tables).collect()}
+    assert got == {"q": ("scored", 1.0), "l": ("pass", 1.0), "r": ("scored", 0.8), "r2": ("fail", 0.0), "c": ("pass", 0.7), "d": ("fail", 0.25),
+                   "k": ("error", 0.0), "x": ("error", 0.0), "n": ("error", 0.0)}
 
 
 def test_score_all_reports_unknown(spark):
-    df = spark.createDataFrame([("1", "nobody")], "id string, evaluator string").withColumns({
-        c: F.lit(None).cast("string") for c in ("answer", "expected_value", "answer_type", "extracted", "ground_truth", "output_type", "lower_limit", "upper_limit")})
+    df = spark.createDataFrame([("1", "nobody")], "id string, evaluator string")
     assert sc.score_all(df).collect()[0]["result"] == "error"

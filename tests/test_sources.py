@@ -113,7 +113,8 @@ def readers_sum(spark, path, user, n):
 
 def test_bounded_sql(spark):
     df = spark.range(500).select("id", F.repeat(F.lit("x"), 400).alias("t"))
-    got = bounded_sql(spark, "SELECT * FROM {d};", {"d": df}).collect()
+    assert len(bounded_sql(spark, "SELECT * FROM {d}", {"d": df}).where("length(t) = 400 AND NOT truncated").collect()) == 500
+    got = bounded_sql(spark, "SELECT * FROM {d};", {"d": df}, 200, 300).collect()
     assert len(got) == 200 and got[0]["truncated"] and len(got[0]["t"]) == 300
     assert not bounded_sql(spark, "WITH a AS (SELECT 1 AS created_at) SELECT * FROM a", {}).first()["truncated"]
     for bad in ("DROP TABLE x", "SELECT 1; DROP TABLE x"):
@@ -121,13 +122,68 @@ def test_bounded_sql(spark):
             bounded_sql(spark, bad, {})
 
 
-def test_stream_restart_keeps_one_row_per_case(spark, tmp_path):
-    line = lambda i: json.dumps({"run_id": "r", "id": i, "result": "pass", "score": 1.0, "tags": ["t"], "finished_at": "2024-01-01T00:00:00Z"})
-    folder, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
-    put(tmp_path / "in" / "a.jsonl", f"{line('1')}\n{line('2')}\n{line('1')}\n")
-    run = lambda: st.run_available(st.stream_tag_stats(st.stream_results(spark, folder)), ck, st.overwrite_with(out))
+def line(i, at="2024-01-01T00:00:00Z", result="pass", score=1.0, run="r"):
+    return json.dumps({"run_id": run, "id": i, "result": result, "score": score, "tags": ["t"], "finished_at": at})
+
+
+def test_stream_keeps_late_lines_and_one_row_per_case(spark, tmp_path):
+    folder, table, sums, ck = (str(tmp_path / n) for n in ("in", "table", "sums", "ck"))
+    put(tmp_path / "in" / "a.jsonl", f"{line('1')}\n{line('2', '2024-06-01T00:00:00Z')}\n{line('1')}\n{{broken\n")
+    run = lambda: st.run_available(st.stream_results(spark, folder), ck, st.merge_into(table, st.keep_totals(sums, st.tag_totals)))
+    stats = lambda: st.tag_stats(st.read_totals(spark, sums, ["tag"])).first()
+    run()
+    assert stats()["total"] == 2
+    # A line from months before the newest one, a repeated one, and one without a score.
+    put(tmp_path / "in" / "b.jsonl", f"{line('2')}\n{line('3', '2023-01-01T00:00:00Z', 'fail', 0.0)}\n{line('4', score=None)}\n")
+    run()
+    assert tuple(stats()) == ("t", 4, 3, 1, 0.75, round(2 / 3, 6))
+    assert spark.read.parquet(table).count() == 4
+    cases = spark.range(6).selectExpr("id")
+    got = {(r["result"], r["n"], r["completed"], r["total"]) for r in st.progress_snapshot(st.status_totals(spark.read.parquet(table)), cases).collect()}
+    assert got == {("pass", 3, 4, 6), ("fail", 1, 4, 6), (None, 2, 4, 6)}
+
+
+def test_a_micro_batch_that_runs_again_replaces_itself(spark, tmp_path):
+    table = str(tmp_path / "table")
+    rows = spark.createDataFrame([("r", "1", "pass", 1.0, ["t"], None)], st.RESULT_LINE)
+    merge = st.merge_into(table)
+    for _ in range(2):
+        merge(rows, 0)
+    merge(rows, 1)
+    assert spark.read.parquet(table).count() == 1
+
+
+def test_weekly_stream_in_update_mode_bounds_its_state(spark, tmp_path):
+    folder, ck, seen = tmp_path / "in", str(tmp_path / "ck"), []
+    reading = lambda day, v: json.dumps({"user_id": 1, "indicator": "i", "time": f"{day}T08:00:00Z", "value_num": v})
+
+    def run():
+        source = spark.readStream.schema("user_id BIGINT, indicator STRING, time TIMESTAMP, value_num DOUBLE").json(str(folder))
+        st.run_available(st.stream_weekly_stats(source, "7 days"), ck, lambda df, _: seen.extend((str(r["week"]["start"])[:10], r["n"], r["max"]) for r in df.collect()), "update")
+    put(folder / "a.jsonl", reading("2024-01-02", 1.0) + "\n" + reading("2024-01-09", 2.0))
+    run()
+    assert sorted(seen) == [("2024-01-01", 1, 1.0), ("2024-01-08", 1, 2.0)]
+    put(folder / "b.jsonl", reading("2024-01-08", 5.0) + "\n" + reading("2024-03-01", 3.0))
+    run()
+    assert ("2024-01-08", 2, 5.0) in seen
+    put(folder / "c.jsonl", reading("2024-01-02", 9.0))
     run()
-    assert spark.read.parquet(out).first()["total"] == 2
-    put(tmp_path / "in" / "b.jsonl", f"{line('2')}\n{line('3')}\n")
+    assert not any(m == 9.0 for _, _, m in seen)
+
+
+def test_ingest_takes_all_files_of_a_batch_and_swaps_once(spark, tmp_path):
+    folder, table, staging, ck = (str(tmp_path / n) for n in ("in", "table", "staging", "ck"))
+    spark.createDataFrame([("a", 1), ("keep", 9)], "batch string, id long").write.partitionBy("batch").parquet(table)
+    manifest = spark.createDataFrame([("a", "new"), ("keep", "same"), ("b", "x")], "batch string, checksum string")
+    local = spark.createDataFrame([("a", "old"), ("keep", "same")], "batch string, checksum string")
+    rows = lambda *ids: "\n".join(json.dumps({"batch": b, "id": i}) for b, i in ids)
+    put(tmp_path / "in" / "1.jsonl", rows(("a", 2), ("keep", 8)))
+    run = lambda **k: st.ingest_changed(spark, folder, "batch STRING, id BIGINT", manifest, local, table, staging, ck, **k)
+    have = lambda: sorted((r["batch"], r["id"]) for r in spark.read.parquet(table).collect())
+    run(versions=("7", "7"))
+    assert have() == [("a", 1), ("keep", 9)]
+    ck = str(tmp_path / "ck2")
     run()
-    assert spark.read.parquet(out).first()["total"] == 3
+    put(tmp_path / "in" / "2.jsonl", rows(("a", 3), ("b", 4)))
+    run(versions=("8", "7"))
+    assert have() == [("a", 2), ("a", 3), ("b", 4), ("keep", 9)]
