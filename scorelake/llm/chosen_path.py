@@ -3,8 +3,9 @@
 A document is the set of its word shingles. In each of several independent trees a document goes
 from a node to a child for every token whose hash, drawn anew for that node, is below
 1 / (similarity * size): similar sets choose a common token with a chance of at least 1 - 1/e in
-each tree. Small nodes are compared exhaustively, larger ones branch again. Before a node
-branches, all its members are compared with one of them, so that a dense group becomes one
+each tree. Tokens of a stated share of all documents split nothing; as far as the other tokens of
+a set suffice for that chance they are chosen from alone, at a higher rate. Small nodes are compared
+exhaustively, larger ones branch again. Before a node branches, all its members are compared with one of them, so that a dense group becomes one
 component at linear cost; from then on only members of different components are compared.
 Every link is confirmed on the full sets, made anew from the texts.
 
@@ -34,7 +35,11 @@ RECALL = 0.99999
 SKETCH = 128
 DEVIATIONS = 5.5
 BLOCK = 64
-MAX_DEPTH = 6
+MAX_DEPTH = 20
+# Tokens of more than this share of a sample of about so many documents are common. The list has at most the mean
+# size of a set over the share entries; it decides how fast nodes get small, not what is found.
+COMMON_SHARE = 0.01
+SAMPLE = 4000
 
 
 # --- sets ------------------------------------------------------------------------------------------
@@ -78,18 +83,39 @@ class Shingler:
         return np.unique(mixed(h))
 
 
-def limit_of(size: int, percent: int) -> np.uint64:
-    """Hashes up to this are chosen: 1 / (similarity * size) of all."""
-    return np.uint64(min(MASK, (MASK + 1) * 100 // (percent * size)))
+def limit_of(size: float) -> np.uint64:
+    """Hashes up to this are chosen: 1 / size of all."""
+    return np.uint64(min(MASK, int((MASK + 1) / max(size, 1.0))))
 
 
-def children(shingles: np.ndarray, nodes: np.ndarray, percent: int) -> np.ndarray:
-    """The child nodes that a set chooses at some nodes: at each, those of the tokens that its own hash draws."""
-    if not len(shingles) or not len(nodes):
-        return np.empty(0, np.uint64)
-    salts = mixed(nodes) | np.uint64(1)
-    at, token = np.nonzero(shingles[None, :] * salts[:, None] <= limit_of(len(shingles), percent))
-    return mixed(shingles[token] + mixed(nodes[at] + np.uint64(7)))
+class Chooser:
+    """The child nodes that sets choose.
+
+    A linked pair shares at least percent / 100 of either set, so at least `left` of the tokens of a set that are
+    not common. They are chosen with a chance of 1 / left, and common ones, at 100 / (percent * size), only if few
+    others are left. Either way a linked pair chooses one shared token or more on average.
+    """
+
+    def __init__(self, common: np.ndarray, percent: int):
+        self.common, self.share = np.sort(common), percent / 100
+
+    def limits(self, shingles: np.ndarray) -> np.ndarray:
+        n = len(shingles)
+        at = np.minimum(np.searchsorted(self.common, shingles), max(len(self.common) - 1, 0))
+        often = self.common[at] == shingles if len(self.common) else np.zeros(n, bool)
+        left = self.share * n - np.count_nonzero(often)
+        if left >= 0.25 * n:
+            return np.where(often, np.uint64(0), limit_of(left))
+        return np.where(often, limit_of(self.share * n), limit_of(max(left, 0.2 * n)))
+
+    def __call__(self, shingles: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        if not len(shingles) or not len(nodes):
+            return np.empty(0, np.uint64)
+        limits = self.limits(shingles)
+        shingles, limits = shingles[limits > 0], limits[limits > 0]
+        salts = mixed(nodes) | np.uint64(1)
+        at, token = np.nonzero(shingles[None, :] * salts[:, None] <= limits[None, :])
+        return mixed(shingles[token] + mixed(nodes[at] + np.uint64(7)))
 
 
 def tree_count(recall: float) -> int:
@@ -97,7 +123,28 @@ def tree_count(recall: float) -> int:
     return math.ceil(-math.log(1 - recall))
 
 
-def _signatures(words: int, percent: int, trees: int):
+def _count_shingles(words: int):
+    def run(batches):
+        shingle = Shingler(words)
+        for pdf in batches:
+            found, n = np.unique(np.concatenate([shingle(t) for t in pdf["data"]]), return_counts=True) if len(pdf) else (np.empty(0, np.uint64),) * 2
+            yield pd.DataFrame({"shingle": found.view(np.int64), "n": n.astype(np.int64)})
+    return run
+
+
+def common_shingles(texts: DataFrame, words: int, share: float = COMMON_SHARE, sample: int = SAMPLE) -> np.ndarray:
+    """Shingles of more than a share of the documents, from a sample chosen by a hash of the id."""
+    total = texts.count()
+    if not total:
+        return np.empty(0, np.uint64)
+    grain = 1 << 20
+    some = texts.where(F.pmod(F.xxhash64("_id"), F.lit(grain)) < min(grain, sample * grain // total + 1))
+    counts = some.mapInPandas(_count_shingles(words), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    least = max(5.0, share * min(sample, total))
+    return np.array([r["shingle"] for r in counts.where(F.col("n") > least).select("shingle").collect()], np.int64).view(np.uint64)
+
+
+def _signatures(words: int, chooser: Chooser, trees: int):
     roots = splitmix(trees, 21)
 
     def run(batches):
@@ -109,17 +156,17 @@ def _signatures(words: int, percent: int, trees: int):
                 keys = mixed(s + np.uint64(5))
                 one, two = np.add.reduce(keys * s), np.bitwise_xor.reduce(keys)
                 least = np.partition(keys, SKETCH - 1)[:SKETCH] if len(s) > SKETCH else keys
-                out.append((id_, len(s), int(one.view(np.int64)), int(two.view(np.int64)), children(s, roots, percent).view(np.int64),
+                out.append((id_, len(s), int(one.view(np.int64)), int(two.view(np.int64)), chooser(s, roots).view(np.int64),
                             least.astype(np.uint16).view(np.int16)))
             yield pd.DataFrame(out, columns=["_id", "n", "one", "two", "nodes", "sketch"])
     return run
 
 
-def _branch(words: int, percent: int):
+def _branch(words: int, chooser: Chooser):
     def run(batches):
         shingle = Shingler(words)
         for pdf in batches:
-            found = [children(shingle(text), nodes.astype(np.int64).view(np.uint64), percent).view(np.int64)
+            found = [chooser(shingle(text), nodes.astype(np.int64).view(np.uint64)).view(np.int64)
                      for text, nodes in zip(pdf["data"], pdf["nodes"], strict=True)]
             yield pd.DataFrame({"_id": np.repeat(pdf["_id"].to_numpy(), [len(f) for f in found]), "node": np.concatenate(found) if found else []})
     return run
@@ -203,18 +250,19 @@ class _Join:
 
     def __init__(self, docs: DataFrame, words: int, percent: int, recall: float, block: int, max_depth: int):
         self.words, self.percent, self.block, self.max_depth = words, percent, block, max_depth
-        # Identical sets have identical texts but for white space and case; sets are compared on hashes of 64 bits.
         self.texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("_id"), F.col("text").cast("binary").alias("data"))
-        self.sigs = stored(self.texts.mapInPandas(
-            _signatures(words, percent, tree_count(recall)),
+        self.chooser = Chooser(common_shingles(self.texts, words), percent)
+        sigs = stored(self.texts.mapInPandas(
+            _signatures(words, self.chooser, tree_count(recall)),
             "_id long, n long, one long, two long, nodes array<long>, sketch array<smallint>"), "signatures")
-        self.links: list[DataFrame] = []
-
-    def classes(self) -> DataFrame:
-        """Each document with the least id of those with an identical set."""
-        reps = self.sigs.where("n > 0").groupBy("n", "one", "two").agg(F.min("_id").alias("rep"))
-        return self.sigs.select("_id", "n", "one", "two").join(reps, ["n", "one", "two"], "left").select(
-            "_id", "n", F.coalesce("rep", "_id").alias("rep"))
+        # Each document with the least id of those with an identical set; an empty set is like no other.
+        reps = sigs.where("n > 0").groupBy("n", "one", "two").agg(F.min("_id").alias("rep"))
+        self.classes = stored(sigs.select("_id", "n", "one", "two").join(reps, ["n", "one", "two"], "left").select(
+            "_id", "n", F.coalesce("rep", "_id").alias("rep")), "classes")
+        first = self.classes.where("_id = rep AND n > 0").select("_id").distinct()
+        self.sigs = stored_by(sigs.where("n > 0").join(first, "_id", "left_semi"), "sets", "_id")
+        self.one_sig = self.sigs.select("_id", "n", "sketch").dropDuplicates(["_id"])
+        self.roots: DataFrame | None = None
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (u, v) whose full sets are similar enough."""
@@ -222,15 +270,25 @@ class _Join:
         both = left.join(self.texts.select(F.col("_id").alias("v"), F.col("data").alias("other")), "v")
         return stored(both.select("u", "v", "data", "other").mapInPandas(_confirm(self.words, self.percent), "u long, v long"), "links")
 
-    def labels(self) -> DataFrame:
-        edges = self.links[0]
-        for more in self.links[1:]:
-            edges = edges.unionByName(more)
-        return components(edges)
+    def link(self, edges: DataFrame) -> None:
+        """Add links (u, v): components of those that are known are joined where a link ties them."""
+        if self.roots is None:
+            self.roots = components(edges)
+            return
+        known = self.roots
+        ends = edges.join(known.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left").join(
+            known.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left").select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v")).where("u != v")
+        ends = stored(ends.distinct(), "ties")
+        if ends.isEmpty():
+            return
+        above = components(ends).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        moved = known.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        new = above.select(F.col("root").alias("node"), F.col("top").alias("root")).join(known.select("node"), "node", "left_anti")
+        self.roots = stored(moved.unionByName(new), "roots")
 
     def labelled(self, nodes: DataFrame) -> DataFrame:
         """Rows (node, _id, label) of the nodes in which more than one component is left, with their counts."""
-        rows = nodes.join(self.labels().select(F.col("node").alias("_id"), "root"), "_id", "left").select(
+        rows = nodes.join(self.roots.select(F.col("node").alias("_id"), "root"), "_id", "left").select(
             "node", "_id", F.coalesce("root", "_id").alias("label"))
         by_label = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("c"))
         counts = by_label.groupBy("node").agg(
@@ -242,8 +300,7 @@ class _Join:
         """Each member of a node with the least member, once over all nodes, if a link is possible."""
         hubs = nodes.groupBy("node").agg(F.min("_id").alias("v"))
         pairs = nodes.join(hubs, "node").where("_id != v").select(F.col("_id").alias("u"), "v").distinct()
-        sig = self.sigs.select("_id", "n", "sketch").dropDuplicates(["_id"])
-        return pairs.join(sig.alias("a"), F.col("u") == F.col("a._id")).join(sig.alias("b"), F.col("v") == F.col("b._id")).where(
+        return pairs.join(self.one_sig.alias("a"), F.col("u") == F.col("a._id")).join(self.one_sig.alias("b"), F.col("v") == F.col("b._id")).where(
             _likely(self.percent)).select("u", "v")
 
     def exhaust(self, rows: DataFrame) -> DataFrame:
@@ -259,24 +316,22 @@ class _Join:
         sent = rows.where((F.col("label") != F.col("main")) & (F.col("m") > self.block)).select(
             "node", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "_id", "label", F.lit(False).alias("own"))
         places = rows.groupBy("_id").agg(F.collect_list("node").alias("nodes"))
-        sig = self.sigs.select("_id", "n", "sketch").dropDuplicates(["_id"]).join(places, "_id")
+        sig = self.one_sig.join(places, "_id")
         return own.unionByName(sent).join(sig, "_id").repartition("node", "block").sortWithinPartitions("node", "block").mapInPandas(
             _exhaust(self.percent), "u long, v long").distinct()
 
-    def run(self) -> DataFrame:
-        """(node, root) of all documents in components of more than one distinct set."""
-        classes = self.classes()
-        reps = classes.select(F.col("rep").alias("_id")).distinct()
-        all_nodes = self.sigs.join(reps, "_id", "left_semi").select("_id", F.explode("nodes").alias("node")).distinct()
+    def run(self) -> None:
+        """Fill `roots` with (node, root) of all documents in components of more than one distinct set."""
+        all_nodes = self.sigs.select("_id", F.explode("nodes").alias("node")).distinct()
         crowded = all_nodes.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("node")
         nodes = stored(all_nodes.join(crowded, "node").select("node", "_id"), "nodes")
         # From here on only documents that share a node with another one matter.
         self.texts = stored_by(self.texts.join(nodes.select("_id").distinct(), "_id", "left_semi"), "candidates", "_id")
-        several = classes.groupBy("_id").agg(F.min("rep").alias("v"), F.collect_set("rep").alias("all")).where(F.size("all") > 1)
-        self.links.append(several.select(F.explode("all").alias("u"), "v"))
+        several = self.classes.groupBy("_id").agg(F.min("rep").alias("v"), F.collect_set("rep").alias("all")).where(F.size("all") > 1)
+        first = several.select(F.explode("all").alias("u"), "v")
         pairs = None
         for depth in range(1, self.max_depth + 1):
-            self.links.append(self.confirmed(self.stars(nodes)))
+            self.link(self.confirmed(self.stars(nodes)).unionByName(first) if depth == 1 else self.confirmed(self.stars(nodes)))
             rows = stored(self.labelled(nodes), "open")
             # Comparing all is linear while few members lie outside the main component.
             cheap = (F.col("m") <= self.block) | ((F.col("m") - F.col("most")) * F.ceil(F.col("m") / self.block) <= 4 * F.col("m"))
@@ -287,12 +342,11 @@ class _Join:
             if last or wide.isEmpty():
                 break
             per_doc = wide.groupBy("_id").agg(F.collect_list("node").alias("nodes"))
-            grown = self.texts.join(per_doc, "_id").select("_id", "data", "nodes").mapInPandas(
-                _branch(self.words, self.percent), "_id long, node long").distinct()
-            crowd = grown.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("node")
-            nodes = stored(stored(grown, "children").join(crowd, "node").select("node", "_id"), "nodes")
-        self.links.append(self.confirmed(pairs.distinct()))
-        return self.labels()
+            grown = stored(self.texts.join(per_doc, "_id").select("_id", "data", "nodes").mapInPandas(
+                _branch(self.words, self.chooser), "_id long, node long"), "children")
+            crowd = grown.groupBy("node").agg(F.min("_id").alias("low"), F.max("_id").alias("high")).where("low != high").select("node")
+            nodes = stored(grown.join(crowd, "node").select("node", "_id").distinct(), "nodes")
+        self.link(self.confirmed(pairs.distinct()))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, recall: float = RECALL,
@@ -305,8 +359,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     whatever their size.
     """
     join = _Join(docs, words, percent, recall, block, max_depth)
-    roots = join.run()
-    found = join.classes().join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
+    join.run()
+    found = join.classes.join(join.roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.least(F.coalesce("root", "rep"), "_id").alias("component_id"))
     lost = docs.where("doc_id is null").select(F.lit(None).cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("data")).mapInPandas(
         _sizes(words), "doc_id long, n_shingles long").withColumn("component_id", F.lit(None).cast("bigint"))

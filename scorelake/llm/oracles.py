@@ -20,8 +20,8 @@ def runs(source: str, keep: str) -> str:
 
 NEAR_DUPLICATES = f"""WITH RECURSIVE d AS (SELECT doc_id, {words('text')} AS w FROM documents), s AS (SELECT DISTINCT doc_id, s FROM ({runs('d', 'doc_id')}) y),
     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-    c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
-    e AS (SELECT x, y FROM c JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * both >= 75 * (nx.n + ny.n - both)),
+    c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+    e AS (SELECT x, y FROM c JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * shared >= 75 * (nx.n + ny.n - shared)),
     u AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
     r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT r.doc_id, u.y FROM r JOIN u ON r.root = u.x)
     SELECT doc_id, coalesce(max(n.n), 0) AS n_shingles, min(root) AS component_id, min(root) = doc_id AS kept FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id"""
@@ -32,9 +32,9 @@ LEAKS = f"""WITH d AS (SELECT doc_id, {words('text')} AS w FROM documents), i AS
     win AS (SELECT st.doc_id, st.item_id, st.start, d.w[st.start + 1 : st.start + len(i.w)] AS w FROM st JOIN d USING (doc_id) JOIN i USING (item_id)),
     wc AS (SELECT doc_id, item_id, start, s, count(*) AS n FROM ({runs('win', 'doc_id, item_id, start')}) y GROUP BY ALL),
     ic AS (SELECT item_id, s, count(*) AS n FROM ir GROUP BY ALL),
-    both AS (SELECT doc_id, item_id, start, sum(least(wc.n, ic.n)) AS both FROM wc JOIN ic USING (item_id, s) GROUP BY ALL),
-    sized AS (SELECT b.doc_id, b.item_id, b.start, both / (greatest(len(win.w) - 4, 1) + greatest(len(i.w) - 4, 1) - both)::DOUBLE AS similarity
-              FROM both b JOIN win USING (doc_id, item_id, start) JOIN i USING (item_id)),
+    common AS (SELECT doc_id, item_id, start, sum(least(wc.n, ic.n)) AS shared FROM wc JOIN ic USING (item_id, s) GROUP BY ALL),
+    sized AS (SELECT b.doc_id, b.item_id, b.start, shared / (greatest(len(win.w) - 4, 1) + greatest(len(i.w) - 4, 1) - shared)::DOUBLE AS similarity
+              FROM common b JOIN win USING (doc_id, item_id, start) JOIN i USING (item_id)),
     best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS rn FROM sized WHERE similarity * 100 >= 75)
     SELECT doc_id, item_id, start, similarity FROM best WHERE rn = 1"""
 

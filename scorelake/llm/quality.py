@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from scorelake.llm.common import stored
 
-RISK = 0.02
+RISK = 0.05
 DELTA = 0.05
 # Measures, each higher for worse texts, and the cutoffs that are tried.
 RULES = ("symbol_share", "dup_line_share", "repeat_share", "upper_share", "word_length")
@@ -148,7 +148,7 @@ def cutoffs(counted: DataFrame, labels: DataFrame, risk: float = RISK, delta: fl
     level = delta / max(1, strata * len(RULES) * max(map(len, GRID.values())))
     grids = [GRID[r] for r in RULES]
 
-    def choose(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def choose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         grid = grids[key[1]]
         good = np.bincount(pdf["passed"], pdf["good"], len(grid) + 1).astype(np.int64)
         bad = np.bincount(pdf["passed"], pdf["bad"], len(grid) + 1).astype(np.int64)
