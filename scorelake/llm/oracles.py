@@ -69,10 +69,10 @@ QUALITY = rf"""WITH d AS (SELECT doc_id, lang, text, row_number() OVER () AS row
     cuts AS ({_CUTS}), strata AS (SELECT stratum, count(*) FILTER (good) AS n FROM lab GROUP BY stratum),
     rate AS (SELECT stratum, rule, cut, cutoff, n, count(*) FILTER (good AND passed >= cut) AS lost, count(*) FILTER (NOT good AND passed >= cut) AS gone
              FROM cell JOIN cuts USING (rule) JOIN strata USING (stratum) GROUP BY ALL),
-    ok AS (SELECT * FROM rate WHERE gone > lost AND lost < {_RISK} * n AND
+    ok AS (SELECT * FROM rate WHERE gone > {quality.LOSS} * lost AND lost < {_RISK} * n AND
            list_sum(list_transform(range(0, lost + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_RISK}) + (n - i) * ln(1 - {_RISK}))))
            <= {quality.DELTA}::DOUBLE / ((SELECT count(*) FROM strata) * {len(quality.RULES) * max(map(len, quality.GRID.values()))})),
-    best AS (SELECT stratum, rule, cutoff FROM (SELECT *, row_number() OVER (PARTITION BY stratum, rule ORDER BY gone - lost DESC, cutoff DESC) AS rn FROM ok) x WHERE rn = 1),
+    best AS (SELECT stratum, rule, cutoff FROM (SELECT *, row_number() OVER (PARTITION BY stratum, rule ORDER BY gone - {quality.LOSS} * lost DESC, cutoff DESC) AS rn FROM ok) x WHERE rn = 1),
     t AS (SELECT stratum, {_PIVOT} FROM best GROUP BY stratum)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {', '.join(quality.RULES)}, base_failed, NOT (base_failed OR {_OVER}) AS kept
     FROM m LEFT JOIN t USING (stratum)"""

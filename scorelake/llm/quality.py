@@ -5,7 +5,8 @@ A rule rejects a text if one of its measures lies above a cutoff. Cutoffs are ch
 bound of its rate of rejected good texts is at most `risk / number of rules`, at a level of
 `delta / (strata * rules * cutoffs)`. By Bonferroni all usable cutoffs hold together with a chance of
 at least 1 - delta, so any choice among them is safe, and all rules of a stratum together reject at
-most `risk` of its good texts. The one with the largest gain, bad less good texts rejected, is taken.
+most `risk` of its good texts. The one with the largest gain is taken: bad texts rejected less LOSS times the
+good ones.
 
 Rules for odd input: null and empty texts have no words and fail the base rules; a null language is
 a stratum of its own; strata with too few labels get no cutoff and reject nothing; a text labelled
@@ -26,6 +27,8 @@ from scorelake.llm.common import stored
 
 RISK = 0.05
 DELTA = 0.05
+# A good text lost weighs as so many bad ones rejected.
+LOSS = 10
 # Measures, each higher for worse texts, and the cutoffs that are tried.
 RULES = ("symbol_share", "dup_line_share", "repeat_share", "upper_share", "word_length")
 GRID = {
@@ -154,8 +157,8 @@ def cutoffs(counted: DataFrame, labels: DataFrame, risk: float = RISK, delta: fl
         bad = np.bincount(pdf["passed"], pdf["bad"], len(grid) + 1).astype(np.int64)
         # A text that passes i cutoffs is rejected by the first i of them.
         lost, gone = good[::-1].cumsum()[::-1][1:], bad[::-1].cumsum()[::-1][1:]
-        gains = [(int(gone[i] - lost[i]), grid[i]) for i in range(len(grid))
-                 if gone[i] > lost[i] and usable(int(lost[i]), int(good.sum()), risk / len(grids), level)]
+        gains = [(int(gone[i] - LOSS * lost[i]), grid[i]) for i in range(len(grid))
+                 if gone[i] > LOSS * lost[i] and usable(int(lost[i]), int(good.sum()), risk / len(grids), level)]
         best = [(key[0], key[1], float(max(gains)[1]))] if gains else []
         return pd.DataFrame(best, columns=["stratum", "rule", "cutoff"])
 
