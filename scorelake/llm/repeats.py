@@ -117,6 +117,8 @@ def scan_group(lefts: list[bytes], rights: list[bytes], min_bytes: int, groups:
     rank = np.empty(m, np.int64)
     rank[by_left] = np.arange(m)
     back, suffix = np.array(by_left), np.array(order)
+    place = np.empty(m, np.int64)
+    place[suffix] = np.arange(m)
     most_left = int(left_lcp.max(initial=0))
     for depth, first, last in prefix_intervals(lcp):
         if depth + most_left < min_bytes:
@@ -129,9 +131,12 @@ def scan_group(lefts: list[bytes], rights: list[bytes], min_bytes: int, groups:
         reach_l[who] = np.maximum(reach_l[who], best[hit])
         reach_r[who] = np.maximum(reach_r[who], depth)
         if groups is not None:
-            for run in np.split(np.arange(len(ranks)), np.flatnonzero(near + depth < min_bytes) + 1):
-                if len(run) > 1:
-                    groups.append((int(near[run[:-1]].min()), depth, back[ranks[run]].tolist()))
+            for left, a, b in prefix_intervals(np.insert(near, 0, 0)):
+                members = back[ranks[a:b + 1]]
+                at = place[members]
+                # Those that agree further to the right are a group of an inner interval.
+                if b > a and near[a:b].min() == left and left + depth >= min_bytes and lcp[at.min() + 1:at.max() + 1].min() == depth:
+                    groups.append((left, depth, sorted(members.tolist())))
     return reach_l, reach_r
 
 
@@ -291,7 +296,7 @@ def measure_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRA
     """One row (doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of `docs`."""
     found = Repeats(docs, min_bytes, gram, group_rows)
     part = found.candidates.select("_id", "_dg", "data").join(found.spans, ["_id", "_dg"]).mapInPandas(
-        _measure, "_id long, _dg string, gone long, runs long, left_sha256 string")
+        _measure, "_id long, _dg string, gone long, runs long, left_sha256 string").dropDuplicates(["_id", "_dg"])
     whole, none = found.whole(), F.sha2(F.lit(b""), 256)
     return found.ids.join(part, ["_id", "_dg"], "left").select(
         given_id("_id").alias("doc_id"), "n_bytes",

@@ -30,6 +30,8 @@ THRESHOLD = 0.7
 # A word counts as toxic if it is in so many labelled toxic texts, and so often among all.
 MIN_TEXTS = 4
 MIN_SHARE = 0.6
+# Words of such a share are toxic by themselves; what else is toxic is learned from texts without them.
+STRONG_SHARE = 0.9
 BEGINNINGS = (4, 5, 6)
 CACHED_TOKENS = 400_000
 
@@ -39,7 +41,7 @@ LOOKALIKES = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i",
 }
 # Costs in nats.
-_STAND_IN, _DROP_SIGN, _DROP_REPEAT, _WILD = 1.0, 2.0, 0.5, 4.0
+_STAND_IN, _DROP_SIGN, _DROP_STAR, _DROP_REPEAT, _WILD = 1.0, 6.0, 2.0, 0.5, 4.0
 _LETTERS = "".join(chr(c) for c in range(ord("a"), ord("z") + 1)) + "".join(chr(c) for c in range(0xDF, 0x100) if chr(c).isalpha())
 _K = len(_LETTERS) + 2  # 0 is no letter, the last is any other letter
 _TABLE = np.zeros(0x10000, np.uint8)
@@ -82,8 +84,10 @@ def language_model(docs: DataFrame) -> np.ndarray:
     three = counts.reshape(_K, _K, _K)
     two = three.sum(axis=0)
     one = (two.sum(axis=0) + 1) / (two.sum() + _K)
-    pair = (two + 5 * one) / (two.sum(axis=1, keepdims=True) + 5)
-    return np.log((three + 5 * pair[None]) / (three.sum(axis=2, keepdims=True) + 5))
+    pair = (two + one) / (two.sum(axis=1, keepdims=True) + 1)
+    triple = (three + pair[None]) / (three.sum(axis=2, keepdims=True) + 1)
+    # A mixture: restored words need not look like the rest of the corpus.
+    return np.log(0.6 * triple + 0.25 * pair[None] + 0.15 * one)
 
 
 class Restorer:
@@ -102,7 +106,7 @@ class Restorer:
                 if i and token[i - 1] == c:
                     own.append(("", _DROP_REPEAT))
             elif c == "*":
-                own = [("", _DROP_SIGN)] + [(x, _WILD) for x in _LETTERS[:26]]
+                own = [("", _DROP_STAR)] + [(x, _WILD) for x in _LETTERS[:26]]
             else:
                 own = [(x, _STAND_IN) for x in LOOKALIKES.get(c, "")] + [("", _DROP_SIGN if c in LOOKALIKES else 0.0)]
             out.append(own)
@@ -188,18 +192,27 @@ def weights(docs: DataFrame, labels: DataFrame, model: np.ndarray, train_texts:
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic").mapInPandas(
         _training_features(model), "kind long, toxic boolean, features array<string>").dropDuplicates(["kind", "toxic"])
     rows = stored(rows, "features")
-    n, bad = rows.agg(F.count(F.lit(1)), F.count_if("toxic")).first()
-    counts = rows.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.count_if("toxic").alias("bad"))
-    chance = (F.col("bad") + 2 * bad / n) / (F.col("n") + 2)
-    found = {r["f"]: r["p"] for r in counts.where(F.col("bad") >= MIN_TEXTS).select("f", chance.alias("p")).where(F.col("p") >= MIN_SHARE).collect()}
-    rest, rest_bad = rows.mapInPandas(_unnamed(set(found)), "toxic boolean").agg(F.count(F.lit(1)), F.count_if("toxic")).first()
+    strong = _chances(rows, STRONG_SHARE, "f NOT LIKE '%-'")
+    others = rows.mapInPandas(_without_any(set(strong)), "toxic boolean, features array<string>")
+    found = strong | _chances(others, MIN_SHARE, "true")
+    rest, rest_bad = rows.mapInPandas(_without_any(set(found)), "toxic boolean, features array<string>").agg(F.count(F.lit(1)), F.count_if("toxic")).first()
     return found, (rest_bad + 0.01) / (rest + 1)
 
 
-def _unnamed(found: set):
+def _chances(rows: DataFrame, least: float, kind: str) -> dict[str, float]:
+    """Smoothed share of toxic texts among those with a feature, where it is `least` or more."""
+    n, bad = rows.agg(F.count(F.lit(1)), F.count_if("toxic")).first()
+    counts = rows.select("toxic", F.explode("features").alias("f")).where(kind).groupBy("f").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("toxic").alias("bad"))
+    chance = (F.col("bad") + 2 * bad / max(n, 1)) / (F.col("n") + 2)
+    likely = counts.where(F.col("bad") >= MIN_TEXTS).select("f", chance.alias("p")).where(F.col("p") >= least)
+    return {r["f"]: r["p"] for r in likely.collect()}
+
+
+def _without_any(found: set):
     def run(batches):
         for pdf in batches:
-            yield pdf.loc[[found.isdisjoint(f) for f in pdf["features"]], ["toxic"]]
+            yield pdf.loc[[found.isdisjoint(f) for f in pdf["features"]], ["toxic", "features"]]
     return run
 
 
