@@ -104,9 +104,9 @@ class Chooser:
         at = np.minimum(np.searchsorted(self.common, shingles), max(len(self.common) - 1, 0))
         often = self.common[at] == shingles if len(self.common) else np.zeros(n, bool)
         left = self.share * n - np.count_nonzero(often)
-        if left >= 0.25 * n:
+        if left >= 0.05 * n:
             return np.where(often, np.uint64(0), limit_of(left))
-        return np.where(often, limit_of(self.share * n), limit_of(max(left, 0.2 * n)))
+        return np.where(often, limit_of(self.share * n), limit_of(max(left, 0.04 * n)))
 
     def __call__(self, shingles: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         if not len(shingles) or not len(nodes):
