@@ -188,8 +188,10 @@ def weights(docs: DataFrame, labels: DataFrame, model: np.ndarray, train_texts:
         return {}, 0.0
     grain = 1 << 20
     share = min(grain, train_texts * grain // total + 1)
-    chosen = known.where(F.pmod("h", F.lit(grain)) < share).select("doc_id", "toxic")
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic").mapInPandas(
+    chosen = stored(known.where(F.pmod("h", F.lit(grain)) < share).select("doc_id", "toxic"), "chosen")
+    # About `train_texts` ids, so they go to the texts; many copies of one text could make them more.
+    few = chosen.limit(4 * train_texts + 1).count() <= 4 * train_texts
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen) if few else chosen, "doc_id").select("text", "toxic").mapInPandas(
         _training_features(model), "kind long, toxic boolean, features array<string>").dropDuplicates(["kind", "toxic"])
     rows = stored(rows, "features")
     strong = _chances(rows, STRONG_SHARE, "f NOT LIKE '%-'")
