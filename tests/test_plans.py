@@ -49,15 +49,6 @@ def test_tag_stats_combine_before_the_shuffle(spark):
     assert "partial_count" in text
 
 
-def test_variants_are_made_above_the_range_join(spark):
-    lines = plan(QUERIES["gen06_ablate"](spark, ROOT)).split("\n")
-    depth = {i: re.search(r"[A-Z*]", text).start() for i, text in enumerate(lines) if re.search(r"[A-Z*]", text)}
-    for i, text in enumerate(lines):
-        if "BETWEEN" in text.upper() or "_month" in text and "Join" in text:
-            below = [lines[j] for j in range(i + 1, len(lines)) if depth.get(j, 0) > depth[i]]
-            assert not any("Generate" in b and "del10pct" in b for b in below)
-
-
 def test_large_top_k_sorts_no_whole_group(spark):
     from pyspark.sql import functions as F
 
