@@ -256,6 +256,33 @@ def test_changed_items_are_found(spark):
     assert sorted(x.doc_id or 0 for x in kept.collect()) == [0, 3, 4, 5]
 
 
+def test_items_in_another_order_are_found(spark):
+    r = random.Random(7)
+    docs, items = [], []
+    for k, n in enumerate((100, 40, 24)):
+        item = [f"i{k}w{j}" for j in range(n)]
+        items.append((k, " ".join(item)))
+        for d, cut in enumerate((n // 2, n // 4, n - n // 8, 0)):
+            around = [[f"u{r.randrange(10**6)}" for _ in range(m)] for m in (r.choice((0, 60)), r.choice((0, 60)))]
+            docs.append((10 * k + d, " ".join(around[0] + item[cut:] + item[:cut] + around[1])))
+    best = {}
+    for d, text in docs:
+        words = text.split()
+        for item, other in items:
+            want = other.split()
+            shingles = Counter(zip(*(want[i:] for i in range(5)), strict=False))
+            for start in range(len(words)):
+                window = words[start:start + len(want)]
+                have = Counter(zip(*(window[i:] for i in range(5)), strict=False))
+                both = (have & shingles).total()
+                score = both / (have.total() + shingles.total() - both)
+                if score >= 0.75:
+                    best[d, item] = max(score, best.get((d, item), 0))
+    got = decontaminate.leaks(documents(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    # The halves of the first item are exchanged in document 0.
+    assert {(x.doc_id, x.item_id): x.similarity for x in got} == pytest.approx(best) and best[0, 0] == pytest.approx(92 / 100)
+
+
 def test_leaks_run_no_python(spark, sf_dir):
     plan = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
