@@ -1,10 +1,12 @@
 """Toxicity scores of texts after noisy-channel deobfuscation.
 
 A suspicious token (look-alike signs among letters, letters set apart, drawn-out letters) becomes a
-lattice: each sign may stand for one of several letters, or for nothing, and a repeated letter may be
-one too many, each at a cost. A Viterbi pass under a character trigram model of the corpus finds the
-likeliest letters. The restored words are then scored by the words and word beginnings that the
-labelled texts show to be toxic.
+lattice: each sign may stand for one of several letters, or for nothing, and a repeated letter may
+be one too many, each at a cost. Signs set apart, from three up, are read as one word and also with
+word ends where the letters make them likely; toxic words are then sought from every start within
+the run. A Viterbi pass under a character trigram model of the corpus finds the likeliest letters.
+The restored words are then scored by the words and word beginnings that the labelled texts show to
+be toxic.
 
 Rules for odd input: null and empty texts have the score of a text without toxic words; without
 labels every score is 0; texts labelled both ways count as both; rows without doc_id are not used
@@ -48,10 +50,11 @@ _TABLE = np.zeros(0x10000, np.uint8)
 _TABLE[[ord(c) for c in _LETTERS]] = np.arange(1, len(_LETTERS) + 1)
 
 _RUN = re.compile(r"[^\W\d_]+")
-_APART = re.compile(r"(?<!\w)[^\W\d_](?:[ .\-_*][^\W\d_]){3,}(?!\w)")
+_APART = re.compile(r"(?<!\w)(?:[^\W\d_]|[0-9@$!|+(<€£¡])(?:[\s.\-_*]++(?:[^\W\d_]|[0-9@$!|+(<€£¡])){2,}(?!\w)")
+_GAP = re.compile(r"[\s.\-_]+")
 _EDGES = ".,;:?\"'()[]{}<>#%&~^=/\\*`-_"
 _DRAWN = re.compile(r"([^\W\d_])\1\1")
-_SIGNS = re.compile(r"[0-9@$!|+(<€£¡*.\-_ ]")
+_SIGNS = re.compile(r"[0-9@$!|+(<€£¡*.\-_\s]")
 
 
 def letter_codes(text: str) -> np.ndarray:
@@ -95,10 +98,10 @@ class Restorer:
 
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
-        self.code = {c: i + 1 for i, c in enumerate(_LETTERS)}
+        self.code = {c: i + 1 for i, c in enumerate(_LETTERS)} | {" ": 0}
 
-    def choices(self, token: str) -> list[list[tuple[str, float]]]:
-        """Per sign the letters it may be and their costs; an empty string drops it."""
+    def choices(self, token: str, ends: bool = False) -> list[list[tuple[str, float]]]:
+        """Per sign the letters it may be and their costs; an empty string drops it. With `ends` a blank may stay."""
         out: list[list[tuple[str, float]]] = []
         for i, c in enumerate(token):
             if c.isalpha():
@@ -107,17 +110,19 @@ class Restorer:
                     own.append(("", _DROP_REPEAT))
             elif c == "*":
                 own = [("", _DROP_STAR)] + [(x, _WILD) for x in _LETTERS[:26]]
+            elif ends and c == " ":
+                own = [("", 0.0), (" ", 0.0)]
             else:
                 own = [(x, _STAND_IN) for x in LOOKALIKES.get(c, "")] + [("", _DROP_SIGN if c in LOOKALIKES else 0.0)]
             out.append(own)
         return out
 
-    def __call__(self, token: str) -> str:
+    def __call__(self, token: str, ends: bool = False) -> str:
         model, code, rest = self.model, self.code, _K - 1
-        # (letter before, last letter) -> (cost, letters so far)
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for own in self.choices(token):
-            following: dict[tuple[int, int], tuple[float, str]] = {}
+        # (letter before, last letter) -> (cost, letters so far, each with those before it, so that the work stays linear)
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        for own in self.choices(token, ends):
+            following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (cost, done) in states.items():
                 for letter, extra in own:
                     if letter:
@@ -127,30 +132,42 @@ class Restorer:
                         state, total = (a, b), cost + extra
                     old = following.get(state)
                     if old is None or total < old[0]:
-                        following[state] = (total, done + letter)
+                        following[state] = (total, (done, letter) if letter else done)
             states = following
-        return min((cost - model[a][b][0], done) for (a, b), (cost, done) in states.items())[1]
+        (a, b), (_, done) = min(states.items(), key=lambda s: s[1][0] - model[s[0][0]][s[0][1]][0])
+        letters = []
+        while done:
+            done, letter = done
+            letters.append(letter)
+        return "".join(reversed(letters))
 
 
 def suspicious(token: str) -> bool:
     return bool(_RUN.search(token) and _SIGNS.search(token)) or bool(_DRAWN.search(token))
 
 
-def restored_words(token: str, restore: Restorer) -> set[str]:
-    """The words of a token as written and, if it looks disguised, as restored."""
+def restored_words(token: str, restore: Restorer, longest: int = 0) -> set[str]:
+    """The words of a token as written and, if it looks disguised, as restored.
+
+    Of signs set apart, where a word ends is not known, all stretches of up to `longest` letters are words.
+    """
     low = token.lower().strip(_EDGES)
     if low[-2:] in ("$$", "!!", "@@", "||", "++"):
         low = low.rstrip("$!@|+")
     words = set(_RUN.findall(low))
     core = low.rstrip("!|")
-    # Very long tokens are keys and addresses; they are cut in stretches so that the work stays linear.
     if suspicious(core):
-        words |= set(_RUN.findall(" ".join(restore(core[i:i + 64]) for i in range(0, len(core), 64))))
+        whole = restore(core)
+        words |= set(_RUN.findall(whole))
+        if _APART.fullmatch(core):
+            parted = restore(_GAP.sub(" ", core), ends=True)
+            words |= set(_RUN.findall(parted))
+            words |= {w[i:j] for w in {whole, parted.replace(" ", "")} for i in range(len(w)) for j in range(i + 1, min(i + longest, len(w)) + 1)}
     return words
 
 
 def tokens_of(text: str) -> set[str]:
-    """Distinct tokens between white space; letters set apart also make one token together."""
+    """Distinct tokens between white space; letters and look-alikes set apart also make one token together."""
     return set(text.split()) | set(_APART.findall(text))
 
 
@@ -220,7 +237,7 @@ def _without_any(found: set):
 
 def _score(model: np.ndarray, found: dict[str, float], base: float):
     def run(batches):
-        restore, cache = Restorer(model), {}
+        restore, cache, longest = Restorer(model), {}, max(map(len, found), default=0)
         for pdf in batches:
             scores = []
             for text in pdf["text"]:
@@ -228,7 +245,7 @@ def _score(model: np.ndarray, found: dict[str, float], base: float):
                 for token in tokens_of(text or ""):
                     p = cache.get(token)
                     if p is None:
-                        p = max((found[f] for f in features_of(restored_words(token, restore)) if f in found), default=0.0)
+                        p = max((found[f] for f in features_of(restored_words(token, restore, longest)) if f in found), default=0.0)
                         if len(cache) > CACHED_TOKENS:
                             cache.clear()
                         cache[token] = p

@@ -142,6 +142,13 @@ def test_disguised_words_are_restored(letters):
     assert toxicity.restored_words("i d i o t".replace(" ", "."), restore) >= {"idiot"}
 
 
+def test_words_set_apart_are_restored(letters):
+    restore = toxicity.Restorer(letters)
+    for text, word in [("i d 1 0 t", "idiot"), ("i d  i o t", "idiot"), ("i\nd\ti\no\nt", "idiot"), ("such a l o s e r", "loser"), ("y o u i d i o t", "idiot"),
+                       ("y.o.u.m.o.r.o.n", "moron"), ("b a d", "bad"), ("t h e " * 40 + "i d i o t " + "t h e " * 40, "idiot")]:
+        assert word in set().union(*[toxicity.restored_words(t, restore, 8) for t in toxicity.tokens_of(text)]), text
+
+
 def test_toxicity_of_held_out_texts(spark):
     docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
     rows = toxicity.score(docs, labels).join(labels, "doc_id").where("held_out and toxic is not null").collect()
