@@ -3,7 +3,8 @@
 A document is the set of its word shingles. In each of several independent trees a document goes
 from a node to a child for every token whose hash, drawn anew for that node, is below
 1 / (similarity * size): similar sets choose a common token with a chance of at least 1 - 1/e in
-each tree. Tokens of a stated share of all documents split nothing; as far as the other tokens of
+each root. Below the roots GROWTH times as many are chosen, so that a pair is unlikely to part at any
+depth. Tokens of a stated share of all documents split nothing; as far as the other tokens of
 a set suffice for that chance they are chosen from alone, at a higher rate. Small nodes are compared
 exhaustively, larger ones branch again. Before a node branches, all its members are compared with one of them, so that a dense group becomes one
 component at linear cost; from then on only members of different components are compared.
@@ -30,6 +31,8 @@ from scorelake.llm.components import components
 WORDS = 5
 PERCENT = 75
 RECALL = 0.99999
+# Shared tokens that a linked pair chooses on average in a node below the roots.
+GROWTH = 3
 # Least hashes of a set, 16 bits each. A pair whose sketches share so little that a linked pair lies DEVIATIONS away
 # is not confirmed on the texts.
 SKETCH = 128
@@ -93,25 +96,25 @@ class Chooser:
 
     A linked pair shares at least percent / 100 of either set, so at least `left` of the tokens of a set that are
     not common. They are chosen with a chance of 1 / left, and common ones, at 100 / (percent * size), only if few
-    others are left. Either way a linked pair chooses one shared token or more on average.
+    others are left. Either way a linked pair chooses one shared token or more on average, or `growth` times as many.
     """
 
     def __init__(self, common: np.ndarray, percent: int):
         self.common, self.share = np.sort(common), percent / 100
 
-    def limits(self, shingles: np.ndarray) -> np.ndarray:
+    def limits(self, shingles: np.ndarray, growth: int = 1) -> np.ndarray:
         n = len(shingles)
         at = np.minimum(np.searchsorted(self.common, shingles), max(len(self.common) - 1, 0))
         often = self.common[at] == shingles if len(self.common) else np.zeros(n, bool)
         left = self.share * n - np.count_nonzero(often)
         if left >= 0.05 * n:
-            return np.where(often, np.uint64(0), limit_of(left))
-        return np.where(often, limit_of(self.share * n), limit_of(max(left, 0.04 * n)))
+            return np.where(often, np.uint64(0), limit_of(left / growth))
+        return np.where(often, limit_of(self.share * n / growth), limit_of(max(left, 0.04 * n) / growth))
 
-    def __call__(self, shingles: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    def __call__(self, shingles: np.ndarray, nodes: np.ndarray, growth: int = 1) -> np.ndarray:
         if not len(shingles) or not len(nodes):
             return np.empty(0, np.uint64)
-        limits = self.limits(shingles)
+        limits = self.limits(shingles, growth)
         shingles, limits = shingles[limits > 0], limits[limits > 0]
         salts = mixed(nodes) | np.uint64(1)
         at, token = np.nonzero(shingles[None, :] * salts[:, None] <= limits[None, :])
@@ -119,8 +122,15 @@ class Chooser:
 
 
 def tree_count(recall: float) -> int:
-    """Trees needed if each misses a similar pair with a chance of at most 1/e."""
-    return math.ceil(-math.log(1 - recall))
+    """Trees needed for a similar pair to meet in one of them at any depth.
+
+    A node below the roots loses a pair with a chance of at most q = exp(-GROWTH * (1 - q)), however deep the tree
+    is, so a tree loses it with a chance of at most exp(-(1 - q)).
+    """
+    q = 0.0
+    for _ in range(100):
+        q = math.exp(-GROWTH * (1 - q))
+    return math.ceil(-math.log(1 - recall) / (1 - q))
 
 
 def _count_shingles(words: int):
@@ -166,7 +176,7 @@ def _branch(words: int, chooser: Chooser):
     def run(batches):
         shingle = Shingler(words)
         for pdf in batches:
-            found = [chooser(shingle(text), nodes.astype(np.int64).view(np.uint64)).view(np.int64)
+            found = [chooser(shingle(text), nodes.astype(np.int64).view(np.uint64), GROWTH).view(np.int64)
                      for text, nodes in zip(pdf["data"], pdf["nodes"], strict=True)]
             yield pd.DataFrame({"_id": np.repeat(pdf["_id"].to_numpy(), [len(f) for f in found]), "node": np.concatenate(found) if found else []})
     return run

@@ -161,3 +161,37 @@ def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (3, 3), (2, 1), (20, 30), (40, 30), (40, 50), (50, 60)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7, 20: 20, 30: 20, 40: 20, 50: 20, 60: 20}
+
+
+def test_linked_pairs_meet_at_any_depth():
+    import numpy as np
+    r = np.random.default_rng(5)
+    chooser = chosen_path.Chooser(np.empty(0, np.uint64), 75)
+    tokens = r.integers(0, 2**64, 150, dtype=np.uint64)
+    # 120 of 160 tokens in common: barely linked. The whole sets are seen at every depth, as if all nodes were large.
+    pair = np.sort(tokens[:140]), np.sort(np.concatenate([tokens[:120], r.integers(0, 2**64, 20, dtype=np.uint64)]))
+
+    class Texts:
+        def __init__(self, words):
+            pass
+
+        def __call__(self, data):
+            return pair[data]
+
+    import pandas as pd
+    lost, roots = 0, r.integers(0, 2**64, 1500, dtype=np.uint64)
+    whole, chosen_path.Shingler = chosen_path.Shingler, Texts
+    try:
+        branch = chosen_path._branch(5, chooser)
+        for root in roots:
+            met = np.intersect1d(*(chooser(s, np.array([root])) for s in pair))
+            for _ in range(4):
+                if not len(met):
+                    break
+                pdf = pd.DataFrame({"_id": [0, 1], "data": [0, 1], "nodes": [met[:40].view(np.int64)] * 2})
+                rows = next(branch([pdf]))
+                met = np.intersect1d(*(rows.loc[rows["_id"] == i, "node"].to_numpy(np.int64).view(np.uint64) for i in (0, 1)))
+            lost += not len(met)
+    finally:
+        chosen_path.Shingler = whole
+    assert (lost / len(roots)) ** chosen_path.tree_count(chosen_path.RECALL) <= 2 * (1 - chosen_path.RECALL)
