@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Mapping, Sequence
 
@@ -147,43 +146,66 @@ def json_path(df: DataFrame, col: str, path: str, keep: Sequence[str]) -> DataFr
     return nodes
 
 
-class _Number(str):
-    """A number as it is written."""
-
+def _json_walker(keyword: str, preview: int | None):
+    """A function over texts. Its helpers are made here, so it travels to the workers by value, which need not have this package."""
+    import json
 
-def _json_text(value) -> str:
-    """Compact JSON, keys in order; numbers stay as written."""
-    if isinstance(value, dict):
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_json_text(value[k])}" for k in sorted(value)) + "}"
-    if isinstance(value, list):
-        return "[" + ",".join(map(_json_text, value)) + "]"
-    return str(value) if isinstance(value, _Number) else json.dumps(value, ensure_ascii=False)
+    class Number(str):
+        """A number as it is written."""
 
+    load, write, wanted = json.loads, json.dumps, keyword.strip().lower()
 
-def _json_walker(keyword: str, preview: int | None):
-    """Closure over its helpers: it travels to the workers by value."""
-    number, as_text, wanted, load = _Number, _json_text, keyword.strip().lower(), json.loads
+    def pieces(value):
+        """Compact JSON bit by bit, keys in order; numbers stay as written."""
+        open_ = [value]
+        while open_:
+            v = open_.pop()
+            if isinstance(v, tuple):
+                yield v[0]
+            elif isinstance(v, dict):
+                open_.append(("}",))
+                for i, k in enumerate(sorted(v, reverse=True)):
+                    open_ += [v[k], (f"{'' if i == len(v) - 1 else ','}{write(k, ensure_ascii=False)}:",)]
+                yield "{"
+            elif isinstance(v, list):
+                open_.append(("]",))
+                for i in range(len(v) - 1, -1, -1):
+                    open_ += [v[i], (",",)] if i else [v[i]]
+                yield "["
+            else:
+                yield str(v) if isinstance(v, Number) else write(v, ensure_ascii=False)
+
+    def shown(value) -> str:
+        """Only as much is written as the preview shows."""
+        if isinstance(value, str) or value is True or value is False:
+            text = value if isinstance(value, str) else write(value)
+            return text if preview is None else text[:preview]
+        out, size = [], 0
+        for piece in pieces(value):
+            out.append(piece)
+            size += len(piece)
+            if preview is not None and size >= preview:
+                break
+        return "".join(out) if preview is None else "".join(out)[:preview]
 
     def hits(text: str | None) -> list[tuple]:
         try:
-            root = load(text, parse_int=number, parse_float=number) if text is not None else None
-        except ValueError:
+            root = load(text, parse_int=Number, parse_float=Number) if text is not None else None
+        except (ValueError, RecursionError):
             return []
         found, open_ = [], [("$", None, root)] if text is not None else []
         while open_:
             path, key, value = open_.pop()
-            plain = {True: "true", False: "false", None: ""}[value] if value is None or isinstance(value, bool) else value
-            scalar = not isinstance(value, (dict, list))
-            shown = plain if scalar and value is not None else as_text(value)
-            shown = shown if preview is None else shown[:preview]
             if key is not None and wanted in key.lower():
-                found.append((path, "key", shown))
-            if scalar and plain and wanted in plain.lower():
-                found.append((path, "value", shown))
+                found.append((path, "key", shown(value)))
             if isinstance(value, dict):
                 open_ += [(f"{path}.{k}", k, v) for k, v in value.items()]
             elif isinstance(value, list):
                 open_ += [(f"{path}[{i}]", None, v) for i, v in enumerate(value)]
+            elif value is not None:
+                plain = value if isinstance(value, str) else "true" if value else "false"
+                if plain and wanted in plain.lower():
+                    found.append((path, "value", shown(value)))
         return found
 
     def search(texts: pd.Series) -> pd.Series:

@@ -133,7 +133,7 @@ def _(t):
 @query("agg14_preview_events_by_indicator", """SELECT user_id, event_id, rn AS rank FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY start_date, event_name, event_id) AS rn FROM v_life_events WHERE event_id IN
        (SELECT event_id FROM v_event_indicators WHERE contains(indicator_name, 'ind-4'))) x WHERE rn <= 12""", longs=("rank",))
 def _(t):
-    return rd.preview_events_by_indicator(t.life_events, t.event_indicators, "ind-4", ["user_id"]).select("user_id", "event_id", "rank")
+    return rd.preview_events_by_indicator(t.life_events, t.event_indicators, "ind-4", ["user_id"], 12).select("user_id", "event_id", "rank")
 
 
 @query("agg15_count_events_by_medication", """WITH m AS (SELECT l_orderkey AS event_id, p_name AS med FROM lineitem JOIN part ON l_partkey = p_partkey),
