@@ -76,3 +76,24 @@ QUALITY = rf"""WITH d AS (SELECT doc_id, lang, text, row_number() OVER () AS row
     t AS (SELECT stratum, {_PIVOT} FROM best GROUP BY stratum)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {', '.join(quality.RULES)}, base_failed, NOT (base_failed OR {_OVER}) AS kept
     FROM m LEFT JOIN t USING (stratum)"""
+
+
+def vector_codes(parts: int = 8, width: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Codes of vectors of parts x width components, one chain of relations for each round."""
+    square = "list_sum(list_transform(list_zip(pt.v, {c}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT rid, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM
+            (SELECT pt.rid, part, c{r}.entry, {square.format(c=f'c{r}')} AS d FROM pt JOIN c{r} USING (part)) x GROUP BY rid, part)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (SELECT part, entry, i, sum(x) AS s, count(*) AS n FROM (SELECT part, entry, unnest(range({width})) AS i, unnest(v) AS x FROM a{r} JOIN pt USING (rid, part)) y GROUP BY ALL),
+            c{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(new.v, c{r}.v) AS v FROM c{r} LEFT JOIN
+                (SELECT part, entry, list(CAST((s - ((s % n + n) % n)) // n AS BIGINT) ORDER BY i) AS v FROM m{r} GROUP BY part, entry) new USING (part, entry))""")
+    return f"""WITH kept AS (SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        pt AS MATERIALIZED (SELECT rid, part, list_transform(embedding[part * {width} + 1 : (part + 1) * {width}], lambda x: CAST(floor(4096 * x::DOUBLE) AS BIGINT)) AS v
+            FROM kept, range({parts}) t(part)),
+        c0 AS (SELECT part, rid - 1 AS entry, v FROM pt WHERE rid <= {entries}), {", ".join(steps)},
+        coded AS (SELECT rid, string_agg(lpad(lower(hex(entry)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY rid),
+        books AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS digest FROM c{rounds})
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT digest FROM books) AS codebooks_sha256 FROM coded JOIN kept USING (rid)"""

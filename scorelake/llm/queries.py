@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import chosen_path, decontaminate, langid, licenses, oracles, quality, repeats, sitetree, toxicity, warc, wordbpe
+from scorelake.llm import chosen_path, decontaminate, langid, licenses, oracles, quality, repeats, sitetree, toxicity, vectorcodes, warc, wordbpe
 from scorelake.llm.common import table, tokenizer
 from scorelake.session import tune
 
@@ -58,9 +58,15 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.code_rows(table(spark, sf_dir, "embeddings"))
+
+
 _QUERIES = [op1_quality_rules, op2_warc_derivatives, op3_license_scan, op4_language_id, op5_html_extraction, op6_toxicity, op7_suffix_array_dedup,
-            op8_minhash_near_dedup, op9_bpe, op10_benchmark_decontamination]
-_ORACLES = {"op1_quality_rules": oracles.QUALITY, "op8_minhash_near_dedup": oracles.NEAR_DUPLICATES, "op10_benchmark_decontamination": oracles.LEAKS}
+            op8_minhash_near_dedup, op9_bpe, op10_benchmark_decontamination,
+            op11_vector_codes]
+_ORACLES = {"op1_quality_rules": oracles.QUALITY, "op8_minhash_near_dedup": oracles.NEAR_DUPLICATES, "op10_benchmark_decontamination": oracles.LEAKS,
+            "op11_vector_codes": oracles.vector_codes()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
