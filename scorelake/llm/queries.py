@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import chosen_path, decontaminate, divergence, langid, licenses, oracles, quality, repeats, sitetree, toxicity, vectorcodes, warc, wordbpe
+from scorelake.llm import chosen_path, decontaminate, divergence, idstore, langid, licenses, oracles, quality, repeats, sitetree, toxicity, vectorcodes, warc, wordbpe
 from scorelake.llm.common import table, tokenizer
-from scorelake.session import tune
+from scorelake.session import scratch_path, tune
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,13 +62,20 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorcodes.code_rows(table(spark, sf_dir, "embeddings"))
 
 
+def op12_token_id_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are written, and then found again by their keys and read from the files."""
+    docs = table(spark, sf_dir, "documents")
+    store = idstore.write(docs, tokenizer("word_bpe_49k.json"), scratch_path(spark, "ids"), end=2)
+    return store.checks(docs)
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
 _QUERIES = [op1_quality_rules, op2_warc_derivatives, op3_license_scan, op4_language_id, op5_html_extraction, op6_toxicity, op7_suffix_array_dedup,
             op8_minhash_near_dedup, op9_bpe, op10_benchmark_decontamination,
-            op11_vector_codes, op13_source_divergence]
+            op11_vector_codes, op12_token_id_index, op13_source_divergence]
 _ORACLES = {"op1_quality_rules": oracles.QUALITY, "op8_minhash_near_dedup": oracles.NEAR_DUPLICATES, "op10_benchmark_decontamination": oracles.LEAKS,
             "op11_vector_codes": oracles.vector_codes(), "op13_source_divergence": oracles.DIVERGENCE}
 
