@@ -26,6 +26,7 @@ import uuid
 import zlib
 from bisect import bisect_right
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import accumulate
 
 import numpy as np
@@ -41,9 +42,9 @@ SHARD_IDS = 1 << 25
 SHARD_DOCS = 1 << 20
 # Most keys of a bucket on average; its file has some 21 bytes for each.
 BUCKET_KEYS = 1 << 18
-# Characters that are encoded together, and of words that a task remembers.
+# Characters that are encoded together, and of words that a worker remembers.
 STRETCH = 4_000_000
-HELD_CHARS = 24_000_000
+HELD_CHARS = 10_000_000
 # Bytes of a payload that are read at once.
 READ_BYTES = 1 << 24
 # Bits for each key that comes to a level of the hash.
@@ -87,7 +88,7 @@ class StretchEncoder:
     def __init__(self, spec: dict, dtype: str, stretch: int = STRETCH, held: int = HELD_CHARS):
         from tokenizers import Tokenizer
 
-        self.slow = WordEncoder(spec)
+        self.spec = spec
         self.dtype, self.stretch, self.held = dtype, stretch, held
         suffix, vocab = spec["model"].get("end_of_word_suffix"), spec["model"]["vocab"]
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
@@ -98,12 +99,22 @@ class StretchEncoder:
                          "pre_tokenizer": {"type": "Sequence", "pretokenizers": [apart, spec["pre_tokenizer"]["pretokenizers"][-1]]}}
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.joined = Tokenizer.from_str(json.dumps(joined))
-        self.whole = Tokenizer.from_str(json.dumps(spec | {"truncation": None, "padding": None}))
         self.pattern = regex.compile(WordSplitter(spec).words.pattern + r"|\n")
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.chars = 0
 
+    @cached_property
+    def whole(self):
+        """The tokenizer itself, for odd pieces."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(json.dumps(self.spec | {"truncation": None, "padding": None}))
+
+    @cached_property
+    def slow(self) -> WordEncoder:
+        return WordEncoder(self.spec)
+
     def _raw(self, ids) -> bytes:
         return np.asarray(ids, dtype=self.dtype).tobytes()
 
@@ -138,7 +149,8 @@ class StretchEncoder:
                 own.append(get(w))
         if plain:
             self.pieces[plain[at]] = b"".join(own)
-        self.pieces.update((p, self._raw(e.ids)) for p, e in zip(odd, self.whole.encode_batch(odd, add_special_tokens=False), strict=True))
+        if odd:
+            self.pieces.update((p, self._raw(e.ids)) for p, e in zip(odd, self.whole.encode_batch(odd, add_special_tokens=False), strict=True))
         self.chars += sum(map(len, pieces))
 
     def _stretches(self, text: str):
@@ -184,6 +196,18 @@ class StretchEncoder:
                 yield [b"".join([self.pieces[p] for p in pieces])]
 
 
+def worker_encoder(spec: dict, dtype: str) -> StretchEncoder:
+    """The encoder of this Python worker. It outlives a task, and with it the words it has learnt."""
+    import sys
+    import types
+
+    memory = sys.modules.setdefault("scorelake_worker_memory", types.ModuleType("scorelake_worker_memory")).__dict__
+    key = f"encoder {zlib.crc32(json.dumps(spec, sort_keys=True).encode())} {dtype}"
+    if key not in memory:
+        memory[key] = StretchEncoder(spec, dtype)
+    return memory[key]
+
+
 # --- the minimal perfect hash ----------------------------------------------------------------------
 
 _SEEDS = splitmix(256, 91)
@@ -294,7 +318,7 @@ def _write_shards(spec: dict, folder: str, end: int, dtype: str, shard_ids: int,
         from pyspark import TaskContext
 
         part, number, shard = TaskContext.get().partitionId(), 0, None
-        encode, last = StretchEncoder(spec, dtype), np.array([end], dtype).tobytes()
+        encode, last = worker_encoder(spec, dtype), np.array([end], dtype).tobytes()
         first_key = last_key = None
 
         def closed() -> pa.RecordBatch:
