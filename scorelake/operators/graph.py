@@ -1,130 +1,21 @@
-"""Dense and graph retrieval: exact top-k, similar pairs, entity graph, personalised PageRank.
-
-Vector comparisons run block against block: hashed blocks of bounded size are shipped to the
-task that compares them, and only the wanted pairs leave it.
-"""
+"""Graph retrieval: entity graph, seeds, personalised PageRank, passages by both."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.functions.numbers import cosine
+from scorelake.operators import diffusion
 from scorelake.operators.ranking import top_k
+from scorelake.operators.vectors import block_scores, blocks_of, dense_top_k, nearest_vectors, similar_pairs
 from scorelake.session import checkpointed
 
-BLOCK_ROWS = 4096
 PASSAGE_WEIGHT = 0.05
 SYNONYM_THRESHOLD = 0.85
 
 
-def _unit_rows():
-    """Vectors to a matrix of unit rows, as a closure: it travels to the workers by value."""
-    def unit(column: pd.Series) -> np.ndarray:
-        m = np.stack([np.asarray(v, dtype=np.float64) for v in column])
-        norms = np.linalg.norm(m, axis=1, keepdims=True)
-        return m / np.where(norms == 0, 1.0, norms)
-    return unit
-
-
-def _fresh(df: DataFrame) -> DataFrame:
-    """The same columns under new ids: both sides of a cogroup may come from one table."""
-    return df.toDF(*[f"{c}_" for c in df.columns]).toDF(*df.columns)
-
-
-def _blocked(df: DataFrame, keys: Sequence[str], block_keys: Sequence[str], row_id: str, block_rows: int, name: str) -> tuple[DataFrame, DataFrame]:
-    """Give every row a hashed block within its group; also return the number of blocks per group."""
-    group = [*keys, *block_keys]
-    sizes = df.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(f"n_{name}"))
-    rows = df.join(sizes, group).withColumn(name, F.pmod(F.xxhash64(row_id), F.col(f"n_{name}")).cast("int")).drop(f"n_{name}")
-    return rows, sizes
-
-
-def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, key: str = "user_id", chunk_id: str = "chunk_id",
-                positive: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Exact cosine top-k per query among the chunks of the same user; on ties the higher id first.
-
-    Every pair of a query block and a chunk block yields at most k rows per query; a window then picks
-    the k best of those.
-    """
-    c_rows, c_sizes = _blocked(chunks.select(key, chunk_id, "embedding"), [key], [], chunk_id, block_rows, "cb")
-    q_rows, q_sizes = _blocked(queries.select(key, "query_id", "embedding"), [key], [], "query_id", block_rows, "qb")
-    c_all = c_rows.join(q_sizes, key).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("n_qb") - 1))).drop("n_qb")
-    q_all = q_rows.join(c_sizes, key).withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("n_cb") - 1))).drop("n_cb")
-    id_type = dict(chunks.dtypes)[chunk_id]
-    query_type = dict(queries.dtypes)["query_id"]
-
-    unit = _unit_rows()
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], chunk_id: [], "score": []})
-        scores = unit(right["embedding"]) @ unit(left["embedding"]).T
-        keep = min(k, scores.shape[1])
-        floor = np.partition(scores, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep]
-        wanted = scores >= floor[:, None]
-        if positive:
-            wanted &= scores > 0
-        ids = left[chunk_id].to_numpy()
-        high_first = np.argsort(ids, kind="stable")[::-1]
-        for q in np.flatnonzero(wanted.sum(axis=1) > keep):
-            # More than k because of ties at the end: the higher ids stay.
-            at = high_first[wanted[q, high_first]]
-            at = at[np.argsort(-scores[q, at], kind="stable")][:keep]
-            wanted[q] = False
-            wanted[q, at] = True
-        qi, ci = np.nonzero(wanted)
-        return pd.DataFrame({"query_id": right["query_id"].to_numpy()[qi], chunk_id: ids[ci], "score": scores[qi, ci]})
-
-    pairs = [key, "qb", "cb"]
-    found = _fresh(c_all).groupBy(*pairs).cogroup(_fresh(q_all).groupBy(*pairs)).applyInPandas(
-        best, f"query_id {query_type}, {chunk_id} {id_type}, score double")
-    return top_k(found, ["query_id"], [F.desc("score"), F.desc(chunk_id)], k)
-
-
-def similar_pairs(vectors: DataFrame, threshold: float = SYNONYM_THRESHOLD, key: str = "user_id", row_id: str = "vec_id",
-                  block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """All pairs i < j of a user with cosine >= threshold, exactly.
-
-    Vectors are banded by their angle to one vector of the user. Angles of a wanted pair differ by
-    at most acos(threshold), so a band meets only itself and the next one; bands are cut into
-    blocks of bounded size.
-    """
-    width = math.acos(min(threshold, 1.0)) + 1e-6
-    pivots = vectors.groupBy(key).agg(F.min_by("embedding", row_id).alias("_pivot"))
-    angle = F.acos(F.greatest(F.least(cosine(F.col("embedding"), F.col("_pivot")), F.lit(1.0)), F.lit(-1.0)))
-    banded = vectors.select(key, row_id, "embedding").join(pivots, key).select(
-        key, row_id, "embedding", F.floor(angle / width).cast("int").alias("band"))
-    rows, sizes = _blocked(banded, [key], ["band"], row_id, block_rows, "blk")
-    blocks = sizes.withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("n_blk") - 1)))
-    a = blocks.select(key, F.col("band").alias("band_a"), F.col("blk").alias("blk_a"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band_b"))
-    pairs = a.join(blocks.select(key, F.col("band").alias("band_b"), F.col("blk").alias("blk_b")), [key, "band_b"]).where(
-        (F.col("band_a") < F.col("band_b")) | (F.col("blk_a") <= F.col("blk_b")))
-    pair_key = [key, "band_a", "blk_a", "band_b", "blk_b"]
-    left = pairs.join(rows.withColumnsRenamed({"band": "band_a", "blk": "blk_a"}), [key, "band_a", "blk_a"])
-    right = pairs.join(rows.withColumnsRenamed({"band": "band_b", "blk": "blk_b"}), [key, "band_b", "blk_b"])
-    types = dict(vectors.dtypes)
-
-    unit = _unit_rows()
-
-    def close(keys, lhs: pd.DataFrame, rhs: pd.DataFrame) -> pd.DataFrame:
-        scores = unit(lhs["embedding"]) @ unit(rhs["embedding"]).T
-        i, j = np.nonzero(scores >= threshold)
-        ids_l, ids_r = lhs[row_id].to_numpy()[i], rhs[row_id].to_numpy()[j]
-        same_block = keys[1] == keys[3] and keys[2] == keys[4]
-        keep = ids_l < ids_r if same_block else ids_l != ids_r
-        lo, hi = np.where(ids_l < ids_r, ids_l, ids_r)[keep], np.where(ids_l < ids_r, ids_r, ids_l)[keep]
-        return pd.DataFrame({key: [keys[0]] * len(lo), "id_a": lo, "id_b": hi, "cosine": scores[i, j][keep]})
-
-    return _fresh(left).groupBy(*pair_key).cogroup(_fresh(right).groupBy(*pair_key)).applyInPandas(
-        close, f"{key} {types[key]}, id_a {types[row_id]}, id_b {types[row_id]}, cosine double")
-
-
 # --- entity graph ------------------------------------------------------------------------------------------
 
 
@@ -183,64 +74,72 @@ def synonym_edges(entity_vectors: DataFrame, edges: DataFrame, threshold: float
                        F.lit("synonymy").alias("type")).join(edges.select(key, "src", "dst"), [key, "src", "dst"], "left_anti")
 
 
-def link_seeds(queries: DataFrame, entity_vectors: DataFrame, chunk_vectors: DataFrame, k: int = 10, key: str = "user_id") -> DataFrame:
-    """Seeds per query: its k nearest entities with positive cosine, every passage with a weak weight."""
+def entity_seeds(queries: DataFrame, entity_vectors: DataFrame, k: int = 10, key: str = "user_id") -> DataFrame:
+    """(query_id, node, weight, user): the k nearest entities of each query, with their cosine if it is positive."""
     near = dense_top_k(queries, entity_vectors, k, key, "entity", positive=True).select(
         "query_id", entity_node(F.col("entity")).alias("node"), F.col("score").alias("weight"))
-    q = queries.select(key, "query_id", F.col("embedding").alias("_q"))
-    passages = chunk_vectors.join(q, key).select("query_id", passage_node(F.col("chunk_id")).alias("node"), (
-        cosine(F.col("_q"), F.col("embedding")) * PASSAGE_WEIGHT).alias("weight"))
-    return near.unionByName(passages).join(queries.select("query_id", key), "query_id")
+    return near.join(queries.select("query_id", key), "query_id")
+
+
+def passage_seeds(queries: DataFrame, chunk_vectors: DataFrame, key: str = "user_id") -> DataFrame:
+    """(query_id, user, chunk_ids, weights): every passage with a weak weight, one row for each block of passages."""
+    scores = block_scores(queries, blocks_of(chunk_vectors, key, "chunk_id"))
+    return scores.select("query_id", key, F.col("ids").alias("chunk_ids"), F.transform("scores", lambda x: x * PASSAGE_WEIGHT).alias("weights"))
+
+
+def link_seeds(queries: DataFrame, entity_vectors: DataFrame, chunk_vectors: DataFrame, k: int = 10, key: str = "user_id") -> DataFrame:
+    """All seeds as rows (query_id, node, weight, user), those of the passages unpacked.
+
+    `graph_retrieve` doesn't need the passages' rows: it pushes their vectors instead.
+    """
+    weak = passage_seeds(queries, chunk_vectors, key).select("query_id", key, F.explode(F.arrays_zip("chunk_ids", "weights")).alias("_s")).select(
+        "query_id", passage_node(F.col("_s.chunk_ids")).alias("node"), F.col("_s.weights").alias("weight"), key)
+    return entity_seeds(queries, entity_vectors, k, key).select("query_id", "node", "weight", key).unionByName(weak)
 
 
 def personalized_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, alpha: float = 0.5, max_iter: int = 100,
-                          tol: float = 1e-6, key: str = "user_id", every: int = 5) -> DataFrame:
-    """Scores (query_id, user, node, score, converged) for all queries at once.
+                          tol: float = 1e-6, key: str = "user_id") -> DataFrame:
+    """Scores (query_id, user, node, score, converged) for all queries at once; nodes without a row have score 0.
 
-    Edges are undirected. Mass of nodes without edges returns to the seeds. A query stops once its
-    L1 change is below tol times its number of nodes; its scores stay as they are from then on.
-    Every round ends in the checkpoint folder: the next one reads the state three times, and a
-    lineage kept over rounds would triple with each. Every few rounds the settled queries leave the state.
+    Edges are undirected. Seeds, with weights of either sign, are scaled to a sum of 1. Their mass is pushed along the
+    edges only where it is (see `diffusion.push`), so work and rows follow it; the sum of the absolute errors of a
+    query is below tol times its number of nodes. Mass of nodes without edges returns to the seeds: all
+    scores grow by the same factor, so they are pushed without it and scaled at the end.
     """
-    both = edges.select(key, "src", "dst", "weight").union(edges.select(key, F.col("dst"), F.col("src"), "weight"))
-    degree = both.groupBy(key, "src").agg(F.sum("weight").alias("_deg"))
-    step = checkpointed(both.join(degree, [key, "src"]).select(key, F.col("src").alias("node"), "dst", (F.col("weight") / F.col("_deg")).alias("p")))
-    sizes = nodes.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    graph = diffusion.Graph(edges, key)
+    known = seeds.join(nodes.select(key, "node"), [key, "node"], "left_semi")
     total = seeds.groupBy("query_id", key).agg(F.sum("weight").alias("_total"))
-    seed = seeds.groupBy("query_id", "node").agg(F.sum("weight").alias("_weight"))
-    linked = step.select(key, "node").distinct().withColumn("_linked", F.lit(True))
-    state = total.join(nodes.join(sizes, key), key).join(seed, ["query_id", "node"], "left").join(linked, [key, "node"], "left").select(
-        "query_id", key, "node", "n", F.coalesce(F.try_divide("_weight", "_total"), F.lit(0.0)).alias("seed"),
-        F.col("_linked").isNull().alias("dangling"), (1.0 / F.col("n")).alias("score"), F.lit(float("inf")).alias("change"))
-    state = checkpointed(state)
-    finished: list[DataFrame] = []
-
-    def settled_queries(rows: DataFrame) -> DataFrame:
-        """Per query: whether the last change was small enough, and the mass that dangles."""
-        return rows.groupBy("query_id").agg(
-            (F.sum("change") < F.first("n") * tol).alias("_done"),
-            F.sum(F.when(F.col("dangling"), F.col("score")).otherwise(F.lit(0.0))).alias("_lost"))
-
-    for i in range(1, max_iter + 1):
-        per_query = settled_queries(state)
-        flow = state.join(step, [key, "node"]).groupBy("query_id", F.col("dst").alias("node")).agg(
-            F.sum(F.col("score") * F.col("p")).alias("_in"))
-        moved = alpha * (F.coalesce("_in", F.lit(0.0)) + F.col("_lost") * F.col("seed")) + (1 - alpha) * F.col("seed")
-        following = state.join(flow, ["query_id", "node"], "left").join(per_query, "query_id").withColumn(
-            "_next", F.when(F.col("_done"), F.col("score")).otherwise(moved))
-        state = checkpointed(following.select(
-            "query_id", key, "node", "n", "seed", "dangling", F.col("_next").alias("score"),
-            F.when(F.col("_done"), F.col("change")).otherwise(F.abs(F.col("_next") - F.col("score"))).alias("change")))
-        if i % every == 0:
-            marked = state.join(settled_queries(state).select("query_id", "_done"), "query_id")
-            finished.append(marked.where("_done").drop("_done"))
-            state = checkpointed(marked.where(~F.col("_done")).drop("_done"))
-            if state.isEmpty():
-                break
-    for part in finished:
-        state = state.unionByName(part)
-    return state.join(settled_queries(state), "query_id").select(
-        "query_id", key, "node", "score", F.col("_done").alias("converged"))
+    seed = known.groupBy("query_id", key, "node").agg(F.sum("weight").alias("_weight")).join(total, ["query_id", key]).select(
+        "query_id", key, "node", F.coalesce(F.try_divide("_weight", "_total"), F.lit(0.0)).alias("value"))
+    lanes = checkpointed(diffusion.in_lanes(seeds, "query_id", key))
+    rows = diffusion.spread(seed.join(lanes, [key, "query_id"]), [key, "lane", "node"], "col", "value")
+    found, unfinished = diffusion.push(graph, rows, alpha, tol, max_iter)
+    lost = seed.join(graph.nodes.select(key, "node"), [key, "node"], "left_anti").groupBy("query_id", key).agg(F.sum("value").alias("_lost"))
+    scores = diffusion.column_values(found, lanes, key, "query_id").join(lost, ["query_id", key], "left")
+    late = lanes.join(unfinished, [key, "lane"], "left_semi").select("query_id", key, F.lit(True).alias("_late"))
+    return scores.join(late, ["query_id", key], "left").select(
+        "query_id", key, "node", (F.col("value") / (1 - alpha * F.coalesce("_lost", F.lit(0.0)))).alias("score"), F.col("_late").isNull().alias("converged"))
+
+
+def smoothed_passages(graph: diffusion.Graph, chunk_vectors: DataFrame, alpha: float = 0.5, tol: float = 1e-9, max_iter: int = 100, key: str = "user_id") -> DataFrame:
+    """(user, node, embedding): for every passage the vector whose product with a query is what all passages, seeded with
+    their cosine to it, send there. It depends on no query, as pushing is linear.
+    """
+    unit = F.transform("_v", lambda x: F.try_divide(x, F.col("_norm")))
+    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))
+    rows = chunk_vectors.select(key, passage_node(F.col("chunk_id")).alias("node"), F.col("embedding").cast("array<double>").alias("_v")).withColumn("_norm", norm)
+    width = diffusion.WIDTH
+    flat = rows.select(key, "node", F.transform(unit, lambda x: F.coalesce(x, F.lit(0.0))).alias("_u"))
+    parts = flat.select(key, "node", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size("_u") - 1) / width).cast("int")),
+                                                             lambda i: F.slice("_u", i * width + 1, F.lit(width)))).alias("_part", "_s"))
+    # The last part is filled up with zeros.
+    filled = parts.select(key, F.col("_part").cast("string").alias("lane"), "node",
+                          F.concat("_s", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("_s"))).alias("values"))
+    found, _ = diffusion.push(graph, filled, alpha, tol, max_iter)
+    dims = rows.groupBy(key).agg(F.max(F.size("_v")).alias("_dim"))
+    whole = found.where(F.startswith(F.col("node"), F.lit("passage:"))).groupBy(key, "node").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("lane").cast("int").alias("lane"), "values"))).alias("_parts"))
+    return whole.join(dims, key).select(key, "node", F.slice(F.flatten(F.col("_parts.values")), F.lit(1), F.col("_dim")).alias("embedding"))
 
 
 def top_up(first: DataFrame, fallback: DataFrame, k: int, item: str = "chunk_id") -> DataFrame:
@@ -252,17 +151,70 @@ def top_up(first: DataFrame, fallback: DataFrame, k: int, item: str = "chunk_id"
                  ["query_id"], [F.col("_src"), F.col("_r")], k).select("query_id", item, "rank")
 
 
+def _dots(pairs: DataFrame, left: str, right: str, name: str) -> DataFrame:
+    """`pairs` with the product of two vectors of equal length, by Arrow batches; the vectors go."""
+    def dot(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([float(np.dot(np.asarray(x, dtype=np.float64), np.asarray(y, dtype=np.float64))) for x, y in zip(a, b)])
+    return pairs.withColumn(name, F.pandas_udf(dot, "double")(F.col(left).cast("array<double>"), F.col(right).cast("array<double>"))).drop(left, right)
+
+
+def graph_passages(queries: DataFrame, chunk_vectors: DataFrame, entity_vectors: DataFrame, nodes: DataFrame, edges: DataFrame, passages: DataFrame,
+                   k: int, key: str = "user_id", max_iter: int = 100, tol: float = 1e-6, alpha: float = 0.5) -> DataFrame:
+    """(query_id, chunk_id, score): the k best passages by PageRank; queries that can't be ranked have no row.
+
+    The seeds of a query are its nearest entities and, weakly, all passages of the graph. The entities' mass is
+    pushed for each query. What the passages' seeds send is the product of the query with one smoothed vector for each
+    passage, so the best passages by that part are a bounded vector search. As entities only add to a
+    score, the k best of all are among those and the passages that entity mass has reached.
+    """
+    graph = diffusion.Graph(edges, key)
+    seeded = chunk_vectors.join(passages, [key, "chunk_id"], "left_semi")
+    smooth = smoothed_passages(graph, seeded, alpha, min(tol, 1e-9), max_iter, key)
+    smooth = checkpointed(smooth)
+    unit = F.transform("_v", lambda x: F.coalesce(F.try_divide(x, F.col("_norm")), F.lit(0.0)))
+    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))
+    asked = checkpointed(queries.select(key, "query_id", F.col("embedding").cast("array<double>").alias("_v")).withColumn("_norm", norm).where("_norm > 0").select(
+        key, "query_id", unit.alias("embedding")))
+    # The seeds' sum: what all passages add to it is the product with the sum of their unit vectors.
+    near = entity_seeds(asked, entity_vectors, key=key).join(nodes.select(key, "node"), [key, "node"], "left_semi")
+    near = checkpointed(near.select("query_id", key, "node", "weight"))
+    vectors = seeded.select(key, F.col("embedding").cast("array<double>").alias("_v")).withColumn("_norm", norm)
+    sums = vectors.select(key, F.posexplode(unit).alias("i", "x")).groupBy(key, "i").agg(F.sum("x").alias("x")).groupBy(key).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("_sum"))
+    weak = _dots(asked.join(sums, key), "embedding", "_sum", "_weak")
+    strong = near.groupBy("query_id").agg(F.sum("weight").alias("_strong"))
+    totals = weak.join(strong, "query_id", "left").select(
+        "query_id", key, (F.col("_weak") * PASSAGE_WEIGHT + F.coalesce("_strong", F.lit(0.0))).alias("_total"))
+    totals = checkpointed(totals)
+    lanes = checkpointed(diffusion.in_lanes(near, "query_id", key))
+    rows = diffusion.spread(near.join(lanes, [key, "query_id"]), [key, "lane", "node"], "col", "weight")
+    found, late = diffusion.push(graph, rows, alpha, tol, max_iter)
+    reached = checkpointed(diffusion.column_values(found, lanes, key, "query_id").where(F.startswith(F.col("node"), F.lit("passage:"))).select(
+        "query_id", key, "node", F.col("value").alias("_entity")))
+    late = lanes.join(late, [key, "lane"], "left_semi").select("query_id")
+
+    best = nearest_vectors(asked, blocks_of(smooth, key, "node", unit_length=False), k, unit_length=False).select("query_id", "node")
+    positive = totals.where("_total > 0")
+    # A negative sum turns the order round, and entities take from a score then: all passages of such a query are scored.
+    turned = totals.where("_total < 0").join(smooth.select(key, "node"), key).select("query_id", "node")
+    candidates = best.unionByName(reached.select("query_id", "node")).join(positive.select("query_id"), "query_id", "left_semi").unionByName(turned).distinct()
+    scored = candidates.join(asked.select("query_id", key, F.col("embedding").alias("_q")), "query_id").join(
+        smooth.select(key, "node", F.col("embedding").alias("_m")), [key, "node"])
+    both = _dots(scored, "_q", "_m", "_dense").join(reached, ["query_id", key, "node"], "left").join(totals, ["query_id", key])
+    score = (F.col("_dense") * PASSAGE_WEIGHT + F.coalesce("_entity", F.lit(0.0))) / F.col("_total")
+    chunk_type = dict(chunk_vectors.dtypes)["chunk_id"]
+    ranked = both.join(late, "query_id", "left_anti").select(
+        "query_id", F.substring("node", F.lit(len("passage:") + 1), F.length("node")).cast(chunk_type).alias("chunk_id"), score.alias("score"))
+    return top_k(ranked, ["query_id"], [F.desc("score"), F.desc("chunk_id")], k)
+
+
 def graph_retrieve(queries: DataFrame, chunk_vectors: DataFrame, entity_vectors: DataFrame, mentions: DataFrame, triples: DataFrame,
-                   k: int, key: str = "user_id", max_iter: int = 100) -> DataFrame:
+                   k: int, key: str = "user_id", max_iter: int = 100, tol: float = 1e-6) -> DataFrame:
     """Passages by PageRank, filled up with dense hits; dense alone for users without a graph or convergence."""
     names = entities(mentions, triples, key)
     edges = build_graph(mentions, triples, key)
     edges = edges.unionByName(synonym_edges(entity_vectors, edges, key=key))
-    nodes = graph_nodes(names, mentions.select(key, "chunk_id").distinct(), key)
-    seeds = link_seeds(queries, entity_vectors, chunk_vectors, key=key).join(nodes, [key, "node"], "left_semi")
-    ranks = personalized_pagerank(nodes, edges, seeds, key=key, max_iter=max_iter)
-    chunk_type = dict(chunk_vectors.dtypes)["chunk_id"]
-    passages = ranks.where(F.col("converged") & F.startswith(F.col("node"), F.lit("passage:"))).select(
-        "query_id", F.substring("node", F.lit(len("passage:") + 1), F.length("node")).cast(chunk_type).alias("chunk_id"), "score")
-    by_graph = top_k(passages, ["query_id"], [F.desc("score"), F.desc("chunk_id")], k)
+    passages = mentions.select(key, "chunk_id").distinct()
+    nodes = graph_nodes(names, passages, key)
+    by_graph = graph_passages(queries, chunk_vectors, entity_vectors, nodes, checkpointed(edges), passages, k, key, max_iter, tol)
     return top_up(by_graph, dense_top_k(queries, chunk_vectors, k, key), k)
