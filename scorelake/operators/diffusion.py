@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -82,30 +82,42 @@ def _pusher(alpha: float):
     return push
 
 
+_SEP = "\u0001"
+
+
+def _code(key: Column, node: Column) -> Column:
+    """One name for a node of all users."""
+    return F.concat(key.cast("string"), F.lit(_SEP), node)
+
+
 class Graph:
     """Edges with the share of each in its source's weight, dealt to blocks.
 
-    A node with very many edges (a hub) has them where they lead to, so that no block grows with it.
+    Small graphs share a block; large ones are cut. A node with very many edges (a hub) has them where they lead to, so
+    that no block grows with it.
     """
 
     def __init__(self, edges: DataFrame, key: str = "user_id", block_edges: int = BLOCK_EDGES):
-        self.key = key
+        self.key, self.key_type = key, dict(edges.dtypes)[key]
         both = edges.select(key, "src", "dst", "weight").union(edges.select(key, F.col("dst"), F.col("src"), "weight"))
         both = checkpointed(both.groupBy(key, "src", "dst").agg(F.sum("weight").alias("weight")))
-        degree = both.groupBy(key, F.col("src").alias("node")).agg(F.sum("weight").alias("degree"), F.count(F.lit(1)).alias("n_edges"))
-        degree = checkpointed(degree)
-        sizes = checkpointed(degree.groupBy(key).agg(F.sum("degree").alias("volume"), F.count(F.lit(1)).alias("n"),
-                                                     F.ceil(F.sum("n_edges") / block_edges).cast("int").alias("blocks")))
+        degree = checkpointed(both.groupBy(key, F.col("src").alias("node")).agg(F.sum("weight").alias("degree"), F.count(F.lit(1)).alias("n_edges")))
+        sizes = checkpointed(degree.groupBy(key).agg(F.sum("degree").alias("volume"), F.count(F.lit(1)).alias("n"), F.sum("n_edges").alias("edges")).withColumn(
+            "blocks", F.ceil(F.col("edges") / block_edges).cast("int")))
+        small = sizes.where("blocks = 1").agg(F.sum("edges")).first()[0] or 0
+        shared = max(1, -(-2 * small // block_edges))
         hub = (F.col("blocks") > 1) & (F.col("n_edges") * 8 > block_edges)
+        place = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64(key), F.lit(shared))).otherwise(
+            F.xxhash64(F.col(key), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
         self.nodes = checkpointed(degree.join(sent(sizes), key).select(
-            key, "node", "degree", "blocks", hub.alias("hub"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"),
+            key, "node", _code(F.col(key), F.col("node")).alias("code"), "degree", "blocks", hub.alias("hub"), place.alias("block"),
             # The part of the tolerance that a node may keep: over all nodes of a graph they add up to its number of nodes.
             (F.col("degree") / F.col("volume") * F.col("n")).alias("share")))
-        a = self.nodes.select(key, F.col("node").alias("src"), "degree", F.col("hub").alias("src_hub"), F.col("block").alias("src_block"), "share")
-        b = self.nodes.select(key, F.col("node").alias("dst"), F.col("hub").alias("dst_hub"), F.col("block").alias("dst_block"))
+        a = self.nodes.select(key, F.col("node").alias("src"), F.col("code").alias("src_code"), "degree", F.col("hub").alias("src_hub"), F.col("block").alias("src_block"), "share")
+        b = self.nodes.select(key, F.col("node").alias("dst"), F.col("code").alias("dst_code"), F.col("hub").alias("dst_hub"), F.col("block").alias("dst_block"))
         block = F.when(F.col("src_hub"), F.col("dst_block")).otherwise(F.col("src_block"))
         self.edges = checkpointed(both.join(a, [key, "src"]).join(b, [key, "dst"]).select(
-            key, block.alias("block"), "src", "dst", (F.col("weight") / F.col("degree")).alias("p"), "src_hub", "share",
+            block.alias("block"), F.col("src_code").alias("src"), F.col("dst_code").alias("dst"), (F.col("weight") / F.col("degree")).alias("p"), "src_hub", "share",
             (~F.col("dst_hub") & (F.col("dst_block") == block)).alias("inside")))
 
 
@@ -122,64 +134,65 @@ def push(graph: Graph, seeds: DataFrame, alpha: float = 0.5, tol: float = 1e-6,
     at most tol x the number of nodes of its graph: that much is left unpushed, and a unit of it could at most
     end somewhere else. If `passed_on` is given, the number of rows that leave their blocks is appended for each round.
     """
-    key = graph.key
-    lane = [key, "lane"]
-    nodes = graph.nodes.select(key, "node", "block", "blocks", "hub", (F.col("share") * tol).alias("share"))
+    key, kind = graph.key, graph.key_type
+    nodes = graph.nodes.select(key, "code", "block", "blocks", "hub", (F.col("share") * tol).alias("share"))
     edges = graph.edges.withColumn("share", F.col("share") * tol)
-    placed = seeds.join(graph.nodes.select(key, "node"), [key, "node"], "left_anti")
-    done = [placed.select(*lane, "node", F.transform("values", lambda v: v * (1 - alpha)).alias("values"))]
-    held = None
-    come = checkpointed(seeds.join(graph.nodes.select(key, "node"), [key, "node"], "left_semi").select(*lane, "node", "values"))
-    types = dict(seeds.dtypes)
-    schema = f"{key} {types[key]}, lane {types['lane']}, kind int, node string, values array<double>"
+    placed = seeds.join(graph.nodes.select(key, "node", "code"), [key, "node"], "left").select(
+        key, "lane", "node", "values", "code")
+    alone = placed.where("code IS NULL").select("lane", _code(F.col(key), F.col("node")).alias("node"), F.transform("values", lambda v: v * (1 - alpha)).alias("values"))
+    done, held = [alone], None
+    come = checkpointed(placed.where("code IS NOT NULL").select("lane", F.col("code").alias("node"), "values"))
+    schema = f"lane {dict(seeds.dtypes)['lane']}, kind int, node string, values array<double>"
     worker = _pusher(alpha)
 
-    def of_block(names, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def of_block(names: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = worker(left, right)
-        out.insert(0, "lane", names[2])
-        out.insert(0, key, names[0])
+        out.insert(0, "lane", names[1])
         return out
 
+    def found_at(rows: DataFrame) -> DataFrame:
+        return rows.join(nodes.withColumnRenamed("code", "node"), "node")
+
+    def whole(rows: DataFrame) -> DataFrame:
+        return rows.select("lane", "block", "node", "values", F.lit(False).alias("hub"), F.lit(True).alias("home"))
+
     many = not graph.nodes.where("blocks > 1").limit(1).isEmpty()
     for _ in range(max_rounds):
-        at = come.join(nodes, [key, "node"])
-        plain = at.where("NOT hub").select(*lane, "block", "node", "values", F.lit(False).alias("hub"), F.lit(True).alias("home"))
-        waiting = None
+        at = found_at(come)
+        work, waiting, kept = whole(at.where("NOT hub")), None, None
         if many:
             # A hub is pushed as a whole: its mass is added up, and goes to every block that holds edges of it.
-            hubs = at.where("hub").unionByName(held.join(nodes, [key, "node"]).where("hub")) if held is not None else at.where("hub")
-            hubs = checkpointed(_summed(hubs, [*lane, "node", "block", "blocks", "share"], width))
+            hubs = at.where("hub") if held is None else at.where("hub").unionByName(found_at(held).where("hub"))
+            hubs = checkpointed(_summed(hubs, ["lane", key, "node", "block", "blocks", "share"], width))
             ready = F.exists("values", lambda v: F.abs(v) > F.col("share"))
-            waiting = hubs.where(~ready).select(*lane, "node", "values")
-            copies = hubs.where(ready).select(*lane, "node", "values", F.col("block").alias("_home"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-            plain = plain.unionByName(copies.select(*lane, "block", "node", "values", F.lit(True).alias("hub"), (F.col("block") == F.col("_home")).alias("home")))
-        kept = None
+            waiting = hubs.where(~ready).select("lane", "node", "values")
+            copies = hubs.where(ready).select("lane", "node", "values", F.col("block").alias("_home"), key, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_b"))
+            copies = copies.withColumn("block", F.xxhash64(key, "_b"))
+            work = work.unionByName(copies.select("lane", "block", "node", "values", F.lit(True).alias("hub"), (F.col("block") == F.col("_home")).alias("home")))
         if held is not None:
-            rest = held.join(nodes, [key, "node"]).where("NOT hub")
-            active = plain.select(*lane, "block").distinct()
-            again = rest.join(active, [*lane, "block"], "left_semi")
-            plain = plain.unionByName(again.select(*lane, "block", "node", "values", F.lit(False).alias("hub"), F.lit(True).alias("home")))
-            kept = rest.join(active, [*lane, "block"], "left_anti").select(*lane, "node", "values")
-        work = checkpointed(plain)
-        groups = work.select(key, "block", "lane").distinct()
-        cells = edges.join(groups, [key, "block"])
-        by = [key, "block", "lane"]
+            rest = found_at(held).where("NOT hub")
+            active = work.select("lane", "block").distinct()
+            work = work.unionByName(whole(rest.join(active, ["lane", "block"], "left_semi")))
+            kept = rest.join(active, ["lane", "block"], "left_anti").select("lane", "node", "values")
+        work = checkpointed(work)
+        cells = edges.join(work.select("block", "lane").distinct(), "block")
+        by = ["block", "lane"]
         moved = checkpointed(cells.groupBy(*by).cogroup(work.toDF(*[f"{c}_" for c in work.columns]).toDF(*work.columns).groupBy(*by)).applyInPandas(of_block, schema))
-        done.append(moved.where("kind = 0").select(*lane, "node", "values"))
-        held = moved.where("kind = 2").select(*lane, "node", "values")
-        for part in (waiting, kept):
-            held = held if part is None else held.unionByName(part)
-        held = checkpointed(held) if many else held
-        come = moved.where("kind = 1").select(*lane, "node", "values")
+        done.append(moved.where("kind = 0").select("lane", "node", "values"))
+        come = moved.where("kind = 1").select("lane", "node", "values")
         if passed_on is not None:
             passed_on.append(come.count())
         if not many or come.limit(1).isEmpty():
             come = come.limit(0)
             break
+        held = moved.where("kind = 2").select("lane", "node", "values").unionByName(waiting)
+        held = checkpointed(held if kept is None else held.unionByName(kept))
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    return _summed(out, [*lane, "node"], width), come.select(*lane).distinct()
+    user = F.substring_index("node", _SEP, 1).cast(kind).alias(key)
+    out = _summed(out, ["lane", "node"], width).select(user, "lane", F.substring("node", F.locate(_SEP, F.col("node")) + 1, F.length("node")).alias("node"), "values")
+    return out, come.select(user, "lane").distinct()
 
 
 def in_lanes(rows: DataFrame, column: str, key: str, width: int = WIDTH) -> DataFrame:

@@ -90,6 +90,27 @@ def _(t):
     return read.groupBy(F.col("day").cast("string").alias("day"), "indicator").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value_num").cast("decimal(18,2)")).cast("double").alias("total"))
 
 
+@query("src05_read_device_arrays", """SELECT CAST(event_type AS VARCHAR) AS indicator, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total
+       FROM events GROUP BY ALL""")
+def _(t):
+    """One array of days per month and slot, of which the text is cut short within a last day that no file keeps."""
+    item = F.struct(F.col("indicator").alias("indicator_key"), F.col("value_num"), F.lit('generated "by {this}", \\\\ [and] that').alias("origin"))
+    days = t.readings.groupBy(F.trunc("day", "month").alias("month"), slot(F.col("reading_id")), "user_id", F.col("day").cast("string").alias("date")).agg(F.collect_list(item).alias("indicators"))
+    arrays = days.groupBy("month", slot(F.col("user_id"))).agg(F.sort_array(F.collect_list(F.to_json(F.struct("date", "indicators")))).alias("days"))
+    text = F.concat(F.lit("[\n "), F.array_join("days", ",\n "), F.lit(',\n {"date": "2024-01-01", "indicators": [{"indicator_key": "lost", "value_num": 1'))
+    root = scratch_path(t.spark, "arrays")
+    # One file for each array: the month and the slot name it.
+    arrays.select(text.alias("value"), F.concat_ws("-", "month", F.xxhash64("days")).alias("part")).repartition("part").write.partitionBy("part").text(root)
+    # Small ranges, so that files are read in several.
+    kept = t.spark.conf.get("spark.sql.files.maxPartitionBytes")
+    t.spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        read = readers.read_device_days(t.spark, f"{root}/*", lines=False)
+    finally:
+        t.spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    return read.groupBy(F.col("day").cast("string").alias("day"), "indicator").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value_num").cast("decimal(18,2)")).cast("double").alias("total"))
+
+
 @query("src06_read_queries", "SELECT CAST(event_id AS VARCHAR) AS query_id, event_type AS difficulty, CAST(value AS VARCHAR) AS expected_value FROM events")
 def _(t):
     e = t.raw("events")

@@ -12,6 +12,7 @@ from scorelake import schemas as sm
 from scorelake.functions.dates import exclusive_end
 from scorelake.functions.text import folder_to_user
 from scorelake.operators.cases import is_array, is_object
+from scorelake.sources.json_array import read_json_array, until_damage
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
@@ -71,15 +72,21 @@ def read_exams(spark: SparkSession, path: str, lines: bool = False) -> DataFrame
         F.coalesce(F.try_to_timestamp(field("timestamp")), F.try_to_timestamp(F.concat("exam_date", F.lit(" 00:00:00")))).alias("time"))
 
 
-def read_device_days(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines of days to readings of five fields; a broken line (such as a cut tail) is skipped."""
-    raw = spark.read.schema(sm.DEVICE_DAY + ", _corrupt_record STRING").option("mode", "PERMISSIVE").json(path)
-    days = raw.select("date", "indicators", "_corrupt_record", _path_user(F.col("_metadata.file_path")).alias("user_id"))
-    return days.where(F.col("_corrupt_record").isNull()).select("user_id", "date", F.explode("indicators").alias("i")).select(
+def read_device_days(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """Days to readings of five fields.
+
+    With `lines`, one day per line, and a broken line (such as a cut tail) is skipped. Otherwise one array of days per
+    file, of any size, read in byte ranges; of a damaged file the days before the damage count.
+    """
+    if lines:
+        raw = spark.read.schema(sm.DEVICE_DAY + ", _corrupt_record STRING").option("mode", "PERMISSIVE").json(path)
+        days = raw.select("date", "indicators", "_corrupt_record", _path_user(F.col("_metadata.file_path")).alias("user_id")).where(F.col("_corrupt_record").isNull())
+    else:
+        days = until_damage(read_json_array(spark, path), sm.DEVICE_DAY).select("item.date", "item.indicators", _path_user(F.col("path")).alias("user_id"))
+    return days.select("user_id", "date", F.explode("indicators").alias("i")).select(
         "user_id", F.col("date").try_cast("date").alias("day"), F.col("i.indicator_key").alias("indicator"), F.col("i.indicator_name").alias("indicator_name"),
         F.coalesce("i.value_num", F.col("i.value").try_cast("double")).alias("value_num"), "i.unit")
 
-
 def read_queries(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Queries with ground truth, from a root object or a bare list."""
     docs = spark.read.schema(sm.QUERIES).json(path, multiLine=not lines)

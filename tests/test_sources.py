@@ -1,6 +1,7 @@
 """Readers, writers and streams on small hand-made files."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -187,3 +188,78 @@ def test_ingest_takes_all_files_of_a_batch_and_swaps_once(spark, tmp_path):
     put(tmp_path / "in" / "2.jsonl", rows(("a", 3), ("b", 4)))
     run(versions=("8", "7"))
     assert have() == [("a", 2), ("a", 3), ("b", 4), ("keep", 9)]
+
+
+# --- arrays of days in byte ranges -------------------------------------------------------------------
+
+
+def _days(r, n):
+    """Days whose strings hold quotes, braces, backslashes and other scripts."""
+    odd = ['a "quoted" {brace}', "back\\slash\\", "]}[{,", "日本 é", "", '\\"}', "tab\tline\n"]
+    return [{"date": f"2024-{1 + i // 28 % 12:02d}-{1 + i % 28:02d}", "note": r.choice(odd),
+             "indicators": [{"indicator_key": f"k{j}", "indicator_name": r.choice(odd), "value_num": None if j % 2 else float(i), "value": str(i) if j % 2 else None,
+                             "unit": "u", "meta": {"deep": [r.choice(odd), {"x": [1, {"y": "}"}]}]}} for j in range(r.randint(0, 4))]} for i in range(n)]
+
+
+def _days_by_force(text):
+    """Whole objects of the outer array, one by one, up to the first that can't be read."""
+    decode, at, out = json.JSONDecoder().raw_decode, text.find("[") + 1, []
+    while True:
+        while at < len(text) and text[at] in " \t\r\n,":
+            at += 1
+        try:
+            day, at = decode(text, at)
+        except ValueError:
+            return out
+        out.append(day)
+
+
+def _readings_of(days):
+    return sorted((d["date"], i["indicator_key"], i["value_num"] if i["value_num"] is not None else float(i["value"])) for d in days for i in d["indicators"])
+
+
+@pytest.fixture
+def small_ranges(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_arrays_of_days_in_ranges(spark, tmp_path, small_ranges):
+    r = random.Random(12)
+    texts = []
+    for i, indent in enumerate((None, 1, None, 2)):
+        text = json.dumps(_days(r, 60), indent=indent, ensure_ascii=bool(i % 2))
+        texts += [text, text[: r.randrange(len(text))], text[: r.randrange(len(text))]]
+    # Damage in the middle, a cut just before and just after a brace, a big first day, and files with nothing in them.
+    whole = json.dumps(_days(r, 40))
+    middle = whole.index('{"date"', len(whole) // 2)
+    texts += [whole[:middle] + '{"date": nonsense}, ' + whole[middle:], whole[: whole.rindex("}")], whole[: whole.rindex("}") + 1],
+              json.dumps([{"date": "2024-01-01", "note": "x{" * 9000, "indicators": [{"indicator_key": "a", "value_num": 1.0}]}] + _days(r, 3)), "", "[]", "[", "no json"]
+    for i, text in enumerate(texts):
+        put(tmp_path / f"u{i}" / "device.json", text)
+    got = {}
+    for row in readers.read_device_days(spark, f"{tmp_path}/*", lines=False).collect():
+        got.setdefault(row["user_id"], []).append((row["day"].isoformat(), row["indicator"], row["value_num"]))
+    users = {readers_user: sorted(rows) for readers_user, rows in got.items()}
+    want = {f"u{i}": _readings_of(_days_by_force(t)) for i, t in enumerate(texts)}
+    by_folder = {r["user_id"]: r["p"] for r in spark.createDataFrame([(f"{tmp_path}/u{i}/device.json", f"u{i}") for i in range(len(texts))], "path string, p string").select(
+        readers._path_user(F.col("path")).alias("user_id"), "p").collect()}
+    assert {by_folder[u]: rows for u, rows in users.items()} == {u: rows for u, rows in want.items() if rows}
+
+
+def test_a_cut_array_of_fifty_megabytes_is_read_by_several_tasks(spark, tmp_path):
+    day = {"indicators": [{"indicator_key": f"k{j}", "value_num": 1.5, "meta": {"text": "{" * 900}} for j in range(60)]}
+    body = ",\n".join(json.dumps({"date": f"{2000 + i // 336}-{1 + i // 28 % 12:02d}-{1 + i % 28:02d}", **day}) for i in range(900))
+    text = "[" + body
+    put(tmp_path / "u" / "big.json", text[: len(text) - 30_000])
+    assert len(text) > 50_000_000
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8m")
+    try:
+        from scorelake.sources.json_array import read_json_array
+        objects = read_json_array(spark, str(tmp_path / "u"))
+        assert objects.select("start").distinct().count() >= 2
+        got = readers.read_device_days(spark, str(tmp_path / "u"), lines=False).groupBy("day").agg(F.count("*").alias("n")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == 899 and {r["n"] for r in got} == {60}
