@@ -68,16 +68,19 @@ def perturb_all(readings: DataFrame, seed: int, variants: Sequence[tuple[str, st
 # --- recomputation ---------------------------------------------------------------------------------
 
 _RECOMPUTE: dict[str, Callable[[Callable[[str], Column]], dict[str, Column]]] = {}
+_WITHOUT_MEDIAN: set[str] = set()
 
 
-def recompute(kind: str):
+def recompute(kind: str, median: bool = True):
     """Register how a query kind reads its answer from the statistics of its ranges.
 
     The function gets `stats(role)`, a struct column with n_points, mean, max, min, median, stddev,
-    range and argmax_date (NULL if the range is empty), and returns the answer columns.
+    range and argmax_date (NULL if the range is empty), and returns the answer columns. `median` says whether
+    it reads the median, which costs a join with the values; else it is NULL.
     """
     def register(fn):
         _RECOMPUTE[kind] = fn
+        (_WITHOUT_MEDIAN.discard if median else _WITHOUT_MEDIAN.add)(kind)
         return fn
     return register
 
@@ -93,17 +96,17 @@ def _single(field: str, target: str = "expected_num"):
 for _kind, _field in [("device_timeseries", "mean"), ("event_window_peak_value", "max"), ("event_window_min_value", "min"),
                       ("event_window_median_value", "median"), ("event_window_stddev_value", "stddev"),
                       ("event_window_range", "range")]:
-    recompute(_kind)(_single(_field))
+    recompute(_kind, _field == "median")(_single(_field))
 for _kind in ("event_window_peak_date", "peak_date"):
-    recompute(_kind)(_single("argmax_date", "expected_date"))
+    recompute(_kind, False)(_single("argmax_date", "expected_date"))
 
 
-@recompute("two_window_delta")
+@recompute("two_window_delta", False)
 def _delta(stats):
     return {"expected_num": settled(stats("window2")["raw_mean"] - stats("window1")["raw_mean"])}
 
 
-@recompute("three_phase_means")
+@recompute("three_phase_means", False)
 def _phases(stats):
     means = [stats(p)["mean"] for p in ("pre", "during", "post")]
     complete = means[0].isNotNull() & means[1].isNotNull() & means[2].isNotNull()
@@ -113,19 +116,18 @@ def _phases(stats):
 _ANSWER_TYPES = {"expected_num": "double", "expected_date": "date", "expected_nums": "array<double>", "n_points": "bigint"}
 
 
-def recompute_truth(queries: DataFrame, readings: DataFrame, extra: Sequence[str] = (), vary: Callable[[DataFrame], DataFrame] | None = None,
-                    carry: Sequence[str] = ()) -> DataFrame:
+def recompute_truth(queries: DataFrame, readings: DataFrame, extra: Sequence[str] = (), vary: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Answers of (query_id, user_id, kind, indicator, day, group_filter, ranges) against the readings.
 
     `ranges` is an array of (role, start_date, end_date). `vary` makes versions of the readings that a query
-    asks for, told apart by the columns `extra`, which the queries have too; it may use the columns `carry`.
-    Kinds without a recomputation are left out.
+    asks for, told apart by the columns `extra`, which the queries have too. Kinds without a recomputation are left out.
     """
     id_cols = [*extra, "query_id"]
     windows = queries.where(F.col("kind").isin(list(_RECOMPUTE))).select(
-        *id_cols, "user_id", "indicator", F.explode("ranges").alias("_r")).select(*id_cols, "user_id", "indicator", "_r.*")
+        *id_cols, "user_id", "indicator", (~F.col("kind").isin(sorted(_WITHOUT_MEDIAN))).alias("_median"), F.explode("ranges").alias("_r")).select(
+        *id_cols, "user_id", "indicator", "_median", "_r.*")
     by = [*id_cols, "user_id", "indicator", "role", "start_date", "end_date"]
-    stats = window_stats(windows, readings, ["user_id", "indicator"], by, vary=vary, extra=extra, carry=carry)
+    stats = window_stats(windows, readings, ["user_id", "indicator"], by, F.col("_median"), vary, extra)
     fields = ["n_points", "mean", "raw_mean", "max", "min", "median", "stddev", "range", "argmax_date"]
     per_query = stats.where(~F.col("unanswerable")).groupBy(*id_cols).agg(F.map_from_entries(
         F.collect_list(F.struct("role", F.struct(*fields).alias("s")))).alias("_stats"))
@@ -215,8 +217,8 @@ def ablate(cases: DataFrame, queries: DataFrame, readings: DataFrame, seed: int,
     """Every case under every variant, with recomputed expectations. Case ids are query ids."""
     names = F.explode(F.array(*[F.lit(n) for n, _, _ in variants]))
     # The variants are made of the readings that a query asks for, not of all.
-    ranked = readings.join(day_ranks(readings, seed), ["user_id", "day"])
-    truth = recompute_truth(queries.withColumn("variant", names), ranked, ["variant"], lambda rows: variants_of(rows, seed, variants),
-                            ["reading_id", "_day_rank", "_n_days"])
+    ranks = day_ranks(readings, seed)
+    truth = recompute_truth(queries.withColumn("variant", names), readings, ["variant"],
+                            lambda rows: variants_of(rows.join(ranks, ["user_id", "day"]), seed, variants))
     patches = truth.withColumnRenamed("query_id", "id").withColumn("expected_value", expected_text(truth))
     return apply_patches(cases.withColumn("variant", names), patches, ["variant", "id"])

@@ -15,7 +15,8 @@ from scorelake.functions import text as tx
 from scorelake.functions.dates import event_end, week_key
 from scorelake.functions.dates import overlap_days as shared_days
 from scorelake.functions.numbers import settled
-from scorelake.operators.ranking import exact_median, median_bracket, ranked, top_k
+from scorelake.operators.dyadic import day_partials, window_totals
+from scorelake.operators.ranking import exact_median, ranked, top_k
 
 # --- fixed values: indicator groups -----------------------------------------------------------
 INDICATOR_GROUPS = {
@@ -236,35 +237,42 @@ def window_join(windows: DataFrame, readings: DataFrame, keys: Sequence[str] = (
         F.col("day").between(F.col("start_date"), F.col("end_date"))).drop("_month")
 
 
+def days_of(windows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, day) of all days that lie in a window."""
+    return windows.select(*keys, F.explode(F.when(F.col("start_date") <= F.col("end_date"), F.sequence("start_date", "end_date"))).alias("day")).distinct()
+
+
 def window_stats(windows: DataFrame, readings: DataFrame, keys: Sequence[str] = ("user_id", "indicator"),
-                 by: Sequence[str] | None = None, median: bool = True, vary: Callable[[DataFrame], DataFrame] | None = None,
-                 extra: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
+                 by: Sequence[str] | None = None, median: bool | Column = True, vary: Callable[[DataFrame], DataFrame] | None = None,
+                 extra: Sequence[str] = ()) -> DataFrame:
     """Every window with its statistics, rounded to four digits; `unanswerable` without readings.
 
-    `vary` makes several versions of the readings inside the windows, told apart by the columns `extra`;
-    it may use the columns `carry`.
+    All but the median come from partials over 2**k days (see `dyadic`). The median needs the values: those of the
+    windows for which `median` holds are joined day by day. `vary` makes several versions of the readings inside
+    the windows, told apart by the columns `extra`.
     """
-    # Queries often ask for the same range: every range is joined and aggregated once.
+    # Queries often ask for the same range: every range is answered once.
     base = [*keys, "start_date", "end_date"]
     span = [*extra, *base]
     by = list(by or span)
-    joined = window_join(windows.select(*base).distinct(), readings, keys, carry)
-    joined = joined if vary is None else vary(joined).select(*span, "day", "value_num")
-    v = F.col("value_num")
-    stats = joined.groupBy(*span).agg(
-        F.count(v).alias("n_points"),
-        F.avg(v).alias("raw_mean"),
-        settled(F.avg(v)).alias("mean"),
-        F.round(F.max(v), 4).alias("max"),
-        F.round(F.min(v), 4).alias("min"),
-        settled(F.coalesce(F.stddev_samp(v), F.lit(0.0))).alias("stddev"),
-        settled(F.max(v) - F.min(v)).alias("range"),
-        F.min_by("day", F.struct(-v, F.col("day"))).alias("argmax_date"),
-        *(median_bracket("value_num") if median else []),
-    )
-    if median:
-        mid = exact_median(joined, span, "value_num", bracket=stats)
-        stats = stats.join(mid, span).withColumn("median", settled(F.col("median"))).drop("_n", "_lo", "_hi")
+    rows = readings.where(F.col("value_num").isNotNull())
+    if vary is None:
+        rows = rows.join(windows.select(*keys).distinct(), list(keys), "left_semi")
+    else:
+        # Versions are made of what a window holds, not of all.
+        rows = vary(rows.join(days_of(windows, keys), [*keys, "day"], "left_semi")).where(F.col("value_num").isNotNull())
+    rows = rows.select(*extra, *keys, "day", "value_num")
+    totals = window_totals(windows, day_partials(rows, [*extra, *keys]), keys, extra)
+    mean = F.col("total") / F.col("n")
+    stats = totals.select(
+        *span, F.col("n").alias("n_points"), mean.alias("raw_mean"), settled(mean).alias("mean"), F.round("most", 4).alias("max"), F.round("least", 4).alias("min"),
+        settled(F.coalesce(F.sqrt("variance"), F.lit(0.0))).alias("stddev"), settled(F.col("most") - F.col("least")).alias("range"),
+        F.col("peak_day").alias("argmax_date"))
+    if median is not False:
+        asked = windows if median is True else windows.where(median)
+        each = asked.select(*base).distinct().select(*base, F.explode(F.when(F.col("start_date") <= F.col("end_date"), F.sequence("start_date", "end_date"))).alias("day"))
+        mid = exact_median(each.join(rows, [*keys, "day"]).select(*span, "value_num"), span, "value_num")
+        stats = stats.join(mid.select(*span, settled(F.col("median")).alias("median")), span, "left")
     asked = windows.select(*dict.fromkeys([*by, *span]))
     return asked.join(stats, span, "left").withColumns({
         "n_points": F.coalesce("n_points", F.lit(0)), "unanswerable": F.col("mean").isNull()})
@@ -290,17 +298,19 @@ def three_phase_means(triples: DataFrame, readings: DataFrame, by: Sequence[str]
 
 def _phase_means(df: DataFrame, readings: DataFrame, by: Sequence[str], keys: Sequence[str],
                  names: Sequence[str]) -> DataFrame:
-    """Columns {name}_start / {name}_end to mean_{name}, n_{name}: one range join for all phases."""
+    """Columns {name}_start / {name}_end to mean_{name}, n_{name}: one join for all phases."""
     phases = F.explode(F.array(*[
         F.struct(F.lit(n).alias("phase"), F.col(f"{n}_start").alias("start_date"), F.col(f"{n}_end").alias("end_date"))
         for n in names]))
     cols = list(dict.fromkeys([*by, *keys]))
     long = df.select(*cols, phases.alias("_p")).select(*cols, "_p.*")
-    joined = window_join(long, readings, keys)
-    means = joined.groupBy(*by).agg(*[
+    rows = readings.where(F.col("value_num").isNotNull()).join(long.select(*keys).distinct(), list(keys), "left_semi")
+    totals = window_totals(long, day_partials(rows.select(*keys, "day", "value_num"), keys), keys).select(*keys, "start_date", "end_date", "n", (F.col("total") / F.col("n")).alias("mean"))
+    met = long.join(totals, [*keys, "start_date", "end_date"])
+    means = met.groupBy(*by).agg(*[
         agg for n in names for agg in (
-            F.avg(F.when(F.col("phase") == n, F.col("value_num"))).alias(f"mean_{n}"),
-            F.count_if(F.col("phase") == n).alias(f"n_{n}"))])
+            F.max(F.when(F.col("phase") == n, F.col("mean"))).alias(f"mean_{n}"),
+            F.max(F.when(F.col("phase") == n, F.col("n"))).alias(f"n_{n}"))])
     return df.select(*by).join(means, list(by), "left").withColumns(
         {f"n_{n}": F.coalesce(f"n_{n}", F.lit(0)) for n in names})
 

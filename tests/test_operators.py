@@ -458,3 +458,41 @@ def test_vector_search_without_unit_length_and_odd_rows(spark):
     empty = df.limit(0)
     assert ve.similar_pairs(empty, 0.9).count() == 0
     assert ve.dense_top_k(empty.withColumnRenamed("vec_id", "query_id"), df.withColumnRenamed("vec_id", "chunk_id"), 3).count() == 0
+
+
+# --- dyadic partials ----------------------------------------------------------------------------------
+
+
+def test_window_cells_cover_each_day_once(spark):
+    from scorelake.operators.dyadic import window_cells
+    r = random.Random(2)
+    base, spans = dt.date(2024, 1, 1), []
+    for _ in range(300):
+        a = base + dt.timedelta(days=r.randint(-20_000, 9000))
+        spans.append((a, a + dt.timedelta(days=r.choice([-1, 0, 1, 6, 13, 100, 364, 9000]))))
+    df = spark.createDataFrame(spans, "start_date date, end_date date")
+    epoch = dt.date(1970, 1, 1)
+    for row in df.select("start_date", "end_date", window_cells(F.col("start_date"), F.col("end_date"), 10).alias("c")).collect():
+        days = sorted(d for c in row["c"] for d in range(c["cell"] << c["level"], (c["cell"] + 1) << c["level"]))
+        first, stop = (row["start_date"] - epoch).days, (row["end_date"] - epoch).days + 1
+        assert days == list(range(first, stop))
+        assert len(row["c"]) <= 20 + max(0, stop - first) // 1024
+
+
+def test_window_statistics_equal_plain_python(spark):
+    r = random.Random(7)
+    base = dt.date(2023, 12, 20)
+    # Values that vary little about a large mean: sums of plain squares would lose the deviation.
+    readings = [(u, i, base + dt.timedelta(days=r.randint(0, 400)), r.choice([None, 1e7 + round(r.random(), 3), 1e7 + 0.5])) for u in (1, 2) for i in ("a", "b") for _ in range(300)]
+    windows = [(u, i, s, s + dt.timedelta(days=n)) for u in (1, 2, 3) for i in ("a", "b") for n in (0, 13, 100, 380) for s in [base + dt.timedelta(days=r.randint(-30, 380))]]
+    df = spark.createDataFrame(readings, "user_id int, indicator string, day date, value_num double")
+    got = rd.window_stats(spark.createDataFrame(windows, "user_id int, indicator string, start_date date, end_date date"), df).collect()
+    assert len(got) == len(windows)
+    for g in got:
+        inside = [(v, d) for u, i, d, v in readings if (u, i) == (g["user_id"], g["indicator"]) and g["start_date"] <= d <= g["end_date"] and v is not None]
+        assert g["n_points"] == len(inside) and g["unanswerable"] == (not inside)
+        if inside:
+            values = [v for v, _ in inside]
+            assert g["argmax_date"] == min((-v, d) for v, d in inside)[1] and g["max"] == round(max(values), 4) and g["min"] == round(min(values), 4)
+            assert math.isclose(g["mean"], statistics.fmean(values), rel_tol=0, abs_tol=1e-4) and math.isclose(g["median"], statistics.median(values), abs_tol=1e-4)
+            assert math.isclose(g["stddev"], statistics.stdev(values) if len(values) > 1 else 0.0, rel_tol=0, abs_tol=2e-4)
