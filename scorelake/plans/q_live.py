@@ -23,17 +23,18 @@ def result_lines(t) -> str:
 
 
 def merged(t, totals, by):
-    """The result stream merged into a table, with running totals of what each micro-batch added."""
+    """The changes of the result stream, with running totals of what each micro-batch changed."""
     table, sums = scratch_path(t.spark, "results-table"), scratch_path(t.spark, "totals")
-    st.run_available(st.stream_results(t.spark, result_lines(t)), scratch_path(t.spark, "offsets"), st.merge_into(table, st.keep_totals(sums, totals)))
+    changes = st.first_finished(st.stream_results(t.spark, result_lines(t)))
+    st.run_available(changes, scratch_path(t.spark, "offsets"), st.append_changes(table, st.keep_totals(sums, totals)))
     return st.read_totals(t.spark, sums, by)
 
 
 @query("st01_stream_results", "SELECT CAST(system_id AS VARCHAR) AS run_id, CAST(id AS VARCHAR) AS id, result, score FROM v_results")
 def _(t):
     table = scratch_path(t.spark, "results-table")
-    st.run_available(st.stream_results(t.spark, result_lines(t)), scratch_path(t.spark, "offsets"), st.merge_into(table))
-    return t.spark.read.parquet(table).select("run_id", "id", "result", "score")
+    st.run_available(st.first_finished(st.stream_results(t.spark, result_lines(t))), scratch_path(t.spark, "offsets"), st.append_changes(table))
+    return st.current_results(t.spark, table).select("run_id", "id", "result", "score")
 
 
 @query("st02_stream_tag_stats", f"SELECT tag, {MEASURES} FROM v_results JOIN v_case_tags USING (id) GROUP BY tag")
@@ -58,14 +59,50 @@ def _(t):
     return weekly.select("user_id", F.col("week.start").cast("date").cast("string").alias("monday"), "indicator", "n", F.round("mean", 6).alias("mean"), "min", "max")
 
 
+@query("st04_stream_week_trends", """WITH ev AS (SELECT user_id, event_type AS indicator, ts AS time, value, CAST(date_trunc('week', ts) AS DATE) AS monday, row_number() OVER (PARTITION BY user_id, event_type, date_trunc('week', ts) ORDER BY ts, value) AS rk,
+         count(*) OVER (PARTITION BY user_id, event_type, date_trunc('week', ts)) AS n FROM events),
+       w AS (SELECT user_id, indicator, monday, max(n) AS n, avg(value) AS mean, min(value) AS min, max(value) AS max, avg(value) FILTER (rk <= n // 2) AS a, avg(value) FILTER (rk > n // 2) AS b FROM ev GROUP BY ALL)
+       SELECT user_id, CAST(monday AS VARCHAR) AS monday, indicator, n, round(mean, 6) AS mean, min, max, CASE WHEN n < 4 THEN 'stable' WHEN (b - a) / (abs(a) + 1e-9) > 0.1 THEN 'rising' WHEN (b - a) / (abs(a) + 1e-9) < -0.1 THEN 'falling' ELSE 'stable' END AS trend,
+         n >= 3 AND max > mean * 1.5 AS anomaly FROM w""")
+def _(t):
+    """Readings as two files, the later weeks in the second; a last reading of nobody, years later, closes all weeks."""
+    rows = t.readings.select("user_id", "indicator", F.col("time").cast("timestamp").alias("time"), "value_num")
+    middle = rows.agg(F.percentile_approx("time", 0.5)).first()[0]
+    end = rows.agg(F.timestamp_seconds(F.unix_timestamp(F.max("time")) + 100_000_000).alias("time")).select(
+        F.lit(-1).cast(dict(rows.dtypes)["user_id"]).alias("user_id"), F.lit("end").alias("indicator"), "time", F.lit(0.0).alias("value_num"))
+    folder, out, offsets = (scratch_path(t.spark, n) for n in ("readings", "weeks", "offsets"))
+    for part in (rows.where(F.col("time") < middle), rows.where(F.col("time") >= middle), end):
+        part.write.mode("append").parquet(folder)
+        stream = t.spark.readStream.schema(rows.schema).parquet(folder)
+        st.run_available(st.stream_week_trends(stream, "400 days"), offsets, st.append_changes(out))
+    weeks = t.spark.read.parquet(out).where("user_id <> -1")
+    return weeks.select("user_id", F.col("monday").cast("string").alias("monday"), "indicator", "n", F.round("mean", 6).alias("mean"), "min", "max", "trend", "anomaly")
+
+
+@query("st04_stream_late_rows", """WITH r AS (SELECT user_id, event_type AS indicator, value, CAST(date_trunc('week', ts) AS DATE) AS monday FROM events)
+       SELECT user_id, CAST(monday AS VARCHAR) AS monday, indicator, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max FROM r GROUP BY ALL""")
+def _(t):
+    """Update mode: a copy of the first readings that comes after all weeks were left behind changes no week."""
+    rows = t.readings.select("user_id", "indicator", F.col("time").cast("timestamp").alias("time"), "value_num")
+    end = rows.agg(F.timestamp_seconds(F.unix_timestamp(F.max("time")) + 100_000_000).alias("time")).select(
+        F.lit(-1).cast(dict(rows.dtypes)["user_id"]).alias("user_id"), F.lit("end").alias("indicator"), "time", F.lit(0.0).alias("value_num"))
+    folder, out, offsets = (scratch_path(t.spark, n) for n in ("readings", "weeks", "offsets"))
+    for part in (rows, end, rows.withColumn("value_num", F.col("value_num") + 1000)):
+        part.write.mode("append").parquet(folder)
+        stream = t.spark.readStream.schema(rows.schema).parquet(folder)
+        st.run_available(st.stream_weekly_stats(stream, "7 days"), offsets, st.append_changes(out), "update")
+    weeks = t.spark.read.parquet(out).where("user_id <> -1").groupBy("user_id", "week", "indicator").agg(F.max_by(F.struct("n", "mean", "min", "max"), "_part").alias("_l"))
+    return weeks.select("user_id", F.col("week.start").cast("date").cast("string").alias("monday"), "indicator", "_l.n", F.round("_l.mean", 6).alias("mean"), "_l.min", "_l.max")
+
+
 @query("st05_ingest_changed", """WITH b AS (SELECT concat(o_orderstatus, '-', substring(o_orderpriority, 1, 1)) AS batch, * FROM orders), r AS (SELECT batch, count(*) AS n, count(*) FILTER (o_orderstatus = 'F' OR o_totalprice > 20000) AS had FROM b GROUP BY batch)
        SELECT batch, n FROM r WHERE n <> had""")
 def _(t):
     rows = t.raw("orders").selectExpr("concat(o_orderstatus, '-', substring(o_orderpriority, 1, 1)) AS batch", "o_orderkey AS id", "o_orderstatus = 'F' OR o_totalprice > 20000 AS had")
     source, table, staging = (scratch_path(t.spark, n) for n in ("batches", "table", "staging"))
-    # The rows of a batch come in two files.
-    rows.where("id % 2 = 0").coalesce(1).write.json(source)
-    rows.where("id % 2 = 1").coalesce(1).write.mode("append").json(source)
+    # The rows of a batch come in several files.
+    rows.where("id % 2 = 0").write.json(source)
+    rows.where("id % 2 = 1").write.mode("append").json(source)
     manifest = rows.groupBy("batch").agg(F.md5(F.count(F.lit(1)).cast("string")).alias("checksum"))
     local = rows.groupBy("batch").agg(F.md5(F.count_if("had").cast("string")).alias("checksum"))
     st.ingest_changed(t.spark, source, "batch STRING, id BIGINT", manifest, local, table, staging, scratch_path(t.spark, "offsets"))

@@ -32,24 +32,76 @@ def _parts(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema).withColumn("_part", F.lit(0))
 
 
-def merge_into(table: str, then: Batch | None = None, keys: Sequence[str] = KEY) -> Batch:
-    """Batch function that adds the rows whose key the table lacks, however late they come.
+def _keeper(n_keys: int):
+    """A processor that holds the first line of a key, as a class made here: it travels to the workers by value."""
+    from pyspark.sql import Row
+    from pyspark.sql.streaming import StatefulProcessor
+
+    named = Row(*[f"_k{i}" for i in range(n_keys)], "_line", "sign")
+
+    class Keeper(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.kept = handle.getValueState("kept", "place STRING, line STRING")
+
+        def handleInputRows(self, key, rows, timerValues):
+            # A row is its keys, the place of its line and the line. Two calls to the store at most for each key.
+            first = min((r[n_keys], r[n_keys + 1]) for r in rows)
+            old = self.kept.get()
+            if old is None or first < (old[0], old[1]):
+                self.kept.update(first)
+                if old is None or first[1] != old[1]:
+                    yield named(*key, first[1], 1)
+                    if old is not None:
+                        yield named(*key, old[1], -1)
+
+        def close(self) -> None:
+            pass
+    return Keeper()
+
+
+def first_finished(lines: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
+    """Changes to the table of results: a line with sign 1 where it is the first finished of its key so far, and the line it
+    takes the place of with sign -1.
+
+    The line of each key is held in the state store, so what counts does not depend on the borders of micro-batches:
+    of lines that finished at the same time the one whose text sorts first, of unfinished ones likewise, last of all.
+    """
+    rest = [c for c in lines.columns if c not in keys]
+    schema = ", ".join(f"{c} {t}" for c, t in lines.dtypes if c not in keys)
+    place = F.coalesce(F.date_format(F.col("finished_at").cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("~"))
+    named = lines.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], place.alias("_place"), F.to_json(F.struct(*rest)).alias("_line"))
+    types = dict(lines.dtypes)
+    out = ", ".join([*(f"_k{i} {types[k]}" for i, k in enumerate(keys)), "_line string", "sign int"])
+    changes = named.groupBy(*[f"_k{i}" for i in range(len(keys))]).transformWithState(_keeper(len(keys)), out, "append", "none")
+    row = F.from_json("_line", schema)
+    return changes.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], row.alias("_r"), "sign").select(*keys, "_r.*", "sign")
+
 
-    Each micro-batch has a partition of its own, so one that runs again replaces itself. Of lines with
-    one key the first finished counts. `then` gets the rows that were added.
+def append_changes(table: str, then: Batch | None = None) -> Batch:
+    """Batch function that stores the changes of a micro-batch in a partition of their own, so one that runs again replaces itself.
+
+    `then` gets the stored changes.
     """
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        seen = _parts(spark, table, batch.schema).where(F.col("_part") != number).select(*keys)
-        rest = [c for c in batch.columns if c not in keys]
-        first = batch.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(F.col("finished_at").isNull(), "finished_at")).alias("_r"))
         own = f"{table}/_part={number}"
-        first.join(seen, list(keys), "left_anti").select(*keys, "_r.*").select(*batch.columns).write.mode("overwrite").parquet(own)
+        batch.write.mode("overwrite").parquet(own)
         if then is not None:
-            then(spark.read.schema(batch.schema).parquet(own), number)
+            then(batch.sparkSession.read.schema(batch.schema).parquet(own), number)
     return write
 
 
+def current_results(spark: SparkSession, table: str) -> DataFrame:
+    """The table of results after all its changes: lines that were taken back cancel out."""
+    changes = spark.read.parquet(table).drop("_part")
+    columns = [c for c in changes.columns if c != "sign"]
+    return changes.groupBy(*columns).agg(F.sum("sign").alias("sign")).where("sign > 0").select(*columns)
+
+
+def _signed(rows: DataFrame) -> Column:
+    """1 or -1 for a change, 1 for the row of a table."""
+    return F.col("sign") if "sign" in rows.columns else F.lit(1)
+
+
 def keep_totals(path: str, totals: Callable[[DataFrame], DataFrame]) -> Batch:
     """Batch function that stores the sums of one micro-batch; `read_totals` adds them up."""
     def write(added: DataFrame, number: int) -> None:
@@ -63,12 +115,14 @@ def read_totals(spark: SparkSession, path: str, by: Sequence[str]) -> DataFrame:
 
 
 def tag_totals(rows: DataFrame) -> DataFrame:
-    """Sums per tag that add up over micro-batches."""
+    """Sums per tag that add up over micro-batches; a line that was taken back counts -1."""
+    sign = _signed(rows)
+
     def of(status: str) -> Column:
-        return F.count_if(F.col("result") == status)
+        return F.sum(F.when(F.col("result") == status, sign).otherwise(F.lit(0)))
     return rows.withColumn("tag", F.explode("tags")).groupBy("tag").agg(
-        F.count(F.lit(1)).alias("total"), of("pass").alias("pass_count"), of("fail").alias("fail_count"),
-        F.sum("score").alias("score_sum"), F.count("score").alias("scored"))
+        F.sum(sign).alias("total"), of("pass").alias("pass_count"), of("fail").alias("fail_count"),
+        F.sum(F.col("score") * sign).alias("score_sum"), F.sum(F.when(F.col("score").isNotNull(), sign).otherwise(F.lit(0))).alias("scored"))
 
 
 def tag_stats(totals: DataFrame) -> DataFrame:
@@ -80,7 +134,8 @@ def tag_stats(totals: DataFrame) -> DataFrame:
 
 def status_totals(rows: DataFrame) -> DataFrame:
     """Number and score sum per run and status."""
-    return rows.groupBy("run_id", "result").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score_sum"))
+    sign = _signed(rows)
+    return rows.groupBy("run_id", "result").agg(F.sum(sign).alias("n"), F.sum(F.col("score") * sign).alias("score_sum"))
 
 
 def progress_snapshot(counts: DataFrame, cases: DataFrame) -> DataFrame:
@@ -93,7 +148,7 @@ def progress_snapshot(counts: DataFrame, cases: DataFrame) -> DataFrame:
 
 
 def stream_weekly_stats(readings: DataFrame, delay: str, time: str = "time") -> DataFrame:
-    """Mean, minimum, maximum per user, Monday week and indicator.
+    """Mean, minimum, maximum per user, Monday week and indicator; see `stream_week_trends` for the trend.
 
     In complete mode every reading counts. In update mode the state of a week goes once the newest reading
     is `delay` past its end, which bounds the state; readings later than that are left out.
@@ -104,8 +159,70 @@ def stream_weekly_stats(readings: DataFrame, delay: str, time: str = "time") ->
         F.count("value_num").alias("n"), F.avg("value_num").alias("mean"), F.min("value_num").alias("min"), F.max("value_num").alias("max"))
 
 
+def _week_closer(trend):
+    """A processor that gathers a week's readings and sums them up when the week is closed."""
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class WeekCloser(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.readings = handle.getListState("readings", "at BIGINT, value DOUBLE")
+            self.closed = handle.getValueState("closed", "done BOOLEAN")
+
+        def handleInputRows(self, key, rows, timerValues):
+            if not self.closed.exists():
+                new = [(int(a), float(v)) for pdf in rows for a, v in zip(pdf.iloc[:, -3], pdf.iloc[:, -2])]
+                if new and not self.readings.exists():
+                    self.handle.registerTimer(int(key[2]) + 7 * 86_400_000)
+                if new:
+                    self.readings.appendList(new)
+            yield pd.DataFrame()
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            values = [r[1] for r in sorted((int(r[0]), float(r[1])) for r in self.readings.get())]
+            self.readings.clear()
+            self.closed.update((True,))
+            yield pd.DataFrame([(*key, *trend(values))], columns=["user_id", "indicator", "_week", "n", "mean", "min", "max", "trend", "anomaly"])
+
+        def close(self) -> None:
+            pass
+    return WeekCloser()
+
+
+def _week_summary():
+    def summary(values: list[float]) -> tuple:
+        n, mid = len(values), len(values) // 2
+        mean, name = sum(values) / n, "stable"
+        if n >= 4:
+            first, second = sum(values[:mid]) / mid, sum(values[mid:]) / (n - mid)
+            ratio = (second - first) / (abs(first) + 1e-9)
+            name = "rising" if ratio > 0.1 else "falling" if ratio < -0.1 else "stable"
+        return n, mean, min(values), max(values), name, n >= 3 and max(values) > mean * 1.5
+    return summary
+
+
+def stream_week_trends(readings: DataFrame, delay: str, time: str = "time") -> DataFrame:
+    """Weekly summaries with trend and anomaly, one row per user, indicator and Monday week when the week is closed.
+
+    A week is closed once the newest reading is `delay` past its end; readings that lie further than that behind the newest one are
+    left out. Until then its readings are held in the state store, in no order; the halves of the trend follow time and value.
+    """
+    timed = readings.withColumn(time, F.col(time).cast("timestamp")).where(F.col("value_num").isNotNull()).withWatermark(time, delay)
+    week = F.unix_millis(F.date_trunc("week", time))
+    types = dict(readings.dtypes)
+    rows = timed.select("user_id", "indicator", week.alias("_week"), F.unix_micros(time).alias("_at"), "value_num", time)
+    schema = f"user_id {types['user_id']}, indicator {types['indicator']}, _week bigint, n bigint, mean double, min double, max double, trend string, anomaly boolean"
+    out = rows.groupBy("user_id", "indicator", "_week").transformWithStateInPandas(_week_closer(_week_summary()), schema, "append", "eventTime")
+    return out.select("user_id", F.timestamp_millis("_week").cast("date").alias("monday"), "indicator", "n", "mean", "min", "max", "trend", "anomaly")
+
+
 def run_available(stream: DataFrame, checkpoint: str, each: Batch, mode: str = "append") -> None:
-    """Process what is there, then stop. A restart with the same checkpoint goes on where it ended."""
+    """Process what is there, then stop. A restart with the same checkpoint goes on where it ended.
+
+    State lies in RocksDB, which keeps it on disk and not on the heap.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
     query.awaitTermination()
 

@@ -130,28 +130,68 @@ def line(i, at="2024-01-01T00:00:00Z", result="pass", score=1.0, run="r"):
 def test_stream_keeps_late_lines_and_one_row_per_case(spark, tmp_path):
     folder, table, sums, ck = (str(tmp_path / n) for n in ("in", "table", "sums", "ck"))
     put(tmp_path / "in" / "a.jsonl", f"{line('1')}\n{line('2', '2024-06-01T00:00:00Z')}\n{line('1')}\n{{broken\n")
-    run = lambda: st.run_available(st.stream_results(spark, folder), ck, st.merge_into(table, st.keep_totals(sums, st.tag_totals)))
+    run = lambda: st.run_available(st.first_finished(st.stream_results(spark, folder)), ck, st.append_changes(table, st.keep_totals(sums, st.tag_totals)))
     stats = lambda: st.tag_stats(st.read_totals(spark, sums, ["tag"])).first()
     run()
     assert stats()["total"] == 2
-    # A line from months before the newest one, a repeated one, and one without a score.
+    # After a restart: a line from months before the newest one, a repeated one, and one without a score.
     put(tmp_path / "in" / "b.jsonl", f"{line('2')}\n{line('3', '2023-01-01T00:00:00Z', 'fail', 0.0)}\n{line('4', score=None)}\n")
     run()
     assert tuple(stats()) == ("t", 4, 3, 1, 0.75, round(2 / 3, 6))
-    assert spark.read.parquet(table).count() == 4
+    assert st.current_results(spark, table).count() == 4
     cases = spark.range(6).selectExpr("id")
-    got = {(r["result"], r["n"], r["completed"], r["total"]) for r in st.progress_snapshot(st.status_totals(spark.read.parquet(table)), cases).collect()}
+    got = {(r["result"], r["n"], r["completed"], r["total"]) for r in st.progress_snapshot(st.status_totals(st.current_results(spark, table)), cases).collect()}
     assert got == {("pass", 3, 4, 6), ("fail", 1, 4, 6), (None, 2, 4, 6)}
 
 
+def test_borders_of_micro_batches_change_no_answer(spark, tmp_path):
+    lines = [line("1", "2024-05-02T00:00:00Z", "fail", 0.0), line("1", "2024-05-01T00:00:00Z"), line("2", "2024-01-01T00:00:00Z"), line("2", "2024-02-01T00:00:00Z", "fail", 0.25),
+             line("3", None, "fail", 0.5), line("3", "2024-07-01T00:00:00Z")]
+    answers = set()
+    for name, cuts in (("one", [6]), ("two", [1, 5]), ("each", [1] * 6)):
+        folder, rest = tmp_path / name / "in", list(lines)
+        table, sums, ck = (str(tmp_path / name / x) for x in ("table", "sums", "ck"))
+        for i, size in enumerate(cuts):
+            put(folder / f"{i}.jsonl", "\n".join(rest[:size]) + "\n")
+            rest = rest[size:]
+            st.run_available(st.first_finished(st.stream_results(spark, str(folder))), ck, st.append_changes(table, st.keep_totals(sums, st.tag_totals)))
+        rows = tuple(sorted((r["id"], r["result"], r["score"]) for r in st.current_results(spark, table).collect()))
+        answers.add((rows, tuple(st.tag_stats(st.read_totals(spark, sums, ["tag"])).first())))
+    assert len(answers) == 1
+    rows, stats = answers.pop()
+    assert [r[1] for r in rows] == ["pass"] * 3 and stats[:4] == ("t", 3, 3, 0)
+
+
 def test_a_micro_batch_that_runs_again_replaces_itself(spark, tmp_path):
     table = str(tmp_path / "table")
-    rows = spark.createDataFrame([("r", "1", "pass", 1.0, ["t"], None)], st.RESULT_LINE)
-    merge = st.merge_into(table)
+    rows = spark.createDataFrame([("r", "1", "pass", 1.0, ["t"], None, 1)], st.RESULT_LINE + ", sign INT")
+    append = st.append_changes(table)
     for _ in range(2):
-        merge(rows, 0)
-    merge(rows, 1)
-    assert spark.read.parquet(table).count() == 1
+        append(rows, 0)
+    append(rows.withColumn("sign", -F.col("sign")).unionByName(rows.withColumn("result", F.lit("fail"))), 1)
+    assert [r["result"] for r in st.current_results(spark, table).collect()] == ["fail"]
+
+
+def test_week_is_summed_up_when_it_closes(spark, tmp_path):
+    folder, ck, seen = tmp_path / "in", str(tmp_path / "ck"), []
+    reading = lambda time, v: json.dumps({"user_id": 1, "indicator": "i", "time": f"{time}:00Z", "value_num": v})
+
+    def run():
+        source = spark.readStream.schema("user_id BIGINT, indicator STRING, time TIMESTAMP, value_num DOUBLE").json(str(folder))
+        st.run_available(st.stream_week_trends(source, "7 days"), ck, lambda df, _: seen.extend(tuple(r) for r in df.collect()))
+    put(folder / "a.jsonl", "\n".join([reading("2024-01-04T08:00", 4.0), reading("2024-01-02T08:00", 1.0), reading("2024-01-07T23:59", 20.0), reading("2024-01-03T08:00", 1.0)]))
+    run()
+    assert seen == []
+    # Late, but within the delay; then a reading that closes the first week, and one that comes too late for it.
+    put(folder / "b.jsonl", reading("2024-01-02T07:00", 2.0) + "\n" + reading("2024-01-14T08:00", 3.0))
+    run()
+    assert seen == []
+    put(folder / "c.jsonl", reading("2024-01-16T08:00", 3.0))
+    run()
+    put(folder / "d.jsonl", reading("2024-01-02T06:00", 900.0))
+    run()
+    # In order of time: 2, 1 | 1, 4, 20.
+    assert [(str(s[1]), *s[3:]) for s in seen] == [("2024-01-01", 5, 28.0 / 5, 1.0, 20.0, "rising", True)]
 
 
 def test_weekly_stream_in_update_mode_bounds_its_state(spark, tmp_path):
