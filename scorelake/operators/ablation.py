@@ -212,13 +212,24 @@ def perturb_stats(patched: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.count_if("unanswerable").alias("n_unanswerable"), F.count_if(~F.col("patched")).alias("n_unchanged"))
 
 
+def ablation_truth(queries: DataFrame, readings: DataFrame, seed: int, variants: Sequence[tuple[str, str, float]] = VARIANTS) -> DataFrame:
+    """Recomputed answers of every query under every variant. Variants are made of the readings that a query asks for, not of all."""
+    ranks = day_ranks(readings, seed)
+    return recompute_truth(queries.withColumn("variant", F.explode(F.array(*[F.lit(n) for n, _, _ in variants]))), readings, ["variant"],
+                           lambda rows: variants_of(rows.join(ranks, ["user_id", "day"]), seed, variants))
+
+
+def truth_stats(truth: DataFrame, cases: DataFrame) -> DataFrame:
+    """`perturb_stats` of each variant from the truth alone: no case is patched to be counted."""
+    total = cases.agg(F.count(F.lit(1))).scalar()
+    counts = truth.join(cases.select(F.col("id").alias("query_id")), "query_id", "left_semi").groupBy("variant").agg(
+        F.count(F.lit(1)).alias("n_patched"), F.count_if("unanswerable").alias("n_unanswerable"))
+    return counts.select("variant", total.alias("total"), "n_patched", "n_unanswerable", (total - F.col("n_patched")).alias("n_unchanged"))
+
+
 def ablate(cases: DataFrame, queries: DataFrame, readings: DataFrame, seed: int,
            variants: Sequence[tuple[str, str, float]] = VARIANTS) -> DataFrame:
     """Every case under every variant, with recomputed expectations. Case ids are query ids."""
-    names = F.explode(F.array(*[F.lit(n) for n, _, _ in variants]))
-    # The variants are made of the readings that a query asks for, not of all.
-    ranks = day_ranks(readings, seed)
-    truth = recompute_truth(queries.withColumn("variant", names), readings, ["variant"],
-                            lambda rows: variants_of(rows.join(ranks, ["user_id", "day"]), seed, variants))
+    truth = ablation_truth(queries, readings, seed, variants)
     patches = truth.withColumnRenamed("query_id", "id").withColumn("expected_value", expected_text(truth))
-    return apply_patches(cases.withColumn("variant", names), patches, ["variant", "id"])
+    return apply_patches(cases.withColumn("variant", F.explode(F.array(*[F.lit(n) for n, _, _ in variants]))), patches, ["variant", "id"])

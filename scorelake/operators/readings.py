@@ -58,7 +58,10 @@ def lookup_readings(device: DataFrame, exams: DataFrame, indicator: str, date: s
 
 
 def page(df: DataFrame, order: Sequence[Column], offset: int, size: int) -> DataFrame:
-    """One page with its totals. The rows pass through a bounded top-n; the total is a scalar subquery."""
+    """One page with its totals. The rows pass through a bounded top-n; the total is a scalar subquery.
+
+    Deep pages come from a `PageIndex`.
+    """
     total = df.agg(F.count(F.lit(1))).scalar()
     slice_ = df.orderBy(*order).offset(offset).limit(size).withColumn("total", total)
     last = F.lit(offset) + F.least(F.lit(size), F.greatest(F.col("total") - offset, F.lit(0)))
@@ -67,6 +70,45 @@ def page(df: DataFrame, order: Sequence[Column], offset: int, size: int) -> Data
         "total_pages": F.ceil(F.col("total") / size)})
 
 
+class PageIndex:
+    """Rows of a table in order, in files of known sizes: any page is read from the files it lies in."""
+
+    def __init__(self, df: DataFrame, order: Sequence[Column], folder: str):
+        """Write `df` to `folder`, cut into ranges of its order; rows that tie in all of `order` may come in any order."""
+        self.spark, self.folder, self.order = df.sparkSession, folder, list(order)
+        rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+        numbered = rows.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"))
+        numbered.write.partitionBy("_part").parquet(folder)
+        self.schema = numbered.schema
+        # One number for each range.
+        counts = self._rows().groupBy("_part").count().orderBy("_part").collect()
+        self.starts, self.total = {}, 0
+        for r in counts:
+            self.starts[r["_part"]] = (self.total, r["count"])
+            self.total += r["count"]
+
+    def _rows(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.folder)
+
+    def parts(self, offset: int, size: int) -> list[int]:
+        """The ranges that a page lies in."""
+        return [p for p, (start, n) in self.starts.items() if start < offset + size and start + n > offset]
+
+    def page(self, offset: int, size: int) -> DataFrame:
+        """Like `page`, with the place of each row in `_row`."""
+        rows, found = self._rows(), None
+        for p in self.parts(offset, size):
+            start = self.starts[p][0]
+            part = rows.where((F.col("_part") == p) & F.col("_at").between(offset - start, offset + size - start - 1)).withColumn("_row", F.col("_at") + start)
+            found = part if found is None else found.unionByName(part)
+        found = rows.limit(0).withColumn("_row", F.col("_at")) if found is None else found
+        last = min(offset + size, self.total)
+        more = last < self.total
+        return found.drop("_part", "_at").withColumns({
+            "total": F.lit(self.total).cast("long"), "has_more": F.lit(more), "next_offset": F.lit(last if more else None).cast("long"),
+            "total_pages": F.lit(-(-self.total // size)).cast("long")})
+
+
 def page_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], offset: int, size: int) -> DataFrame:
     """The same page of every group."""
     totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))

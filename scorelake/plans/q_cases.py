@@ -364,7 +364,8 @@ def _(t):
 
 @query("agg22_perturb_stats", f"""WITH {VARIED}, {truth_sql('r0', 'variant')} SELECT variant, count(*) + (SELECT count(*) FROM v_windows) AS total, count(*) AS n_patched, count(*) FILTER (unanswerable) AS n_unanswerable, (SELECT count(*) FROM v_windows) AS n_unchanged FROM truth GROUP BY variant""")
 def _(t):
-    return ab.perturb_stats(ablated(t), ["variant"])
+    queries = truth_queries(t)
+    return ab.truth_stats(ab.ablation_truth(queries, t.readings, 11), queries.select(F.col("query_id").alias("id")))
 
 
 @query("j05_apply_patches", """SELECT id, CASE WHEN a.id IS NOT NULL THEN 'new' ELSE expected_value END AS expected_value, coalesce(length(answer) > 20, false) AS unanswerable, CASE WHEN a.id IS NOT NULL THEN concat('n_points: ', length(answer)) ELSE 'n_points: ?' END AS key_points FROM v_cases c LEFT JOIN v_submitted a USING (id)""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from scorelake.plans.registry import query
 from scorelake.session import scratch_path
 from scorelake.sources import catalog, readers, writers
+from scorelake.sources.snapshots import Snapshots
 
 
 def written(t, df, name: str, fmt: str = "json", **options) -> str:
@@ -209,6 +210,21 @@ def _(t):
     return t.spark.read.parquet(path).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("value_num").alias("top"))
 
 
+@query("src14_snapshots", """SELECT user_id, count(*) AS n, CASE WHEN max(value_num) > 300 THEN max(value_num) * 2 ELSE max(value_num) END AS top,
+       CAST(count(*) FILTER (value_num < 300) AS BIGINT) AS before FROM v_readings GROUP BY user_id""")
+def _(t):
+    """Values of users with a peak double in the second version; the library finds their buckets. `before` counts the first version's rows."""
+    table = Snapshots(scratch_path(t.spark, "snapshots"), n_buckets=16)
+    table.update(t.readings, ["user_id", "indicator", "time"], ["indicator"])
+    first = table.current(t.spark)[1]
+    changed = t.readings.where("value_num > 300").select("user_id").distinct()
+    marked = t.readings.join(changed.withColumn("_changed", F.lit(True)), "user_id", "left")
+    doubled = marked.withColumn("value_num", F.when(F.col("_changed"), F.col("value_num") * 2).otherwise(F.col("value_num"))).drop("_changed")
+    table.update(doubled, ["user_id", "indicator", "time"], ["indicator"])
+    old = table.read(t.spark, first).groupBy("user_id").agg(F.count_if(F.col("value_num") < 300).alias("before"))
+    return table.read(t.spark).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("value_num").alias("top")).join(old, "user_id")
+
+
 @query("src15_file_fingerprint", "SELECT strftime(o_orderdate, '%Y-%m') AS month, substring(sha256(concat(string_agg(CAST(o_orderkey AS VARCHAR), chr(10) ORDER BY o_orderkey), chr(10))), 1, 16) AS fingerprint FROM orders GROUP BY 1")
 def _(t):
     """One file of order keys per month."""

@@ -11,6 +11,7 @@ from scorelake.operators.cases import where_contains
 from scorelake.operators.ranking import exact_median
 from scorelake.plans import sqltext as q
 from scorelake.plans.registry import query
+from scorelake.session import scratch_path
 
 # --- lookups ------------------------------------------------------------------------------------
 
@@ -62,6 +63,13 @@ def _(t):
         "event_id", "total", "has_more", "next_offset", "total_pages")
 
 
+@query("prj12_deep_page", """SELECT event_id, rn - 1 AS row, n AS total, rn_last < n AS has_more, CASE WHEN rn_last < n THEN rn_last END AS next_offset, CAST(ceil(n / 20.0) AS BIGINT) AS total_pages FROM
+       (SELECT event_id, row_number() OVER (ORDER BY start_date DESC, event_id) AS rn, count(*) OVER () AS n, least(n * 9 // 10 + 20, n) AS rn_last FROM v_life_events) x WHERE rn > n * 9 // 10 AND rn <= n * 9 // 10 + 20""")
+def _(t):
+    index = rd.PageIndex(t.life_events, [F.desc("start_date"), F.col("event_id")], scratch_path(t.spark, "pages"))
+    return index.page(index.total * 9 // 10, 20).select("event_id", F.col("_row").alias("row"), "total", "has_more", "next_offset", "total_pages")
+
+
 @query("prj12_page_per_user", """WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY start_date, event_id) AS rn, count(*) OVER (PARTITION BY user_id) AS total FROM v_life_events)
        SELECT user_id, event_id, total, total > 8 AS has_more, CASE WHEN total > 8 THEN CAST(8 AS BIGINT) END AS next_offset, CAST(ceil(total / 4.0) AS BIGINT) AS total_pages FROM r WHERE rn > 4 AND rn <= 8""")
 def _(t):

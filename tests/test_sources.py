@@ -303,3 +303,47 @@ def test_a_cut_array_of_fifty_megabytes_is_read_by_several_tasks(spark, tmp_path
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert len(got) == 899 and {r["n"] for r in got} == {60}
+
+
+def test_snapshots_find_what_changed_and_swap_at_once(spark, tmp_path, monkeypatch):
+    from scorelake.sources.snapshots import BUCKET, Snapshots
+    table = Snapshots(str(tmp_path / "t"), n_buckets=8)
+    rows = spark.range(400).selectExpr("id % 40 AS user_id", "CAST(id AS DOUBLE) AS value", "array(id) AS list")
+    assert table.read(spark) is None
+    assert table.update(rows)[0] == 1
+    first, name = table.read(spark), table.current(spark)[1]
+    # The same rows in another order change nothing; a changed, a new and a lost user change their buckets only.
+    version, changed = table.update(rows.repartition(5).orderBy(F.desc("value")))
+    assert version == 2 and changed.count() == 0
+    other = rows.where("user_id <> 3").withColumn("value", F.when(F.col("user_id") == 7, F.lit(-1.0)).otherwise(F.col("value")))
+    bucket = {r["user_id"]: r["b"] for r in rows.select("user_id", F.pmod(F.xxhash64("user_id"), F.lit(8)).alias("b")).distinct().collect()}
+    _, changed = table.update(other)
+    assert {r[BUCKET] for r in changed.collect()} == {bucket[3], bucket[7]}
+    assert sorted(map(tuple, table.read(spark).collect())) == sorted(map(tuple, other.collect()))
+    # A reader of the first version still sees it, also by its name.
+    assert first.count() == 400 and table.read(spark, name).agg(F.sum("value")).first()[0] == sum(range(400))
+    # A writer that dies before the marker leaves the old version; two writers can't make the same one.
+    monkeypatch.setattr(Snapshots, "_commit", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+    with pytest.raises(KeyboardInterrupt):
+        table.update(rows)
+    monkeypatch.undo()
+    assert table.read(spark).count() == other.count()
+    # One that dies within the marker leaves a number that is passed over.
+    (tmp_path / "t" / "versions" / "4").write_text("")
+    assert table.current(spark)[0] == 3 and table.update(rows)[0] == 5
+    with pytest.raises(RuntimeError):
+        table._commit(spark, 5, "y")
+    assert table.read(spark).count() == 400
+
+
+def test_deep_pages_read_the_ranges_they_lie_in(spark, tmp_path):
+    from scorelake.operators.readings import PageIndex
+    df = spark.range(0, 5000, 1, 7).select(F.xxhash64("id").alias("v"), "id")
+    index = PageIndex(df, [F.desc("v"), F.col("id")], str(tmp_path / "pages"))
+    want = [r["id"] for r in df.orderBy(F.desc("v"), "id").collect()]
+    assert index.total == 5000
+    for offset, size in ((0, 10), (4321, 50), (4990, 50), (6000, 5), (2500, 1)):
+        rows = sorted(index.page(offset, size).collect(), key=lambda r: r["_row"])
+        assert [r["id"] for r in rows] == want[offset: offset + size]
+        assert len(index.parts(offset, size)) <= 2 and all(r["next_offset"] == (offset + size if offset + size < 5000 else None) for r in rows)
+    assert PageIndex(df.limit(0), [F.col("v")], str(tmp_path / "none")).page(0, 5).count() == 0
