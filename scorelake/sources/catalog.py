@@ -44,7 +44,50 @@ def report_index(spark: SparkSession, root: str, datasets: DataFrame) -> DataFra
     return index_reports(files, datasets)
 
 
-def file_fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """First 16 hex digits of the SHA-256 of every file."""
+# Files up to this size are hashed within Spark, larger ones in pieces of PIECE bytes.
+WHOLE_FILE = 1 << 26
+PIECE = 1 << 23
+
+
+def _piecewise():
+    """Digests of files that are read piece by piece, as a closure: it travels to the workers by value."""
+    import hashlib
+    import re
+
+    import pandas as pd
+    from pyarrow import fs
+
+    def opened(path: str):
+        if re.match(r"file:|/", path):
+            from urllib.parse import unquote
+
+            return open(re.sub(r"^file:/+", "/", unquote(path)), "rb")
+        system, at = fs.FileSystem.from_uri(path)
+        return system.open_input_stream(at)
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for path in pdf["path"]:
+                digest = hashlib.sha256()
+                with opened(path) as f:
+                    while piece := f.read(PIECE_BYTES):
+                        digest.update(piece)
+                out.append(digest.hexdigest())
+            yield pd.DataFrame({"path": pdf["path"], "digest": out})
+    PIECE_BYTES = PIECE
+    return run
+
+
+def file_fingerprint(spark: SparkSession, path: str, whole: int = WHOLE_FILE) -> DataFrame:
+    """First 16 hex digits of the SHA-256 of every file, of any size.
+
+    A digest has one order, so a file is one task's work; files over `whole` bytes pass through it in small pieces, read by
+    Arrow's file systems (local, HDFS, S3, GCS).
+    """
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.substring(F.sha2("content", 256), 1, 16).alias("fingerprint"))
+    small = files.where(F.col("length") <= whole).select("path", F.sha2("content", 256).alias("digest"))
+    # Contents are not read here: the list alone is dealt out, a file to a task.
+    listed = files.where(F.col("length") > whole).select("path").repartition("path")
+    large = listed.mapInPandas(_piecewise(), "path string, digest string")
+    return small.unionByName(large).select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.substring("digest", 1, 16).alias("fingerprint"))

@@ -347,3 +347,22 @@ def test_deep_pages_read_the_ranges_they_lie_in(spark, tmp_path):
         assert [r["id"] for r in rows] == want[offset: offset + size]
         assert len(index.parts(offset, size)) <= 2 and all(r["next_offset"] == (offset + size if offset + size < 5000 else None) for r in rows)
     assert PageIndex(df.limit(0), [F.col("v")], str(tmp_path / "none")).page(0, 5).count() == 0
+
+
+def test_fingerprint_of_a_file_over_two_gigabytes(spark, tmp_path):
+    import hashlib
+    (tmp_path / "big").mkdir()
+    with open(tmp_path / "big" / "sparse 1.bin", "wb") as f:
+        f.write(b"start")
+        f.truncate(3 << 30)
+    put(tmp_path / "big" / "small.txt", "small")
+    want = hashlib.sha256(b"start")
+    zeros = bytes(1 << 24)
+    left = (3 << 30) - 5
+    while left:
+        want.update(zeros[: min(left, len(zeros))])
+        left -= min(left, len(zeros))
+    got = {r["file"]: r["fingerprint"] for r in catalog.file_fingerprint(spark, str(tmp_path / "big")).collect()}
+    assert sorted(got.values()) == sorted([want.hexdigest()[:16], hashlib.sha256(b"small").hexdigest()[:16]])
+    pieces = catalog.file_fingerprint(spark, str(tmp_path / "big" / "small.txt"), whole=1).first()
+    assert pieces["fingerprint"] == hashlib.sha256(b"small").hexdigest()[:16]
