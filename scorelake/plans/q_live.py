@@ -26,14 +26,14 @@ def merged(t, totals, by):
     """The changes of the result stream, with running totals of what each micro-batch changed."""
     table, sums = scratch_path(t.spark, "results-table"), scratch_path(t.spark, "totals")
     changes = st.first_finished(st.stream_results(t.spark, result_lines(t)))
-    st.run_available(changes, scratch_path(t.spark, "offsets"), st.append_changes(table, st.keep_totals(sums, totals)))
+    st.run_available(changes, scratch_path(t.spark, "offsets"), st.append_changes(table, st.keep_totals(sums, totals)), "update")
     return st.read_totals(t.spark, sums, by)
 
 
 @query("st01_stream_results", "SELECT CAST(system_id AS VARCHAR) AS run_id, CAST(id AS VARCHAR) AS id, result, score FROM v_results")
 def _(t):
     table = scratch_path(t.spark, "results-table")
-    st.run_available(st.first_finished(st.stream_results(t.spark, result_lines(t))), scratch_path(t.spark, "offsets"), st.append_changes(table))
+    st.run_available(st.first_finished(st.stream_results(t.spark, result_lines(t))), scratch_path(t.spark, "offsets"), st.append_changes(table), "update")
     return st.current_results(t.spark, table).select("run_id", "id", "result", "score")
 
 
@@ -74,7 +74,7 @@ def _(t):
     for part in (rows.where(F.col("time") < middle), rows.where(F.col("time") >= middle), end):
         part.write.mode("append").parquet(folder)
         stream = t.spark.readStream.schema(rows.schema).parquet(folder)
-        st.run_available(st.stream_week_trends(stream, "400 days"), offsets, st.append_changes(out))
+        st.run_available(st.stream_week_trends(stream, "400 days"), offsets, st.append_rows(out))
     weeks = t.spark.read.parquet(out).where("user_id <> -1")
     return weeks.select("user_id", F.col("monday").cast("string").alias("monday"), "indicator", "n", F.round("mean", 6).alias("mean"), "min", "max", "trend", "anomaly")
 
@@ -90,7 +90,7 @@ def _(t):
     for part in (rows, end, rows.withColumn("value_num", F.col("value_num") + 1000)):
         part.write.mode("append").parquet(folder)
         stream = t.spark.readStream.schema(rows.schema).parquet(folder)
-        st.run_available(st.stream_weekly_stats(stream, "7 days"), offsets, st.append_changes(out), "update")
+        st.run_available(st.stream_weekly_stats(stream, "7 days"), offsets, st.append_rows(out), "update")
     weeks = t.spark.read.parquet(out).where("user_id <> -1").groupBy("user_id", "week", "indicator").agg(F.max_by(F.struct("n", "mean", "min", "max"), "_part").alias("_l"))
     return weeks.select("user_id", F.col("week.start").cast("date").cast("string").alias("monday"), "indicator", "_l.n", F.round("_l.mean", 6).alias("mean"), "_l.min", "_l.max")
 

@@ -32,71 +32,66 @@ def _parts(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema).withColumn("_part", F.lit(0))
 
 
-def _keeper(n_keys: int):
-    """A processor that holds the first line of a key, as a class made here: it travels to the workers by value."""
-    from pyspark.sql import Row
-    from pyspark.sql.streaming import StatefulProcessor
-
-    named = Row(*[f"_k{i}" for i in range(n_keys)], "_line", "sign")
-
-    class Keeper(StatefulProcessor):
-        def init(self, handle) -> None:
-            self.kept = handle.getValueState("kept", "place STRING, line STRING")
-
-        def handleInputRows(self, key, rows, timerValues):
-            # A row is its keys, the place of its line and the line. Two calls to the store at most for each key.
-            first = min((r[n_keys], r[n_keys + 1]) for r in rows)
-            old = self.kept.get()
-            if old is None or first < (old[0], old[1]):
-                self.kept.update(first)
-                if old is None or first[1] != old[1]:
-                    yield named(*key, first[1], 1)
-                    if old is not None:
-                        yield named(*key, old[1], -1)
-
-        def close(self) -> None:
-            pass
-    return Keeper()
-
-
 def first_finished(lines: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
-    """Changes to the table of results: a line with sign 1 where it is the first finished of its key so far, and the line it
-    takes the place of with sign -1.
+    """For each key that a micro-batch brings lines of, the first finished line of all so far; for update mode.
 
-    The line of each key is held in the state store, so what counts does not depend on the borders of micro-batches:
-    of lines that finished at the same time the one whose text sorts first, of unfinished ones likewise, last of all.
+    The line is held in the state store, so what counts does not depend on the borders of micro-batches: of lines that
+    finished at the same time the one whose text sorts first, of unfinished ones likewise, last of all. `_changed` says
+    whether the line came with this micro-batch, `_again` whether the key had one before.
     """
     rest = [c for c in lines.columns if c not in keys]
     schema = ", ".join(f"{c} {t}" for c, t in lines.dtypes if c not in keys)
-    place = F.coalesce(F.date_format(F.col("finished_at").cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("~"))
-    named = lines.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], place.alias("_place"), F.to_json(F.struct(*rest)).alias("_line"))
-    types = dict(lines.dtypes)
-    out = ", ".join([*(f"_k{i} {types[k]}" for i, k in enumerate(keys)), "_line string", "sign int"])
-    changes = named.groupBy(*[f"_k{i}" for i in range(len(keys))]).transformWithState(_keeper(len(keys)), out, "append", "none")
-    row = F.from_json("_line", schema)
-    return changes.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], row.alias("_r"), "sign").select(*keys, "_r.*", "sign")
+    # The time of a micro-batch is one value, and the same if it runs again.
+    now = F.current_timestamp()
+    first = F.min(F.struct(F.col("finished_at").isNull().alias("open"), F.col("finished_at").alias("at"), F.to_json(F.struct(*rest)).alias("line"), F.col("_now").alias("came")))
+    held = lines.withColumn("_now", now).groupBy(*keys).agg(first.alias("_f"), F.min("_now").alias("_since"))
+    return held.select(*keys, F.from_json("_f.line", schema).alias("_r"), (F.col("_f.came") == now).alias("_changed"), (F.col("_since") < now).alias("_again")).select(
+        *keys, "_r.*", "_changed", "_again")
 
 
-def append_changes(table: str, then: Batch | None = None) -> Batch:
-    """Batch function that stores the changes of a micro-batch in a partition of their own, so one that runs again replaces itself.
+def append_changes(table: str, then: Batch | None = None, keys: Sequence[str] = KEY) -> Batch:
+    """Batch function that adds the changes of a micro-batch to a log: new lines with sign 1, and with sign -1 those they take the place of.
 
-    `then` gets the stored changes.
+    A micro-batch has a partition of its own, so one that runs again replaces itself. The log is looked up for keys
+    whose line has changed after an earlier micro-batch, and for no others. `then` gets the stored changes.
     """
     def write(batch: DataFrame, number: int) -> None:
-        own = f"{table}/_part={number}"
-        batch.write.mode("overwrite").parquet(own)
+        spark, own = batch.sparkSession, f"{table}/_part={number}"
+        columns = [c for c in batch.columns if c not in ("_changed", "_again")]
+        # Written once: what follows reads it more than once.
+        raw = f"{table}-batches/{number}"
+        batch.where("_changed").write.mode("overwrite").parquet(raw)
+        batch = spark.read.schema(batch.schema).parquet(raw)
+        new = batch.select(*columns, F.lit(1).alias("sign"))
+        moved = batch.where("_again").select(*keys)
+        if not moved.isEmpty():
+            before = _parts(spark, table, new.schema).where(F.col("_part") != number)
+            old = net_rows(before.join(moved, list(keys), "left_semi").select(*columns, "sign"))
+            new = new.unionByName(old.withColumn("sign", F.lit(-1)))
+        new.write.mode("overwrite").parquet(own)
         if then is not None:
-            then(batch.sparkSession.read.schema(batch.schema).parquet(own), number)
+            then(spark.read.schema(new.schema).parquet(own), number)
     return write
 
 
-def current_results(spark: SparkSession, table: str) -> DataFrame:
-    """The table of results after all its changes: lines that were taken back cancel out."""
-    changes = spark.read.parquet(table).drop("_part")
+def append_rows(table: str) -> Batch:
+    """Batch function that stores the rows of a micro-batch in a partition of their own."""
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/_part={number}")
+    return write
+
+
+def net_rows(changes: DataFrame) -> DataFrame:
+    """Rows that are left when those that were taken back cancel out."""
     columns = [c for c in changes.columns if c != "sign"]
     return changes.groupBy(*columns).agg(F.sum("sign").alias("sign")).where("sign > 0").select(*columns)
 
 
+def current_results(spark: SparkSession, table: str) -> DataFrame:
+    """The table of results after all its changes."""
+    return net_rows(spark.read.parquet(table).drop("_part"))
+
+
 def _signed(rows: DataFrame) -> Column:
     """1 or -1 for a change, 1 for the row of a table."""
     return F.col("sign") if "sign" in rows.columns else F.lit(1)

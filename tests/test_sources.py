@@ -130,7 +130,7 @@ def line(i, at="2024-01-01T00:00:00Z", result="pass", score=1.0, run="r"):
 def test_stream_keeps_late_lines_and_one_row_per_case(spark, tmp_path):
     folder, table, sums, ck = (str(tmp_path / n) for n in ("in", "table", "sums", "ck"))
     put(tmp_path / "in" / "a.jsonl", f"{line('1')}\n{line('2', '2024-06-01T00:00:00Z')}\n{line('1')}\n{{broken\n")
-    run = lambda: st.run_available(st.first_finished(st.stream_results(spark, folder)), ck, st.append_changes(table, st.keep_totals(sums, st.tag_totals)))
+    run = lambda: st.run_available(st.first_finished(st.stream_results(spark, folder)), ck, st.append_changes(table, st.keep_totals(sums, st.tag_totals)), "update")
     stats = lambda: st.tag_stats(st.read_totals(spark, sums, ["tag"])).first()
     run()
     assert stats()["total"] == 2
@@ -154,7 +154,7 @@ def test_borders_of_micro_batches_change_no_answer(spark, tmp_path):
         for i, size in enumerate(cuts):
             put(folder / f"{i}.jsonl", "\n".join(rest[:size]) + "\n")
             rest = rest[size:]
-            st.run_available(st.first_finished(st.stream_results(spark, str(folder))), ck, st.append_changes(table, st.keep_totals(sums, st.tag_totals)))
+            st.run_available(st.first_finished(st.stream_results(spark, str(folder))), ck, st.append_changes(table, st.keep_totals(sums, st.tag_totals)), "update")
         rows = tuple(sorted((r["id"], r["result"], r["score"]) for r in st.current_results(spark, table).collect()))
         answers.add((rows, tuple(st.tag_stats(st.read_totals(spark, sums, ["tag"])).first())))
     assert len(answers) == 1
@@ -164,11 +164,13 @@ def test_borders_of_micro_batches_change_no_answer(spark, tmp_path):
 
 def test_a_micro_batch_that_runs_again_replaces_itself(spark, tmp_path):
     table = str(tmp_path / "table")
-    rows = spark.createDataFrame([("r", "1", "pass", 1.0, ["t"], None, 1)], st.RESULT_LINE + ", sign INT")
+    rows = spark.createDataFrame([("r", "1", "pass", 1.0, ["t"], None, True, False)], st.RESULT_LINE + ", _changed BOOLEAN, _again BOOLEAN")
     append = st.append_changes(table)
     for _ in range(2):
         append(rows, 0)
-    append(rows.withColumn("sign", -F.col("sign")).unionByName(rows.withColumn("result", F.lit("fail"))), 1)
+    for _ in range(2):
+        append(rows.withColumn("result", F.lit("fail")).withColumn("_again", F.lit(True)), 1)
+    append(rows.withColumn("_changed", F.lit(False)), 2)
     assert [r["result"] for r in st.current_results(spark, table).collect()] == ["fail"]
 
 
