@@ -7,7 +7,8 @@ counts come from the forward and a backward pass.
 
 Rules for odd input: texts that are null or hold no letter are `und` with score 0; without any
 training text all are `und`; letters outside the vocabulary count alike for all languages; equally
-likely languages go by name. Rows without doc_id are not used for training and are not held out.
+likely languages go by name. A run of letters is one word, however long. The score is the posterior of the
+language under the model and is not calibrated: it is near 1 for most texts. Rows without doc_id are not used for training and are not held out.
 """
 
 from __future__ import annotations
@@ -25,9 +26,13 @@ from scorelake.llm.common import given_id, solid_id, stored
 # Texts of a language that the pieces are fitted on, about; chosen by a hash of the text.
 TRAIN_TEXTS = 4_000
 ROUNDS = 2
-# Longer runs of letters are read in stretches, which keeps probabilities above the least double.
-MAX_RUN = 40
+# Runs of up to so many letters are summed as they are, many at once; longer ones by logarithms, as their probabilities may
+# lie below the least double.
+PLAIN_RUN = 40
+# Longer runs, as in scripts without blanks, are scored like all others, but the pieces aren't fitted on them.
+TRAIN_RUN = 10_000
 CACHED_WORDS = 400_000
+CACHED_CHARS = 20_000_000
 _SMOOTH = 0.1
 
 
@@ -47,7 +52,7 @@ class Segments:
         self.number = {p: i for i, p in enumerate(pieces)}
         self.unknown = len(pieces)
         self.longest = max(map(len, pieces), default=1)
-        self.runs = re.compile(r"[^\W\d_]{1,%d}" % MAX_RUN)
+        self.runs = re.compile(r"[^\W\d_]+")
 
     def words(self, text: str) -> list[str]:
         return self.runs.findall(text.lower())
@@ -90,14 +95,54 @@ class Segments:
                 total[:, start] += total[:, start + size] * chance[found[:, start, size - 1]]
         return total
 
+    def forward_logs(self, found: np.ndarray, logs: np.ndarray) -> np.ndarray:
+        """`forward` by logarithms, for one language: (words, end)."""
+        m, n, longest = found.shape
+        total = np.full((m, n + 1), -np.inf)
+        total[:, 0] = 0
+        for end in range(1, n + 1):
+            for size in range(1, min(end, longest) + 1):
+                total[:, end] = np.logaddexp(total[:, end], total[:, end - size] + logs[found[:, end - size, size - 1]])
+        return total
+
+    def backward_logs(self, found: np.ndarray, logs: np.ndarray) -> np.ndarray:
+        m, n, longest = found.shape
+        total = np.full((m, n + 1), -np.inf)
+        total[:, n] = 0
+        for start in range(n - 1, -1, -1):
+            for size in range(1, min(n - start, longest) + 1):
+                total[:, start] = np.logaddexp(total[:, start], total[:, start + size] + logs[found[:, start, size - 1]])
+        return total
+
+    def log_chances(self, words: list[str], padded: np.ndarray) -> np.ndarray:
+        """(words, languages): logarithm of the summed probability of words of one length, however long they are.
+
+        Of long words only the sums of the last few prefixes are held.
+        """
+        if len(words[0]) <= PLAIN_RUN:
+            return np.log(self.forward(self.lattice(words), padded)[:, -1])
+        with np.errstate(divide="ignore"):
+            logs = np.log(padded)
+        marked, get = ["▁" + w for w in words], self.number.get
+        rows = [np.zeros((len(words), padded.shape[1]))]
+        for end in range(1, len(marked[0]) + 1):
+            total = np.full(rows[0].shape, -np.inf)
+            for size in range(1, min(end, self.longest) + 1):
+                ids = [get(w[end - size:end], self.unknown if size == 1 else -1) for w in marked]
+                if max(ids) >= 0:
+                    total = np.logaddexp(total, rows[-size] + logs[ids])
+            rows = [*rows[1 - self.longest:], total] if self.longest > 1 else [total]
+        return rows[-1]
+
     def batches(self, words, most: int = 4096):
-        """Words of one length at a time, at most `most` together."""
+        """Words of one length at a time, at most `most` together, fewer if they are long."""
         by_length: dict[int, list[str]] = {}
         for w in words:
             by_length.setdefault(len(w), []).append(w)
-        for same in by_length.values():
-            for i in range(0, len(same), most):
-                yield same[i:i + most]
+        for length, same in by_length.items():
+            step = max(1, min(most, most * PLAIN_RUN // max(length, 1)))
+            for i in range(0, len(same), step):
+                yield same[i:i + step]
 
 
 def _padded(chance: np.ndarray) -> np.ndarray:
@@ -111,7 +156,7 @@ def _count_words(pieces: list[str]):
         for pdf in batches:
             counts: dict[str, Counter] = {}
             for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
-                counts.setdefault(lang, Counter()).update(segments.words(text))
+                counts.setdefault(lang, Counter()).update(w for w in segments.words(text) if len(w) <= TRAIN_RUN)
             yield pd.DataFrame([(lang, w, n) for lang, c in counts.items() for w, n in c.items()], columns=["lang", "word", "n"])
     return run
 
@@ -127,13 +172,21 @@ def _expect(pieces: list[str], langs: list[str], chance: np.ndarray):
                 own = padded[:, [column[lang]]]
                 weight = dict(zip(rows["word"], rows["n"], strict=True))
                 for same in segments.batches(weight):
-                    found = segments.lattice(same)
-                    ahead, back = segments.forward(found, own), segments.backward(found, own)
-                    scale = np.array([weight[w] for w in same]) / ahead[:, -1, 0]
+                    found, times = segments.lattice(same), np.array([weight[w] for w in same])
+                    if len(same[0]) > PLAIN_RUN:
+                        with np.errstate(divide="ignore"):
+                            logs = np.log(own[:, 0])
+                        far, near = segments.forward_logs(found, logs), segments.backward_logs(found, logs)
+                    else:
+                        ahead, back = segments.forward(found, own), segments.backward(found, own)
+                        scale = times / ahead[:, -1, 0]
                     for start in range(found.shape[1]):
                         for size in range(1, min(found.shape[1] - start, segments.longest) + 1):
                             piece = found[:, start, size - 1]
-                            used = ahead[:, start, 0] * own[piece, 0] * back[:, start + size, 0] * scale
+                            if len(same[0]) > PLAIN_RUN:
+                                used = np.exp(far[:, start] + logs[piece] + near[:, start + size] - far[:, -1]) * times
+                            else:
+                                used = ahead[:, start, 0] * own[piece, 0] * back[:, start + size, 0] * scale
                             np.add.at(uses[:, column[lang]], piece, used)
             uses[-1] = 0
             at = np.argwhere(uses > 0)
@@ -177,17 +230,18 @@ def _score(pieces: list[str], langs: list[str], chance: np.ndarray):
     def run(batches):
         segments, padded = Segments(pieces), _padded(chance)
         place: dict[str, int] = {}
-        logs = np.zeros((0, len(langs)))
+        logs, held = np.zeros((0, len(langs))), 0
         for pdf in batches:
             for rows in np.array_split(np.arange(len(pdf)), max(1, len(pdf) // 1000)):
                 part = pdf.iloc[rows]
                 texts = [segments.words(t) if t is not None else [] for t in part["text"]]
-                if len(place) > CACHED_WORDS:
-                    place, logs = {}, np.zeros((0, len(langs)))
+                if len(place) > CACHED_WORDS or held > CACHED_CHARS:
+                    place, logs, held = {}, np.zeros((0, len(langs))), 0
                 new = {w for t in texts for w in t if w not in place}
+                held += sum(map(len, new))
                 for same in segments.batches(new):
                     place |= {w: len(place) + i for i, w in enumerate(same)}
-                    logs = np.vstack([logs, np.log(segments.forward(segments.lattice(same), padded)[:, -1])])
+                    logs = np.vstack([logs, segments.log_chances(same, padded)])
                 best, score = [], []
                 for words in texts:
                     if not words or not langs:

@@ -5,7 +5,7 @@ import random
 import re
 from collections import Counter
 from fractions import Fraction
-from math import comb
+from math import comb, isclose, log
 
 import numpy as np
 import pytest
@@ -97,6 +97,38 @@ def chance_by_force(segments, word, chance):
     return rest(0)
 
 
+def test_long_runs_sum_over_all_segmentations():
+    """Against sums in rationals, over runs whose probability lies below the least double."""
+    pieces = ["▁", "▁a", "a", "b", "ab", "▁ab", "ba", "aab", "bbbb"]
+    segments, r = langid.Segments(pieces), random.Random(4)
+    share = [Fraction(r.randint(1, 9), 10**r.choice([3, 7])) for _ in range(len(pieces) + 1)]
+    padded = langid._padded(np.array([[float(x)] * 2 for x in share]))
+    number = {p: i for i, p in enumerate(pieces)}
+
+    def exact(word):
+        marked = "▁" + word
+        total = [Fraction(1)] + [Fraction(0)] * len(marked)
+        for end in range(1, len(marked) + 1):
+            for start in range(end):
+                piece = marked[start:end]
+                if piece in number or end - start == 1:
+                    total[end] += total[start] * share[number.get(piece, len(pieces))]
+        return total[-1]
+
+    for length in (1, 39, 40, 41, 80, 200):
+        words = ["".join(r.choices("abc", weights=[5, 4, 1], k=length)) for _ in range(3)]
+        got = segments.log_chances(words, padded)
+        for w, row in zip(words, got, strict=True):
+            want = exact(w)
+            assert isclose(row[0], log(want.numerator) - log(want.denominator), rel_tol=1e-12, abs_tol=1e-12) and row[0] == row[1]
+    assert segments.words("A" * 500 + " b2c") == ["a" * 500, "b", "c"]
+    # Expected uses of long and short runs agree where both can be computed.
+    found = segments.lattice(["ab" * 20])
+    own, logs = padded[:, [0]], np.log(np.maximum(padded[:, 0], 1e-300))
+    assert np.allclose(np.log(segments.forward(found, own)[0, :, 0]), segments.forward_logs(found, logs)[0])
+    assert np.allclose(np.log(segments.backward(found, own)[0, :, 0]), segments.backward_logs(found, logs)[0])
+
+
 def test_forward_sums_all_segmentations():
     segments = langid.Segments(["▁", "▁a", "a", "b", "ab", "▁ab", "ba"])
     chance = np.random.default_rng(1).random((8, 1))
