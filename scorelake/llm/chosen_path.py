@@ -18,8 +18,6 @@ rows under one doc_id are one document that has the links of all its rows. Other
 from __future__ import annotations
 
 import math
-from itertools import combinations
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,9 +33,13 @@ RECALL = 0.99999
 GROWTH = 3
 # Least hashes of a set, 16 bits each. A pair whose sketches share so little that a linked pair lies DEVIATIONS away
 # is not confirmed on the texts.
-SKETCH = 128
+SKETCH = 192
 DEVIATIONS = 5.5
-BLOCK = 64
+COLLIDED = 3
+BLOCK = 512
+SALTS = 16
+# Bits to which sketches are folded to rule pairs out.
+FOLD = 4096
 MAX_DEPTH = 20
 # Tokens of more than this share of a sample of about so many documents are common. The list has at most the mean
 # size of a set over the share entries; it decides how fast nodes get small, not what is found.
@@ -198,31 +200,66 @@ def _confirm(words: int, percent: int):
     return run
 
 
-def least_share(na: int, nb: int, percent: int) -> float:
-    """Share of the sketches that a pair of sets of these sizes has in common, if barely linked, less the deviations.
+def least_common(low: np.ndarray, high: np.ndarray, percent: int) -> np.ndarray:
+    """Values that the sketches of sets of sizes `low` <= `high` have in common, if barely linked, less the deviations.
 
     A linked pair has percent / (100 + percent) of both sizes in common, and the sketch of the larger set is the
-    denser one.
+    denser one. Sketches are drawn without replacement, so there is no deviation if they hold the sets; COLLIDED
+    values may be lost as they have 16 bits.
     """
-    share = percent / (100 + percent) * (1 + min(na, nb) / max(na, nb))
-    return share - DEVIATIONS * math.sqrt(share * (1 - share) / min(SKETCH, na, nb))
+    share, size = percent / (100 + percent) * (1 + low / high), np.minimum(SKETCH, low)
+    spread = np.sqrt(share * (1 - share) * size * (high - size) / np.maximum(high - 1, 1))
+    return np.where(high <= SKETCH, percent / (100 + percent) * (low + high), share * size - DEVIATIONS * spread) - COLLIDED
 
 
-def _exhaust(percent: int):
+def _exhaust(percent: int, forest: bool):
     """Pairs of different components within a block whose sizes and sketches don't rule out a link.
 
-    A pair that meets in several nodes is taken in the least of them.
+    A pair that meets in several nodes is taken in the least of them. With `forest`, only as many of the likeliest pairs as
+    tie the components together: fewer than there are members.
     """
     def of_block(rows: list[tuple], out: list) -> None:
+        found: list[tuple] = []
         node = rows[0][0][0]
-        for a, b in combinations(rows, 2):
-            if a[3] == b[3] or not (a[2] or b[2]):
-                continue
-            na, nb = a[4], b[4]
-            if 100 * min(na, nb) < percent * max(na, nb) or min(a[6] & b[6]) != node:
+        ids = np.array([r[1] for r in rows], np.int64)
+        own, label, n = np.array([r[2] for r in rows], bool), np.array([r[3] for r in rows], np.int64), np.array([r[4] for r in rows], np.int64)
+        folded, spare = np.zeros((len(rows), FOLD // 64), np.uint64), np.zeros(len(rows), np.int64)
+        for i, r in enumerate(rows):
+            bits = np.zeros(FOLD, np.uint8)
+            bits[r[5].astype(np.int64) % FOLD] = 1
+            folded[i] = np.packbits(bits, bitorder="little").view("<u8")
+            spare[i] = len(np.unique(r[5])) - bits.sum()
+        sets: dict[int, tuple[frozenset, frozenset]] = {}
+
+        def of(i: int) -> tuple[frozenset, frozenset]:
+            if i not in sets:
+                sets[i] = frozenset(rows[i][5].tolist()), frozenset(rows[i][6].tolist())
+            return sets[i]
+
+        for i in range(len(rows) - 1):
+            low, high = np.minimum(n[i], n[i + 1:]), np.maximum(n[i], n[i + 1:])
+            at = np.flatnonzero((label[i] != label[i + 1:]) & (own[i] | own[i + 1:]) & (100 * low >= percent * high))
+            if not len(at):
                 continue
-            if len(a[5] & b[5]) >= least_share(na, nb, percent) * min(SKETCH, na, nb):
-                out.append((max(a[1], b[1]), min(a[1], b[1])))
+            other, floor = at + i + 1, least_common(low[at], high[at], percent)
+            # Two values of a sketch may share a bit; with those added the bits are never fewer than the common values.
+            most = np.bitwise_count(folded[i] & folded[other]).sum(axis=1, dtype=np.int64) + spare[i]
+            for j, least in zip(other[most >= floor].tolist(), floor[most >= floor].tolist(), strict=True):
+                (mine, my_nodes), (its, its_nodes) = of(i), of(j)
+                if min(my_nodes & its_nodes) == node and (shared := len(mine & its)) >= least:
+                    found.append((least - shared, i, j))
+        above: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := above.get(x, x)) != x:
+                above[x] = x = above.get(y, y)
+            return x
+
+        for _, i, j in sorted(found) if forest else found:
+            a, b = top(int(label[i])), top(int(label[j]))
+            if a != b or not forest:
+                above[max(a, b)] = min(a, b)
+                out.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
 
     def run(batches):
         held: list[tuple] = []
@@ -233,7 +270,7 @@ def _exhaust(percent: int):
                 if held and held[0][0] != (node, block):
                     of_block(held, out)
                     held = []
-                held.append(((node, block), id_, own, label, n, frozenset(sketch.tolist()), frozenset(nodes.tolist())))
+                held.append(((node, block), id_, own, label, n, sketch, nodes))
             yield pd.DataFrame(out, columns=["u", "v"])
             out = []
         if held:
@@ -246,13 +283,14 @@ def _exhaust(percent: int):
 
 
 def _likely(percent: int) -> Column:
-    """Whether sizes and sketches of a pair leave a link possible; see `least_share`."""
+    """Whether sizes and sketches of a pair leave a link possible; see `least_common`."""
     na, nb = F.col("a.n"), F.col("b.n")
     low, high = F.least(na, nb), F.greatest(na, nb)
-    share = F.lit(percent / (100 + percent)) * (1 + low / high)
-    k = F.least(F.lit(SKETCH), low)
-    floor = share - DEVIATIONS * F.sqrt(share * (1 - share) / k)
-    return (100 * low >= percent * high) & (F.size(F.array_intersect("a.sketch", "b.sketch")) >= floor * k)
+    part = F.lit(percent / (100 + percent))
+    share, size = part * (1 + low / high), F.least(F.lit(SKETCH), low)
+    spread = F.sqrt(share * (1 - share) * size * (high - size) / F.greatest(high - 1, F.lit(1)))
+    floor = F.when(high <= SKETCH, part * (low + high)).otherwise(share * size - DEVIATIONS * spread) - COLLIDED
+    return (100 * low >= percent * high) & (F.size(F.array_intersect("a.sketch", "b.sketch")) >= floor)
 
 
 class _Join:
@@ -266,8 +304,11 @@ class _Join:
             _signatures(words, self.chooser, tree_count(recall)),
             "_id long, n long, one long, two long, nodes array<long>, sketch array<smallint>"), "signatures")
         # Each document with the least id of those with an identical set; an empty set is like no other.
-        reps = sigs.where("n > 0").groupBy("n", "one", "two").agg(F.min("_id").alias("rep"))
-        self.classes = stored(sigs.select("_id", "n", "one", "two").join(reps, ["n", "one", "two"], "left").select(
+        reps = sigs.where("n > 0").groupBy("n", "one", "two").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+        # One set may be that of a third of all documents, so its rows are dealt out over SALTS tasks.
+        reps = reps.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = sigs.select("_id", "n", "one", "two", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int").alias("_salt"))
+        self.classes = stored(salted.join(reps, ["n", "one", "two", "_salt"], "left").select(
             "_id", "n", F.coalesce("rep", "_id").alias("rep")), "classes")
         first = self.classes.where("_id = rep AND n > 0").select("_id").distinct()
         self.sigs = stored_by(sigs.where("n > 0").join(first, "_id", "left_semi"), "sets", "_id")
@@ -313,8 +354,8 @@ class _Join:
         return pairs.join(self.one_sig.alias("a"), F.col("u") == F.col("a._id")).join(self.one_sig.alias("b"), F.col("v") == F.col("b._id")).where(
             _likely(self.percent)).select("u", "v")
 
-    def exhaust(self, rows: DataFrame) -> DataFrame:
-        """All pairs of different components within the nodes of `rows`, if a link is possible.
+    def exhaust(self, rows: DataFrame, forest: bool = False) -> DataFrame:
+        """All pairs of different components within the nodes of `rows`, if a link is possible; see `_exhaust`.
 
         A node is dealt out in blocks. Members outside its main component go to every block, so
         that each meets every other member; pairs within the main component need no comparison,
@@ -328,7 +369,7 @@ class _Join:
         places = rows.groupBy("_id").agg(F.collect_list("node").alias("nodes"))
         sig = self.one_sig.join(places, "_id")
         return own.unionByName(sent).join(sig, "_id").repartition("node", "block").sortWithinPartitions("node", "block").mapInPandas(
-            _exhaust(self.percent), "u long, v long").distinct()
+            _exhaust(self.percent, forest), "u long, v long").distinct()
 
     def run(self) -> None:
         """Fill `roots` with (node, root) of all documents in components of more than one distinct set."""
@@ -339,16 +380,19 @@ class _Join:
         self.texts = stored_by(self.texts.join(nodes.select("_id").distinct(), "_id", "left_semi"), "candidates", "_id")
         several = self.classes.groupBy("_id").agg(F.min("rep").alias("v"), F.collect_set("rep").alias("all")).where(F.size("all") > 1)
         first = several.select(F.explode("all").alias("u"), "v")
-        pairs = None
         for depth in range(1, self.max_depth + 1):
-            self.link(self.confirmed(self.stars(nodes)).unionByName(first) if depth == 1 else self.confirmed(self.stars(nodes)))
+            # Every step is stored before the next one starts, so no job plans more than one step.
+            ties = self.confirmed(stored(self.stars(nodes), "stars"))
+            self.link(ties.unionByName(first) if depth == 1 else ties)
             rows = stored(self.labelled(nodes), "open")
             # Comparing all is linear while few members lie outside the main component.
             cheap = (F.col("m") <= self.block) | ((F.col("m") - F.col("most")) * F.ceil(F.col("m") / self.block) <= 4 * F.col("m"))
             last = depth == self.max_depth
-            more = self.exhaust(rows if last else rows.where(cheap))
-            pairs = more if pairs is None else pairs.unionByName(more)
-            wide = rows.where(~cheap)
+            near, wide = rows if last else rows.where(cheap), rows.where(~cheap)
+            # The likeliest pairs first: in a dense group they tie all, and few are left for the whole comparison.
+            self.link(self.confirmed(stored(self.exhaust(near, forest=True), "likely")))
+            left = stored(self.labelled(near.select("node", "_id")), "left")
+            self.link(self.confirmed(stored(self.exhaust(left), "pairs")))
             if last or wide.isEmpty():
                 break
             per_doc = wide.groupBy("_id").agg(F.collect_list("node").alias("nodes"))
@@ -356,7 +400,6 @@ class _Join:
                 _branch(self.words, self.chooser), "_id long, node long"), "children")
             crowd = grown.groupBy("node").agg(F.min("_id").alias("low"), F.max("_id").alias("high")).where("low != high").select("node")
             nodes = stored(grown.join(crowd, "node").select("node", "_id").distinct(), "nodes")
-        self.link(self.confirmed(pairs.distinct()))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, recall: float = RECALL,
