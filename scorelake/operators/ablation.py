@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scorelake.functions.numbers import hash_normal, hash_uniform, settled
-from scorelake.operators.readings import INDICATOR_GROUPS, window_stats
+from scorelake.operators.readings import INDICATOR_GROUPS, range_stats
 
 # --- fixed values: variant name, kind, parameter ------------------------------------------------
 VARIANTS = [
@@ -116,25 +116,42 @@ def _phases(stats):
 _ANSWER_TYPES = {"expected_num": "double", "expected_date": "date", "expected_nums": "array<double>", "n_points": "bigint"}
 
 
-def recompute_truth(queries: DataFrame, readings: DataFrame, extra: Sequence[str] = (), vary: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+_STATS = ["n_points", "mean", "raw_mean", "max", "min", "median", "stddev", "range", "argmax_date"]
+_VERSION = "variant"
+
+
+def recompute_truth(queries: DataFrame, readings: DataFrame, versions: Sequence[str] = (), vary: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Answers of (query_id, user_id, kind, indicator, day, group_filter, ranges) against the readings.
 
-    `ranges` is an array of (role, start_date, end_date). `vary` makes versions of the readings that a query
-    asks for, told apart by the columns `extra`, which the queries have too. Kinds without a recomputation are left out.
+    `ranges` is an array of (role, start_date, end_date). `vary` makes the versions of the readings, told apart by their
+    column `variant`; every query is then answered for each of `versions`. Kinds without a recomputation are left out.
     """
-    id_cols = [*extra, "query_id"]
-    windows = queries.where(F.col("kind").isin(list(_RECOMPUTE))).select(
-        *id_cols, "user_id", "indicator", (~F.col("kind").isin(sorted(_WITHOUT_MEDIAN))).alias("_median"), F.explode("ranges").alias("_r")).select(
-        *id_cols, "user_id", "indicator", "_median", "_r.*")
-    by = [*id_cols, "user_id", "indicator", "role", "start_date", "end_date"]
-    stats = window_stats(windows, readings, ["user_id", "indicator"], by, F.col("_median"), vary, extra)
-    fields = ["n_points", "mean", "raw_mean", "max", "min", "median", "stddev", "range", "argmax_date"]
-    per_query = stats.where(~F.col("unanswerable")).groupBy(*id_cols).agg(F.map_from_entries(
-        F.collect_list(F.struct("role", F.struct(*fields).alias("s")))).alias("_stats"))
-    answered = queries.where(F.col("kind").isin(list(_RECOMPUTE))).join(per_query, id_cols, "left")
+    extra = [_VERSION] if versions else []
+    asked = queries.where(F.col("kind").isin(list(_RECOMPUTE)))
+    with_median = ~F.col("kind").isin(sorted(_WITHOUT_MEDIAN))
+    base = ["user_id", "indicator", "start_date", "end_date"]
+    # Queries often ask for the same range: it is answered once, for all versions.
+    spans = asked.select("user_id", "indicator", with_median.alias("_median"), F.explode("ranges").alias("_r")).groupBy(
+        "user_id", "indicator", F.col("_r.start_date").alias("start_date"), F.col("_r.end_date").alias("end_date")).agg(F.max("_median").alias("_median"))
+    stats = range_stats(spans, readings, ["user_id", "indicator"], F.col("_median"), vary, extra).where(F.col("mean").isNotNull())
+    # A range has one row with its statistics by version, so queries are multiplied after they have met it, and not sent again.
+    version = F.col(_VERSION) if versions else F.lit("")
+    by_span = stats.groupBy(*base).agg(F.map_from_entries(F.collect_list(F.struct(version, F.struct(*_STATS)))).alias("_by"))
+    one = F.size("ranges") == 1
+    cols = ["query_id", "user_id", "indicator", "kind"]
+    single = asked.where(one).select(*cols, F.col("ranges")[0].alias("_r")).select(*cols, "_r.*").join(by_span.hint("merge"), base, "left").select(
+        "query_id", "kind", F.when(F.col("_by").isNotNull(), F.array(F.struct("role", "_by"))).alias("_roles"))
+    several = asked.where(F.coalesce(~one, F.lit(True)))
+    parts = several.select("query_id", "user_id", "indicator", F.explode("ranges").alias("_r")).select("query_id", "user_id", "indicator", "_r.*")
+    per_query = parts.join(by_span.hint("merge"), base).groupBy("query_id").agg(F.collect_list(F.struct("role", "_by")).alias("_roles"))
+    found = single.unionByName(several.select("query_id", "kind").join(per_query.hint("merge"), "query_id", "left"))
+    answered = found.withColumn("_version", F.explode(F.array(*[F.lit(v) for v in versions or [""]])))
 
     def role(name: str) -> Column:
         return F.try_element_at("_stats", F.lit(name))
+    of_version = F.filter(F.transform("_roles", lambda r: F.struct(r["role"].alias("role"), F.try_element_at(r["_by"], F.col("_version")).alias("s"))),
+                          lambda r: r["s"].isNotNull())
+    answered = answered.select(*([F.col("_version").alias(_VERSION)] if versions else []), "query_id", "kind", F.map_from_entries(of_version).alias("_stats"))
 
     columns = {}
     for out, typ in _ANSWER_TYPES.items():
@@ -144,27 +161,29 @@ def recompute_truth(queries: DataFrame, readings: DataFrame, extra: Sequence[str
             if out in answer:
                 value = F.when(F.col("kind") == kind, answer[out].cast(typ)).otherwise(value)
         columns[out] = value
-    ranged = answered.select(*id_cols, "kind", *[c.alias(n) for n, c in columns.items()])
+    ranged = answered.select(*extra, "query_id", "kind", *[c.alias(n) for n, c in columns.items()])
     ranged = ranged.withColumn("unanswerable", F.col("expected_num").isNull() & F.col("expected_date").isNull()
                                & F.col("expected_nums").isNull())
     single_range = ~F.col("kind").isin("two_window_delta", "three_phase_means")
     ranged = ranged.withColumns({
         "n_points": F.when(single_range, F.coalesce("n_points", F.lit(0))),
         "reason": F.when(F.col("unanswerable"), F.lit("no data in range"))})
-    return ranged.unionByName(_on_days(queries, readings, extra, vary), allowMissingColumns=True)
+    return ranged.unionByName(_on_days(queries, readings, versions, vary), allowMissingColumns=True)
 
 
-def _on_days(queries: DataFrame, readings: DataFrame, extra: Sequence[str], vary: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+def _on_days(queries: DataFrame, readings: DataFrame, versions: Sequence[str], vary: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
     """Single values and name lists of one day: one aggregate per (user, day, indicator) that is asked for."""
-    id_cols = [*extra, "query_id"]
+    extra = [_VERSION] if versions else []
     wanted = queries.where(F.col("kind").isin("device", "device_day_to_indicators"))
     days = [*extra, "user_id", "day"]
-    near = readings.join(wanted.select("user_id", "day").distinct(), ["user_id", "day"], "left_semi")
+    near = readings.join(wanted.select("user_id", "day").distinct().hint("merge"), ["user_id", "day"], "left_semi")
     near = near if vary is None else vary(near)
     per_name = near.groupBy(*days, "indicator").agg(
         F.max_by("value_num", F.struct("time", "value_num")).alias("_value"), F.count("value_num").alias("_n"))
     per_day = per_name.groupBy(*days).agg(F.sort_array(F.collect_set(F.when(F.col("_n") > 0, F.col("indicator")))).alias("_names"))
-    out = wanted.join(per_day, days, "left").join(per_name.select(*days, "indicator", "_value"), [*days, "indicator"], "left")
+    if versions:
+        wanted = wanted.withColumn(_VERSION, F.explode(F.array(*[F.lit(v) for v in versions])))
+    out = wanted.join(per_day.hint("merge"), days, "left").join(per_name.select(*days, "indicator", "_value").hint("merge"), [*days, "indicator"], "left")
     groups = F.create_map(*[x for g, words in INDICATOR_GROUPS.items() for x in (
         F.lit(g), F.array(*[F.lit(w.lower()) for w in words]))])
     keywords = F.try_element_at(groups, F.coalesce("group_filter", F.lit("")))
@@ -173,7 +192,7 @@ def _on_days(queries: DataFrame, readings: DataFrame, extra: Sequence[str], vary
     listing = F.col("kind") == "device_day_to_indicators"
     missing_day = F.col("_names").isNull()
     return out.select(
-        *id_cols, "kind", F.when(~listing, settled(F.col("_value"))).alias("expected_num"),
+        *extra, "query_id", "kind", F.when(~listing, settled(F.col("_value"))).alias("expected_num"),
         F.when(listing, F.coalesce(names, F.array().cast("array<string>"))).alias("expected_names"),
         (missing_day | (~listing & F.col("_value").isNull())).alias("unanswerable"),
         F.when(missing_day, F.lit("day missing")).when(~listing & F.col("_value").isNull(), F.lit("indicator missing")).alias("reason"))
@@ -192,7 +211,7 @@ def apply_patches(cases: DataFrame, patches: DataFrame, keys: Sequence[str] = ("
     """Cases with the recomputed value, the unanswerable mark and the first n_points key point refreshed."""
     p = patches.select(*keys, F.col("expected_value").alias("_value"), F.col("n_points").alias("_n"),
                        F.col("unanswerable").alias("_un"), F.col("reason").alias("_why"), F.lit(True).alias("patched"))
-    out = cases.join(p, list(keys), "left")
+    out = cases.join(p.hint("merge"), list(keys), "left")
     counted = F.transform("key_points", lambda k: F.contains(k, F.lit("n_points")) | F.contains(k, F.lit("数据点")))
     first = F.array_position(counted, True)
     refreshed = F.when(F.col("_n").isNotNull() & (first > 0), F.transform("key_points", lambda k, i: F.when(
@@ -215,14 +234,14 @@ def perturb_stats(patched: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def ablation_truth(queries: DataFrame, readings: DataFrame, seed: int, variants: Sequence[tuple[str, str, float]] = VARIANTS) -> DataFrame:
     """Recomputed answers of every query under every variant. Variants are made of the readings that a query asks for, not of all."""
     ranks = day_ranks(readings, seed)
-    return recompute_truth(queries.withColumn("variant", F.explode(F.array(*[F.lit(n) for n, _, _ in variants]))), readings, ["variant"],
-                           lambda rows: variants_of(rows.join(ranks, ["user_id", "day"]), seed, variants))
+    return recompute_truth(queries, readings, [n for n, _, _ in variants],
+                           lambda rows: variants_of(rows.join(ranks.hint("merge"), ["user_id", "day"]), seed, variants))
 
 
 def truth_stats(truth: DataFrame, cases: DataFrame) -> DataFrame:
     """`perturb_stats` of each variant from the truth alone: no case is patched to be counted."""
     total = cases.agg(F.count(F.lit(1))).scalar()
-    counts = truth.join(cases.select(F.col("id").alias("query_id")), "query_id", "left_semi").groupBy("variant").agg(
+    counts = truth.join(cases.select(F.col("id").alias("query_id")).hint("merge"), "query_id", "left_semi").groupBy("variant").agg(
         F.count(F.lit(1)).alias("n_patched"), F.count_if("unanswerable").alias("n_unanswerable"))
     return counts.select("variant", total.alias("total"), "n_patched", "n_unanswerable", (total - F.col("n_patched")).alias("n_unchanged"))
 

@@ -68,16 +68,17 @@ def median_bracket(value: str) -> list[Column]:
             F.when(few, F.max(v)).otherwise(near[1]).alias("_hi")]
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median", bracket: DataFrame | None = None) -> DataFrame:
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median", bracket: DataFrame | None = None, many: bool = False) -> DataFrame:
     """Median per group, the middle pair averaged.
 
     A bounded sketch brackets the middle ranks, rows below the bracket are only counted, and
     just the distinct values inside it are put in order. The bracket is wider than the error of
-    the sketch, so the result is exact.
+    the sketch, so the result is exact. `many` groups are not sent to all executors, however small they are when compressed.
     """
     if bracket is None:
         bracket = df.groupBy(*keys).agg(*median_bracket(value))
-    near = df.join(bracket.select(*keys, "_n", "_lo", "_hi"), list(keys)).where(F.col(value) <= F.col("_hi"))
+    bracket = bracket.select(*keys, "_n", "_lo", "_hi")
+    near = df.join(bracket.hint("merge") if many else bracket, list(keys)).where(F.col(value) <= F.col("_hi"))
     slot = F.when(F.col(value) >= F.col("_lo"), F.col(value))
     freq = near.groupBy(*keys, "_n", slot.alias("_v")).agg(F.count(F.lit(1)).alias("_f"))
     upto = F.sum("_f").over(W.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()))

@@ -284,27 +284,24 @@ def days_of(windows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return windows.select(*keys, F.explode(F.when(F.col("start_date") <= F.col("end_date"), F.sequence("start_date", "end_date"))).alias("day")).distinct()
 
 
-def window_stats(windows: DataFrame, readings: DataFrame, keys: Sequence[str] = ("user_id", "indicator"),
-                 by: Sequence[str] | None = None, median: bool | Column = True, vary: Callable[[DataFrame], DataFrame] | None = None,
-                 extra: Sequence[str] = ()) -> DataFrame:
-    """Every window with its statistics, rounded to four digits; `unanswerable` without readings.
+def range_stats(windows: DataFrame, readings: DataFrame, keys: Sequence[str] = ("user_id", "indicator"), median: bool | Column = True,
+                vary: Callable[[DataFrame], DataFrame] | None = None, extra: Sequence[str] = ()) -> DataFrame:
+    """Statistics of the distinct windows that hold a reading, rounded to four digits.
 
     All but the median come from partials over 2**k days (see `dyadic`). The median needs the values: those of the
     windows for which `median` holds are joined day by day. `vary` makes several versions of the readings inside
-    the windows, told apart by the columns `extra`.
+    the windows, told apart by the columns `extra`: a window then has a row for each.
     """
-    # Queries often ask for the same range: every range is answered once.
     base = [*keys, "start_date", "end_date"]
     span = [*extra, *base]
-    by = list(by or span)
     rows = readings.where(F.col("value_num").isNotNull())
     if vary is None:
-        rows = rows.join(windows.select(*keys).distinct(), list(keys), "left_semi")
+        rows = rows.join(windows.select(*keys).distinct().hint("merge"), list(keys), "left_semi")
     else:
         # Versions are made of what a window holds, not of all.
-        rows = vary(rows.join(days_of(windows, keys), [*keys, "day"], "left_semi")).where(F.col("value_num").isNotNull())
+        rows = vary(rows.join(days_of(windows.select(*base).distinct(), keys).hint("merge"), [*keys, "day"], "left_semi")).where(F.col("value_num").isNotNull())
     rows = rows.select(*extra, *keys, "day", "value_num")
-    totals = window_totals(windows, day_partials(rows, [*extra, *keys]), keys, extra)
+    totals = window_totals(windows, day_partials(rows, [*extra, *keys], home=keys), keys, extra)
     mean = F.col("total") / F.col("n")
     stats = totals.select(
         *span, F.col("n").alias("n_points"), mean.alias("raw_mean"), settled(mean).alias("mean"), F.round("most", 4).alias("max"), F.round("least", 4).alias("min"),
@@ -313,10 +310,19 @@ def window_stats(windows: DataFrame, readings: DataFrame, keys: Sequence[str] =
     if median is not False:
         asked = windows if median is True else windows.where(median)
         each = asked.select(*base).distinct().select(*base, F.explode(F.when(F.col("start_date") <= F.col("end_date"), F.sequence("start_date", "end_date"))).alias("day"))
-        mid = exact_median(each.join(rows, [*keys, "day"]).select(*span, "value_num"), span, "value_num")
-        stats = stats.join(mid.select(*span, settled(F.col("median")).alias("median")), span, "left")
-    asked = windows.select(*dict.fromkeys([*by, *span]))
-    return asked.join(stats, span, "left").withColumns({
+        mid = exact_median(each.hint("merge").join(rows, [*keys, "day"]).select(*span, "value_num"), span, "value_num", many=True)
+        stats = stats.join(mid.select(*span, settled(F.col("median")).alias("median")).hint("merge"), span, "left")
+    return stats
+
+
+def window_stats(windows: DataFrame, readings: DataFrame, keys: Sequence[str] = ("user_id", "indicator"),
+                 by: Sequence[str] | None = None, median: bool | Column = True) -> DataFrame:
+    """Every window with its statistics (see `range_stats`); `unanswerable` without readings."""
+    # Queries often ask for the same range: every range is answered once.
+    base = [*keys, "start_date", "end_date"]
+    stats = range_stats(windows, readings, keys, median)
+    asked = windows.select(*dict.fromkeys([*(by or base), *base]))
+    return asked.join(stats.hint("merge"), base, "left").withColumns({
         "n_points": F.coalesce("n_points", F.lit(0)), "unanswerable": F.col("mean").isNull()})
 
 
