@@ -195,3 +195,17 @@ def test_linked_pairs_meet_at_any_depth():
     finally:
         chosen_path.Shingler = whole
     assert (lost / len(roots)) ** chosen_path.tree_count(chosen_path.RECALL) <= 2 * (1 - chosen_path.RECALL)
+
+
+def test_common_shingles_are_counted_over_all_texts(spark):
+    import numpy as np
+
+    from scorelake.llm import chosen_path as cp
+    n = 6000
+    rows = [(i, (f"one two three four five x{i}" if i % 80 == 0 else f"a{i} b{i} c{i} d{i} e{i}" + (" six seven eight nine ten" if i % 150 == 1 else "")).encode()) for i in range(n)]
+    texts = spark.createDataFrame([*rows, (n, None), (n + 1, b"")], "_id long, data binary")
+    every = np.concatenate([cp.Shingler(5)(t) for _, t in rows])
+    found, times = np.unique(every, return_counts=True)
+    assert sorted(cp.common_shingles(texts, 5)) == sorted(found[times > 0.01 * (n + 2)])
+    assert sorted(cp.common_shingles(texts, 5, 0.005)) == sorted(found[times > 0.005 * (n + 2)])
+    assert len(cp.common_shingles(texts.limit(0), 5)) == 0
