@@ -208,6 +208,12 @@ def in_lanes(rows: DataFrame, column: str, key: str, width: int = WIDTH) -> Data
     return numbered.select(key, column, F.concat_ws(".", "_drawn", F.floor(F.col("_at") / width).cast("string")).alias("lane"), (F.col("_at") % width).cast("int").alias("col"))
 
 
+def lane_width(rows: DataFrame, column: str, key: str) -> int:
+    """Columns that the lanes of `rows` need: WIDTH, or as many as the user with most values of `column` has."""
+    most = rows.select(key, column).distinct().groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return max(1, min(WIDTH, most or 1))
+
+
 def spread(rows: DataFrame, keys: list[str], col: str, value: str, width: int = WIDTH) -> DataFrame:
     """Rows (keys, col, value) to rows (keys, values), added up; columns without a row are 0."""
     return rows.groupBy(*keys).agg(F.array(*[F.sum(F.when(F.col(col) == i, F.col(value)).otherwise(F.lit(0.0))) for i in range(width)]).alias("values"))

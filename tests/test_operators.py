@@ -543,3 +543,28 @@ def test_days_are_placed_only_in_cells_as_long_as_windows(spark):
     one = dyadic.window_totals(windows, daily, ["k"]).first()
     # Of days with the same greatest value the first.
     assert (one["n"], one["most"], str(one["peak_day"])) == (18, 6.0, "2024-01-07")
+
+
+def test_pushed_rows_hold_as_many_columns_as_a_user_has_queries(spark, monkeypatch):
+    from scorelake.operators import diffusion, graph
+    edges = spark.createDataFrame([(u, "a", b, 1.0) for u in (1, 2) for b in ("b", "c")], "user_id int, src string, dst string, weight double")
+    nodes = edges.selectExpr("user_id", "src AS node").union(edges.selectExpr("user_id", "dst")).distinct()
+    seeds = spark.createDataFrame([(q, u, "b", 1.0) for q, u in ((1, 1), (2, 2), (3, 2), (4, 2))], "query_id int, user_id int, node string, weight double")
+    sizes, push = [], diffusion.push
+
+    def seen(graph, rows, *rest):
+        sizes.extend(r[0] for r in rows.selectExpr("size(values)").distinct().collect())
+        return push(graph, rows, *rest)
+    monkeypatch.setattr(diffusion, "push", seen)
+    got = {(r["query_id"], r["node"]): r["score"] for r in graph.personalized_pagerank(nodes, edges, seeds, tol=1e-12).collect()}
+    assert sizes == [3] and len(got) == 12
+    # b keeps half, a gets half of the rest, and so on: the same for every query.
+    assert all(got[q, n] == pytest.approx(got[1, n], abs=1e-9) for q in (2, 3, 4) for n in "abc")
+    assert sum(got[1, n] for n in "abc") == pytest.approx(1.0, abs=1e-6) and got[1, "b"] > got[1, "a"] > got[1, "c"]
+
+
+def test_link_seeds_query_asks_for_every_hundredth_vector():
+    import inspect
+
+    from scorelake.plans import q_graph, registry
+    assert "a.vec_id % 100 = 0" in registry.all_oracles()["rg10_link_seeds"] and 'where("query_id % 100 = 0")' in inspect.getsource(q_graph)
