@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import given_id, solid_id
+from scorelake.llm.common import given_id, solid_id, stored
 
 LEAST_COSINE = 0.6
 # Notices of common licences.
@@ -135,8 +135,9 @@ def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, least_
     """
     templates = templates or TEMPLATES
     idf, unknown = rarity(files, templates)
-    own = files.select(solid_id("file_id").alias("_id"), F.col("path").cast("string").alias("path"), "text").mapInPandas(
-        _match(templates, idf, unknown, least_cosine), "_id long, path string, license string, score double")
+    # Stored, since what follows reads it three times: every text is matched once.
+    own = stored(files.select(solid_id("file_id").alias("_id"), F.col("path").cast("string").alias("path"), "text").mapInPandas(
+        _match(templates, idf, unknown, least_cosine), "_id long, path string, license string, score double"), "licences")
     named = own.where(F.col("license").isNotNull() & F.regexp_like(F.regexp_extract("path", r"([^/]*)$", 1), F.lit(LICENSE_NAME)))
     holders = named.groupBy(directory(F.col("path")).alias("dir")).agg(
         F.min_by(F.struct("license", "path"), F.struct(-F.col("score"), F.col("path"))).alias("holder"))

@@ -136,6 +136,12 @@ def test_own_and_inherited_licences(spark):
     assert {(r.file_id, r.found) for r in root} == {(1, "own"), (2, "inherited"), (3, "inherited")}
 
 
+def test_texts_are_matched_once(spark):
+    """The templates' matches are stored; the joins on them read no text again."""
+    found = licenses.scan(spark.createDataFrame([(1, "LICENSE", licenses.TEMPLATES["MIT"][0]), (2, "a/b.py", "x")], FILES))
+    assert "MapInPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_cosine_matches_brute_force():
     idf = {"licensed": 3.0, "mit": 4.0, "the": 1.0}
     matcher = licenses.Matcher({"A": ["Licensed the MIT"], "B": ["the the licensed"]}, idf, 5.0)
