@@ -228,7 +228,7 @@ def line_items(c: Column) -> Column:
         )
 
     lines = F.filter(_stripped(F.split(c, "\n")), looks_like_name)
-    return F.when(F.size(lines) >= 5, lines).otherwise(F.array().cast("array<string>"))
+    return let(lines, lambda kept: F.when(F.size(kept) >= 5, kept).otherwise(F.array().cast("array<string>")))
 
 
 def response_items(c: Column) -> Column:

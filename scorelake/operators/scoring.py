@@ -92,7 +92,8 @@ def _list(df: DataFrame, response: str, items: Column, when: Column | None) -> D
     n = F.size("_terms")
 
     def found(norm: Column) -> Column:
-        return F.size(F.filter("_terms", lambda t: tx.term_ratio(norm, t) >= LIST_THRESHOLD))
+        # Spark puts a column that is used once where it is used: within the lambda, once for each word.
+        return tx.let(norm, lambda text: F.size(F.filter("_terms", lambda t: tx.term_ratio(text, t) >= LIST_THRESHOLD)))
 
     df = df.withColumn("_norm", _guard(when, tx.normalize_text(F.coalesce("_answer", r))))
     df = df.withColumn("_found", found(F.col("_norm")))

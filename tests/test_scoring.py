@@ -31,6 +31,14 @@ def test_list(spark):
     assert scores(sc.score_list(answers(spark, rows))) == [1.0, 0.5, round(2 * 0.5 * 0.5 / 1.0, 6), 1.0, 0.0]
 
 
+def test_a_list_answer_is_normalised_once(spark):
+    """Not within the lambda that looks for the words of the expected items."""
+    rows = spark.createDataFrame([(1, "a red fox", "red fox; blue whale")], "id long, answer string, expected_value string")
+    scored = sc.score_list(rows)
+    assert scored.first()["score"] > 0
+    assert "Contains(trim(lower(regexp_replace" not in scored._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_by_type_routes_and_guards(spark):
     rows = [(0, "numeric_value", "5", "5"), (1, "boolean", "yes", "yes"), (2, "list", "Aa; Bb", "Aa; Bb"), (3, "text", "heart rate", "heart"),
             (4, "text", "x", ""), (5, "text", "x", "502 Bad Gateway"), (6, "odd", "x", "y")]
