@@ -102,9 +102,10 @@ def _(t):
     root = scratch_path(t.spark, "arrays")
     # One file for each array: the month and the slot name it.
     arrays.select(text.alias("value"), F.concat_ws("-", "month", F.xxhash64("days")).alias("part")).repartition("part").write.partitionBy("part").text(root)
-    # Small ranges, so that files are read in several.
+    # Ranges that cut large files in several, whatever their size: as many tasks as files ask for, not one for each 64 KB.
+    largest = t.spark.read.format("binaryFile").load(f"{root}/*").agg(F.max("length").alias("most")).first()["most"] or 0
     kept = t.spark.conf.get("spark.sql.files.maxPartitionBytes")
-    t.spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    t.spark.conf.set("spark.sql.files.maxPartitionBytes", str(min(max(1 << 16, largest // 4), 1 << 27)))
     try:
         read = readers.read_device_days(t.spark, f"{root}/*", lines=False)
     finally:

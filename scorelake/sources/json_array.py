@@ -68,8 +68,8 @@ def _place(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["path", "start", "inside", "depth", "before"])
 
 
-def _cut(states: dict):
-    """Records of byte ranges, in order, to whole objects and pieces of objects."""
+def _cut():
+    """Records of byte ranges, in order and next to the state at the start of their range, to whole objects and pieces of objects."""
     step = _lexer()
 
     def run(batches):
@@ -83,14 +83,15 @@ def _cut(states: dict):
 
         for pdf in batches:
             out: list[tuple] = []
-            for path, start, size, length, text in zip(pdf["path"], pdf["start"], pdf["size"], pdf["length"], pdf["value"]):
+            columns = ("path", "start", "size", "length", "value", "inside", "depth", "before")
+            for path, start, size, length, text, was_inside, was_depth, before in zip(*(pdf[c] for c in columns)):
                 if (path, start) != key:
                     if key is not None:
                         rest(out)
                     key, held, n = (path, start), [], 0
-                    if start and key not in states:
+                    if start and was_inside < 0:
                         raise RuntimeError("byte ranges have changed since they were summed up; set spark.sql.files.minPartitionNum")
-                    inside, depth, used = states.get(key, (0, 0, 0))
+                    inside, depth, used = (was_inside, was_depth, before) if start else (0, 0, 0)
                     headless = bool(inside) or depth > 1
                 used += length + 1
                 ended = used <= size  # else the file stops before the brace
@@ -120,13 +121,19 @@ def read_json_array(spark: SparkSession, path: str) -> DataFrame:
         F.octet_length("value").cast("long").alias("length"), "value", F.col(f"{m}block_length").alias("_part"))
     cut = rows.where("_part < size").drop("_part")
     ranges = checkpointed(cut.mapInPandas(_sum_up(), _RANGE))
-    placed = ranges.groupBy("path").applyInPandas(_place, "path string, start long, inside int, depth long, before long")
-    # One entry for each range that starts within a file: some hundred bytes for a hundred MB of text.
-    states = {(r["path"], r["start"]): (r["inside"], r["depth"], r["before"]) for r in placed.where("start > 0").collect()}
-    pieces = checkpointed(rows.drop("_part").mapInPandas(_cut(states), _PIECE)) if states else rows.drop("_part").mapInPandas(_cut({}), _PIECE)
+    whole_files = ranges.isEmpty()
+    # One row for each range that starts within a file; the join leaves the records of a range in order.
+    none = [F.lit(-1).alias("inside"), F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("before")]
+    if whole_files:
+        known = rows.select("*", *none)
+    else:
+        placed = ranges.groupBy("path").applyInPandas(_place, "path string, start long, inside int, depth long, before long")
+        known = rows.join(F.broadcast(placed.where("start > 0")), ["path", "start"], "left").fillna(-1, ["inside"]).fillna(0, ["depth", "before"])
+    pieces = known.select("path", "start", "size", "length", "value", "inside", "depth", "before").mapInPandas(_cut(), _PIECE)
+    if whole_files:
+        return _bare(pieces.where("kind = 'whole'").select("path", "start", "n", "text"))
+    pieces = checkpointed(pieces)
     whole = pieces.where("kind = 'whole'").select("path", "start", "n", "text")
-    if not states:
-        return _bare(whole)
     # At most two pieces for each range; an object takes the place of its first piece.
     along = W.partitionBy("path").orderBy("start", "n")
     numbered = pieces.where("kind <> 'whole'").withColumn("_object", F.count_if(F.col("kind") == "start").over(along))
