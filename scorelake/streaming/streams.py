@@ -58,19 +58,16 @@ def append_changes(table: str, then: Batch | None = None, keys: Sequence[str] =
     def write(batch: DataFrame, number: int) -> None:
         spark, own = batch.sparkSession, f"{table}/_part={number}"
         columns = [c for c in batch.columns if c not in ("_changed", "_again")]
-        # Written once: what follows reads it more than once.
-        raw = f"{table}-batches/{number}"
-        batch.where("_changed").write.mode("overwrite").parquet(raw)
-        batch = spark.read.schema(batch.schema).parquet(raw)
-        new = batch.select(*columns, F.lit(1).alias("sign"))
-        moved = batch.where("_again").select(*keys)
+        # New lines are written once, next to whether their key had one before; lines taken back are added to them.
+        new = batch.where("_changed").select(*columns, F.lit(1).alias("sign"), "_again")
+        new.write.mode("overwrite").parquet(own)
+        moved = spark.read.schema(new.schema).parquet(own).where("_again").select(*keys)
         if not moved.isEmpty():
             before = _parts(spark, table, new.schema).where(F.col("_part") != number)
             old = net_rows(before.join(moved, list(keys), "left_semi").select(*columns, "sign"))
-            new = new.unionByName(old.withColumn("sign", F.lit(-1)))
-        new.write.mode("overwrite").parquet(own)
+            old.select("*", F.lit(-1).alias("sign"), F.lit(False).alias("_again")).write.mode("append").parquet(own)
         if then is not None:
-            then(spark.read.schema(new.schema).parquet(own), number)
+            then(spark.read.schema(new.schema).parquet(own).drop("_again"), number)
     return write
 
 
@@ -87,9 +84,14 @@ def net_rows(changes: DataFrame) -> DataFrame:
     return changes.groupBy(*columns).agg(F.sum("sign").alias("sign")).where("sign > 0").select(*columns)
 
 
-def current_results(spark: SparkSession, table: str) -> DataFrame:
-    """The table of results after all its changes."""
-    return net_rows(spark.read.parquet(table).drop("_part"))
+def current_results(spark: SparkSession, table: str, keys: Sequence[str] = KEY) -> DataFrame:
+    """The table of results after all its changes. Only keys of which a line was taken back are added up."""
+    log = spark.read.parquet(table).drop("_part", "_again")
+    moved = log.where("sign < 0").select(*keys).distinct()
+    if moved.isEmpty():
+        return log.drop("sign")
+    settled_rows = log.where("sign > 0").drop("sign").join(moved, list(keys), "left_anti").select(*[c for c in log.columns if c != "sign"])
+    return settled_rows.unionByName(net_rows(log.join(moved, list(keys), "left_semi").select(*log.columns)))
 
 
 def _signed(rows: DataFrame) -> Column:
@@ -215,9 +217,12 @@ def stream_week_trends(readings: DataFrame, delay: str, time: str = "time") -> D
 def run_available(stream: DataFrame, checkpoint: str, each: Batch, mode: str = "append") -> None:
     """Process what is there, then stop. A restart with the same checkpoint goes on where it ended.
 
-    State lies in RocksDB, which keeps it on disk and not on the heap.
+    State lies in RocksDB, which keeps it on disk and not on the heap. Its rows are not counted, which would take a look-up
+    for each row that is put.
     """
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    conf = stream.sparkSession.conf
+    conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    conf.set("spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows", "false")
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
     query.awaitTermination()
 

@@ -162,6 +162,31 @@ def test_borders_of_micro_batches_change_no_answer(spark, tmp_path):
     assert [r[1] for r in rows] == ["pass"] * 3 and stats[:4] == ("t", 3, 3, 0)
 
 
+def test_changes_are_written_once(spark, tmp_path):
+    """Next to the log lies no second copy of its micro-batches; lines taken back are added to the new ones."""
+    table = str(tmp_path / "table")
+    rows = spark.createDataFrame([("r", str(i), "pass", 1.0, ["t"], None, True, False) for i in range(3)], st.RESULT_LINE + ", _changed BOOLEAN, _again BOOLEAN")
+    seen = []
+    append = st.append_changes(table, lambda changes, number: seen.append(sorted((r["id"], r["result"], r["sign"]) for r in changes.collect())))
+    append(rows, 0)
+    append(rows.where("id = '1'").withColumns({"result": F.lit("fail"), "_again": F.lit(True)}), 1)
+    assert [f.name for f in tmp_path.iterdir()] == ["table"]
+    assert seen[1] == [("1", "fail", 1), ("1", "pass", -1)]
+    assert sorted((r["id"], r["result"]) for r in st.current_results(spark, table).collect()) == [("0", "pass"), ("1", "fail"), ("2", "pass")]
+
+
+def test_the_result_log_is_compressed_and_holds_every_line_twice(spark):
+    from pathlib import Path
+
+    from scorelake.plans.fixtures import Tables
+    from scorelake.plans.q_live import result_lines
+    t = Tables(spark, "/root/testdata/sf0.001")
+    path = result_lines(t)
+    assert {f.suffix for f in Path(path.removeprefix("file:")).glob("part-*")} == {".gz"}
+    lines = spark.read.text(path).groupBy("value").count()
+    assert lines.where("count % 2 = 1").isEmpty() and lines.agg(F.sum("count")).first()[0] == 2 * t.results.count()
+
+
 def test_a_micro_batch_that_runs_again_replaces_itself(spark, tmp_path):
     table = str(tmp_path / "table")
     rows = spark.createDataFrame([("r", "1", "pass", 1.0, ["t"], None, True, False)], st.RESULT_LINE + ", _changed BOOLEAN, _again BOOLEAN")
@@ -307,6 +332,21 @@ def test_a_cut_array_of_fifty_megabytes_is_read_by_several_tasks(spark, tmp_path
     assert len(got) == 899 and {r["n"] for r in got} == {60}
 
 
+def test_states_of_ranges_do_not_pass_through_the_program(spark, tmp_path, monkeypatch):
+    from scorelake.sources.json_array import read_json_array
+    days = [{"date": "2024-01-01", "n": i, "text": 'a "{[" b' * 40} for i in range(400)]
+    put(tmp_path / "u" / "days.json", json.dumps(days))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        with monkeypatch.context() as m:
+            m.setattr(type(spark.range(1)), "collect", lambda self: pytest.fail("collected"))
+            objects = read_json_array(spark, str(tmp_path / "u"))
+        got = [json.loads(r["text"]) for r in objects.orderBy("start", "n").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == days
+
+
 def test_snapshots_find_what_changed_and_swap_at_once(spark, tmp_path, monkeypatch):
     from scorelake.sources.snapshots import BUCKET, Snapshots
     table = Snapshots(str(tmp_path / "t"), n_buckets=8)
