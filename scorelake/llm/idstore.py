@@ -119,9 +119,13 @@ class StretchEncoder:
         return np.asarray(ids, dtype=self.dtype).tobytes()
 
     @staticmethod
-    def _odd(piece: str) -> bool:
+    def _odd(pieces: set[str]) -> list[str]:
         """Left to the library: special tokens, and code points that only some Unicode versions know."""
-        return "<" in piece or (not piece.isascii() and any(unicodedata.category(c) == "Cn" for c in piece))
+        marks = "".join(c for c in set().union(*pieces) if c == "<" or unicodedata.category(c) == "Cn")
+        if not marks:
+            return []
+        mark = re.compile(f"[{re.escape(marks)}]")
+        return [p for p in pieces if mark.search(p)]
 
     def _learn_words(self, words: set[str]) -> None:
         plain = [w for w in words if w not in self.words]
@@ -136,8 +140,8 @@ class StretchEncoder:
         self.chars += sum(map(len, plain))
 
     def _learn(self, pieces: set[str]) -> None:
-        odd = [p for p in pieces if self._odd(p)]
-        plain = list(pieces.difference(odd))
+        odd = self._odd(pieces)
+        plain = list(pieces.difference(odd) if odd else pieces)
         found = self.pattern.findall(unicodedata.normalize("NFC", "\n".join(plain)).replace("Σ", "σ").lower())
         self._learn_words({w for w in found if w != "\n"})
         get, own, at = self.words.__getitem__, [], 0
@@ -193,7 +197,7 @@ class StretchEncoder:
             if pieces is None:
                 yield [self._raw(self.whole.encode(text, add_special_tokens=False).ids)]
             else:
-                yield [b"".join([self.pieces[p] for p in pieces])]
+                yield [b"".join(map(self.pieces.__getitem__, pieces))]
 
 
 def worker_encoder(spec: dict, dtype: str) -> StretchEncoder:

@@ -122,3 +122,13 @@ def test_unknown_keys_are_told_by_fingerprints():
     others = np.arange(10**6, 10**6 + 100_000, dtype=np.int64)
     slot = perfect.slots(others)
     assert ((slot >= 0) & (prints[np.maximum(slot, 0)] == idstore.key_prints(others))).sum() == 0
+
+
+def test_each_character_is_looked_up_once_for_all_pieces(monkeypatch):
+    import unicodedata
+    asked = []
+    category = unicodedata.category
+    monkeypatch.setattr(unicodedata, "category", lambda c: asked.append(c) or category(c))
+    pieces = {"é" * n for n in range(1, 50)} | {"plain", "<s>", "a\u0378b"}
+    assert sorted(idstore.StretchEncoder._odd(pieces)) == ["<s>", "a\u0378b"]
+    assert len(asked) == len(set(asked)) and idstore.StretchEncoder._odd({"é", "a"}) == []
