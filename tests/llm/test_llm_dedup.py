@@ -59,6 +59,29 @@ def test_repeats_match_brute_force(spark, group_rows):
     assert [got[i] for i in range(len(texts))] == cut_by_force(texts, 40)
 
 
+def test_crowded_anchors_match_brute_force_with_few_rows(spark, monkeypatch):
+    """Very frequent passages are not written out window by window, nor once for each pair."""
+    r = random.Random(7)
+
+    def some(n):
+        return "".join(r.choice("abcdé ") for _ in range(n))
+    middle, before, after = some(60), [some(120) for _ in range(9)], [some(120) for _ in range(9)]
+    texts = [some(30) + middle + some(30) for _ in range(150)]
+    # Left and right of the passage repeat in turn, so no one text agrees with another on both sides.
+    texts += [r.choice(before)[r.randrange(60):] + middle + r.choice(after)[: r.randrange(60, 120)] for _ in range(150)]
+    rows, kept = {}, repeats.stored
+
+    def counted(df, name):
+        out = kept(df, name)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+    monkeypatch.setattr(repeats, "stored", counted)
+    found = repeats.measure_repeats(documents(spark, texts), 40, 16, 7).collect()
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in found}
+    assert [got[i] for i in range(len(texts))] == cut_by_force(texts, 40)
+    assert rows["spans"] + rows["cells"] <= 4 * rows["anchors"]
+
+
 def test_repeats_of_a_table_match_brute_force(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", "text").collect()
