@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
 
+import corpus_pipeline
 from scorelake.llm import chosen_path, repeats
 from scorelake.llm.common import table
 from scorelake.llm.components import components
@@ -106,6 +108,54 @@ def test_cut_texts_keep_the_columns_and_all_rows(spark):
     assert got[2].text is None and got[3].text == "clean" and repeats.without_repeats(docs).columns == docs.columns
 
 
+def words_cut_by_force(texts, size):
+    """The texts without their runs of `size` words that occur elsewhere, whatever white space they hold."""
+    places = [[m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")] for t in texts]
+    words = [[t[a:b] for a, b in p] for t, p in zip(texts, places, strict=True)]
+    seen = Counter(tuple(w[i:i + size]) for w in words for i in range(len(w) - size + 1))
+    out = []
+    for t, p, w in zip(texts, places, words, strict=True):
+        gone = bytearray(len(t or ""))
+        for i in range(len(w) - size + 1):
+            if seen[tuple(w[i:i + size])] > 1:
+                a, b = p[i][0], p[i + size - 1][1]
+                gone[a:b] = b"\1" * (b - a)
+        out.append(t and "".join(c for c, g in zip(t, gone, strict=True) if not g))
+    return out
+
+
+@pytest.mark.parametrize("group_rows", [1024, 7])
+def test_repeated_runs_of_words_match_brute_force(spark, group_rows):
+    r = random.Random(11)
+
+    def some(n):
+        return "".join(r.choice(["éa", "b", "to", "cc", "d"]) + r.choice([" ", "  ", "\n"]) for _ in range(n))
+    shared = [some(12), some(30), some(11)]
+    texts = [None, "", " \t", "a " * 40, "b", some(9)]
+    for _ in range(120):
+        t = some(r.randrange(0, 25))
+        for _ in range(r.randrange(0, 3)):
+            t += " ".join(r.choice(shared).split()[r.randrange(0, 4):]) + r.choice([" ", "x "]) + some(r.randrange(0, 8))
+        texts.append(t)
+    got = {x.doc_id: x for x in repeats.without_repeats(documents(spark, texts), 1000, 16, group_rows, 10).collect()}
+    want = words_cut_by_force(texts, 10)
+    assert [got[i].text for i in range(len(texts))] == want and want != texts
+    assert [got[i].n_chars for i in range(len(texts))] == [len(t or "") for t in want]
+
+
+def test_pipeline_cuts_passages_of_over_50_words(spark):
+    """A passage of 51 short words has fewer than 400 bytes; one of 50 words stays."""
+    r = random.Random(13)
+
+    def some(n):
+        return " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    over, fifty, copy = some(51), some(50), some(60)
+    texts = [some(30) + "\n" + over, "x " + over.replace(" ", "\n", 3) + " y", fifty + " one", "two " + fifty, copy, copy, some(70)]
+    assert len(over) < repeats.MIN_BYTES
+    got = {x.doc_id: x.text for x in corpus_pipeline.repeated_passages(spark, documents(spark, texts), None).collect()}
+    assert got == {0: texts[0][:-len(over)], 1: "x  y", 2: texts[2], 3: texts[3], 4: "", 5: "", 6: texts[6]}
+
+
 def test_maximal_groups_list_all_occurrences():
     lefts, rights = [b"cba", b"cbx", b"cba", b"zzz"], [b"12345", b"12345", b"129", b"77"]
     groups: list = []
