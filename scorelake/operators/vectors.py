@@ -25,6 +25,8 @@ PIVOTS = 32
 FIRST_BLOCKS = 2
 # Blocks whose bounds are compared in one task.
 BOUND_ROWS = 256
+# Scores that a batch of a whole comparison holds.
+SCORES = 1 << 18
 # Scores are compared with this much room, as bounds and scores are rounded differently.
 ROOM = 1e-9
 
@@ -202,23 +204,32 @@ def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, key: str = "user_
 
 
 def block_scores(queries: DataFrame, blocks: Blocks, query_id: str = "query_id", embedding: str = "embedding", query_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(query_id, key, ids, scores): the cosine of each query to all vectors of a block, one row for each block."""
+    """(query_id, key, ids, scores): the cosine of each query to all vectors of a block, one row for each block.
+
+    Each slice of queries meets each block of its user. The pairs are dealt by their block, so a large user's are not one
+    task, and scores leave a pair SCORES at a time.
+    """
     rows_of, unit, matrix, _, nothing = _helpers()
     key, types = blocks.key, dict(queries.dtypes)
     ids_type = dict(blocks.packed.dtypes)["ids"]
     rows = queries.select(key, F.col(query_id).alias("_q"), F.col(embedding).cast("array<double>").alias("_v")).where("_v is not null")
     sizes = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / query_rows).cast("int").alias("_slices"))
-    sliced = rows.join(sizes, key).groupBy(key, F.pmod(F.xxhash64("_q"), F.col("_slices")).alias("_slice")).agg(F.collect_list(F.struct("_q", "_v")).alias("_qs"))
+    sliced = checkpointed(rows.join(sizes, key).groupBy(key, F.pmod(F.xxhash64("_q"), F.col("_slices")).cast("int").alias("_slice")).agg(
+        F.collect_list(F.struct("_q", "_v")).alias("_qs")))
+    names = blocks.packed.select(key, "block").join(sizes, key).select(key, "block", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("_slice"))
 
     def score(batches):
         for pdf in batches:
-            out = []
             for user, qs, ids, n, data in zip(pdf[key], pdf["_qs"], pdf["ids"], pdf["n"], pdf["data"]):
-                scores = unit(rows_of([q["_v"] for q in qs])) @ matrix(data, n).T
-                out.append(pd.DataFrame({query_id: [q["_q"] for q in qs], key: [user] * len(qs), "ids": [ids] * len(qs), "scores": list(scores)}))
-            yield pd.concat(out, ignore_index=True) if out else nothing(query_id, key, "ids", "scores")
-
-    return sliced.join(blocks.packed.select(key, "ids", "n", "data"), key).select(key, "_qs", "ids", "n", "data").mapInPandas(
+                m, step = matrix(data, n), max(1, SCORES // n)
+                for at in range(0, len(qs), step):
+                    some = qs[at: at + step]
+                    scores = unit(rows_of([q["_v"] for q in some])) @ m.T
+                    yield pd.DataFrame({query_id: [q["_q"] for q in some], key: [user] * len(some), "ids": [ids] * len(some), "scores": list(scores)})
+
+    # The copies of a slice of queries lie with the blocks before they meet their vectors.
+    asked = names.join(sliced, [key, "_slice"]).select(key, "block", "_qs")
+    return asked.join(blocks.packed.select(key, "block", "ids", "n", "data"), [key, "block"]).select(key, "_qs", "ids", "n", "data").mapInPandas(
         score, f"{query_id} {types[query_id]}, {key} {types[key]}, ids {ids_type}, scores array<double>")
 
 

@@ -563,8 +563,24 @@ def test_pushed_rows_hold_as_many_columns_as_a_user_has_queries(spark, monkeypat
     assert sum(got[1, n] for n in "abc") == pytest.approx(1.0, abs=1e-6) and got[1, "b"] > got[1, "a"] > got[1, "c"]
 
 
-def test_link_seeds_query_asks_for_every_hundredth_vector():
-    import inspect
-
-    from scorelake.plans import q_graph, registry
-    assert "a.vec_id % 100 = 0" in registry.all_oracles()["rg10_link_seeds"] and 'where("query_id % 100 = 0")' in inspect.getsource(q_graph)
+def test_link_seeds_query_asks_for_every_vector(spark, tmp_path):
+    from scorelake.plans import registry
+    rows = [(i, i % 2, [1.0, i / 10]) for i in range(1, 8)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = registry.all_queries()["rg10_link_seeds"](spark, str(tmp_path)).collect()
+    # No id is divisible by 100; all are asked for, against all entities and passages of their user.
+    assert sorted((r["query_id"], r["node"]) for r in got) == sorted(
+        (a, node) for a, x, _ in rows for b, y, _ in rows if x == y for node in (f"ent:e{b:09d}", f"passage:{b}"))
+    assert "% 100" not in registry.all_oracles()["rg10_link_seeds"]
+
+
+def test_scores_leave_a_pair_of_blocks_in_pieces(spark, monkeypatch):
+    from scorelake.operators import vectors as ve
+    v = clustered(60, 4, 3, 5)
+    frame = frame_of(spark, v)
+    monkeypatch.setattr(ve, "SCORES", 16)
+    got = ve.block_scores(frame.withColumnRenamed("vec_id", "query_id"), ve.blocks_of(frame, "user_id", "vec_id", block_rows=8), query_rows=8).collect()
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    found = {(r["query_id"], i): s for r in got for i, s in zip(r["ids"], r["scores"], strict=True)}
+    assert len(found) == sum(len(r["ids"]) for r in got) == 2 * 30 * 30
+    assert all(s == pytest.approx(float(u[q] @ u[i]), abs=1e-12) for (q, i), s in found.items())
