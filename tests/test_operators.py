@@ -584,3 +584,54 @@ def test_scores_leave_a_pair_of_blocks_in_pieces(spark, monkeypatch):
     found = {(r["query_id"], i): s for r in got for i, s in zip(r["ids"], r["scores"], strict=True)}
     assert len(found) == sum(len(r["ids"]) for r in got) == 2 * 30 * 30
     assert all(s == pytest.approx(float(u[q] @ u[i]), abs=1e-12) for (q, i), s in found.items())
+
+
+def test_packed_graphs_equal_power_iteration_and_keep_their_names(spark, monkeypatch):
+    """Graphs of several users and queries share a block, and nothing is pushed in rounds."""
+    from scorelake.operators import diffusion
+    monkeypatch.setattr(diffusion, "_push_cut", lambda *a: pytest.fail("a small graph was cut"))
+    links = {1: [("a", "b", 2.0), ("b", "c", 1.0), ("a", "b", 1.0)], 2: [("a", "c", 1.0), ("c", "d", 3.0)], 3: [("x", "y", 0.5)]}
+    edges = spark.createDataFrame([(u, *e) for u, es in links.items() for e in es] + [(None, "a", "b", 9.0)], "user_id int, src string, dst string, weight double")
+    asked = {"q1": (1, {"b": 1.0}), "q2": (2, {"a": 3.0, "c": 1.0}), "q3": (2, {"c": 1.0}), "q4": (3, {"y": 1.0})}
+    seeds = [(q, u, n, w) for q, (u, s) in asked.items() for n, w in s.items()] + [("q4", 3, "nowhere", 1.0), ("q5", 9, "a", 1.0)]
+    seeds = spark.createDataFrame(seeds, "query_id string, user_id int, node string, weight double")
+    got = gr.personalized_pagerank(None, edges, seeds, tol=1e-14).collect()
+    found = {(r["query_id"], r["user_id"], r["node"]): r["score"] for r in got}
+    assert len(found) == len(got) and all(r["converged"] for r in got)
+    # A seed at no node counts in the sum of the seeds, and no more.
+    want = {}
+    for q, (u, s) in asked.items():
+        names, total = sorted({x for a, b, _ in links[u] for x in (a, b)}), sum(s.values()) + (q == "q4")
+        scores = power_iteration(names, links[u], {n: w / total for n, w in s.items()}, tol=1e-15)
+        want |= {(q, u, n): scores[n] for n in names}
+    assert found == pytest.approx(want, abs=1e-9)
+
+
+def test_edge_without_an_end_counts_as_weight(spark):
+    from scorelake.operators import diffusion
+    edges = spark.createDataFrame([(1, "a", "b", 1.0), (1, "a", None, 1.0), (1, "b", "c", None)], "user_id int, src string, dst string, weight double")
+    seeds = spark.createDataFrame([(1, "0", "a", [1.0])], "user_id int, lane string, node string, values array<double>")
+    found, _ = diffusion.push(diffusion.Graph(edges), seeds, 0.5, 1e-14, width=1)
+    # Half of what goes on from a is lost; all that goes on from b comes back, and c gets nothing.
+    got = {r["node"]: r["values"][0] for r in found.collect()}
+    assert got == {"a": pytest.approx(0.5 / (1 - 0.125)), "b": pytest.approx(0.125 / (1 - 0.125))}
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    import re
+    import time
+
+    from scorelake.session import checkpointed, stored
+
+    def held() -> set[int]:
+        return {int(x) for x in re.findall(r"\d+", str(spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().keys().mkString(" ")))}
+    rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().repartition("k")
+    for keep in (checkpointed, lambda df: stored(df, "counts")):
+        before = held()
+        assert keep(rows).count() == 7
+        own = held() - before
+        # Those of the last count stay; two exchanges of the table itself go.
+        until = time.time() + 10
+        while len(own & held()) > 1 and time.time() < until:
+            time.sleep(0.1)
+        assert len(own & held()) <= 1
