@@ -21,6 +21,11 @@ from scorelake.session import checkpointed, stored
 
 WIDTH = 64
 BLOCK_EDGES = 65_536
+# A graph of up to so many blocks is pushed as a whole if its nodes are no more than a block has edges: many edges cost a task
+# some 20 bytes each, nodes several rows of WIDTH values.
+WHOLE_BLOCKS = 32
+# Edges along which mass is moved at once.
+FLOW_EDGES = 32_768
 # Rows of a table of users up to which it is sent to all executors.
 SENT_ROWS = 100_000
 
@@ -158,7 +163,7 @@ def _settle(alpha: float, tol: float):
         all_held = values(at, n + len(apart))
         held, made = all_held[:n], np.zeros_like(all_held)
         made[n:] = (1 - alpha) * all_held[n:]
-        starts = np.flatnonzero(np.diff(b, prepend=-1)) if len(b) else np.empty(0, np.int64)
+        step = FLOW_EDGES
         while True:
             over = np.abs(held) > (share * tol)[:, None]
             active = over.any(axis=1)
@@ -167,13 +172,12 @@ def _settle(alpha: float, tol: float):
             moving = np.where(over, held, 0.0)
             held[over] = 0.0
             made[:n] += (1 - alpha) * moving
-            if active.all():
-                held[b[starts]] += np.add.reduceat(alpha * p[:, None] * moving[a], starts, axis=0)
-                continue
             some = np.flatnonzero(active[a])
-            if len(some):
-                first = np.flatnonzero(np.diff(b[some], prepend=-1))
-                held[b[some][first]] += np.add.reduceat(alpha * p[some, None] * moving[a[some]], first, axis=0)
+            for cut in range(0, len(some), step):
+                along = some[cut: cut + step]
+                to = b[along]
+                first = np.flatnonzero(np.diff(to, prepend=-1))
+                held[to[first]] += np.add.reduceat(alpha * p[along, None] * moving[a[along]], first, axis=0)
         return np.concatenate([names.to_numpy(dtype=object), apart]), made
     return settle
 
@@ -181,8 +185,8 @@ def _settle(alpha: float, tol: float):
 class Graph:
     """Edges with the share of each in its source's weight, dealt to blocks.
 
-    Graphs of up to `block_edges` edges are packed: `packed` has rows (block, data) of several whole graphs. Larger ones are cut
-    and lie in `nodes` and `edges`. A node with very many edges (a hub) has them where they lead to, so
+    Graphs of up to `block_edges` edges are packed: `packed` has rows (block, data) of several whole graphs. So are larger ones of few
+    nodes (WHOLE_BLOCKS), each in its own row. The others are cut and lie in `nodes` and `edges`. A node with very many edges (a hub) has them where they lead to, so
     that no block grows with it.
     """
 
@@ -192,23 +196,37 @@ class Graph:
         sizes = stored(self.given.groupBy(key).agg((2 * F.count(F.lit(1))).alias("edges")), "sizes")
         small, most = sizes.agg(F.sum(F.when(F.col("edges") <= block_edges, F.col("edges"))), F.max("edges")).first()
         self.shared = max(1, -(-2 * (small or 0) // block_edges))
-        # Users of graphs that don't fit into a block.
-        self.large = stored(sizes.where(F.col("edges") > block_edges).select(key), "large") if (most or 0) > block_edges else None
+        # Users of graphs that are cut, and of packed ones that have a row of their own.
+        self.large = self.own = None
+        if (most or 0) > block_edges:
+            big = stored(sizes.where(F.col("edges") > block_edges), "big")
+            n = self._ends(self.given.join(sent(big.select(key)), key, "left_semi")).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+            known = stored(big.join(n, key).select(key, ((F.col("n") <= block_edges) & (F.col("edges") <= WHOLE_BLOCKS * block_edges)).alias("whole")), "big")
+            self.own = known.where("whole").select(key, F.lit(True).alias("_own"))
+            large = known.where("NOT whole").select(key)
+            self.large = None if large.isEmpty() else large
         whole = self.given.where(F.col(key).isNotNull())
         if self.large is not None:
             whole = whole.join(sent(self.large), key, "left_anti")
-        self.packed = stored(whole.select(self.block().alias("block"), F.col(key).cast("string").alias("key"), "src", "dst", F.col("weight").cast("double").alias("weight")).groupBy(
-            "block").applyInPandas(_packer(), "block int, data binary"), "graphs")
+        self.packed = stored(self.placed(whole).select("block", F.col(key).cast("string").alias("key"), "src", "dst", F.col("weight").cast("double").alias("weight")).groupBy(
+            "block").applyInPandas(_packer(), "block bigint, data binary"), "graphs")
         if self.large is not None:
             self._cut(self.given.join(sent(self.large), key, "left_semi"), block_edges)
 
-    def block(self) -> Column:
-        """The row of `packed` that holds the graph of a user."""
-        return F.pmod(F.xxhash64(self.key), F.lit(self.shared)).cast("int")
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """`rows` of users whose graphs are packed, with the `block` that holds the user's. Blocks of one graph are negative."""
+        shared = F.pmod(F.xxhash64(self.key), F.lit(self.shared))
+        if self.own is None:
+            return rows.withColumn("block", shared)
+        alone = -1 - F.pmod(F.xxhash64(self.key), F.lit(2**62))
+        return rows.join(sent(self.own), self.key, "left").withColumn("block", F.when(F.col("_own"), alone).otherwise(shared)).drop("_own")
+
+    def _ends(self, edges: DataFrame) -> DataFrame:
+        return edges.select(self.key, F.col("src").alias("node")).union(edges.select(self.key, "dst")).distinct()
 
     def all_nodes(self) -> DataFrame:
         """(key, node) of all nodes with an edge."""
-        return self.given.select(self.key, F.col("src").alias("node")).union(self.given.select(self.key, "dst")).distinct()
+        return self._ends(self.given)
 
     def _cut(self, edges: DataFrame, block_edges: int) -> None:
         key = self.key
@@ -244,7 +262,7 @@ def _apart(graph: Graph, rows: DataFrame, large: bool) -> DataFrame:
 
 def _lanes_of_blocks(graph: Graph, lanes: DataFrame) -> DataFrame:
     """A row (block, lane, data) of packed graphs for each lane that one of their users has."""
-    wanted = stored(_apart(graph, lanes, False).select(graph.block().alias("block"), "lane").distinct(), "lanes")
+    wanted = stored(graph.placed(_apart(graph, lanes, False)).select("block", "lane").distinct(), "lanes")
     return graph.packed.join(sent(wanted), "block")
 
 
@@ -281,8 +299,8 @@ def push(graph: Graph, seeds: DataFrame, alpha: float = 0.5, tol: float = 1e-6,
             out["names"] = pd.Series([of[c.split(sep, 1)[0]] for c in out["node"]], dtype=object)
         return out
 
-    rows = _apart(graph, seeds, False).where(F.col(key).isNotNull() & F.col("node").isNotNull()).select(
-        graph.block().alias("block"), "lane", _code(F.col(key), F.col("node")).alias("node"), "values", *named)
+    rows = graph.placed(_apart(graph, seeds, False)).where(F.col(key).isNotNull() & F.col("node").isNotNull()).select(
+        "block", "lane", _code(F.col(key), F.col("node")).alias("node"), "values", *named)
     by = ["block", "lane"]
     found = _lanes_of_blocks(graph, seeds).groupBy(*by).cogroup(rows.groupBy(*by)).applyInPandas(
         of_graphs, ", ".join(f"{c} {types[c]}" for c in ("lane", "node", "values", *named))).select(*_node_of(key, kind), "lane", "values", *named)

@@ -635,3 +635,24 @@ def test_stored_tables_leave_no_shuffle_files(spark):
         while len(own & held()) > 1 and time.time() < until:
             time.sleep(0.1)
         assert len(own & held()) <= 1
+
+
+def test_large_graph_of_few_nodes_is_pushed_whole(spark, monkeypatch):
+    """More edges than a block, fewer nodes: one pass, next to a small graph, equal to the exact scores."""
+    from scorelake.operators import diffusion
+    monkeypatch.setattr(diffusion, "_push_cut", lambda *a: pytest.fail("a graph of few nodes was cut"))
+    monkeypatch.setattr(diffusion, "FLOW_EDGES", 7)
+    n, links = _graph(3)
+    rows = [(1, f"n{a}", f"n{b}", x) for (a, b), x in links.items()] + [(2, "a", "b", 1.0)]
+    edges = spark.createDataFrame(rows, "user_id int, src string, dst string, weight double")
+    assert n <= 64 < 2 * len(links)
+    graph = diffusion.Graph(edges, block_edges=64)
+    assert graph.large is None and graph.packed.count() == 2
+    seeds = np.zeros((n, 2))
+    seeds[5, 0], seeds[0, 1], seeds[n - 1, 1] = 1.0, 0.5, 0.5
+    mass = spark.createDataFrame([(1, "a", f"n{i}", seeds[i].tolist()) for i in range(n) if seeds[i].any()] + [(2, "a", "a", [1.0, 0.0])],
+                                 "user_id int, lane string, node string, values array<double>")
+    got = {(r["user_id"], r["node"]): r["values"] for r in diffusion.push(graph, mass, 0.5, 1e-13, width=2)[0].collect()}
+    want = _exact_push(n, links, seeds, 0.5)
+    assert all(got[1, f"n{i}"] == pytest.approx(want[i], abs=1e-9) for i in range(n))
+    assert got[2, "a"][0] == pytest.approx(2 / 3) and got[2, "b"][0] == pytest.approx(1 / 3)
