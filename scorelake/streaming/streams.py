@@ -13,6 +13,8 @@ from scorelake.operators.reports import changed_batches, pass_rate
 
 RESULT_LINE = "run_id STRING, id STRING, result STRING, score DOUBLE, tags ARRAY<STRING>, finished_at TIMESTAMP"
 KEY = ("run_id", "id")
+# Parts of a week's users that are held and summed up apart.
+WEEK_BUCKETS = 1024
 Batch = Callable[[DataFrame, int], None]
 
 
@@ -156,62 +158,102 @@ def stream_weekly_stats(readings: DataFrame, delay: str, time: str = "time") ->
         F.count("value_num").alias("n"), F.avg("value_num").alias("mean"), F.min("value_num").alias("min"), F.max("value_num").alias("max"))
 
 
-def _week_closer(trend):
-    """A processor that gathers a week's readings and sums them up when the week is closed."""
+def _week_closer():
+    """A processor that gathers a week's readings of many users and sums them up when the week is closed.
+
+    The readings of a micro-batch are one value of the state, users and indicators by number, so a call to the state store
+    goes for many readings.
+    """
+    import pickle
+    import zlib
+
+    import numpy as np
     import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor
 
+    def held(pdf: pd.DataFrame) -> bytes:
+        """Readings as columns, without a copy of a user for each. The names of the columns are not those of the rows."""
+        user, indicator, at, value, _ = (pdf.iloc[:, i] for i in range(-5, 0))
+        columns = [pd.factorize(c, use_na_sentinel=False) for c in (user, indicator)]
+        return zlib.compress(pickle.dumps((*[(x_at.astype(np.int32), [None if pd.isna(x) else x for x in names]) for x_at, names in columns],
+                                           at.to_numpy(np.int64), value.to_numpy(np.float64))), 1)
+
+    def joined(parts: list[tuple]) -> tuple:
+        """All parts of a week: users and the number of each reading's, indicators likewise, times and values."""
+        out = []
+        for i in (0, 1):
+            numbers: dict = {}
+            # Equal names of several parts get one number.
+            of = [np.array([numbers.setdefault(x, len(numbers)) for x in p[i][1]], np.int64)[p[i][0]] for p in parts]
+            out += [list(numbers), np.concatenate(of)]
+        return (*out, np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts]))
+
     class WeekCloser(StatefulProcessor):
         def init(self, handle) -> None:
             self.handle = handle
-            self.readings = handle.getListState("readings", "at BIGINT, value DOUBLE")
+            self.readings = handle.getListState("readings", "part BINARY")
             self.closed = handle.getValueState("closed", "done BOOLEAN")
 
         def handleInputRows(self, key, rows, timerValues):
             if not self.closed.exists():
-                new = [(int(a), float(v)) for pdf in rows for a, v in zip(pdf.iloc[:, -3], pdf.iloc[:, -2])]
+                new = [(held(pdf),) for pdf in rows if len(pdf)]
                 if new and not self.readings.exists():
-                    self.handle.registerTimer(int(key[2]) + 7 * 86_400_000)
+                    self.handle.registerTimer(int(key[1]) + 7 * 86_400_000)
                 if new:
                     self.readings.appendList(new)
             yield pd.DataFrame()
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            values = [r[1] for r in sorted((int(r[0]), float(r[1])) for r in self.readings.get())]
+            parts = [pickle.loads(zlib.decompress(r[0])) for r in self.readings.get()]
             self.readings.clear()
             self.closed.update((True,))
-            yield pd.DataFrame([(*key, *trend(values))], columns=["user_id", "indicator", "_week", "n", "mean", "min", "max", "trend", "anomaly"])
+            users, user, indicators, indicator, at, value = joined(parts)
+            order = np.lexsort((value, at, indicator, user))
+            user, indicator, value = user[order], indicator[order], value[order]
+            start = np.flatnonzero(np.diff(user, prepend=-1) | np.diff(indicator, prepend=-1))
+            n = np.diff(start, append=len(value))
+            mid = n // 2
+
+            def sums(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                """Sums of the stretches from a to b; empty ones are 0."""
+                out, some = np.zeros(len(a)), b > a
+                cuts = np.column_stack([a[some], b[some]]).ravel()
+                padded = np.append(value, 0.0)
+                out[some] = np.add.reduceat(padded, cuts)[::2] if len(cuts) else 0.0
+                return out
+            stop = start + n
+            mean = sums(start, stop) / n
+            first = np.divide(sums(start, start + mid), mid, out=np.zeros(len(n)), where=mid > 0)
+            ratio = (sums(start + mid, stop) / (n - mid) - first) / (np.abs(first) + 1e-9)
+            trend = np.where((n >= 4) & (ratio > 0.1), "rising", np.where((n >= 4) & (ratio < -0.1), "falling", "stable"))
+            least, most = np.minimum.reduceat(value, start), np.maximum.reduceat(value, start)
+            yield pd.DataFrame({
+                "user_id": pd.Series([users[u] for u in user[start]], dtype=object), "indicator": pd.Series([indicators[x] for x in indicator[start]], dtype=object),
+                "_week": np.int64(key[1]), "n": n.astype(np.int64), "mean": mean, "min": least, "max": most, "trend": trend.astype(object),
+                "anomaly": (n >= 3) & (most > mean * 1.5)})
 
         def close(self) -> None:
             pass
     return WeekCloser()
 
 
-def _week_summary():
-    def summary(values: list[float]) -> tuple:
-        n, mid = len(values), len(values) // 2
-        mean, name = sum(values) / n, "stable"
-        if n >= 4:
-            first, second = sum(values[:mid]) / mid, sum(values[mid:]) / (n - mid)
-            ratio = (second - first) / (abs(first) + 1e-9)
-            name = "rising" if ratio > 0.1 else "falling" if ratio < -0.1 else "stable"
-        return n, mean, min(values), max(values), name, n >= 3 and max(values) > mean * 1.5
-    return summary
-
-
-def stream_week_trends(readings: DataFrame, delay: str, time: str = "time") -> DataFrame:
+def stream_week_trends(readings: DataFrame, delay: str, time: str = "time", buckets: int = WEEK_BUCKETS) -> DataFrame:
     """Weekly summaries with trend and anomaly, one row per user, indicator and Monday week when the week is closed.
 
     A week is closed once the newest reading is `delay` past its end; readings that lie further than that behind the newest one are
     left out. Until then its readings are held in the state store, in no order; the halves of the trend follow time and value.
+    Users and indicators are dealt to `buckets`, and the state is kept by bucket and week; the number stays with a checkpoint.
     """
     timed = readings.withColumn(time, F.col(time).cast("timestamp")).where(F.col("value_num").isNotNull()).withWatermark(time, delay)
     week = F.unix_millis(F.date_trunc("week", time))
     types = dict(readings.dtypes)
-    rows = timed.select("user_id", "indicator", week.alias("_week"), F.unix_micros(time).alias("_at"), "value_num", time)
-    schema = f"user_id {types['user_id']}, indicator {types['indicator']}, _week bigint, n bigint, mean double, min double, max double, trend string, anomaly boolean"
-    out = rows.groupBy("user_id", "indicator", "_week").transformWithStateInPandas(_week_closer(_week_summary()), schema, "append", "eventTime")
-    return out.select("user_id", F.timestamp_millis("_week").cast("date").alias("monday"), "indicator", "n", "mean", "min", "max", "trend", "anomaly")
+    bucket = F.pmod(F.xxhash64("user_id", "indicator"), F.lit(buckets)).cast("int")
+    rows = timed.select(bucket.alias("_bucket"), week.alias("_week"), F.col("user_id").cast("string").alias("user_id"), F.col("indicator").cast("string").alias("indicator"),
+                        F.unix_micros(time).alias("_at"), F.col("value_num").cast("double").alias("value_num"), time)
+    schema = "user_id string, indicator string, _week bigint, n bigint, mean double, min double, max double, trend string, anomaly boolean"
+    out = rows.groupBy("_bucket", "_week").transformWithStateInPandas(_week_closer(), schema, "append", "eventTime")
+    return out.select(F.col("user_id").cast(types["user_id"]).alias("user_id"), F.timestamp_millis("_week").cast("date").alias("monday"),
+                      F.col("indicator").cast(types["indicator"]).alias("indicator"), "n", "mean", "min", "max", "trend", "anomaly")
 
 
 def run_available(stream: DataFrame, checkpoint: str, each: Batch, mode: str = "append") -> None:

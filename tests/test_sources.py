@@ -221,6 +221,26 @@ def test_week_is_summed_up_when_it_closes(spark, tmp_path):
     assert [(str(s[1]), *s[3:]) for s in seen] == [("2024-01-01", 5, 28.0 / 5, 1.0, 20.0, "rising", True)]
 
 
+def test_weeks_of_many_users_share_the_state_of_a_bucket(spark, tmp_path):
+    folder, ck, seen = tmp_path / "in", str(tmp_path / "ck"), []
+    reading = lambda user, indicator, time, v: json.dumps({"user_id": user, "indicator": indicator, "time": f"{time}:00Z", "value_num": v})
+    big, days = 2**53 + 1, ("2024-01-02T08:00", "2024-01-03T08:00", "2024-01-04T08:00", "2024-01-05T08:00")
+    values = {(1, "i"): [1.0, 1.0, 4.0, 20.0], (1, "j"): [9.0, 9.0, 1.0, 1.0], (big, "i"): [5.0, 5.0, 5.0, 5.0], (None, "i"): [2.0, 2.0, 2.0]}
+
+    def run():
+        source = spark.readStream.schema("user_id BIGINT, indicator STRING, time TIMESTAMP, value_num DOUBLE").json(str(folder))
+        st.run_available(st.stream_week_trends(source, "7 days", buckets=1), ck, lambda df, _: seen.extend(tuple(r) for r in df.collect()))
+    for name, some in (("b", (3, 1)), ("a", (0, 2))):
+        put(folder / f"{name}.jsonl", "\n".join(reading(*k, days[d], v[d]) for k, v in values.items() for d in some if d < len(v)))
+        run()
+    put(folder / "c.jsonl", reading(7, "i", "2024-02-20T08:00", 3.0))
+    run()
+    assert {(r[0], r[2]): r[3:] for r in seen} == {
+        (1, "i"): (4, 6.5, 1.0, 20.0, "rising", True), (1, "j"): (4, 5.0, 1.0, 9.0, "falling", True),
+        (big, "i"): (4, 5.0, 5.0, 5.0, "stable", False), (None, "i"): (3, 2.0, 2.0, 2.0, "stable", False)}
+    assert len(seen) == 4 and {str(r[1]) for r in seen} == {"2024-01-01"}
+
+
 def test_weekly_stream_in_update_mode_bounds_its_state(spark, tmp_path):
     folder, ck, seen = tmp_path / "in", str(tmp_path / "ck"), []
     reading = lambda day, v: json.dumps({"user_id": 1, "indicator": "i", "time": f"{day}T08:00:00Z", "value_num": v})
