@@ -282,3 +282,21 @@ def test_common_shingles_are_counted_over_all_texts(spark):
     assert sorted(cp.common_shingles(texts, 5)) == sorted(found[times > 0.01 * (n + 2)])
     assert sorted(cp.common_shingles(texts, 5, 0.005)) == sorted(found[times > 0.005 * (n + 2)])
     assert len(cp.common_shingles(texts.limit(0), 5)) == 0
+
+
+def test_texts_in_chunks_have_the_shingles_and_choices_of_single_ones(monkeypatch):
+    import numpy as np
+    r = np.random.default_rng(8)
+    texts = [" ".join(f"W{x}" for x in r.integers(0, 40, int(n))).encode() for n in r.integers(0, 60, 80)]
+    texts += [None, b"", b" \t", b"one", b"A b\x0bC", b"a b c d e", b"x " * 500, "é É a b c d".encode(), b"\xff\xfe q w e r t"]
+    monkeypatch.setattr(chosen_path, "CHUNK", 700)
+    shingle = chosen_path.Shingler(5)
+    one = [shingle(t) for t in texts]
+    some = list(shingle.many(texts))
+    assert len(some) > 5 and len(some) < len(texts)
+    assert all(np.array_equal(a, b) for a, b in zip(shingle.each(texts), one, strict=True))
+    roots = chosen_path.splitmix(13, 21)
+    for common in (np.empty(0, np.uint64), np.unique(np.concatenate([one[3][:20], one[7]]))):
+        chooser = chosen_path.Chooser(common, 75)
+        got = [x for s, n in some for x in chooser.many(s, n, roots)]
+        assert all(np.array_equal(a, chooser(s, roots)) for a, s in zip(got, one, strict=True))
