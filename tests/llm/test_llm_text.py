@@ -322,6 +322,23 @@ def test_items_in_another_order_are_found(spark):
     assert {(x.doc_id, x.item_id): x.similarity for x in got} == pytest.approx(best) and best[0, 0] == pytest.approx(92 / 100)
 
 
+def test_only_texts_with_windows_are_shuffled(spark, monkeypatch):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    docs = spark.createDataFrame([(1, f"before {item} after"), (1, "another row of one id"), (1, f"{item}"), (2, "nothing of any item is here at all")] + [
+        (i, f"text number {i} of no item") for i in range(3, 30)], "doc_id long, text string")
+    items, plans, kept = spark.createDataFrame([(7, item)], "item_id long, text string"), [], decontaminate.stored
+
+    def seen(df, name):
+        if name == "windows":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return kept(df, name)
+    monkeypatch.setattr(decontaminate, "stored", seen)
+    found = [tuple(r) for r in decontaminate.leaks(docs, items).collect()]
+    monkeypatch.setattr(decontaminate, "SENT_DOCUMENTS", 0)
+    assert found == [tuple(r) for r in decontaminate.leaks(docs, items).collect()] and [(r[0], r[1], r[3]) for r in found] == [(1, 7, 1.0)]
+    assert "LeftSemi" in plans[0] and "LeftSemi" not in plans[1]
+
+
 def test_leaks_run_no_python(spark, sf_dir):
     plan = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
